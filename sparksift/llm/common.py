@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,7 +139,7 @@ def byte_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHU
     """Cut the batches so that each has about `limit` bytes in the column, one row at least."""
     for batch in batches:
         at = batch.schema.get_field_index(column)
-        sizes = pa.compute.binary_length(batch.column(at)).fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(batch.column(at)).fill_null(0).to_numpy(zero_copy_only=False)
         total = np.cumsum(sizes)
         low = 0
         while low < batch.num_rows:
@@ -226,7 +227,7 @@ def skew_join(rows: DataFrame, groups: DataFrame, key: str, count: str, total: i
     cold = groups.where(F.col(count) * HOT_SHARE <= F.lit(total)).select(F.col(key).alias("__cold"), F.lit(0).alias("__spread"), F.struct(*values).alias("__cold_value"))
     names = rows.columns
     tagged = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
-    tagged = tagged.withColumn("__at", F.when(F.col("__hot").isNull() & F.col(key).isNotNull(), 0).otherwise(F.xxhash64(spread).bitwiseOR(F.lit(1)).cast("int")))
+    tagged = tagged.withColumn("__at", F.when(F.col("__hot").isNull() & F.col(key).isNotNull(), 0).otherwise(F.xxhash64(spread).bitwiseAND(F.lit(0x7FFFFFFE)).bitwiseOR(F.lit(1)).cast("int")))
     joined = tagged.join(cold, (F.col(key) == F.col("__cold")) & (F.col("__at") == F.col("__spread")), "left")
     value = F.coalesce("__hot_value", "__cold_value")
     return joined.select(*[F.col(f"`{c}`") for c in names], *[value[c].alias(c) for c in values])

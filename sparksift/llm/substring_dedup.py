@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,7 +103,7 @@ def _map(k: int, buckets: int):
                 yield from _rows(bucket[chosen], docs[chosen], hashes[chosen], decided)
 
         for batch in C.byte_slices(batches, "text"):
-            batch = batch.filter(pa.compute.is_valid(batch.column(0)))
+            batch = batch.filter(pc.is_valid(batch.column(0)))
             texts = C.text_bytes(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             words, offsets = C.batch_words(texts)
