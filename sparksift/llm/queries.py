@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import substring_dedup
+from . import near_dup, substring_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,22 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """Tokens of each document under a public byte-level BPE vocabulary."""
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), tokenizer, limit=512)
+
+
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of three-word shingles have a Jaccard likeness of 0.85 or more."""
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
+    "op9_token_counts": op9_token_counts,
+    "op10_near_duplicates": op10_near_duplicates,
 }

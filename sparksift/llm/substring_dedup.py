@@ -12,8 +12,9 @@ Plan
      third of all documents hold is a few entries a slice, not a hot key.
   2. shuffle by bucket; each task sorts its bucket's hashes and finds those held
      by several doc_ids.  Buckets grow in number with the text, not in size.
-  3. the hashes to remove return to their documents (one shuffle of the text),
-     where windows become intervals and the intervals are merged.
+  3. what a bucket finds is packed by groups of documents, gathered to one row a
+     document, and joined to the texts (one shuffle of them), where windows become
+     intervals and the intervals are merged.
 The identity of a window is 56 bits plus its bucket, from two independent
 hashes: the odds that a window is mistaken stay near 1e-10 at any input size, as
 the buckets grow with it.
@@ -40,10 +41,11 @@ from . import common as C
 #: Words in a window when nothing else is asked for.
 WINDOW = 13
 _POWERS = (C.Powers(0xC2B2AE3D27D4EB4F), C.Powers(0x165667B19E3779F9))
-_SLICE_BYTES = 8 << 20
+_SLICE_BYTES = 6 << 20
 _BUCKET_BYTES = 16 << 20
 _PACKED = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())])
-_FOUND = pa.schema([("doc_id", pa.int64()), ("found", pa.binary())])
+_FOUND = pa.schema([("pack", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())])
+_MERGED = pa.schema([("doc_id", pa.int64()), ("found", pa.binary())])
 _REST = np.uint64((1 << 56) - 1)
 
 
@@ -121,61 +123,84 @@ def _map(k: int, buckets: int):
     return run
 
 
-def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each bucket, the hashes that a document with a smaller doc_id also has."""
+def _packs(docs: np.ndarray, hashes: np.ndarray, packs: int) -> Iterator[pa.RecordBatch]:
+    """Packed rows of found hashes, one for each group of documents."""
+    group = (C.mix(docs.astype(np.int64).view(np.uint64)) % np.uint64(packs)).astype(np.int64)
+    order = np.lexsort((docs, group))
+    group, docs, hashes = group[order], docs[order], hashes[order]
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    out = []
+    for low, high in zip(starts, [*starts[1:], len(group)], strict=True):
+        own, counts = _runs(docs[low:high])
+        out.append((int(group[low]), own.tobytes(), counts.astype(np.uint32).tobytes(), _pack(hashes[low:high])))
+    for low in range(0, len(out), 64):
+        yield C.as_batch(_FOUND, [list(x) for x in zip(*out[low : low + 64], strict=True)])
+
+
+def _entries(rows: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    docs = np.concatenate([np.repeat(np.frombuffer(d, np.int64), np.frombuffer(c, np.uint32)) for d, c, _ in rows])
+    return docs, np.concatenate([_unpack(h) for *_, h in rows])
 
-    def finish(rows: list[tuple[bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-        docs = np.concatenate([np.repeat(np.frombuffer(d, np.int64), np.frombuffer(c, np.uint32)) for d, c, _ in rows])
-        hashes = np.concatenate([_unpack(h) for *_, h in rows])
-        order = np.argsort(hashes, kind="stable")
-        h = hashes[order]
-        head = np.concatenate([[True], h[1:] != h[:-1]])
-        group = np.cumsum(head) - 1
-        repeated = np.bincount(group)[group] > 1
-        order, group = order[repeated], group[repeated]
-        if not len(order):
-            return
-        d = docs[order]
-        least = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, group, d)
-        order = order[d != least[group]]
-        order = order[np.argsort(docs[order], kind="stable")]
-        if len(order):
-            own, counts = _runs(docs[order])
-            yield from _found(own, counts, hashes[order])
-
-    def _found(own: np.ndarray, counts: np.ndarray, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        ends = np.cumsum(counts)
-        packed = _pack(hashes)
-        for low in range(0, len(own), 4096):
-            part = slice(low, low + 4096)
-            yield C.as_batch(_FOUND, [own[part], [packed[7 * (e - c) : 7 * e] for e, c in zip(ends[part].tolist(), counts[part].tolist(), strict=True)]])
 
-    held: list[tuple[bytes, bytes, bytes]] = []
-    now = None
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[bytes, bytes, bytes]]]]:
+    """The rows of each value of the first column; the batches come sorted by it."""
+    now, held = None, []
     for batch in batches:
-        for bucket, docs, counts, hashes in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if bucket < 0:  # decided in the map task
-                yield from _found(np.frombuffer(docs, np.int64), np.frombuffer(counts, np.uint32).astype(np.int64), _unpack(hashes))
-                continue
-            if bucket != now and held:
-                yield from finish(held)
+        for key, *row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if held and key != now:
+                yield now, held
                 held = []
-            now = bucket
-            held.append((docs, counts, hashes))
+            now = key
+            held.append(tuple(row))
     if held:
-        yield from finish(held)
+        yield now, held
+
+
+def _reduce(packs: int):
+    """Of each bucket, the hashes that a document with a smaller doc_id also has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _by_key(batches):
+            docs, hashes = _entries(rows)
+            if bucket >= 0:  # else it was decided in the map task
+                order = np.argsort(hashes, kind="stable")
+                h = hashes[order]
+                head = np.concatenate([[True], h[1:] != h[:-1]])
+                group = np.cumsum(head) - 1
+                repeated = np.bincount(group)[group] > 1
+                order, group = order[repeated], group[repeated]
+                least = np.full(int(head.sum()), np.iinfo(np.int64).max)
+                np.minimum.at(least, group, docs[order])
+                order = order[docs[order] != least[group]]
+                docs, hashes = docs[order], hashes[order]
+            if len(docs):
+                yield from _packs(docs, hashes, packs)
+
+    return run
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each document with all that was found for it."""
+    for _, rows in _by_key(batches):
+        docs, hashes = _entries(rows)
+        order = np.argsort(docs, kind="stable")
+        own, counts = _runs(docs[order])
+        packed, ends = _pack(hashes[order]), np.cumsum(counts)
+        for low in range(0, len(own), 4096):
+            part = slice(low, low + 4096)
+            yield C.as_batch(_MERGED, [own[part], [packed[7 * (e - c) : 7 * e] for e, c in zip(ends[part].tolist(), counts[part].tolist(), strict=True)]])
 
 
 def repeated_windows(docs: DataFrame, k: int = WINDOW) -> DataFrame:
     """(doc_id, found): packed hashes of the windows of a document that start in a
-    document with a smaller doc_id too; several rows a document."""
+    document with a smaller doc_id too; one row for each document that has any."""
     C.small_batches(docs.sparkSession)
     buckets = C.partitions(docs, "text", _BUCKET_BYTES)
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_map(k, buckets), "bucket int, docs binary, counts binary, hashes binary")
     # a bucket number hashes to a partition; what is decided already goes anywhere, by its own negative number
     dealt = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(_reduce, "doc_id long, found binary")
+    found = dealt.mapInArrow(_reduce(4 * buckets), "pack int, docs binary, counts binary, hashes binary")
+    return found.repartition(buckets, "pack").sortWithinPartitions("pack").mapInArrow(_merge, "doc_id long, found binary")
 
 
 def _covered(words: np.ndarray, k: int, found: np.ndarray) -> np.ndarray:
@@ -199,14 +224,14 @@ def _cut(k: int, extra: pa.Schema):
     names = ("n_words", "n_removed", "kept_sha256", "kept_text", "removed_spans")
     schema = pa.schema([*extra, *zip(names, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), strict=True)])
 
-    def one(text: bytes | None, found: list[bytes] | None) -> tuple:
+    def one(text: bytes | None, found: bytes | None) -> tuple:
         if text is None:
             return 0, 0, hashlib.sha256(b"").hexdigest(), None, []
         parts = text.split()
         if not found:
             return len(parts), 0, hashlib.sha256(b" ".join(parts)).hexdigest(), text.decode("utf-8", "replace"), []
         hashes, starts, ends = C.words(text)
-        mask = _covered(hashes, k, np.unique(np.concatenate([_unpack(x) for x in found])))
+        mask = _covered(hashes, k, np.unique(_unpack(found)))
         spans = intervals(mask)
         kept = [x for x, gone in zip(parts, mask.tolist(), strict=True) if not gone]
         out, at = [], 0
@@ -233,7 +258,7 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW) -> DataFrame:
     elsewhere as it was) and removed_spans (maximal intervals of word numbers)."""
     added = ("n_words", "n_removed", "kept_sha256", "kept_text", "removed_spans")
     docs = docs.drop(*added)
-    found = repeated_windows(docs, k).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("found").alias("__found"))
+    found = repeated_windows(docs, k).toDF("__id", "__found")
     joined = docs.join(found.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("__id"), "left").drop("__id")
     passing = docs.columns
     fields = {f.name: f for f in docs.schema}
