@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dup, substring_dedup, token_counts
+from . import fingerprint, near_dup, sharding, substring_dedup, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +32,26 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op1_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to archives, and what reading these back gives."""
+    archives = warc.write_archives(_table(spark, sf_dir, "pages"))
+    return warc.read_archives(archives, keep_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in 24 shards of a weighted hash tree, and where one more shard would take them."""
+    return sharding.shard_documents(_table(spark, sf_dir, "documents"), shards=24)
+
+
+def op8_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of documents and of their edited texts, and their likeness."""
+    return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_warc_zstd": op1_warc_zstd,
+    "op7_weighted_hash_tree": op7_weighted_hash_tree,
+    "op8_quartile_digest": op8_quartile_digest,
     "op3_substring_dedup": op3_substring_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_near_duplicates": op10_near_duplicates,
