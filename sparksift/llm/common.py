@@ -104,6 +104,12 @@ def words(data: bytes, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.
     return np.concatenate(hashes), np.concatenate(starts), np.concatenate(ends)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by sorting (faster here than by hashing)."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def batch_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(word hashes of all texts, offsets): text i has hashes[offsets[i]:offsets[i+1]]."""
     lengths = np.fromiter((len(t) for t in texts), np.int64, len(texts))
