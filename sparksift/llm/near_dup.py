@@ -13,13 +13,17 @@ Plan
   2. equal sets collapse into one class (aggregate on the fingerprint), so groups
      of copies never meet as pairs.
   3. classes meet where ROWS registers of a band agree.  Each bucket has one
-     pivot, and its members become candidates with the pivot only: linear in the
-     bucket.  Candidates pass a joint likelihood estimate that lies six standard
-     deviations under the threshold, then are confirmed on the full sets.
-  4. components of the confirmed links.  Buckets whose members lie in more than
-     one component are taken up again: what is not in the bucket's largest
-     component meets the members of other components, so that no link is missed
-     where likeness to the pivot was too low; pairs within a component never meet.
+     pivot, the class that shares most buckets with others, and its members become
+     candidates with the pivot only: linear in the bucket.  Candidates pass a joint
+     likelihood estimate that lies six standard deviations under the threshold,
+     then are confirmed on the full sets.
+  4. components of the confirmed links.
+  5. a class x that stays outside its pivot p's component may still link to another
+     member y.  As |x n y| <= |x n p| + |(x - p) n (y - p)|, that needs shared
+     shingles that p lacks - at least the needed intersection less |x n p| - or a y
+     so small that none is needed.  So x meets only members that share one of its
+     rarest such shingles (as many as that number leaves), or that are so small:
+     no link is lost, and a group's members don't meet all of each other.
 With 24 bands of 4 registers a pair at the threshold 0.85 is missed with odds of
 2e-8 (at 0.8: 2e-6).
 
@@ -36,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -173,20 +177,34 @@ def _sets(k: int):
 
 
 def _confirm(percent: int):
+    """Exact intersections of pairs, and the shingles of b that a lacks."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("common", pa.int64()), ("linked", pa.bool_()), ("extra", pa.binary())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            out = []
+            for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                at = np.searchsorted(x, y)
+                at[at == len(x)] = 0
+                held = x[at] == y
+                common = int(held.sum())
+                out.append((a, b, len(x), len(y), common, 100 * common >= percent * (len(x) + len(y) - common), y[~held].tobytes()))
+            if out:
+                yield C.as_batch(schema, [list(c) for c in zip(*out, strict=True)])
 
     return run
 
 
+def _posts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row (a, b, e) for each shingle e of b that its pivot a lacks."""
+    for batch in batches:
+        raw = batch.column(2).to_pylist()
+        counts = [len(x) // 8 for x in raw]
+        ids = [np.repeat(batch.column(i).to_numpy(), counts) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, ids), pa.array(np.frombuffer(b"".join(raw), np.int64))], names=["a", "b", "e"])
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of docs (doc_id, text)."""
     spark = docs.sparkSession
@@ -198,9 +216,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     reps = C.stage(sets.join(classes.select("fp", F.col("rep").alias("doc_id")), ["fp", "doc_id"]).select(F.col("doc_id").alias("rep"), "n", "sketch"), "reps")
     # buckets: only those with two classes at least go on
     bands = reps.select("rep", "sketch").mapInArrow(_bands, "key long, rep long")
-    pivots = C.stage(bands.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last"), F.count("*").alias("size")).where("pivot < last").drop("last"), "pivots")
-    n_bands = reps.count() * BANDS
-    multi = C.stage(C.skew_join(bands, pivots, "key", "size", n_bands, "rep").where("pivot is not null"), "buckets")
+    keys = C.stage(bands.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.count("*").alias("size")).where("first < last").select("key", "size", F.col("size").alias("n")), "keys")
+    multi = C.stage(C.skew_join(bands, keys, "key", "size", reps.count() * BANDS, "rep").where("n is not null"), "buckets")
+    central = multi.join(multi.groupBy("rep").agg(F.sum("n").alias("met")), "rep")
+    pivots = C.stage(central.groupBy("key").agg(F.max_by("rep", F.struct("met", "rep")).alias("pivot"), F.max("n").alias("size")), "pivots")
+    drawn = C.skew_join(multi.select("key", "rep"), pivots, "key", "size", multi.count(), "rep")
+    tried = C.stage(drawn.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "tried")
     needed = multi.select(F.col("rep").alias("need")).distinct()
     full = C.stage(texts.join(needed.hint("shuffle_hash"), F.col("doc_id") == F.col("need")).select("doc_id", "text").mapInArrow(_sets(k), "id long, set binary"), "sets")
 
@@ -209,31 +230,42 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         fits = (F.least("na", "nb") * 100) >= F.greatest("na", "nb") * percent
         near = pairs.join(one, "a").join(two, "b").where(fits).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_likely(percent), "a long, b long")
         one, two = (full.select(F.col("id").alias(c), F.col("set").alias(f"set{c}")) for c in "ab")
-        return near.join(one, "a").join(two, "b").select("a", "b", "seta", "setb").mapInArrow(_confirm(percent), "a long, b long")
+        return near.join(one, "a").join(two, "b").select("a", "b", "seta", "setb").mapInArrow(_confirm(percent), "a long, b long, na long, nb long, common long, linked boolean, extra binary")
 
-    tried = C.stage(multi.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "tried")
-    links = C.stage(confirmed(tried), "links")
+    tested = C.stage(confirmed(tried), "tested")
+    links = tested.where("linked").select("a", "b")
     # a doc_id that comes with several texts links its classes
     again = sets.groupBy("doc_id", "fp").count().groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("many"))
     same = sets.join(again, F.col("doc_id") == F.col("many")).select("doc_id", "fp").join(classes, "fp").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     labels = components(links.union(same))
 
-    # buckets that are not yet one component
-    placed = multi.select("key", "rep").join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("key", "rep", F.coalesce("c", "rep").alias("c"))
-    parts = placed.groupBy("key", "c").agg(F.count("*").alias("n"))
-    open_keys = C.stage(parts.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("largest"), F.count("*").alias("parts")).where("parts > 1").drop("parts"), "open")
-    rest = C.stage(placed.join(open_keys, "key"), "rest")
-    few = rest.where("c <> largest").select("key", F.col("rep").alias("x"), F.col("c").alias("cx"))
-    pairs = few.join(rest.select("key", F.col("rep").alias("y"), F.col("c").alias("cy"), "largest"), (few["key"] == rest["key"]) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("largest")) | (F.col("x") < F.col("y"))))
-    fresh = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = C.stage(confirmed(fresh), "links")
+    # what stays outside its pivot's component
+    def label(df: DataFrame, vertex: str, name: str) -> DataFrame:
+        return df.join(labels.select(F.col("v").alias(vertex), F.col("c").alias(name)), vertex, "left").withColumn(name, F.coalesce(name, vertex))
+
+    placed = C.stage(label(label(tested, "a", "ca"), "b", "cb"), "placed")
+    outside = F.col("ca") != F.col("cb")
+    groups = C.stage(placed.groupBy("a").agg(F.min("nb").alias("least"), F.count("*").alias("size"), F.sum(outside.cast("long")).alias("outside")).where("size > 1 and outside > 0").drop("outside"), "groups")
+    held = C.skew_join(placed, groups, "a", "size", placed.count(), "b").where("least is not null")
+    wanted = F.ceil((F.lit(percent) * (F.col("nb") + F.greatest(F.ceil(F.col("nb") * percent / 100), "least"))) / (100 + percent)) - F.col("common")
+    held = C.stage(held.withColumn("wanted", wanted.cast("long")), "held")
+    posts = C.stage(held.select("a", "b", "extra").mapInArrow(_posts, "a long, b long, e long"), "posts")
+    shared = C.stage(posts.join(posts.groupBy("a", "e").agg(F.count("*").alias("n")), ["a", "e"]), "shared")
+    seekers = held.where(outside).select("a", "b", "wanted", (F.length("extra") / 8 - F.greatest("wanted", F.lit(1)) + 1).alias("prefix"))
+    ranked = shared.join(seekers, ["a", "b"]).withColumn("at", F.row_number().over(Window.partitionBy("a", "b").orderBy("n", "e"))).where("at <= prefix and n > 1")
+    by_shingle = ranked.select("a", "e", F.col("b").alias("x")).join(shared.where("n > 1").select("a", "e", F.col("b").alias("y")), ["a", "e"]).where("x <> y")
+    least_of = held.where(outside & (F.col("wanted") <= 0)).select("a", F.col("b").alias("x"), (F.col("common") * (100 + percent) / percent - F.col("nb")).alias("most"))
+    small = least_of.join(held.select("a", F.col("b").alias("y"), "nb"), "a").where("nb <= most and x <> y")
+    pairs = by_shingle.select("x", "y").union(small.select("x", "y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    fresh = label(label(pairs, "a", "ca"), "b", "cb").where(outside).select("a", "b")
+    more = C.stage(confirmed(fresh).where("linked").select("a", "b"), "links")
     if more.limit(1).count():
         joined = more.join(labels.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a", "left").join(labels.select(F.col("v").alias("b"), F.col("c").alias("cb")), "b", "left")
         merged = components(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
         known = labels.select("v", "c").union(more.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(labels, "v", "left_anti").select("v", F.col("v").alias("c")))
         labels = known.join(merged.select(F.col("v").alias("c"), F.col("c").alias("root")), "c", "left").select("v", F.coalesce("root", "c").alias("c"))
     named = classes.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("fp", "size", F.coalesce("c", "rep").alias("component_id"))
-    C.unstage(full, open_keys, tried, multi, pivots, reps)
+    C.unstage(full, tried, multi, keys, pivots, reps, tested, placed, groups, held, posts, shared)
     rows = C.skew_join(signed.select("doc_id", "n", "fp"), named, "fp", "size", signed.count(), "doc_id")
     found = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), found.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
