@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, near_dup, sharding, substring_dedup, token_counts, warc
+from . import decontam, fingerprint, langid, near_dup, sentencepiece_sa, sharding, substring_dedup, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,26 @@ def op1_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives, keep_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    """Ids of each document under a public SentencePiece model, as a digest, and whether they decode to the text."""
+    if model is None:
+        import public_tokenizers
+
+        model = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = sentencepiece_sa.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return sentencepiece_sa.digest(encoded).select("doc_id", "n_tokens", "ids_sha256", "round_trip")
+
+
+def op5_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of each document, learned from those that aren't held out."""
+    return langid.identify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op6_bm25_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item: verified hits of every passage."""
+    return decontam.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 24 shards of a weighted hash tree, and where one more shard would take them."""
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), shards=24)
@@ -50,6 +70,9 @@ def op8_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc_zstd": op1_warc_zstd,
+    "op2_sentencepiece": op2_sentencepiece,
+    "op5_word_backoff": op5_word_backoff,
+    "op6_bm25_wand": op6_bm25_wand,
     "op7_weighted_hash_tree": op7_weighted_hash_tree,
     "op8_quartile_digest": op8_quartile_digest,
     "op3_substring_dedup": op3_substring_dedup,
