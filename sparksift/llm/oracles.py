@@ -31,7 +31,41 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, c
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least_one ON least_one.a = d.doc_id
 """
 
+_RENDER = "array_to_string(list_transform({0}, lambda t: '<|im_start|>' || coalesce(t.role, '') || chr(10) || coalesce(t.text, '') || '<|im_end|>' || chr(10)), '')"
+_SPANS = """coalesce(array_to_string(list_transform(list_filter(range(1, len({0}) + 1), lambda i: {0}[i].role = 'assistant'), lambda i:
+  CAST(CAST(coalesce(list_sum(list_transform({0}[1:i-1], lambda t: 24 + length(coalesce(t.role, '')) + length(coalesce(t.text, '')))), 0) + 13 + length({0}[i].role) AS BIGINT) AS VARCHAR) || '-' ||
+  CAST(CAST(coalesce(list_sum(list_transform({0}[1:i-1], lambda t: 24 + length(coalesce(t.role, '')) + length(coalesce(t.text, '')))), 0) + 13 + length({0}[i].role) + length(coalesce({0}[i].text, '')) + 10 AS BIGINT) AS VARCHAR)), ','), '')"""
+
+_OP4 = f"""
+WITH g AS (
+  SELECT conv_id // 2 AS pair_id,
+    coalesce(list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) FILTER (conv_id % 2 = 0), []) AS a,
+    coalesce(list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) FILTER (conv_id % 2 = 1), []) AS b
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+p AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i] IS DISTINCT FROM b[i])) - 1, least(len(a), len(b))) AS n FROM g),
+s AS (SELECT pair_id, n, a[1:n] AS shared, a[n+1:] AS c, b[n+1:] AS r FROM p)
+SELECT pair_id, {_RENDER.format('shared')} AS prompt, {_RENDER.format('c')} AS chosen, {_RENDER.format('r')} AS rejected,
+  {_SPANS.format('c')} AS chosen_mask, {_SPANS.format('r')} AS rejected_mask, CAST(n AS BIGINT) AS prompt_turns,
+  CAST(len(c) AS BIGINT) AS chosen_turns, CAST(len(r) AS BIGINT) AS rejected_turns, len(c) = 0 AND len(r) = 0 AS identical
+FROM s
+"""
+
+#: Base32 of the SHA-1: its hex digits as bits, five at a time.
+_BITS = "array_to_string(list_transform(string_split(sha1(coalesce(html, '')), ''), lambda h: ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][strpos('0123456789abcdef', h)]), '')"
+
+_OP1 = f"""
+WITH p AS (SELECT page_id, octet_length(CAST(encode(coalesce(html, '')) AS BLOB)) AS payload_bytes, {_BITS} AS bits FROM pages),
+d AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  1 + 16 * CAST(bits[5*i+1] AS INT) + 8 * CAST(bits[5*i+2] AS INT) + 4 * CAST(bits[5*i+3] AS INT) + 2 * CAST(bits[5*i+4] AS INT) + CAST(bits[5*i+5] AS INT), 1)), '') AS payload_digest FROM p),
+m AS (SELECT payload_digest, max(page_id) AS largest FROM d GROUP BY 1)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN page_id = largest THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> largest THEN largest END AS refers_to
+FROM d JOIN m USING (payload_digest)
+"""
+
 ORACLES = {
+    "op1_warc_zstd": _OP1,
+    "op4_preference_pairs": _OP4,
     "op3_substring_dedup": _OP3,
     "op10_near_duplicates": _OP10,
 }

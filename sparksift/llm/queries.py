@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprint, langid, near_dup, sentencepiece_sa, sharding, substring_dedup, token_counts, warc
+from . import chat, decontam, fingerprint, langid, near_dup, sentencepiece_sa, sharding, substring_dedup, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,13 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None
     return sentencepiece_sa.digest(encoded).select("doc_id", "n_tokens", "ids_sha256", "round_trip")
 
 
+def op4_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2n and 2n + 1 as chosen and rejected: the shared prompt and both completions with their masks."""
+    out = chat.format_pairs(chat.neighbours(_table(spark, sf_dir, "conversations")))
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+    return out.withColumn("chosen_mask", text(F.col("chosen_mask"))).withColumn("rejected_mask", text(F.col("rejected_mask")))
+
+
 def op5_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of each document, learned from those that aren't held out."""
     return langid.identify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
@@ -71,6 +78,7 @@ def op8_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc_zstd": op1_warc_zstd,
     "op2_sentencepiece": op2_sentencepiece,
+    "op4_preference_pairs": op4_preference_pairs,
     "op5_word_backoff": op5_word_backoff,
     "op6_bm25_wand": op6_bm25_wand,
     "op7_weighted_hash_tree": op7_weighted_hash_tree,
