@@ -74,7 +74,10 @@ def extract(rows: DataFrame, text: str = "text", file: str = "file", categories:
     for name, values in special(text).items():
         if categories is None or name in categories:
             arrays.append((name, SPECIAL[name], values))
-    found = F.flatten(F.array(*[F.transform(F.array_distinct(v), lambda x, n=n, d=d: F.struct(F.lit(n).alias("category"), F.lit(d).alias("desc"), x.alias("value"))) for n, d, v in arrays]))
+    def told(name: str, desc: str):
+        return lambda x: F.struct(F.lit(name).alias("category"), F.lit(desc).alias("desc"), x.alias("value"))
+
+    found = F.flatten(F.array(*[F.transform(F.array_distinct(v), told(n, d)) for n, d, v in arrays]))
     each = rows.where(F.col(text).isNotNull()).select(F.col(file).alias("file"), F.explode(found).alias("x"))
     return each.groupBy("x.category", "x.desc", "x.value").agg(F.min("file").alias("file"))
 

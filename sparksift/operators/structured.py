@@ -133,8 +133,9 @@ def rebuild_strings(rows: DataFrame, text: str = "line_text") -> DataFrame:
 
 def endpoints(lines: DataFrame, text: str = "line_text", file: str = "file") -> DataFrame:
     """Endpoints in lines, the first of each in a file: pattern order within a line, then place."""
-    found = F.flatten(F.array(*[F.transform(F.regexp_extract_all(F.col(text), X.pattern(p), F.lit(1)), lambda e, i=i: F.struct(F.lit(i).alias("p"), e.alias("e"))) for i, p in enumerate(ENDPOINTS)]))
-    each = lines.where(F.regexp_like(F.col(text), F.lit("['\"(:]"))).select("*", F.posexplode(found).alias("endpoint_at", "__e")).withColumn("endpoint", F.col("__e.e")).drop("__e")
+    # pattern order, then place, is the order of the flattened array
+    found = F.flatten(F.array(*[F.regexp_extract_all(F.col(text), X.pattern(p), F.lit(1)) for p in ENDPOINTS]))
+    each = lines.where(F.regexp_like(F.col(text), F.lit("['\"(:]"))).select("*", F.posexplode(found).alias("endpoint_at", "endpoint"))
     good = each.where((F.length("endpoint") >= 5) & ~F.regexp_like(F.col("endpoint"), F.lit(STATIC_ASSET)))
     # the least (line, place) of each endpoint of a file; partial sums make this cheap
     rest = [c for c in good.columns if c not in (file, "endpoint")]

@@ -1,6 +1,475 @@
-"""The registered queries over the driver's tables, and their SQL."""
+"""The registered queries over the driver's tables, and their SQL.
+
+The tables hold few secrets, so some queries scan a seeded corpus: lines made from
+the ids of `documents`, the same way here and in SQL.
+"""
 
 from __future__ import annotations
 
+import gzip
+import tempfile
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..model import ScanOptions
+from ..operators import cache, decode, post, recon, structured
+from ..operators.match import match_rules
+from ..sinks import reports
+from ..sources import files as sources
+from ..streaming import stream
+from . import sqltext as S
+from .scan import finish, scan
+
+RULES_ONLY = ScanOptions(entropy=False, decode_base64=False, json=False)
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.from_table(_table(spark, sf_dir, "documents"), "text", "doc_id", "doc:{}")
+
+
+_DOCUMENTS = "docs AS (SELECT 'doc:' || doc_id AS file, text FROM documents)"
+_PAGES = "docs AS (SELECT url AS file, html AS text FROM pages WHERE length(html) > 0)"
+_TURNS = "docs AS (SELECT 'conv:' || conv_id || '-' || turn AS file, text FROM conversations)"
+
+# ---------------------------------------------------------------- the seeded corpus
+
+
+def _base64(text: Column) -> Column:
+    """Base64 on one line; Spark's own breaks lines after 76 characters."""
+    return F.regexp_replace(F.base64(text.cast("binary")), r"\s", "")
+
+
+#: Carriers by doc_id modulo 8; h is the SHA-256 of the id in hex.
+_CARRIERS = (
+    ("AWS_ID = AKIA{U16} # and AKIA{U16}", "conf/app.env"),
+    ('token: "ghp_{H36}"', "src/main.py"),
+    ('api_key = "Zq{H38}"', "tests/case.py"),
+    ("blob {B} end", "data/blob.txt"),
+    ("hex {X} end", "data/hex.log"),
+    ("see https://user:pw{H8}@host.example/path for example", "docs/readme.md"),
+    ("url %67%68%70%5f{H36} end", "web/a.html"),
+    ("nothing to see in line {H4}", "src/clean.py"),
+)
+
+
+def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, file, text): three lines for each document, the middle one with a carrier."""
+    h = F.sha2(F.col("doc_id").cast("string").cast("binary"), 256)
+    token = F.concat(F.lit("key ghp_"), F.left(h, F.lit(36)), F.lit(" end of it"))
+    values = {"{U16}": F.upper(F.left(h, F.lit(16))), "{H36}": F.left(h, F.lit(36)), "{H38}": F.left(h, F.lit(38)), "{H8}": F.left(h, F.lit(8)), "{H4}": F.left(h, F.lit(4)), "{B}": _base64(token), "{X}": F.lower(F.hex(token.cast("binary")))}
+    text = file = F.lit(None).cast("string")
+    for i, (carrier, path) in enumerate(_CARRIERS):
+        filled: Column = F.lit(carrier)
+        for mark, value in values.items():
+            if mark in carrier:
+                filled = F.replace(filled, F.lit(mark), value)
+        on = F.col("doc_id") % len(_CARRIERS) == i
+        text, file = F.when(on, filled).otherwise(text), F.when(on, F.lit(path)).otherwise(file)
+    documents = _table(spark, sf_dir, "documents").select("doc_id")
+    return documents.select("doc_id", F.concat(F.lit("repo/"), F.col("doc_id").cast("string"), F.lit("/"), file).alias("file"), F.concat(F.lit("# first line\n"), text, F.lit("\nlast line\n")).alias("text"))
+
+
+def _seeded_sql() -> str:
+    h = "sha256(CAST(doc_id AS VARCHAR))"
+    token = f"('key ghp_' || left({h}, 36) || ' end of it')"
+    values = {"{U16}": f"upper(left({h}, 16))", "{H36}": f"left({h}, 36)", "{H38}": f"left({h}, 38)", "{H8}": f"left({h}, 8)", "{H4}": f"left({h}, 4)", "{B}": f"to_base64(encode({token}))", "{X}": f"lower(hex({token}))"}
+    text = file = ""
+    for i, (carrier, path) in enumerate(_CARRIERS):
+        filled = S.quoted(carrier)
+        for mark, value in values.items():
+            if mark in carrier:
+                filled = f"replace({filled}, '{mark}', {value})"
+        text += f" WHEN {i} THEN {filled}"
+        file += f" WHEN {i} THEN '{path}'"
+    n = len(_CARRIERS)
+    return f"docs AS (SELECT doc_id, 'repo/' || doc_id || '/' || CASE doc_id % {n}{file} END AS file, '# first line' || chr(10) || CASE doc_id % {n}{text} END || chr(10) || 'last line' || chr(10) AS text FROM documents)"
+
+
+_SEEDED = _seeded_sql()
+_FOUND = f"lines AS ({S.lines('docs')}), hits AS ({S.hits('lines', 'line_text', RULES_ONLY)}), found AS ({S.once('hits')})"
+_ROWS = f"file, line, rule, severity, secret, {S.entropy('secret')} AS entropy, col AS \"column\""
+
+
+def _rows(findings: DataFrame) -> DataFrame:
+    return findings.select("file", "line", "rule", "severity", "secret", "entropy", "column")
+
+
+# ---------------------------------------------------------------- scans
+
+
+@query(f"WITH {_SEEDED}, {_FOUND} SELECT rule, severity, count(*) AS n, count(DISTINCT file) AS files FROM found GROUP BY ALL")
+def seeded_scan(spark, sf_dir):
+    """Findings by rule in the seeded corpus."""
+    return scan(seeded(spark, sf_dir).select("file", "text"), RULES_ONLY).groupBy("rule", "severity").agg(F.count("*").alias("n"), F.count_distinct("file").alias("files"))
+
+
+@query(f"WITH {_SEEDED}, {_FOUND} SELECT {_ROWS} FROM found WHERE {S.rank('severity')} <= 1")
+def seeded_scan_severity_high(spark, sf_dir):
+    """Findings of the rules that are HIGH at least; milder rules aren't tried."""
+    return _rows(scan(seeded(spark, sf_dir).select("file", "text"), ScanOptions("HIGH", False, False, json=False)))
+
+
+@query(f"WITH {_DOCUMENTS}, {_FOUND} SELECT {_ROWS} FROM found")
+def rule_hits_documents(spark, sf_dir):
+    return _rows(scan(_documents(spark, sf_dir), RULES_ONLY))
+
+
+@query(f"WITH {_PAGES}, {_FOUND} SELECT {_ROWS} FROM found")
+def rule_hits_pages(spark, sf_dir):
+    return _rows(scan(sources.from_pages(_table(spark, sf_dir, "pages")), RULES_ONLY))
+
+
+@query(f"WITH {_TURNS}, {_FOUND} SELECT {_ROWS} FROM found")
+def rule_hits_conversations(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations").select(F.concat(F.lit("conv:"), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))).alias("file"), "text")
+    return _rows(scan(turns, RULES_ONLY))
+
+
+@query(f"""WITH {_DOCUMENTS}, lines AS ({S.lines('docs')}),
+ok AS (SELECT file FROM docs WHERE regexp_matches(text, {S.SECRET_CONTEXT})),
+tokens AS (SELECT file, line, line_text, unnest(regexp_extract_all(line_text, {S.quoted(X.ENTROPY_TOKEN)})) AS secret FROM lines SEMI JOIN ok USING (file) WHERE regexp_matches(line_text, {S.SECRET_CONTEXT}))
+SELECT DISTINCT file, line, secret, {S.entropy('secret')} AS entropy, CAST(strpos(line_text, secret) AS INTEGER) AS "column" FROM tokens
+WHERE NOT regexp_matches(secret, {S.quoted(X.ENTROPY_EXCLUDE)}) AND {S.likely('secret', 32, 4.5)}""")
+def entropy_sweep(spark, sf_dir):
+    """High-entropy tokens on lines that speak of secrets."""
+    found = scan(_documents(spark, sf_dir), ScanOptions("CRITICAL", True, False, json=False)).where("rule = 'high_entropy_token'")
+    return found.select("file", "line", "secret", "entropy", "column")
+
+
+@query()
+def full_scan(spark, sf_dir):
+    """All stages on the seeded corpus, in the order of the command line."""
+    options = ScanOptions(decode_hex=True, decode_unicode=True, js_reconstruct=True, endpoints=True)
+    return finish(scan(seeded(spark, sf_dir).select("file", "text"), options), "cli")
+
+
+@query(f"WITH {_DOCUMENTS}, lines AS ({S.lines('docs')}) SELECT file, line, length(line_text) AS size, md5(line_text) AS digest FROM lines")
+def line_split(spark, sf_dir):
+    lines = _documents(spark, sf_dir).select("file", F.posexplode(X.split_lines(F.col("text"))).alias("at", "t"))
+    return lines.select("file", (F.col("at") + 1).alias("line"), F.length("t").cast("long").alias("size"), F.md5(F.col("t").cast("binary")).alias("digest"))
+
+
+@query(f"""WITH {_DOCUMENTS}, lines AS ({S.lines('docs')})
+SELECT file, line, md5(array_to_string(parts[greatest(1, line-2):line-1], chr(10))) AS before, md5(array_to_string(parts[line+1:line+2], chr(10))) AS after FROM lines""")
+def context_window(spark, sf_dir):
+    """Up to two lines before and after each line, from the array of lines: no window, no shuffle."""
+    lines = X.lines(_documents(spark, sf_dir))
+    return lines.select("file", "line", F.md5(F.col("context_before").cast("binary")).alias("before"), F.md5(F.col("context_after").cast("binary")).alias("after"))
+
+
+_IDS = "(SELECT doc_id, 'x AKIA' || upper(left(sha256(CAST(doc_id AS VARCHAR)), 16)) || ' é ghp_' || left(sha256(CAST(doc_id AS VARCHAR)), 36) || ' AKIA' || upper(right(sha256(CAST(doc_id AS VARCHAR)), 16)) AS line_text FROM documents)"
+
+
+@query(f"WITH docs AS {_IDS}, hits AS ({S.hits('docs', 'line_text', RULES_ONLY, 'doc_id')}) SELECT doc_id, rule, secret, col AS \"column\" FROM hits WHERE rule IN ('aws_access_key_id', 'github_personal_access_token')")
+def match_columns(spark, sf_dir):
+    """Places of several matches on one line, in characters."""
+    h = F.sha2(F.col("doc_id").cast("string").cast("binary"), 256)
+    text = F.concat(F.lit("x AKIA"), F.upper(F.left(h, F.lit(16))), F.lit(" é ghp_"), F.left(h, F.lit(36)), F.lit(" AKIA"), F.upper(F.right(h, F.lit(16))))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", text.alias("line_text"))
+    active = [(i, r) for i, r in RULES_ONLY.active() if r.name in ("aws_access_key_id", "github_personal_access_token")]
+    return match_rules(rows, active).select("doc_id", "rule", "secret", "column")
+
+
+@query(f"""WITH {_DOCUMENTS}, lines AS ({S.lines('docs')}), tokens AS (SELECT file, line, unnest(regexp_extract_all(line_text, '[A-Za-z0-9+/=_\\-]{{12,}}')) AS token FROM lines)
+SELECT token, {S.entropy('token')} AS entropy, {S.likely('token', 12, 3.2)} AS likely, count(*) AS n FROM tokens GROUP BY ALL""")
+def entropy_tokens(spark, sf_dir):
+    """Entropy and likeness of long tokens."""
+    lines = X.lines(_documents(spark, sf_dir))
+    tokens = lines.select(F.explode(F.regexp_extract_all("line_text", F.lit(r"[A-Za-z0-9+/=_\-]{12,}"), F.lit(0))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return tokens.select("token", X.entropy(F.col("token")).alias("entropy"), X.likely_secret(F.col("token"), 12, 3.2).alias("likely"), "n")
+
+
+# ---------------------------------------------------------------- after the scan
+
+
+def _findings(spark, sf_dir):
+    return scan(seeded(spark, sf_dir).select("file", "text"), RULES_ONLY)
+
+
+_CONTEXT = f"left({S.strip('unit')}, 200)"
+_FIRST = f"first AS (SELECT *, {_CONTEXT} AS context, count(*) OVER (PARTITION BY rule, secret) AS n FROM found QUALIFY row_number() OVER (PARTITION BY rule, secret ORDER BY {S.rank('severity')}, file, line, rule_ord, j) = 1)"
+
+
+@query(f"WITH {_DOCUMENTS}, {_FOUND}, {_FIRST} SELECT file, line, rule, secret, CASE WHEN n > 1 THEN context || '  [also found in ' || (n - 1) || ' other file(s)]' ELSE context END AS context FROM first")
+def dedup_findings(spark, sf_dir):
+    """One finding for each rule and secret."""
+    return post.deduplicate(scan(_documents(spark, sf_dir), RULES_ONLY)).select("file", "line", "rule", "secret", "context")
+
+
+@query(f"WITH {_SEEDED}, {_FOUND} SELECT severity, rule, count(*) AS n, count(DISTINCT file) AS files FROM found GROUP BY GROUPING SETS ((severity), (rule), ())")
+def summary_grouping_sets(spark, sf_dir):
+    return post.summary(_findings(spark, sf_dir))
+
+
+@query(f"WITH {_SEEDED}, {_FOUND} SELECT rule, count(*) AS n FROM found GROUP BY rule ORDER BY n DESC, rule LIMIT 10")
+def top_rules(spark, sf_dir):
+    return post.by_rule(_findings(spark, sf_dir)).orderBy(F.desc("n"), "rule").limit(10)
+
+
+_MILDER = "CASE severity WHEN 'CRITICAL' THEN 'HIGH' WHEN 'HIGH' THEN 'MEDIUM' WHEN 'MEDIUM' THEN 'LOW' WHEN 'LOW' THEN 'INFO' ELSE severity END"
+_OFF = f"list_has_any(string_split(file, '/'), [{', '.join(map(S.quoted, post.NON_PRODUCTION))}])"
+
+
+@query(f"WITH {_SEEDED}, {_FOUND} SELECT file, line, rule, secret, CASE WHEN regexp_matches({_CONTEXT}, {S.quoted(post.PLACEHOLDER)}) THEN 'INFO' WHEN {_OFF} THEN {_MILDER} ELSE severity END AS severity FROM found")
+def fp_downgrade(spark, sf_dir):
+    return post.downgrade(_findings(spark, sf_dir)).select("file", "line", "rule", "secret", "severity")
+
+
+@query(f"WITH {_SEEDED}, {_FOUND} SELECT file, rule, CASE WHEN length(secret) <= 8 THEN repeat('*', length(secret)) WHEN length(secret) <= 16 THEN left(secret, 2) || repeat('*', length(secret) - 4) || right(secret, 2) ELSE left(secret, 4) || repeat('*', length(secret) - 8) || right(secret, 4) END AS shown FROM found")
+def redacted(spark, sf_dir):
+    return _findings(spark, sf_dir).select("file", "rule", X.redact(F.col("secret")).alias("shown"))
+
+
+_FP = "left(sha256(rule || ':' || left(secret, 60) || ':' || string_split(file, '/')[-1]), 16)"
+
+
+@query(f"WITH {_SEEDED}, {_FOUND} SELECT file, rule, secret, {_FP} AS fingerprint FROM found")
+def fingerprints(spark, sf_dir):
+    found = _findings(spark, sf_dir)
+    return found.select("file", "rule", "secret", X.fingerprint(F.col("rule"), F.col("secret"), F.col("file")).alias("fingerprint"))
+
+
+@query(f"WITH {_SEEDED}, {_FOUND}, f AS (SELECT file, line, rule, secret, {_FP} AS fp FROM found) SELECT file, line, rule, secret FROM f WHERE left(fp, 1) NOT IN ('0', '1', '2', '3')")
+def ignore_antijoin(spark, sf_dir):
+    """Findings that aren't on the ignore list, here the fingerprints that begin with 0 to 3."""
+    found = _findings(spark, sf_dir)
+    listed = found.select(X.fingerprint(F.col("rule"), F.col("secret"), F.col("file")).alias("fingerprint")).where(F.left("fingerprint", F.lit(1)) < "4")
+    return post.suppress(found, listed).select("file", "line", "rule", "secret")
+
+
+@query(f"WITH {_SEEDED}, {_FOUND} SELECT coalesce(bool_or({S.rank('severity')} <= 0), false) AS failed FROM found")
+def exit_code(spark, sf_dir):
+    return post.failing(_findings(spark, sf_dir), "CRITICAL")
+
+
+@query(f"""WITH {_SEEDED}, {_FOUND} SELECT rule, secret, 'aws_sts' AS validator FROM found WHERE rule = 'aws_access_key_id' GROUP BY ALL""")
+def validation_plan(spark, sf_dir):
+    """What could be validated, once each; nothing is sent."""
+    return post.validatable(_findings(spark, sf_dir))
+
+
+@query(f"""WITH {_SEEDED}, {_FOUND}, f AS (SELECT rule, min((100 + {S.rank('severity')}) || file || chr(1) || (1000 + line) || chr(1) || (1000 + col) || chr(1) || secret) AS o FROM found GROUP BY rule),
+l AS (SELECT DISTINCT rule, CASE severity WHEN 'CRITICAL' THEN 'error' WHEN 'HIGH' THEN 'error' WHEN 'MEDIUM' THEN 'warning' WHEN 'LOW' THEN 'note' ELSE 'none' END AS level FROM found)
+SELECT rule, level, CAST(row_number() OVER (ORDER BY o, rule) - 1 AS INTEGER) AS rule_index FROM f JOIN l USING (rule)""")
+def sarif_rules(spark, sf_dir):
+    return reports.sarif_rules(_findings(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- decoders
+
+_ONE_RULE = [(i, r) for i, r in RULES_ONLY.active() if r.name == "github_personal_access_token"]
+_GHP = S.quoted(_ONE_RULE[0][1].pattern)
+
+
+@query(f"WITH {_SEEDED}, c AS (SELECT file, unnest(regexp_extract_all(text, '\\b[A-Za-z0-9+/]{{32,}}={{0,2}}')) AS raw FROM docs WHERE doc_id % 8 = 3), d AS (SELECT file, decode(from_base64(raw)) AS decoded FROM c) SELECT file, decoded, unnest(regexp_extract_all(decoded, {_GHP})) AS secret FROM d")
+def base64_rescan(spark, sf_dir):
+    rows = X.lines(seeded(spark, sf_dir).where("doc_id % 8 = 3"))
+    return match_rules(decode.decode_base64(rows), _ONE_RULE, "decoded", check=False).select("file", "decoded", "secret")
+
+
+@query(f"WITH {_SEEDED}, c AS (SELECT file, unnest(regexp_extract_all(text, '\\b(?:[0-9a-fA-F]{{2}}){{10,}}\\b')) AS raw FROM docs WHERE doc_id % 8 = 4), d AS (SELECT file, decode(unhex(raw)) AS decoded FROM c) SELECT file, decoded, unnest(regexp_extract_all(decoded, {_GHP})) AS secret FROM d")
+def hex_rescan(spark, sf_dir):
+    rows = X.lines(seeded(spark, sf_dir).where("doc_id % 8 = 4"))
+    return match_rules(decode.decode_hex(rows), _ONE_RULE, "decoded", check=False).select("file", "decoded", "secret")
+
+
+@query(f"WITH {_SEEDED}, d AS (SELECT file, 'url ghp_' || left(sha256(CAST(doc_id AS VARCHAR)), 36) || ' end' AS decoded FROM docs WHERE doc_id % 8 = 6) SELECT file, decoded, unnest(regexp_extract_all(decoded, {_GHP})) AS secret FROM d")
+def url_rescan(spark, sf_dir):
+    rows = X.lines(seeded(spark, sf_dir).where("doc_id % 8 = 6"))
+    return match_rules(decode.decode_escapes(rows), _ONE_RULE, "decoded", check=False).select("file", "decoded", "secret")
+
+
+@query("SELECT doc_id, 'ghp_' || left(sha256(CAST(doc_id AS VARCHAR)), 36) AS secret FROM documents")
+def unicode_rescan(spark, sf_dir):
+    """Every character as a \\u escape."""
+    token = F.concat(F.lit("ghp_"), F.left(F.sha2(F.col("doc_id").cast("string").cast("binary"), 256), F.lit(36)))
+    escaped = F.array_join(F.transform(F.split(token, ""), lambda c: F.concat(F.lit("\\u00"), F.lower(F.hex(c.cast("binary"))))), "")
+    rows = _table(spark, sf_dir, "documents").select("doc_id", escaped.alias("line_text"))
+    return match_rules(decode.decode_escapes(rows), _ONE_RULE, "decoded", check=False).select("doc_id", "secret")
+
+
+@query("SELECT doc_id, 'base64' AS tag, 'ghp_' || left(sha256(CAST(doc_id AS VARCHAR)), 36) AS secret FROM documents")
+def recursive_rescan(spark, sf_dir):
+    """A token in Base64 in Base64, found by the chain of decoders."""
+    token = F.concat(F.lit("key ghp_"), F.left(F.sha2(F.col("doc_id").cast("string").cast("binary"), 256), F.lit(36)), F.lit(" end"))
+    twice = _base64(F.concat(F.lit("x "), _base64(token), F.lit(" y")))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", twice.alias("line_text"))
+    return match_rules(decode.decode_chain(rows), _ONE_RULE, "decoded", check=False).select("doc_id", "tag", "secret").distinct()
+
+
+@query("SELECT doc_id, md5(text) AS digest FROM documents WHERE octet_length(encode(text)) > 400")
+def gzip_texts(spark, sf_dir):
+    """Texts that were compressed, read again."""
+
+    def pack(batches):
+        for batch in batches:
+            data = [gzip.compress(x.encode(), mtime=0) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["doc_id", "content"])
+
+    packed = _table(spark, sf_dir, "documents").where("octet_length(text) > 400").select("doc_id", "text").mapInArrow(pack, "doc_id long, content binary")
+    return decode.decompress(packed).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+# ---------------------------------------------------------------- structured content, recon
+
+
+@query("SELECT event_id, '$.k' AS path, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
+def json_keys(spark, sf_dir):
+    """Values of the events' JSON, by Catalyst."""
+    return _table(spark, sf_dir, "events").select("event_id", F.lit("$.k").alias("path"), F.get_json_object("props", "$.k").alias("value")).where("value is not null")
+
+
+@query("""WITH v AS (SELECT doc_id, 'Aa1-' || left(sha256(CAST(doc_id AS VARCHAR)), 20) AS x FROM documents)
+SELECT doc_id, unnest(['db.password', 'list[0].api_key', 'plain']) AS key_path, unnest([x, x, x]) AS value, unnest([true, true, false]) AS named FROM v""")
+def json_walk(spark, sf_dir):
+    """Texts in nested JSON with their key paths, and whether the key names a secret."""
+    x = F.concat(F.lit("Aa1-"), F.left(F.sha2(F.col("doc_id").cast("string").cast("binary"), 256), F.lit(20)))
+    doc = F.to_json(F.struct(F.struct(x.alias("password")).alias("db"), F.array(F.struct(x.alias("api_key"))).alias("list"), x.alias("plain"), F.lit(7).alias("n")))
+    values = structured.json_values(_table(spark, sf_dir, "documents").select("doc_id", doc.alias("text")))
+    return values.select("doc_id", "key_path", "value", structured.secret_key(F.col("key_name"), F.col("value")).alias("named"))
+
+
+@query("SELECT doc_id, 'reconstructed_concat' AS tag, 'ghp_' || left(sha256(CAST(doc_id AS VARCHAR)), 36) AS secret FROM documents UNION ALL SELECT doc_id, 'reconstructed_join', 'ghp_' || left(sha256(CAST(doc_id AS VARCHAR)), 36) FROM documents UNION ALL SELECT doc_id, 'reconstructed_template', 'ghp_' || left(sha256(CAST(doc_id AS VARCHAR)), 36) FROM documents")
+def js_reconstruct(spark, sf_dir):
+    """Tokens split over added strings, joined arrays and templates."""
+    h = F.sha2(F.col("doc_id").cast("string").cast("binary"), 256)
+    a, b, c = (F.substring(h, i, 12) for i in (1, 13, 25))
+    q = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    line = F.concat(F.lit('x = "ghp_"+'), q(a), F.lit(" + "), q(F.concat(b, c)), F.lit('; y = ["ghp_",'), q(a), F.lit(","), q(b), F.lit(","), q(c), F.lit("].join('');z=`ghp_"), a, b, c, F.lit("`"))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", line.alias("line_text"))
+    return match_rules(structured.rebuild_strings(rows), _ONE_RULE, "decoded", check=False).select("doc_id", "tag", "secret")
+
+
+_E = " UNION ALL ".join(f"SELECT file, line, {i} AS p, j, e[j] AS endpoint FROM (SELECT file, line, regexp_extract_all(line_text, {S.quoted(p)}, 1) AS e FROM lines), unnest(range(1, len(e) + 1)) AS t(j)" for i, p in enumerate(structured.ENDPOINTS))
+
+
+@query(f"WITH {_PAGES}, lines AS ({S.lines('docs')}), e AS ({_E}) SELECT file, min(line) AS line, endpoint FROM e WHERE length(endpoint) >= 5 AND NOT regexp_matches(endpoint, {S.quoted(structured.STATIC_ASSET)}) GROUP BY file, endpoint")
+def endpoints(spark, sf_dir):
+    """Endpoints that pages quote, at the first line."""
+    return structured.endpoints(X.lines(sources.from_pages(_table(spark, sf_dir, "pages")))).select("file", "line", "endpoint")
+
+
+@query(f"WITH s AS (SELECT page_id, regexp_extract_all(html, {S.quoted(structured.SCRIPT)}, 2) AS b FROM pages) SELECT page_id, CAST(i AS INTEGER) AS script_no, b[i] AS script FROM s, unnest(range(1, len(b) + 1)) AS t(i) WHERE trim(b[i]) <> ''")
+def html_scripts(spark, sf_dir):
+    return structured.scripts(_table(spark, sf_dir, "pages").select("page_id", "html"))
+
+
+@query("""WITH d AS (SELECT doc_id, 'var a=1;' || chr(10) || '//# sourceMappingURL=data:application/json;base64,' || to_base64(encode('{"sources":["a' || doc_id || '.ts","b.ts"],"sourcesContent":["let x=' || doc_id || '",""]}')) AS text FROM documents)
+SELECT doc_id, 'a' || doc_id || '.ts' AS source_name, 'let x=' || doc_id AS source_text FROM d""")
+def source_maps(spark, sf_dir):
+    """Original sources carried by inline source maps."""
+    i = F.col("doc_id").cast("string")
+    inner = F.concat(F.lit('{"sources":["a'), i, F.lit('.ts","b.ts"],"sourcesContent":["let x='), i, F.lit('",""]}'))
+    text = F.concat(F.lit("var a=1;\n//# sourceMappingURL=data:application/json;base64,"), _base64(inner))
+    refs = structured.source_map_refs(_table(spark, sf_dir, "documents").select("doc_id", text.alias("text")))
+    maps = refs.select("doc_id", structured.inline_source_map(F.col("source_map")).alias("source_map_text"))
+    return structured.source_files(maps).select("doc_id", "source_name", "source_text")
+
+
+def _recon_sql(table: str) -> str:
+    parts = [f"SELECT file, '{c}' AS category, unnest(list_transform(regexp_extract_all(text, {S.quoted(p)}), lambda v: trim(v))) AS value FROM {table}" for c, (_, p) in recon.CATEGORIES.items()]
+    assets = " AND ".join(f"NOT contains(value, '{a}')" for a in recon.ASSETS)
+    special = [
+        f"SELECT file, 'js_endpoints' AS category, value FROM (SELECT file, unnest(regexp_extract_all(text, {S.quoted(recon.QUOTED_PATH)}, 1)) AS value FROM {table}) WHERE length(value) > 4 AND {assets}",
+        f"SELECT file, 'js_variables' AS category, a || ' = ' || b AS value FROM (SELECT file, unnest(regexp_extract_all(text, {S.quoted(recon.VARIABLE)}, 1)) AS a, unnest(regexp_extract_all(text, {S.quoted(recon.VARIABLE)}, 2)) AS b FROM {table})",
+        f"SELECT file, 'js_routes' AS category, trim(unnest(regexp_extract_all(text, {S.quoted(recon.ROUTE)})), chr(39) || '\"') AS value FROM {table}",
+        f"SELECT file, 'js_urls' AS category, unnest(regexp_extract_all(text, {S.quoted(recon.URL)}, 1)) AS value FROM {table}",
+    ]
+    return f"SELECT category, value, min(file) AS file FROM (SELECT file, category, value FROM ({' UNION ALL '.join(parts)}) WHERE length(value) >= 4 UNION ALL {' UNION ALL '.join(special)}) GROUP BY category, value"
+
+
+@query(f"WITH {_PAGES} {_recon_sql('docs')}")
+def recon_pages(spark, sf_dir):
+    """What pages give away, by category, each value once."""
+    return recon.extract(sources.from_pages(_table(spark, sf_dir, "pages"))).select("category", "value", "file")
+
+
+@query(f"WITH {_DOCUMENTS}, r AS ({_recon_sql('docs')}) SELECT category, count(*) AS n FROM r GROUP BY category")
+def recon_totals(spark, sf_dir):
+    return recon.totals(recon.extract(_documents(spark, sf_dir))).select("category", "n")
+
+
+@query(f"WITH u AS (SELECT DISTINCT url FROM pages WHERE regexp_matches(url, '^https?://')) SELECT url FROM u WHERE regexp_matches(url, 'example\\.com')")
+def url_scope(spark, sf_dir):
+    """URLs within a scope, merged from two lists, sorted."""
+    urls = _table(spark, sf_dir, "pages").select("url").where(F.regexp_like("url", F.lit("^https?://")))
+    return sources.merged_urls(urls, urls).where(F.regexp_like("url", F.lit(r"example\.com")))
+
+
+_NAME = "regexp_replace(string_split(string_split(url, '?')[1], '/')[-1], '[^\\p{L}\\p{N}._-]', '', 'g')"
+
+
+@query(f"SELECT page_id, CASE WHEN {_NAME} = '' THEN 'index.html' ELSE left({_NAME}, 80) END AS name FROM pages")
+def fetched_names(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", sources.fetched_name(F.col("url")).alias("name"))
+
+
+@query("WITH d AS (SELECT doc_id, sha256(text) AS digest FROM documents) SELECT doc_id, digest, doc_id = min(doc_id) OVER (PARTITION BY digest) AS keep, count(*) OVER (PARTITION BY digest) AS copies FROM d")
+def exact_dup_documents(spark, sf_dir):
+    found = post.exact_duplicates(_table(spark, sf_dir, "documents"), "text", "doc_id")
+    return found.select("doc_id", "digest", "keep", "copies")
+
+
+# ---------------------------------------------------------------- caches, streams
+
+
+@query("SELECT DISTINCT sha256(url) AS url_hash, url FROM pages WHERE page_id % 3 <> 0 AND sha256(url) NOT IN (SELECT sha256(url) FROM pages WHERE page_id % 3 = 0)")
+def url_cache_missing(spark, sf_dir):
+    """URLs that must be fetched, as no live entry holds them."""
+    pages = _table(spark, sf_dir, "pages")
+    cached = pages.where("page_id % 3 = 0").select(cache.url_hash("url").alias("url_hash"), "url", F.lit(1000.0).alias("timestamp"))
+    return cache.missing_urls(pages.where("page_id % 3 <> 0").select("url").distinct(), cached, 1000.0).select(cache.url_hash("url").alias("url_hash"), "url")
+
+
+@query(f"WITH {_SEEDED}, {_FOUND} SELECT rule, count(*) AS n FROM found GROUP BY rule")
+def cached_scan(spark, sf_dir):
+    """The second of two scans through the result cache: all contents are known by then."""
+    from ..sources.shared import shared_folder
+
+    texts = seeded(spark, sf_dir).select("file", "text")
+    store = cache.ResultCache(spark, f"{shared_folder(spark)}/results-{next(tempfile._get_candidate_names())}")
+    cache.scan_cached(texts, store, RULES_ONLY, now=1000.0)
+    return cache.scan_cached(texts, store, RULES_ONLY, now=2000.0).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY ALL")
+def tumbling_window(spark, sf_dir):
+    return stream.tumbling(_table(spark, sf_dir, "events"))
+
+
+@query("SELECT w AS window_start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS w FROM events) GROUP BY ALL")
+def sliding_window(spark, sf_dir):
+    return stream.sliding(_table(spark, sf_dir, "events"))
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM s GROUP BY user_id, k""")
+def session_window(spark, sf_dir):
+    return stream.sessions(_table(spark, sf_dir, "events"))
+
+
+@query("SELECT sha256(text) AS content_hash FROM documents GROUP BY ALL")
+def unseen_contents(spark, sf_dir):
+    """Contents of documents, each once, as the stream's cache has it."""
+    texts = _table(spark, sf_dir, "documents").select("text", F.to_timestamp(F.lit("2024-01-01")).alias("ts"))
+    return stream.unseen(texts).select("content_hash")
