@@ -210,6 +210,12 @@ def unstage(*tables: DataFrame) -> None:
             system.delete(folder, True)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal out tables of fewer files than cores by a key, as one file may be one task; others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def partitions(df: DataFrame, column: str, each: int = 16 << 20, least: int = 16) -> int:
     """How many partitions give each about `each` bytes of the column."""
     total = df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0

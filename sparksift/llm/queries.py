@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, fingerprint, langid, near_dup, sentencepiece_sa, sharding, substring_dedup, token_counts, warc
+from . import chat, common, decontam, fingerprint, langid, near_dup, sentencepiece_sa, sharding, substring_dedup, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return common.spread(table, table.columns[0]) if name != "benchmark" else table
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
