@@ -95,16 +95,35 @@ def need(pattern: str) -> Need | None:
 RUNS = {"run": r"[A-Za-z0-9_\-]{22}", "uuid": r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-", "digits": r"[0-9]{6}"}
 
 
-def _holds(n: Need | None, text: str) -> Column | None:
-    if n is None:
-        return None
+def _sql(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _holds(n: Need, unit: str) -> str:
+    """The condition in SQL, on a struct `unit` of shared conditions."""
     if n.run:
-        return F.col(f"__{n.run}")
-    source = F.col("__folded") if n.folded else F.col(text)
-    out = F.contains(source, F.lit(n.literals[0]))
-    for literal in n.literals[1:]:
-        out = out | F.contains(source, F.lit(literal))
-    return out
+        return f"{unit}.{n.run}"
+    return " OR ".join(f"contains({unit}.{'folded' if n.folded else 'text'}, {_sql(x)})" for x in n.literals)
+
+
+def _hits(text: str, patterns: list[str], gated: bool = True) -> Column:
+    """Structs (p, m) of the patterns that match a text column, with their matches.
+
+    Written as SQL text, which Spark parses at once.  Shared conditions are fields of
+    a struct bound by a lambda, so that they are computed once a text and not inlined
+    where they are used; texts that fulfil no condition at all leave early.  The long
+    s matches s where case is ignored."""
+    shared = f"named_struct('text', `{text}`, 'folded', translate(lower(`{text}`), 'ſ', 's'), " + ", ".join(f"'{name}', `{text}` RLIKE {_sql(p)}" for name, p in RUNS.items()) + ")"
+    needs, tries = [need(p) for p in patterns], []
+    for i, (p, n) in enumerate(zip(patterns, needs, strict=True)):
+        found = f"regexp_extract_all(u.text, {_sql(X.UNICODE + p)}, 0)"
+        tries.append(f"named_struct('p', {i}, 'm', {found if n is None else f'CASE WHEN {_holds(n, "u")} THEN {found} END'})")
+    found = f"filter(array({', '.join(tries)}), x -> size(x.m) > 0)"
+    if gated and None not in needs:
+        literals = {folded: sorted({x for n in needs if n.folded is folded for x in n.literals}) for folded in (False, True)}
+        gates = [f"u.{name}" for name in RUNS] + [f"exists(array({', '.join(map(_sql, found_))}), l -> contains(u.{'folded' if folded else 'text'}, l))" for folded, found_ in literals.items() if found_]
+        found = f"CASE WHEN {' OR '.join(gates)} THEN {found} ELSE array() END"
+    return F.expr(f"flatten(transform(array({shared}), u -> {found}))")
 
 
 def distinct_patterns(active: list[tuple[int, Rule]]) -> list[tuple[str, list[tuple[int, Rule]]]]:
@@ -122,26 +141,18 @@ def match_rules(rows: DataFrame, active: list[tuple[int, Rule]], text: str = "li
     their column is the first place of the secret."""
     sweeps = sweeps or []
     patterns = distinct_patterns(active)
-    empty = F.array().cast("array<struct<p:int,m:array<string>>>")
-    prepared = rows.where(F.col(text).isNotNull())
-    for name, p in RUNS.items():
-        prepared = prepared.withColumn(f"__{name}", F.regexp_like(F.col(text), F.lit(p)))
-    # the long s and the Kelvin sign match s and k where case is ignored
-    prepared = prepared.withColumn("__folded", F.translate(F.lower(F.col(text)), "ſ", "s"))
-    tries = []
-    for i, (p, _) in enumerate(patterns):
-        found = F.regexp_extract_all(F.col(text), X.pattern(p), F.lit(0))
-        condition = _holds(need(p), text)
-        tries.append(F.struct(F.lit(i).alias("p"), (F.when(condition, found) if condition is not None else found).alias("m")))
-    for i, (_, _, secrets) in enumerate(sweeps, len(patterns)):
-        tries.append(F.struct(F.lit(i).alias("p"), secrets.alias("m")))
-    hits = F.filter(F.array(*tries), lambda x: F.size(x["m"]) > 0) if tries else empty
-    hit = prepared.withColumn("__hit", F.explode(hits)).drop("__folded", *[f"__{r}" for r in RUNS])
+    none = F.array().cast("array<struct<p:int,m:array<string>>>")
+    hits = _hits(text, [p for p, _ in patterns]) if patterns else none
+    if sweeps:
+        swept = F.array(*[F.struct(F.lit(i).alias("p"), secrets.alias("m")) for i, (_, _, secrets) in enumerate(sweeps, len(patterns))])
+        hits = F.concat(hits, F.filter(swept, lambda x: F.size(x["m"]) > 0))
+    hit = rows.where(F.col(text).isNotNull()).withColumn("__hit", F.explode(hits))
     # columns of the matches: lengths of what lies between them, for the few rows that matched
-    table = F.array(*[X.pattern(p) for p, _ in patterns], *[F.lit("(?!)") for _ in sweeps]).cast("array<string>")
-    one = lambda place, name, severity: F.struct(F.lit(place).alias("rule_ord"), F.lit(name).alias("rule"), F.lit(severity).alias("severity"))
-    ruled = [F.array(*[one(place, r.name, r.severity) for place, r in rules]) for _, rules in patterns]
-    names = F.array(*ruled, *[F.array(one(-1, name, severity)) for name, severity, _ in sweeps]).cast("array<array<struct<rule_ord:int,rule:string,severity:string>>>")
+    table = "array(" + ", ".join([_sql(X.UNICODE + p) for p, _ in patterns] + ["'(?!)'"] * len(sweeps)) + ")"
+    one = lambda place, name, severity: f"named_struct('rule_ord', {place}, 'rule', {_sql(name)}, 'severity', {_sql(severity)})"
+    ruled = [f"array({', '.join(one(place, r.name, r.severity) for place, r in rules)})" for _, rules in patterns]
+    names = "array(" + ", ".join(ruled + [f"array({one(-1, name, severity)})" for name, severity, _ in sweeps]) + ")"
+    table, names = F.expr(table).cast("array<string>"), F.expr(names).cast("array<array<struct<rule_ord:int,rule:string,severity:string>>>")
     m = F.col("__hit.m")
     hit = hit.withColumn("__gaps", F.split(F.col(text), F.get(table, F.col("__hit.p")), -1)).withColumn("__rules", F.get(names, F.col("__hit.p")))
     each = hit.select("*", F.posexplode(m).alias("match_at", "secret"))

@@ -19,6 +19,7 @@ from ..operators import cache, decode, post, recon, structured
 from ..operators.match import match_rules
 from ..sinks import reports
 from ..sources import files as sources
+from ..sources.shared import spread
 from ..streaming import stream
 from . import sqltext as S
 from .scan import finish, scan
@@ -38,8 +39,13 @@ def query(sql: str | None = None):
     return register
 
 
+#: Tables with long texts, and what they are dealt out by where they are a single file.
+_LONG = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(table, _LONG[name]) if name in _LONG else table
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
