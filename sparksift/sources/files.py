@@ -46,11 +46,50 @@ def kept_folder(relative: Column) -> Column:
     return ~F.exists(folders, lambda p: p.isin(*SKIPPED_FOLDERS) | F.startswith(p, F.lit(".")))
 
 
+def _unlisted(spark: SparkSession, root: str) -> list[tuple[str, int]]:
+    """(path, length) of files that Spark's listing leaves out: names, or folders on
+    the way, that begin with a dot or an underscore (hidden folders aside). Names only."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return []
+    base, out = system.makeQualified(path).toUri().getPath().rstrip("/"), []
+    files = system.listFiles(path, True)
+    while files.hasNext():
+        one = files.next()
+        parts = one.getPath().toUri().getPath()[len(base) :].strip("/").split("/") if one.getPath().toUri().getPath() != base else [one.getPath().getName()]
+        if any(p.startswith(".") or p in SKIPPED_FOLDERS for p in parts[:-1]):
+            continue
+        if any(p.startswith("_") for p in parts) or parts[-1].startswith("."):
+            if not (parts[-1].startswith(".") and parts[-1].endswith(".crc")):
+                out.append((one.getPath().toString(), one.getLen()))
+    return out
+
+
+def _read_unlisted(spark: SparkSession, paths: list[tuple[str, int]]) -> DataFrame:
+    """(path, length, content) of the given files, read by the executors."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            for path, size in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                system, inner = fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else "file://" + path.split(":", 1)[1])
+                with system.open_input_stream(inner) as data:
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([size]), pa.array([data.read()], pa.binary())], names=["path", "length", "content"])
+
+    return spark.createDataFrame(paths, "path string, length long").mapInArrow(run, "path string, length long, content binary")
+
+
 def read_files(spark: SparkSession, path: str, exclude: list[str] | None = None, max_bytes: int = LARGEST_FILE, skip_binary: bool = True) -> DataFrame:
     """(file, text, content, length) of the text files under a path.
 
-    Length and path are filtered before any content is read; invalid UTF-8 becomes the replacement character."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.col("length") <= max_bytes)
+    Length and path are filtered before any content is read; invalid UTF-8 becomes the
+    replacement character.  Files that Spark's listing hides (.env, __tests__/...) are listed apart."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.col("length") <= max_bytes).select("path", "length", "content")
+    if apart := [(p, n) for p, n in _unlisted(spark, path) if n <= max_bytes]:
+        files = files.unionByName(_read_unlisted(spark, apart))
     plain = F.regexp_replace("path", "^[a-z]+:/+", "/")
     root = "/" + path.split(":", 1)[-1].strip("/") if ":" in path.split("/", 1)[0] else path.rstrip("/")
     relative = F.when(F.startswith(plain, F.lit(root + "/")), F.expr(f"substring(regexp_replace(path, '^[a-z]+:/+', '/'), {len(root) + 2})")).otherwise(file_name(plain))
