@@ -43,10 +43,9 @@ def rank(severity: str) -> int:
 
 
 def rank_column(severity: Column) -> Column:
-    out = F.lit(UNKNOWN_RANK)
-    for i, name in enumerate(SEVERITIES):
-        out = F.when(severity == name, F.lit(i)).otherwise(out)
-    return out
+    # a lookup, so that the severity's expression stands in the plan once
+    ranks = F.create_map(*[F.lit(x) for i, name in enumerate(SEVERITIES) for x in (name, i)])
+    return F.coalesce(ranks[severity], F.lit(UNKNOWN_RANK))
 
 
 @dataclass(frozen=True)

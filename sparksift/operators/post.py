@@ -60,9 +60,8 @@ def ordered(findings: DataFrame) -> DataFrame:
 
 def downgrade(findings: DataFrame) -> DataFrame:
     """One step milder under a path that isn't production, and INFO where the context is a placeholder."""
-    milder = F.col("severity")
-    for worse, better in zip(SEVERITIES, SEVERITIES[1:], strict=False):
-        milder = F.when(F.col("severity") == worse, F.lit(better)).otherwise(milder)
+    steps = F.create_map(*[F.lit(x) for pair in zip(SEVERITIES, SEVERITIES[1:], strict=False) for x in pair])
+    milder = F.coalesce(steps[F.col("severity")], F.col("severity"))
     off = F.arrays_overlap(F.split("file", "/"), F.array(*map(F.lit, NON_PRODUCTION)))
     stepped = F.when(off, milder).otherwise(F.col("severity"))
     return findings.withColumn("severity", F.when(X.search(F.col("context"), PLACEHOLDER), "INFO").otherwise(stepped))
