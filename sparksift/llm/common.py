@@ -7,7 +7,6 @@ text.  Word hashes are 64-bit: a polynomial over the word's bytes, mixed.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -17,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder, spread  # noqa: F401 - queries take spread from here
+
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -174,15 +175,6 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
 # ---------------------------------------------------------------- Spark helpers
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where that is unset (local tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="sparksift-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def _files(spark: SparkSession, path: str):
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
@@ -210,12 +202,6 @@ def unstage(*tables: DataFrame) -> None:
             system.delete(folder, True)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal out tables of fewer files than cores by a key, as one file may be one task; others stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
-
-
 def partitions(df: DataFrame, column: str, each: int = 16 << 20, least: int = 16) -> int:
     """How many partitions give each about `each` bytes of the column."""
     total = df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
