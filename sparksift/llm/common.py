@@ -7,6 +7,7 @@ text.  Word hashes are 64-bit: a polynomial over the word's bytes, mixed.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -23,6 +24,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 #: Bytes of text handled at once; bounds the memory of the numpy temporaries.
 CHUNK_BYTES = 4 << 20
+#: Bytes whose words are hashed at once; the tables of powers are as long.
+HASHED_BYTES = 1 << 20
 
 
 # ---------------------------------------------------------------- hashing
@@ -65,10 +68,10 @@ _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def _pieces(size: int, data: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of about CHUNK_BYTES that end at white space (or with a word longer than that)."""
+    """Ranges of about HASHED_BYTES that end at white space (or with a word longer than that)."""
     at = 0
     while at < size:
-        end = min(size, at + CHUNK_BYTES)
+        end = min(size, at + HASHED_BYTES)
         while end < size:
             stop = min(size, end + 65536)
             found = np.flatnonzero(_IS_SPACE[data[end:stop]])
@@ -154,6 +157,16 @@ def byte_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHU
             high = max(low + 1, int(np.searchsorted(total, before + limit, "right")))
             yield batch.slice(low, high - low)
             low = high
+    tidy()
+
+
+def tidy() -> None:
+    """Give freed memory back at the end of a task: worker processes live on, and executors count them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library has its own ways
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:
