@@ -251,14 +251,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     held = C.stage(held.withColumn("wanted", wanted.cast("long")), "held")
     posts = C.stage(held.select("a", "b", "extra").mapInArrow(_posts, "a long, b long, e long"), "posts")
     shared = C.stage(posts.join(posts.groupBy("a", "e").agg(F.count("*").alias("n")), ["a", "e"]), "shared")
-    seekers = held.where(outside).select("a", "b", "wanted", (F.length("extra") / 8 - F.greatest("wanted", F.lit(1)) + 1).alias("prefix"))
+    enough = lambda common: common * (100 + percent) >= F.lit(percent) * (F.col("nx") + F.col("ny"))
+    rest = F.greatest("wanted", F.lit(1)) - 1  # shingles after the prefix, which may all be shared as well
+    seekers = held.where(outside).select("a", "b", F.col("nb").alias("nx"), F.col("common").alias("ix"), rest.alias("rest"), (F.length("extra") / 8 - rest).alias("prefix"))
     ranked = shared.join(seekers, ["a", "b"]).withColumn("at", F.row_number().over(Window.partitionBy("a", "b").orderBy("n", "e"))).where("at <= prefix and n > 1")
-    by_shingle = ranked.select("a", "e", F.col("b").alias("x")).join(shared.where("n > 1").select("a", "e", F.col("b").alias("y")), ["a", "e"]).where("x <> y")
+    partners = shared.where("n > 1").select("a", "e", "b").join(held.select("a", "b", F.col("nb").alias("ny"), F.col("common").alias("iy")), ["a", "b"]).withColumnRenamed("b", "y")
+    meetings = ranked.select("a", "e", F.col("b").alias("x"), "nx", "ix", "rest").join(partners, ["a", "e"]).where("x <> y")
+    met = meetings.groupBy("a", "x", "y").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("nx", "ix", "rest", "ny", "iy")])
+    by_shingle = met.where(enough(F.least("ix", "iy") + F.col("n") + F.col("rest")))
     # pairs that share no such shingle lie within the pivot: their intersection is at most the lesser of those with it
-    enough = lambda common: F.col(common) * (100 + percent) >= F.lit(percent) * (F.col("nx") + F.col("ny"))
     least_of = held.where(outside & (F.col("wanted") <= 0)).select("a", F.col("b").alias("x"), F.col("nb").alias("nx"), F.col("common").alias("ix"), F.col("cb").alias("cx"))
     other = held.select("a", F.col("b").alias("y"), F.col("nb").alias("ny"), F.col("common").alias("iy"), F.col("cb").alias("cy"))
-    small = least_of.join(other, "a").where(enough("ix") & enough("iy") & (F.col("cx") != F.col("cy")))
+    small = least_of.join(other, "a").where(enough(F.least("ix", "iy")) & (F.col("cx") != F.col("cy")))
     pairs = by_shingle.select("x", "y").union(small.select("x", "y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     fresh = label(label(pairs, "a", "ca"), "b", "cb").where(outside).select("a", "b")
     more = C.stage(confirmed(fresh).where("linked").select("a", "b"), "links")
