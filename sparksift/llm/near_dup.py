@@ -12,18 +12,23 @@ Plan
      Jaccard likeness.
   2. equal sets collapse into one class (aggregate on the fingerprint), so groups
      of copies never meet as pairs.
-  3. classes meet where ROWS registers of a band agree.  Each bucket has one
-     pivot, the class that shares most buckets with others, and its members become
-     candidates with the pivot only: linear in the bucket.  Candidates pass a joint
-     likelihood estimate that lies six standard deviations under the threshold,
-     then are confirmed on the full sets.
+  3. classes meet where ROWS registers of a band agree.  Each bucket has a pivot,
+     the class that shares most buckets with others, and its members become
+     candidates with the pivot only: linear in the bucket.  Candidates must fit in
+     size and pass a joint likelihood estimate that lies six standard deviations
+     under the threshold, then are confirmed on the full sets.  Members without a
+     link to the pivot get another pivot among them, PIVOTS times at most.
   4. components of the confirmed links.
-  5. a class x that stays outside its pivot p's component may still link to another
-     member y.  As |x n y| <= |x n p| + |(x - p) n (y - p)|, that needs shared
-     shingles that p lacks - at least the needed intersection less |x n p| - or a y
-     so small that none is needed.  So x meets only members that share one of its
-     rarest such shingles (as many as that number leaves), or that are so small:
-     no link is lost, and a group's members don't meet all of each other.
+  5. members of a bucket that are in different components by then may still link.
+     All of them stay in, however little they are like the pivot.  Where FEW are
+     left beside the first pivot, those of different components are tried directly.
+     Otherwise, as |x n y| <= |x n p| + |(x - p) n (y - p)| for members x, y and
+     the pivot p, x and y share shingles that p lacks - at least the needed
+     intersection less |x n p| - or are so small that none is needed.  So x meets
+     members of other components that share one of its rarest such shingles (as
+     many as that number leaves), or those of its bucket that are so small: of the
+     pairs that share a bucket no link is lost but by the estimate in step 3, and
+     a component's members don't meet each other.
 With 24 bands of 4 registers a pair at the threshold 0.85 is missed with odds of
 2e-8 (at 0.8: 2e-6).
 
@@ -37,6 +42,7 @@ not needed, and extra ones are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +56,8 @@ from .graph import components
 REGISTERS, BASE, RATE, LARGEST = 96, 1.001, 20.0, 65534
 ROWS = 4
 BANDS = REGISTERS // ROWS
+#: Pivots that a bucket gets at most, and members besides the pivot that may meet directly.
+PIVOTS, FEW = 3, 8
 _POWERS = C.Powers(0xD1B54A32D192ED03)
 _SEEDS = C.mix(np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTORS, _ADDENDS = _SEEDS[:REGISTERS] | np.uint64(1), _SEEDS[REGISTERS:]
@@ -176,8 +184,8 @@ def _sets(k: int):
     return run
 
 
-def _confirm(percent: int):
-    """Exact intersections of pairs, and the shingles of b that a lacks."""
+def _confirm(percent: int, extra: bool):
+    """Exact intersections of pairs, and, if wanted, the shingles of b that a lacks."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("common", pa.int64()), ("linked", pa.bool_()), ("extra", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +197,7 @@ def _confirm(percent: int):
                 at[at == len(x)] = 0
                 held = x[at] == y
                 common = int(held.sum())
-                out.append((a, b, len(x), len(y), common, 100 * common >= percent * (len(x) + len(y) - common), y[~held].tobytes()))
+                out.append((a, b, len(x), len(y), common, 100 * common >= percent * (len(x) + len(y) - common), y[~held].tobytes() if extra else None))
             if out:
                 yield C.as_batch(schema, [list(c) for c in zip(*out, strict=True)])
 
@@ -197,12 +205,12 @@ def _confirm(percent: int):
 
 
 def _posts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row (a, b, e) for each shingle e of b that its pivot a lacks."""
+    """A row (a, b, c, e) for each shingle e of b, in component c, that its pivot a lacks."""
     for batch in batches:
-        raw = batch.column(2).to_pylist()
+        raw = batch.column(3).to_pylist()
         counts = [len(x) // 8 for x in raw]
-        ids = [np.repeat(batch.column(i).to_numpy(), counts) for i in (0, 1)]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, ids), pa.array(np.frombuffer(b"".join(raw), np.int64))], names=["a", "b", "e"])
+        ids = [np.repeat(batch.column(i).to_numpy(), counts) for i in (0, 1, 2)]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, ids), pa.array(np.frombuffer(b"".join(raw), np.int64))], names=["a", "b", "c", "e"])
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -218,61 +226,87 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     bands = reps.select("rep", "sketch").mapInArrow(_bands, "key long, rep long")
     keys = C.stage(bands.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.count("*").alias("size")).where("first < last").select("key", "size", F.col("size").alias("n")), "keys")
     multi = C.stage(C.skew_join(bands, keys, "key", "size", reps.count() * BANDS, "rep").where("n is not null"), "buckets")
-    central = multi.join(multi.groupBy("rep").agg(F.sum("n").alias("met")), "rep")
-    pivots = C.stage(central.groupBy("key").agg(F.max_by("rep", F.struct("met", "rep")).alias("pivot"), F.max("n").alias("size")), "pivots")
-    drawn = C.skew_join(multi.select("key", "rep"), pivots, "key", "size", multi.count(), "rep")
-    tried = C.stage(drawn.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "tried")
+    central = C.stage(multi.join(multi.groupBy("rep").agg(F.sum("n").alias("met")), "rep").select("key", "rep", "met"), "central")
     needed = multi.select(F.col("rep").alias("need")).distinct()
     full = C.stage(texts.join(needed.hint("shuffle_hash"), F.col("doc_id") == F.col("need")).select("doc_id", "text").mapInArrow(_sets(k), "id long, set binary"), "sets")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    def exact(pairs: DataFrame, extra: bool) -> DataFrame:
+        one, two = (full.select(F.col("id").alias(c), F.col("set").alias(f"set{c}")) for c in "ab")
+        return pairs.join(one, "a").join(two, "b").select("a", "b", "seta", "setb").mapInArrow(_confirm(percent, extra), "a long, b long, na long, nb long, common long, linked boolean, extra binary")
+
+    def linked(pairs: DataFrame) -> DataFrame:
         one, two = (reps.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
         fits = (F.least("na", "nb") * 100) >= F.greatest("na", "nb") * percent
         near = pairs.join(one, "a").join(two, "b").where(fits).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_likely(percent), "a long, b long")
-        one, two = (full.select(F.col("id").alias(c), F.col("set").alias(f"set{c}")) for c in "ab")
-        return near.join(one, "a").join(two, "b").select("a", "b", "seta", "setb").mapInArrow(_confirm(percent), "a long, b long, na long, nb long, common long, linked boolean, extra binary")
-
-    tested = C.stage(confirmed(tried), "tested")
-    links = tested.where("linked").select("a", "b")
+        return exact(near, False).where("linked").select("a", "b")
+
+    # pivots; what isn't linked to its bucket's pivot gets another among its like
+    rounds, left, first = [], central, None
+    for _ in range(PIVOTS):
+        pivots = C.stage(left.groupBy("key").agg(F.max_by("rep", F.struct("met", "rep")).alias("pivot"), F.count("*").alias("size")).where("size > 1"), "pivots")
+        drawn = C.stage(C.skew_join(left, pivots, "key", "size", left.count(), "rep").where("rep <> pivot"), "drawn")
+        C.unstage(pivots)
+        if not drawn.limit(1).count():
+            break
+        first = drawn if first is None else first
+        rounds.append(C.stage(linked(drawn.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()), "links"))
+        left = C.stage(drawn.join(rounds[-1].select(F.col("a").alias("pivot"), F.col("b").alias("rep")), ["pivot", "rep"], "left_anti").select("key", "rep", "met"), "left")
+    links = reduce(DataFrame.union, rounds, spark.createDataFrame([], "a long, b long"))
     # a doc_id that comes with several texts links its classes
     again = sets.groupBy("doc_id", "fp").count().groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("many"))
     same = sets.join(again, F.col("doc_id") == F.col("many")).select("doc_id", "fp").join(classes, "fp").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     labels = components(links.union(same))
 
-    # what stays outside its pivot's component
     def label(df: DataFrame, vertex: str, name: str) -> DataFrame:
         return df.join(labels.select(F.col("v").alias(vertex), F.col("c").alias(name)), vertex, "left").withColumn(name, F.coalesce(name, vertex))
 
-    placed = C.stage(label(label(tested, "a", "ca"), "b", "cb"), "placed")
-    outside = F.col("ca") != F.col("cb")
-    groups = C.stage(placed.groupBy("a").agg(F.min("nb").alias("least"), F.count("*").alias("size"), F.sum(outside.cast("long")).alias("outside")).where("size > 1 and outside > 0").drop("outside"), "groups")
-    held = C.skew_join(placed, groups, "a", "size", placed.count(), "b").where("least is not null")
-    wanted = F.ceil((F.lit(percent) * (F.col("nb") + F.greatest(F.ceil(F.col("nb") * percent / 100), "least"))) / (100 + percent)) - F.col("common")
-    held = C.stage(held.withColumn("wanted", wanted.cast("long")), "held")
-    posts = C.stage(held.select("a", "b", "extra").mapInArrow(_posts, "a long, b long, e long"), "posts")
-    shared = C.stage(posts.join(posts.groupBy("a", "e").agg(F.count("*").alias("n")), ["a", "e"]), "shared")
-    enough = lambda common: common * (100 + percent) >= F.lit(percent) * (F.col("nx") + F.col("ny"))
-    rest = F.greatest("wanted", F.lit(1)) - 1  # shingles after the prefix, which may all be shared as well
-    seekers = held.where(outside).select("a", "b", F.col("nb").alias("nx"), F.col("common").alias("ix"), rest.alias("rest"), (F.length("extra") / 8 - rest).alias("prefix"))
-    ranked = shared.join(seekers, ["a", "b"]).withColumn("at", F.row_number().over(Window.partitionBy("a", "b").orderBy("n", "e"))).where("at <= prefix and n > 1")
-    partners = shared.where("n > 1").select("a", "e", "b").join(held.select("a", "b", F.col("nb").alias("ny"), F.col("common").alias("iy")), ["a", "b"]).withColumnRenamed("b", "y")
-    meetings = ranked.select("a", "e", F.col("b").alias("x"), "nx", "ix", "rest").join(partners, ["a", "e"]).where("x <> y")
-    met = meetings.groupBy("a", "x", "y").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("nx", "ix", "rest", "ny", "iy")])
-    by_shingle = met.where(enough(F.least("ix", "iy") + F.col("n") + F.col("rest")))
-    # pairs that share no such shingle lie within the pivot: their intersection is at most the lesser of those with it
-    least_of = held.where(outside & (F.col("wanted") <= 0)).select("a", F.col("b").alias("x"), F.col("nb").alias("nx"), F.col("common").alias("ix"), F.col("cb").alias("cx"))
-    other = held.select("a", F.col("b").alias("y"), F.col("nb").alias("ny"), F.col("common").alias("iy"), F.col("cb").alias("cy"))
-    small = least_of.join(other, "a").where(enough(F.least("ix", "iy")) & (F.col("cx") != F.col("cy")))
-    pairs = by_shingle.select("x", "y").union(small.select("x", "y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    fresh = label(label(pairs, "a", "ca"), "b", "cb").where(outside).select("a", "b")
-    more = C.stage(confirmed(fresh).where("linked").select("a", "b"), "links")
-    if more.limit(1).count():
-        joined = more.join(labels.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a", "left").join(labels.select(F.col("v").alias("b"), F.col("c").alias("cb")), "b", "left")
-        merged = components(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-        known = labels.select("v", "c").union(more.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(labels, "v", "left_anti").select("v", F.col("v").alias("c")))
-        labels = known.join(merged.select(F.col("v").alias("c"), F.col("c").alias("root")), "c", "left").select("v", F.coalesce("root", "c").alias("c"))
+    # buckets whose members, pivot aside, are in several components
+    placed = mixed = split = held = posts = crossing = None
+    if first is not None:
+        placed = C.stage(label(first.select("key", F.col("pivot").alias("a"), F.col("rep").alias("b")), "b", "cb"), "placed")
+        mixed = C.stage(placed.groupBy("key").agg(F.min("cb").alias("low"), F.max("cb").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size", F.col("size").alias("members")), "mixed")
+        split = C.stage(C.skew_join(placed, mixed, "key", "size", placed.count(), "b").where("members is not null"), "split")
+        few, many = split.where(F.col("members") <= FEW), split.where(F.col("members") > FEW)
+        x, y = few.select("key", F.col("b").alias("x"), F.col("cb").alias("cx")), few.select("key", F.col("b").alias("y"), F.col("cb").alias("cy"))
+        pairs = x.join(y, "key").where("x < y and cx <> cy").select("x", "y")
+        if many.limit(1).count():
+            tested = C.stage(label(label(exact(many.select("a", "b").distinct(), True), "a", "ca"), "b", "cb"), "tested")
+            outside = F.col("ca") != F.col("cb")
+            groups = C.stage(tested.groupBy("a").agg(F.min("nb").alias("least"), F.count("*").alias("size")), "groups")
+            held = C.skew_join(tested, groups, "a", "size", tested.count(), "b")
+            wanted = F.ceil((F.lit(percent) * (F.col("nb") + F.greatest(F.ceil(F.col("nb") * percent / 100), "least"))) / (100 + percent)) - F.col("common")
+            held = C.stage(held.withColumn("wanted", wanted.cast("long")), "held")
+            C.unstage(tested, groups)
+            posts = C.stage(held.select("a", "b", "cb", "extra").mapInArrow(_posts, "a long, b long, c long, e long"), "posts")
+            # shingles in one component only give no new links
+            by_component = posts.groupBy("a", "e", "c").agg(F.count("*").alias("own"))
+            in_all = by_component.groupBy("a", "e").agg(F.sum("own").alias("n"), F.count("*").alias("components")).where("components > 1").drop("components")
+            crossing = C.stage(posts.join(in_all.join(by_component, ["a", "e"]), ["a", "e", "c"]).select("a", "b", "c", "e", (F.col("n") - F.col("own")).alias("others")), "crossing")
+            enough = lambda common: common * (100 + percent) >= F.lit(percent) * (F.col("nx") + F.col("ny"))
+            rest = F.greatest("wanted", F.lit(1)) - 1  # shingles after the prefix, which may all be shared as well
+            seekers = held.where(outside).select("a", "b", F.col("nb").alias("nx"), F.col("common").alias("ix"), rest.alias("rest"), (F.length("extra") / 8 - rest).alias("prefix"), (F.length("extra") / 8).alias("extras"))
+            own = Window.partitionBy("a", "b")
+            ranked = crossing.join(seekers, ["a", "b"]).withColumn("at", F.row_number().over(own.orderBy("others", "e"))).withColumn("cross", F.count("*").over(own))
+            ranked = ranked.where(F.col("at") <= F.col("prefix") - F.col("extras") + F.col("cross"))  # shingles that don't cross come before
+            partners = crossing.select("a", "e", F.col("c").alias("cy"), "b").join(held.select("a", "b", F.col("nb").alias("ny"), F.col("common").alias("iy")), ["a", "b"]).withColumnRenamed("b", "y")
+            meetings = ranked.select("a", "e", F.col("b").alias("x"), F.col("c").alias("cx"), "nx", "ix", "rest", "cross").join(partners, ["a", "e"]).where((F.col("cx") != F.col("cy")) & (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent) & enough(F.least("ix", "iy") + F.col("cross")))
+            met = meetings.groupBy("a", "x", "y").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("nx", "ix", "rest", "ny", "iy")])
+            by_shingle = met.where(enough(F.least("ix", "iy") + F.col("n") + F.col("rest")))
+            # pairs that share no such shingle lie within the pivot: their intersection is at most the lesser of those with it
+            inside = many.select("key", "a", "b").join(held.select("a", "b", "ca", "cb", "nb", "common", "wanted"), ["a", "b"])
+            least_of = inside.where(outside & (F.col("wanted") <= 0)).select("key", F.col("b").alias("x"), F.col("nb").alias("nx"), F.col("common").alias("ix"), F.col("cb").alias("cx"))
+            other = inside.select("key", F.col("b").alias("y"), F.col("nb").alias("ny"), F.col("common").alias("iy"), F.col("cb").alias("cy"))
+            small = least_of.join(other, "key").where(enough(F.least("ix", "iy")) & (F.col("cx") != F.col("cy")))
+            pairs = pairs.union(by_shingle.select("x", "y")).union(small.select("x", "y"))
+        fresh = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        more = C.stage(linked(fresh), "links")
+        if more.limit(1).count():
+            joined = more.join(labels.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a", "left").join(labels.select(F.col("v").alias("b"), F.col("c").alias("cb")), "b", "left")
+            merged = components(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+            known = labels.select("v", "c").union(more.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(labels, "v", "left_anti").select("v", F.col("v").alias("c")))
+            labels = known.join(merged.select(F.col("v").alias("c"), F.col("c").alias("root")), "c", "left").select("v", F.coalesce("root", "c").alias("c"))
     named = classes.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("fp", "size", F.coalesce("c", "rep").alias("component_id"))
-    C.unstage(full, tried, multi, keys, pivots, reps, tested, placed, groups, held, posts, shared)
+    C.unstage(full, multi, keys, central, reps, first, placed, mixed, split, held, posts, crossing)
     rows = C.skew_join(signed.select("doc_id", "n", "fp"), named, "fp", "size", signed.count(), "doc_id")
     found = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), found.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,6 +129,32 @@ def test_links_outside_the_pivots_component(spark):
     assert {r.doc_id: r.component_id for r in got} == components(sets, 85)
 
 
+@pytest.mark.parametrize("few", [0, 100])
+def test_links_between_texts_unlike_the_pivot(spark, monkeypatch, few):
+    """Near-copied excerpts, a chain of them and bridges beside a large group of copies that has all the pivots."""
+    monkeypatch.setattr(near_dup, "FEW", few, raising=False)
+
+    def one_bucket(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([0] * batch.num_rows, pa.int64()), batch.column(0)], names=["key", "rep"])
+
+    monkeypatch.setattr(near_dup, "_bands", one_bucket)  # so that no other bucket helps
+    rng = random.Random(11)
+    w = [f"v{rng.randrange(10**9)}" for _ in range(300)]
+    fresh = lambda t, n: [f"u{rng.randrange(10**9)}" if rng.randrange(len(t)) < n else x for x in t]
+    docs = [(i, fresh(w, 2)) for i in range(12)]
+    docs += [(100 + i, fresh(w[:150], 2)) for i in range(8)]  # excerpts
+    docs += [(200 + i, w[: 290 - 22 * i]) for i in range(12)]  # shorter and shorter: each like the next only
+    tail = [f"t{rng.randrange(10**9)}" for _ in range(300)]
+    docs += [(300 + i, w[200:] + fresh(tail, 2)) for i in range(8)]  # longer
+    docs += [(400 + i, w[30 * i : 30 * i + 100] + tail[20 * i : 20 * i + 15]) for i in range(7)]
+    docs += [(500 + i, w[30 * i : 30 * i + 100] + tail[20 * i : 20 * i + 18]) for i in range(7)]
+    docs = [(i, " ".join(t), None) for i, t in docs]
+    sets = {i: [frozenset(zip(t.split(), t.split()[1:], t.split()[2:]))] for i, t, _ in docs}
+    got = near_dup.near_duplicates(table(spark, docs), 3, 85).collect()
+    assert {r.doc_id: r.component_id for r in got} == components(sets, 85)
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, 3000, dtype=np.uint64)
