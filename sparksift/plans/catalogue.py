@@ -286,21 +286,27 @@ _ONE_RULE = [(i, r) for i, r in RULES_ONLY.active() if r.name == "github_persona
 _GHP = S.quoted(_ONE_RULE[0][1].pattern)
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, text) of all seeded rows, documents and pages."""
+    pages = sources.from_pages(_table(spark, sf_dir, "pages"))
+    return seeded(spark, sf_dir).select("file", "text").unionByName(_documents(spark, sf_dir)).unionByName(pages)
+
+
 @query(f"WITH {_SEEDED}, c AS (SELECT file, unnest(regexp_extract_all(text, '\\b[A-Za-z0-9+/]{{32,}}={{0,2}}')) AS raw FROM docs WHERE doc_id % 8 = 3), d AS (SELECT file, decode(from_base64(raw)) AS decoded FROM c) SELECT file, decoded, unnest(regexp_extract_all(decoded, {_GHP})) AS secret FROM d")
 def base64_rescan(spark, sf_dir):
-    rows = X.lines(seeded(spark, sf_dir).where("doc_id % 8 = 3"))
+    rows = X.lines(_texts(spark, sf_dir))
     return match_rules(decode.decode_base64(rows), _ONE_RULE, "decoded", check=False).select("file", "decoded", "secret")
 
 
 @query(f"WITH {_SEEDED}, c AS (SELECT file, unnest(regexp_extract_all(text, '\\b(?:[0-9a-fA-F]{{2}}){{10,}}\\b')) AS raw FROM docs WHERE doc_id % 8 = 4), d AS (SELECT file, decode(unhex(raw)) AS decoded FROM c) SELECT file, decoded, unnest(regexp_extract_all(decoded, {_GHP})) AS secret FROM d")
 def hex_rescan(spark, sf_dir):
-    rows = X.lines(seeded(spark, sf_dir).where("doc_id % 8 = 4"))
+    rows = X.lines(_texts(spark, sf_dir))
     return match_rules(decode.decode_hex(rows), _ONE_RULE, "decoded", check=False).select("file", "decoded", "secret")
 
 
 @query(f"WITH {_SEEDED}, d AS (SELECT file, 'url ghp_' || left(sha256(CAST(doc_id AS VARCHAR)), 36) || ' end' AS decoded FROM docs WHERE doc_id % 8 = 6) SELECT file, decoded, unnest(regexp_extract_all(decoded, {_GHP})) AS secret FROM d")
 def url_rescan(spark, sf_dir):
-    rows = X.lines(seeded(spark, sf_dir).where("doc_id % 8 = 6"))
+    rows = X.lines(_texts(spark, sf_dir))
     return match_rules(decode.decode_escapes(rows), _ONE_RULE, "decoded", check=False).select("file", "decoded", "secret")
 
 
@@ -443,7 +449,7 @@ def url_cache_missing(spark, sf_dir):
     """URLs that must be fetched, as no live entry holds them."""
     pages = _table(spark, sf_dir, "pages")
     cached = pages.where("page_id % 3 = 0").select(cache.url_hash("url").alias("url_hash"), "url", F.lit(1000.0).alias("timestamp"))
-    return cache.missing_urls(pages.where("page_id % 3 <> 0").select("url").distinct(), cached, 1000.0).select(cache.url_hash("url").alias("url_hash"), "url")
+    return cache.missing_urls(pages.select("url").distinct(), cached, 1000.0).select(cache.url_hash("url").alias("url_hash"), "url")
 
 
 @query(f"WITH {_SEEDED}, {_FOUND} SELECT rule, count(*) AS n FROM found GROUP BY rule")

@@ -15,6 +15,7 @@ from sparksift.functions import text as X
 from sparksift.model import ScanOptions, builtin_rules, parse_rules, parse_size
 from sparksift.operators import decode, structured
 from sparksift.operators.match import CHECKED, RUNS, distinct_patterns, need
+from sparksift.plans import catalogue
 from sparksift.plans.scan import finish, scan
 
 TOKEN = "ghp_" + "a1B2c3D4e5F6" * 3
@@ -147,3 +148,19 @@ def test_modes_and_custom_rules(spark):
 
 def test_empty_table(spark):
     assert scan(spark.createDataFrame([], "file string, text string")).count() == 0
+
+
+def tables(spark, folder, documents, pages, turns=()):
+    """The driver's tables of texts, in a folder."""
+    for name, rows, ddl in (("documents", documents, "doc_id long, text string"), ("pages", pages, "page_id long, url string, html string"), ("conversations", list(turns), "conv_id long, turn long, role string, text string")):
+        spark.createDataFrame(rows, ddl).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_rescans_decode_all_rows(spark, tmp_path):
+    coded = {"base64_rescan": base64.b64encode(f"say {TOKEN} now".encode()).decode(), "hex_rescan": f"key {TOKEN} end".encode().hex(), "url_rescan": "".join(f"%{ord(c):02x}" for c in TOKEN)}
+    lines = "\n".join(coded.values())
+    at = tables(spark, tmp_path, [(i, lines if i == 1 else "plain") for i in range(16)], [(3, "http://a/", lines), (4, "http://b/", "")])
+    for name, carrier in (("base64_rescan", 3), ("hex_rescan", 4), ("url_rescan", 6)):
+        found = {(r.file.split("/")[1] if r.file.startswith("repo/") else r.file, r.secret == TOKEN) for r in catalogue.QUERIES[name](spark, at).collect()}
+        assert found == {(str(carrier), False), (str(carrier + 8), False), ("doc:1", True), ("http://a/", True)}, name
