@@ -52,6 +52,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.from_table(_table(spark, sf_dir, "documents"), "text", "doc_id", "doc:{}")
 
 
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "conversations").select(F.concat(F.lit("conv:"), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))).alias("file"), "text")
+
+
 _DOCUMENTS = "docs AS (SELECT 'doc:' || doc_id AS file, text FROM documents)"
 _PAGES = "docs AS (SELECT url AS file, html AS text FROM pages WHERE length(html) > 0)"
 _TURNS = "docs AS (SELECT 'conv:' || conv_id || '-' || turn AS file, text FROM conversations)"
@@ -146,8 +150,7 @@ def rule_hits_pages(spark, sf_dir):
 
 @query(f"WITH {_TURNS}, {_FOUND} SELECT {_ROWS} FROM found")
 def rule_hits_conversations(spark, sf_dir):
-    turns = _table(spark, sf_dir, "conversations").select(F.concat(F.lit("conv:"), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))).alias("file"), "text")
-    return _rows(scan(turns, RULES_ONLY))
+    return _rows(scan(_turns(spark, sf_dir), RULES_ONLY))
 
 
 @query(f"""WITH {_DOCUMENTS}, lines AS ({S.lines('docs')}),
@@ -163,9 +166,9 @@ def entropy_sweep(spark, sf_dir):
 
 @query()
 def full_scan(spark, sf_dir):
-    """All stages on the seeded corpus, in the order of the command line."""
+    """All stages on the seeded corpus, documents, pages and conversations, in the order of the command line."""
     options = ScanOptions(decode_hex=True, decode_unicode=True, js_reconstruct=True, endpoints=True)
-    return finish(scan(seeded(spark, sf_dir).select("file", "text"), options), "cli")
+    return finish(scan(_texts(spark, sf_dir).unionByName(_turns(spark, sf_dir)), options), "cli")
 
 
 @query(f"WITH {_DOCUMENTS}, lines AS ({S.lines('docs')}) SELECT file, line, length(line_text) AS size, md5(line_text) AS digest FROM lines")

@@ -164,3 +164,20 @@ def test_rescans_decode_all_rows(spark, tmp_path):
     for name, carrier in (("base64_rescan", 3), ("hex_rescan", 4), ("url_rescan", 6)):
         found = {(r.file.split("/")[1] if r.file.startswith("repo/") else r.file, r.secret == TOKEN) for r in catalogue.QUERIES[name](spark, at).collect()}
         assert found == {(str(carrier), False), (str(carrier + 8), False), ("doc:1", True), ("http://a/", True)}, name
+
+
+def test_full_scan_reads_all_texts(spark, tmp_path):
+    key = {k: "ghp_" + k * 36 for k in "abcdefg"}
+    in_js = f'x = "ghp_" + "{"d" * 18}" + "{"d" * 18}";\nfetch("/api/v1/users")'
+    long = "filler line\n" * 20_000 + base64.b64encode(f"say {key['b']} now".encode()).decode()
+    documents = [(7, f"key {key['a']} end"), (15, long), (23, None), (31, f"key {key['g']} end".encode().hex())]
+    pages = [(1, "http://a/x.js", in_js), (2, "http://a/config.json", json.dumps({"a": [{"password": "Abcdef1234!x"}]}))]
+    turns = [(1, 0, "user", "".join(f"%{ord(c):02x}" for c in key["c"])), (1, 1, "assistant", "".join(f"\\u{ord(c):04x}" for c in key["e"])), (1, 2, "user", None)]
+    found = catalogue.full_scan(spark, tables(spark, tmp_path, documents, pages, turns)).collect()
+    assert {(r.file, r.line, r.secret) for r in found if r.rule == "github_personal_access_token"} == {("doc:7", 1, key["a"])}
+    tagged = {(r.file, r.rule.split("_")[0], r.secret) for r in found if r.rule.endswith("_github_personal_access_token")}
+    assert tagged >= {("doc:15", "base64", key["b"]), ("doc:31", "hex", key["g"]), ("conv:1-0", "url", key["c"]), ("conv:1-1", "unicode", key["e"]), ("http://a/x.js", "reconstructed", key["d"])}
+    assert {("http://a/config.json", "json_password", "Abcdef1234!x"), ("http://a/x.js", "endpoint", "/api/v1/users")} <= {(r.file, r.rule, r.secret) for r in found}
+    # rules in plain lines, as plain Python reads the same texts
+    texts = [(f"doc:{i}", t) for i, t in documents] + [(url, t) for _, url, t in pages] + [(f"conv:{c}-{i}", t) for c, i, _, t in turns]
+    assert {(rule, secret) for _, _, rule, _, secret, *_ in plain_scan(texts)} <= {(r.rule, r.secret) for r in found}
