@@ -20,7 +20,8 @@ runs (GRAM words) that the passage holds are OVERLAP or more.  Items without the
 columns question and answer are halved.
 
 The items of one index are bounded (ITEMS_AT_ONCE); larger benchmarks are searched
-block by block, so that no more is ever broadcast.
+part by part, so that no more is ever broadcast; document frequencies, mean and
+longest length are those of the whole benchmark, so parts don't change scores.
 
 Defined results: null or empty texts have no passages, null or empty items match
 nothing; items that repeat match each for itself; rows that repeat match alike;
@@ -37,7 +38,7 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -85,17 +86,36 @@ def _grams(words: np.ndarray) -> np.ndarray:
     return np.unique(C.windows(words, k, _POWERS)) if k else np.zeros(0, np.uint64)
 
 
-def build(items: list[tuple[int, str | None, str | None, str | None]]) -> Index:
-    """Index of items (id, text, question, answer)."""
-    words = [terms(text if text else f"{question or ''} {answer or ''}") for _, text, question, answer in items]
+@dataclass
+class Whole:
+    """What the scores need of a benchmark that is searched in parts."""
+
+    count: int
+    average: float
+    longest: int
+    terms: np.ndarray  # ascending, those of the part at least
+    df: np.ndarray
+
+
+def _words(text: str | None, question: str | None, answer: str | None) -> np.ndarray:
+    return terms(text if text else f"{question or ''} {answer or ''}")
+
+
+def build(items: list[tuple[int, str | None, str | None, str | None]], whole: Whole | None = None) -> Index:
+    """Index of items (id, text, question, answer); whole: of the benchmark, if they are a part of it."""
+    words = [_words(text, question, answer) for _, text, question, answer in items]
     lengths = np.array([len(w) for w in words])
-    average = max(1.0, float(lengths.mean())) if len(lengths) else 1.0
+    average = whole.average if whole else max(1.0, float(lengths.mean())) if len(lengths) else 1.0
+    longest = whole.longest if whole else int(lengths.max()) if len(lengths) else 0
+    count = whole.count if whole else len(items)
     pairs = [np.unique(w, return_counts=True) for w in words]
     owner = np.repeat(np.arange(len(items)), [len(t) for t, _ in pairs])
     term = np.concatenate([t for t, _ in pairs]) if pairs else np.zeros(0, np.uint64)
     tf = np.concatenate([c for _, c in pairs]).astype(float) if pairs else np.zeros(0)
     vocabulary, row, df = np.unique(term, return_inverse=True, return_counts=True)
-    idf = np.log1p((len(items) - df + 0.5) / (df + 0.5))
+    if whole and len(vocabulary):
+        df = whole.df[np.searchsorted(whole.terms, vocabulary)]
+    idf = np.log1p((count - df + 0.5) / (df + 0.5))
     weight = idf[row] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[owner] / average))
     own = np.bincount(owner, weight, len(items))
     impact = weight / np.maximum(own[owner], 1e-12)
@@ -110,7 +130,7 @@ def build(items: list[tuple[int, str | None, str | None, str | None]]) -> Index:
         half = (len(w) + 1) // 2
         question.append(_grams(terms(q) if q else w[:half]))
         answer.append(_grams(terms(a) if a else w[half:]))
-    return Index(np.array([i for i, *_ in items], np.int64), vocabulary, first, owner, impact, np.searchsorted(row[head], np.arange(len(vocabulary) + 1)), block[head], block_max, question, answer, max(16, int(lengths.max())) if len(lengths) else 16)
+    return Index(np.array([i for i, *_ in items], np.int64), vocabulary, first, owner, impact, np.searchsorted(row[head], np.arange(len(vocabulary) + 1)), block[head], block_max, question, answer, max(16, longest))
 
 
 def wand(index: Index, query: np.ndarray, threshold: float, live: list[int] | None = None) -> list[tuple[int, float]]:
@@ -239,8 +259,33 @@ def indexes(benchmark: DataFrame) -> list[Index]:
     names = benchmark.columns
     pick = lambda c: F.col(c).cast("string") if c in names else F.lit(None).cast("string")
     rows = benchmark.select(F.col("item_id").cast("long"), pick("text").alias("text"), pick("question").alias("question"), pick("answer").alias("answer"))
-    part = lambda i: rows if parts == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i)
-    return [build(sorted((tuple(r) for r in part(i).collect()), key=repr)) for i in range(parts)]
+    if parts == 1:
+        return [build(sorted((tuple(r) for r in rows.collect()), key=repr))]
+    # rows that repeat are dealt out as well
+    copy = F.row_number().over(Window.partitionBy(*rows.columns).orderBy(F.lit(0)))
+    dealt = C.stage(rows.withColumn("copy", copy).withColumn("part", F.pmod(F.xxhash64("item_id", "text", "copy"), F.lit(parts)).cast("int")), "items")
+    each = C.stage(dealt.select("part", "text", "question", "answer").mapInArrow(_lengths, "part int, n long, terms array<long>"), "terms")
+    total = each.agg(F.avg("n").alias("average"), F.max("n").alias("longest")).first()
+    found = each.select("part", F.explode("terms").alias("term")).groupBy("part", "term").agg(F.count("*").alias("n"))
+    df = C.stage(found.groupBy("term").agg(F.sum("n").alias("df"), F.collect_set("part").alias("parts")), "df")
+    out = []
+    for i in range(parts):
+        pairs = df.where(F.array_contains("parts", i)).select("term", "df").toArrow()
+        keys, counts = pairs.column(0).to_numpy().astype(np.int64).view(np.uint64), pairs.column(1).to_numpy()
+        order = np.argsort(keys)
+        whole = Whole(n, max(1.0, total["average"]), total["longest"], keys[order], counts[order])
+        items = dealt.where(F.col("part") == i).select(*rows.columns).collect()
+        out.append(build(sorted((tuple(r) for r in items), key=repr), whole))
+    C.unstage(dealt, each, df)
+    return out
+
+
+def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number of words and distinct terms of each item."""
+    schema = pa.schema([("part", pa.int32()), ("n", pa.int64()), ("terms", pa.list_(pa.int64()))])
+    for batch in batches:
+        words = [_words(*x) for x in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array([np.unique(w).view(np.int64) for w in words], pa.list_(pa.int64()))], schema=schema)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:

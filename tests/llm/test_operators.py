@@ -279,6 +279,22 @@ def test_decontamination(spark):
     assert decontam.matches(table(spark, docs), bench.limit(0)).count() == 0
 
 
+def test_parts_of_the_benchmark_do_not_change_scores(spark, monkeypatch):
+    rng = random.Random(13)
+    items = [(i, words(rng, rng.randrange(5, 60), 200)) for i in range(60)] + [(60, None), (61, ""), *[(62, words(random.Random(2), 20, 200))] * 40]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = []
+    for i in range(40):  # items with words left out, near the threshold
+        part = [x for x in items[rng.randrange(60)][1].split() if rng.random() < 0.8]
+        docs.append((i, f"{words(rng, 30, 200)} {' '.join(part)} {words(rng, 30, 200)}", "en"))
+    docs.append((100, items[-1][1], "en"))
+    found = lambda: sorted((r.doc_id, r.item_id, r.passage, round(r.score, 9)) for r in decontam.matches(table(spark, docs), bench, 0.5, 0.3).collect())
+    whole = found()
+    monkeypatch.setattr(decontam, "ITEMS_AT_ONCE", 60)
+    assert len(whole) > 40 and found() == whole
+    assert max(len(index.ids) for index in decontam.indexes(bench)) <= 60
+
+
 def test_wand_equals_full_scoring():
     rng = random.Random(9)
     items = [(i, words(rng, 30, 60), None, None) for i in range(50)]
