@@ -340,7 +340,7 @@ def gzip_texts(spark, sf_dir):
             data = [gzip.compress(x.encode(), mtime=0) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["doc_id", "content"])
 
-    packed = _table(spark, sf_dir, "documents").where("octet_length(text) > 400").select("doc_id", "text").mapInArrow(pack, "doc_id long, content binary")
+    packed = _table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text").mapInArrow(pack, "doc_id long, content binary")
     return decode.decompress(packed).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 

@@ -2,6 +2,7 @@
 
 import base64
 import gzip
+import hashlib
 import json
 import math
 import re
@@ -181,3 +182,11 @@ def test_full_scan_reads_all_texts(spark, tmp_path):
     # rules in plain lines, as plain Python reads the same texts
     texts = [(f"doc:{i}", t) for i, t in documents] + [(url, t) for _, url, t in pages] + [(f"conv:{c}-{i}", t) for c, i, _, t in turns]
     assert {(rule, secret) for _, _, rule, _, secret, *_ in plain_scan(texts)} <= {(r.rule, r.secret) for r in found}
+
+
+def test_gzip_texts_are_bounded_by_compressed_size_only(spark, tmp_path):
+    texts = {1: None, 2: "", 3: "short", 4: "x" * 5000, 5: "x" * 50_000, 6: " ".join(str(i * 7919) for i in range(40)), 7: " ".join(str(i * 7919) for i in range(500)), 8: "é" + "".join(chr(97 + i * i * 7 % 26) for i in range(90))}
+    want = {(i, hashlib.md5(t.encode()).hexdigest()) for i, t in texts.items() if t is not None and len(gzip.compress(t.encode(), mtime=0)) > decode.LEAST_COMPRESSED}
+    assert any(len((texts[i] or "").encode()) <= 400 for i, _ in want) and len(want) < 7
+    got = catalogue.gzip_texts(spark, tables(spark, tmp_path, list(texts.items()), [])).collect()
+    assert {(r.doc_id, r.digest) for r in got} == want and len(got) == len(want)
