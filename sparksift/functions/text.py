@@ -5,6 +5,8 @@ Patterns get the prefix (?U), so that classes and word boundaries are Unicode on
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,26 +41,35 @@ def strip(text: Column) -> Column:
 
 def split_lines(text: Column, end: str = LINE_END) -> Column:
     """Lines of a text; an end of line at the text's end makes no further line."""
-    parts = F.split(text, end, -1)
-    last = F.element_at(parts, -1) == ""
-    return F.when(text == "", F.array().cast("array<string>")).when(last, F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    # bound by a lambda, so that the text is split once
+    whole = F.transform(F.array(F.split(text, end, -1)), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts))
+    return F.when(text == "", F.array().cast("array<string>")).when(text.isNotNull(), F.get(whole, F.lit(0)))
 
 
 def lines(texts: DataFrame, text: str = "text") -> DataFrame:
     """One row a line, with its number from 1 and up to two lines of context on both sides.
 
-    The context is taken from the array of lines before it is exploded, so it needs no window."""
+    The context is taken from the array of lines before it is taken apart, so it needs no window."""
     split = texts.withColumn("__lines", split_lines(F.col(text)))
     return with_context(split, "__lines").drop(text)
 
 
-def with_context(split: DataFrame, column: str) -> DataFrame:
-    each = split.select("*", F.posexplode(column).alias("__at", "line_text"))
+def with_context(split: DataFrame, column: str, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """One row a line of the array column, with number and context; keep: the condition on lines that go on.
+
+    All is made within the array, so that no row carries the other lines along."""
     around = lambda start, n: F.array_join(F.slice(F.col(column), start, n), "\n")
-    at = F.col("__at")
-    before = F.when(at > 0, around(F.greatest(at - 1, F.lit(1)), F.least(at, F.lit(2)))).otherwise("")
-    after = F.when(at < F.size(column) - 1, around(at + 2, F.lit(2))).otherwise("")
-    return each.withColumn("context_before", before).withColumn("context_after", after).withColumn("line", (at + 1).cast("int")).drop("__at", column)
+    numbered = F.transform(F.col(column), lambda line, at: F.struct(at.alias("at"), line.alias("t")))
+    if keep is not None:
+        numbered = F.filter(numbered, lambda x: keep(x["t"]))
+
+    def row(x: Column) -> Column:
+        at = x["at"]
+        before = F.when(at > 0, around(F.greatest(at - 1, F.lit(1)), F.least(at, F.lit(2)))).otherwise("")
+        after = F.when(at < F.size(column) - 1, around(at + 2, F.lit(2))).otherwise("")
+        return F.struct(x["t"].alias("line_text"), before.alias("context_before"), after.alias("context_after"), (at + 1).cast("int").alias("line"))
+
+    return split.select(*[F.col(f"`{c}`") for c in split.columns if c != column], F.inline(F.transform(numbered, row)))
 
 
 def entropy(text: Column) -> Column:

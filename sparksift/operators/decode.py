@@ -8,7 +8,6 @@ batches, on the few lines that hold something to decode.
 from __future__ import annotations
 
 import base64
-import gzip
 import re
 import zlib
 from collections.abc import Iterator
@@ -144,14 +143,62 @@ def decode_chain(rows: DataFrame, text: str = "line_text", depth: int = MAX_DEPT
     return _in_arrow(some, text, lambda x: chain(x, depth))
 
 
+def with_decoded(rows: DataFrame, stages: list[str], text: str, skip: str, numbers: dict[str, int]) -> DataFrame:
+    """Rows with `decoded`, an array of (stage, tag, decode_at, unit) of what the stages make of
+    the text: escapes, javascript, chain.  One pass over Arrow batches; skip: a column of rows
+    that only escapes apply to."""
+    from .structured import rebuilt
+
+    made = {"escapes": lambda x: [(tag, y) for tag in ("unicode", "url") for y in step(tag, x)], "javascript": rebuilt, "chain": chain}
+    # what a text must hold for a stage to make anything of it
+    marks = {"escapes": re.compile(r"\\u|%"), "javascript": re.compile(r"\+|join|`"), "chain": re.compile(r"\\u|%|[A-Za-z0-9+/]{20}")}
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    kind = pa.list_(pa.struct([("stage", pa.int32()), ("tag", pa.string()), ("decode_at", pa.int32()), ("unit", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, skipped = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (text, skip))
+            out = []
+            for value, large in zip(texts, skipped, strict=True):
+                found = []
+                for stage in stages:
+                    if (stage == "escapes" or not large) and marks[stage].search(value):
+                        found += [{"stage": numbers[stage], "tag": tag, "decode_at": at, "unit": _safe(decoded)} for at, (tag, decoded) in enumerate(made[stage](value))]
+                out.append(found or None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], names=[*batch.schema.names, "decoded"])
+
+    return rows.mapInArrow(run, f"{fields}, decoded array<struct<stage:int,tag:string,decode_at:int,unit:string>>")
+
+
+#: Bytes that compressed content may hold; what holds more is not read, as it can't be a text in a row.
+LARGEST_INFLATED = 1 << 30
+
+
+def _inflated(data: bytes, window: int) -> bytes:
+    """All members of a stream, or ValueError where more than LARGEST_INFLATED comes out."""
+    parts, size = [], 0
+    while data:
+        one = zlib.decompressobj(window)
+        while not one.eof and data:
+            parts.append(one.decompress(data, 1 << 24))
+            size += len(parts[-1])
+            if size > LARGEST_INFLATED:
+                raise ValueError("compressed content holds too much")
+            data = one.unconsumed_tail
+        if not one.eof:
+            raise EOFError("compressed content is cut short")
+        data = one.unused_data.lstrip(b"\0") if window > zlib.MAX_WBITS else b""
+    return b"".join(parts)
+
+
 def inflate(data: bytes | None) -> str | None:
-    """Text of gzip, zlib or raw deflate data; null if it is none of these."""
+    """Text of gzip, zlib or raw deflate data; null if it is none of these, or holds more than LARGEST_INFLATED bytes."""
     if data is None or len(data) <= LEAST_COMPRESSED:
         return None
-    for open_ in (gzip.decompress, zlib.decompress, lambda x: zlib.decompress(x, -zlib.MAX_WBITS)):
+    for window in (zlib.MAX_WBITS + 16, zlib.MAX_WBITS, -zlib.MAX_WBITS):
         try:
-            return open_(data).decode("utf-8", "replace")
-        except (OSError, EOFError, zlib.error):
+            return _inflated(data, window).decode("utf-8", "replace")
+        except (EOFError, ValueError, zlib.error):
             continue
     return None
 

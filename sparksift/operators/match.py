@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import re._constants as sre
 import re._parser as sre_parse
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -91,6 +92,96 @@ def need(pattern: str) -> Need | None:
     return Need(tuple(x.lower() if folded else x for x in best), folded) if best else None
 
 
+#: What most secrets have and prose has not: so many of these characters in a row.
+TOKEN_RUN = 16
+_TOKEN_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-+/=.")
+TOKEN = rf"(?<![A-Za-z0-9_\-+/=.])[A-Za-z0-9_\-+/=.]{{{TOKEN_RUN}}}"
+#: Letters outside ASCII that match ASCII ones where case is ignored, and these.
+_ODD, _PLAIN = "ſıİK", "siik"
+#: Characters one of which many patterns ask for, and prose seldom has.
+_MARKS = frozenset(":=-_@")
+
+
+def marks(pattern: str) -> frozenset[str]:
+    """A few characters one of which every match has; none if that can't be said."""
+    found = []
+
+    def look(tree) -> None:
+        for op, value in tree:
+            own = frozenset(chr(value)) if op is sre.LITERAL else _members(value) if op is sre.IN else None
+            if own and own <= _MARKS:
+                found.append(own)
+            elif op is sre.SUBPATTERN:
+                look(value[3])
+            elif op is sre.MAX_REPEAT and value[0]:
+                look(value[2])
+
+    look(sre_parse.parse(pattern))
+    return min(found, key=lambda x: (len(x), sorted(x)), default=frozenset())
+
+
+def sure_run(pattern: str) -> int:
+    """How many token characters in a row every match has, at least."""
+
+    def follow(tree, now: int) -> tuple[int, int]:
+        """(longest run, run at the end) after the parts of the tree, with a run of `now` before them."""
+        best = now
+        for op, value in tree:
+            if op in (sre.AT, sre.ASSERT, sre.ASSERT_NOT):
+                continue
+            if op is sre.LITERAL and chr(value) in _TOKEN_CHARS or op is sre.IN and (_members(value) or {""}) <= _TOKEN_CHARS:
+                now += 1
+            elif op is sre.SUBPATTERN:
+                inner, now = follow(value[3], now)
+                best = max(best, inner)
+            elif op is sre.MAX_REPEAT and len(value[2]) == 1 and value[2][0][0] in (sre.IN, sre.LITERAL) and follow(value[2], 0) == (1, 1):
+                now += value[0]
+            elif op is sre.BRANCH:
+                ends = [follow(branch, now) for branch in value[1]]
+                best, now = max(best, min(e[0] for e in ends)), min(e[1] for e in ends)
+            else:
+                now = 0
+            best = max(best, now)
+        return best, now
+
+    return follow(sre_parse.parse(pattern), 0)[0]
+
+
+def _holds_one(literals: list[str]) -> Callable[[Column], Column]:
+    return lambda text: F.exists(F.array(*map(F.lit, literals)), lambda x: F.contains(text, x))
+
+
+def gate(active: list[tuple[int, Rule]]) -> Callable[[Column], Column]:
+    """A cheap condition that every text with a match fulfils: a run of token characters, an odd
+    letter that may stand for one, or what the patterns without such a run need."""
+    groups: dict[tuple, list[Need | None]] = {}
+    for p, _ in distinct_patterns(active):
+        if sure_run(p) < TOKEN_RUN:
+            n = need(p)
+            groups.setdefault((tuple(sorted(marks(p))), bool(n and n.folded)), []).append(n)
+
+    def any_of(text: Column, marks: tuple[str, ...]) -> Column:
+        out = F.contains(text, F.lit(marks[0]))
+        for x in marks[1:]:
+            out = out | F.contains(text, F.lit(x))
+        return out
+
+    def holds(text: Column) -> Column:
+        out = F.regexp_like(text, F.lit(TOKEN)) | any_of(text, tuple(_ODD))
+        for (few, folded), needs in sorted(groups.items()):
+            if None in needs:
+                return F.lit(True)
+            one = F.lit(False)
+            for run in sorted({n.run for n in needs if n.run}):
+                one = one | F.regexp_like(text, F.lit(RUNS[run]))
+            if literals := sorted({x for n in needs for x in n.literals}):
+                one = one | F.exists(F.array(F.lower(text) if folded else text), _holds_one(literals))  # the array binds the unit, so that it is computed once
+            out = out | (any_of(text, few) & one if few else one)
+        return out
+
+    return holds
+
+
 #: Shared conditions by name, as patterns.
 RUNS = {"run": r"[A-Za-z0-9_\-]{22}", "uuid": r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-", "digits": r"[0-9]{6}"}
 
@@ -111,9 +202,8 @@ def _hits(text: str, patterns: list[str], gated: bool = True) -> Column:
 
     Written as SQL text, which Spark parses at once.  Shared conditions are fields of
     a struct bound by a lambda, so that they are computed once a text and not inlined
-    where they are used; texts that fulfil no condition at all leave early.  The long
-    s matches s where case is ignored."""
-    shared = f"named_struct('text', `{text}`, 'folded', translate(lower(`{text}`), 'ſ', 's'), " + ", ".join(f"'{name}', `{text}` RLIKE {_sql(p)}" for name, p in RUNS.items()) + ")"
+    where they are used; texts that fulfil no condition at all leave early."""
+    shared = f"named_struct('text', `{text}`, 'folded', lower(CASE WHEN `{text}` RLIKE '[{_ODD}]' THEN translate(`{text}`, '{_ODD}', '{_PLAIN}') ELSE `{text}` END), " + ", ".join(f"'{name}', `{text}` RLIKE {_sql(p)}" for name, p in RUNS.items()) + ")"
     needs, tries = [need(p) for p in patterns], []
     for i, (p, n) in enumerate(zip(patterns, needs, strict=True)):
         found = f"regexp_extract_all(u.text, {_sql(X.UNICODE + p)}, 0)"

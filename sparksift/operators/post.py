@@ -28,10 +28,12 @@ def first_of(findings: DataFrame, key: list[Column], order: list[Column]) -> Dat
 
 
 def once_a_file(findings: DataFrame) -> DataFrame:
-    """One finding for each line, rule and start of the secret in a file.
+    """One finding for each line, rule and start of the secret in a file; endpoints whole, and once a file.
 
     An aggregate rather than a window, as it is combined before the shuffle."""
-    return _least(findings, [F.col("file"), F.col("line"), F.col("rule"), F.left("secret", F.lit(30))], F.struct("seq"))
+    endpoint = F.col("rule") == "endpoint"
+    line, secret = F.when(endpoint, 0).otherwise(F.col("line")), F.when(endpoint, F.col("secret")).otherwise(F.left("secret", F.lit(30)))
+    return _least(findings, [F.col("file"), line, F.col("rule"), secret], F.struct("seq"))
 
 
 def _least(findings: DataFrame, key: list[Column], order: Column) -> DataFrame:
@@ -120,9 +122,13 @@ def validate(findings: DataFrame, transport) -> list[dict]:
 
 
 def exact_duplicates(files: DataFrame, content: str = "content", path: str = "path") -> DataFrame:
-    """Files with keep: whether it is the first by path of those with its content.
+    """Files with digest, kept_path, copies and keep: whether it is the first by path of those with its content.
 
-    Only paths and digests are dealt out, not contents."""
-    hashed = files.select(path, F.sha2(F.col(content).cast("binary"), 256).alias("digest"))
-    firsts = hashed.groupBy("digest").agg(F.min(path).alias("kept_path"), F.count("*").alias("copies"))
-    return hashed.join(firsts, "digest").withColumn("keep", F.col(path) == F.col("kept_path"))
+    Only paths and digests are dealt out, not contents; no task holds a large group of copies.
+    A null content has a null digest and is a group of its own kind; a null path is never the first."""
+    from ..sources.shared import skew_join
+
+    hashed = files.select(path, F.coalesce(F.sha2(F.col(content).cast("binary"), 256), F.lit("")).alias("digest"))
+    firsts = hashed.groupBy("digest").agg(F.min(path).alias("kept_path"), F.count("*").alias("size")).withColumn("copies", F.col("size"))
+    out = skew_join(hashed, firsts, "digest", "size", files.count(), path)
+    return out.withColumn("digest", F.nullif("digest", F.lit(""))).withColumn("keep", F.col(path) == F.col("kept_path"))

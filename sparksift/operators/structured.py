@@ -92,18 +92,17 @@ def secret_key(name: Column, value: Column) -> Column:
 # ---------------------------------------------------------------- JavaScript
 
 
+_LITERAL = r"""(?:"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')"""
+_LITERALS, _CHAIN = re.compile(_LITERAL), re.compile(rf"{_LITERAL}(?:[ \t]*\+[ \t]*{_LITERAL})+")
+
+
 def sums(line: str) -> Iterator[str]:
     """Strings added up: from every place where two are, as far as the sum goes."""
     for start in re.finditer(STRING_SUM, line):
-        parts, at = [], start.start()
-        while (one := re.compile(STRING_LITERAL).match(line, at)) is not None:
-            parts.append(one[2])
-            more = re.compile(r"[ \t]*\+[ \t]*").match(line, one.end())
-            if more is None:
-                break
-            at = more.end()
-        if len(parts) > 1 and len(whole := "".join(parts)) >= LEAST_REBUILT:
-            yield whole
+        whole = _CHAIN.match(line, start.start())
+        text = "".join(x[1:-1] for x in _LITERALS.findall(whole[0])) if whole else ""
+        if len(text) >= LEAST_REBUILT:
+            yield text
 
 
 def rebuilt(line: str) -> Iterator[tuple[str, str]]:
@@ -131,12 +130,15 @@ def rebuild_strings(rows: DataFrame, text: str = "line_text") -> DataFrame:
 # ---------------------------------------------------------------- endpoints, pages
 
 
+def endpoint_array(text: Column) -> Column:
+    """Endpoints that a text quotes, in the order of the patterns, then of place."""
+    found = F.flatten(F.array(*[F.regexp_extract_all(text, X.pattern(p), F.lit(1)) for p in ENDPOINTS]))
+    return F.when(F.regexp_like(text, F.lit("['\"(:]")), F.filter(found, lambda e: (F.length(e) >= 5) & ~F.regexp_like(e, F.lit(STATIC_ASSET))))
+
+
 def endpoints(lines: DataFrame, text: str = "line_text", file: str = "file") -> DataFrame:
     """Endpoints in lines, the first of each in a file: pattern order within a line, then place."""
-    # pattern order, then place, is the order of the flattened array
-    found = F.flatten(F.array(*[F.regexp_extract_all(F.col(text), X.pattern(p), F.lit(1)) for p in ENDPOINTS]))
-    each = lines.where(F.regexp_like(F.col(text), F.lit("['\"(:]"))).select("*", F.posexplode(found).alias("endpoint_at", "endpoint"))
-    good = each.where((F.length("endpoint") >= 5) & ~F.regexp_like(F.col("endpoint"), F.lit(STATIC_ASSET)))
+    good = lines.select("*", F.posexplode(endpoint_array(F.col(text))).alias("endpoint_at", "endpoint"))
     # the least (line, place) of each endpoint of a file; partial sums make this cheap
     rest = [c for c in good.columns if c not in (file, "endpoint")]
     first = good.groupBy(file, "endpoint").agg(F.min(F.struct("line", "endpoint_at", *[c for c in rest if c not in ("line", "endpoint_at")])).alias("__f"))

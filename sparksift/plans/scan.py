@@ -1,23 +1,25 @@
 """The scan: from texts to findings.
 
     texts (file, text [, content, length])
-      -> lines with context                            narrow
-      -> rules, entropy sweep, decoders, JSON, endpoints, JavaScript    narrow, one branch each
-      -> once a file                                   one shuffle, of findings only
-      -> post-processing by mode                       one shuffle, of findings only
+      -> lines with context, those that may hold anything             narrow
+      -> units: lines, what their encoded strings say, endpoints       narrow; one Arrow pass where Python decodes
+      -> rules and sweeps on all units                                 narrow
+      -> once a file                                                   one shuffle, of findings only
+      -> post-processing by mode                                       one shuffle, of findings only
+
+Lines are made once, whatever is looked for.  Values of JSON files are units of a second,
+small branch, which only reads files of that name; so are compressed contents.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..model import COLUMNS, INTERNAL, ScanOptions
 from ..operators import decode, post, structured
-from ..operators.match import match_rules
+from ..operators.match import TOKEN, gate, match_rules
 
 #: Order of the stages: of equal findings in a file the earliest stage's stays.
 STAGES = {"gzip": 0, "rules": 1, "entropy": 2, "base64": 3, "hex": 4, "escapes": 5, "json": 6, "endpoint": 7, "javascript": 8, "chain": 9}
@@ -47,58 +49,82 @@ def _finding(rows: DataFrame, stage: str, rule: Column, severity: Column, secret
 
 
 #: What is matched: a text, with where it comes from and how its findings are told.
-_UNIT = ("file", "line", "stage", "tag", "decode_at", "unit", "label", "entropy_ok", "context_before", "context_after")
-_JSON_KEY = "<key>"
+_UNIT = ("file", "line", "stage", "tag", "decode_at", "unit", "entropy_ok", "small", "context_before", "context_after")
+_JSON_KEY, _ENDPOINT = "<key>", "endpoint"
 
 
-def _line_units(lines: DataFrame, options: ScanOptions) -> DataFrame:
-    """Lines, and what the Base64 and hexadecimal strings in them say: one pass."""
-    units = F.array(F.struct(F.lit("").alias("tag"), F.lit(0).alias("decode_at"), F.col("line_text").alias("text")))
-    for tag, on in (("base64", options.decode_base64), ("hex", options.decode_hex)):
-        if on:
-            units = F.concat(units, decode.decoded_array(F.col("line_text"), tag))
-    each = lines.withColumn("__u", F.explode(units)).select("*", "__u.tag", "__u.decode_at", F.col("__u.text").alias("unit"))
-    plain = F.col("tag") == ""
-    stage = F.when(F.col("tag") == "base64", STAGES["base64"]).when(F.col("tag") == "hex", STAGES["hex"]).otherwise(STAGES["rules"])
-    label = F.when(~plain, F.concat("tag", F.lit(" decoded: ")))
-    near = lambda name: F.when(plain, F.col(name)).otherwise("").alias(name)
-    return each.select("file", "line", stage.alias("stage"), "tag", "decode_at", "unit", label.alias("label"), (plain & F.col("entropy_ok")).alias("entropy_ok"), near("context_before"), near("context_after"))
+def _decoders(options: ScanOptions) -> list[str]:
+    """Stages that decode in Python."""
+    on = (("escapes", options.decode_unicode), ("javascript", options.js_reconstruct), ("chain", options.decode_unicode or options.decode_gzip))
+    return [stage for stage, wanted in on if wanted]
+
 
+def _may_hold(options: ScanOptions):
+    """A cheap condition that lines with any finding fulfil."""
+    ruled = gate(options.active())
 
-def _other_units(rows: DataFrame, stage: str, tag: Column, text: str, at: str, label: Column) -> DataFrame:
-    none = F.lit("")
-    return rows.select("file", F.col("line").cast("int").alias("line"), F.lit(STAGES[stage]).alias("stage"), tag.alias("tag"), F.col(at).alias("decode_at"), F.col(text).alias("unit"), label.alias("label"), F.lit(False).alias("entropy_ok"), none.alias("context_before"), none.alias("context_after"))
+    def holds(line: Column) -> Column:
+        out = ruled(line)
+        for wanted, marks in ((options.decode_unicode or options.decode_gzip, ("\\u", "%")), (options.js_reconstruct, ("+", "join", "`")), (options.endpoints, ("/",))):
+            for mark in marks if wanted else ():
+                out = out | F.contains(line, F.lit(mark))
+        if options.entropy or options.decode_base64 or options.decode_hex or options.decode_unicode or options.decode_gzip or options.js_reconstruct:
+            out = out | F.regexp_like(line, F.lit(TOKEN))  # all of these need longer runs than that
+        return out
 
+    return holds
 
-def _decoded_units(rows: DataFrame, stage: str) -> DataFrame:
-    label = F.lit("js reconstructed: ") if stage == "javascript" else F.concat("tag", F.lit(" decoded: "))
-    return _other_units(rows, stage, F.col("tag"), "decoded", "decode_at", label)
+
+def _unit(stage: int, tag: Column, at: Column, text: Column) -> Column:
+    return F.struct(F.lit(stage).alias("stage"), tag.alias("tag"), at.alias("decode_at"), text.alias("unit"))
+
+
+def _from_decoded(line: Column, tag: str) -> Column:
+    return F.transform(decode.decoded_array(line, tag), lambda x: _unit(STAGES[tag], x["tag"], x["decode_at"], x["text"]))
+
+
+def _units(lines: DataFrame, options: ScanOptions) -> DataFrame:
+    """Lines, and all that the encoded strings in them say."""
+    line = F.col("line_text")
+    units = F.array(_unit(STAGES["rules"], F.lit(""), F.lit(0), line))
+    for tag, on in (("base64", options.decode_base64), ("hex", options.decode_hex)):
+        if on:
+            units = F.concat(units, _from_decoded(line, tag))
+    if stages := _decoders(options):
+        lines = decode.with_decoded(lines, stages, "line_text", "large", {s: STAGES[s] for s in stages})
+        units = F.concat(units, F.coalesce("decoded", F.array().cast(lines.schema["decoded"].dataType)))
+    each = lines.select("file", "line", "entropy_ok", "large", "context_before", "context_after", F.explode(units).alias("u"))
+    return each.select("file", "line", "u.stage", "u.tag", "u.decode_at", "u.unit", "entropy_ok", (~F.col("large")).alias("small"), "context_before", "context_after")
 
 
 def _json_units(texts: DataFrame) -> DataFrame:
-    """Values of JSON files, with their key paths."""
-    values = structured.json_values(texts.where(F.endswith(F.lower("file"), F.lit(".json"))).select("file", "text")).withColumn("line", F.lit(0))
-    return _other_units(values, "json", F.lit("json"), "value", "json_at", F.concat(F.lit("json key: "), F.col("key_path")))
+    """Values of JSON files, with their key paths in the place of the context before."""
+    values = structured.json_values(texts.where(F.endswith(F.lower("file"), F.lit(".json"))).select("file", "text"))
+    return values.select("file", F.lit(0).alias("line"), F.lit(STAGES["json"]).alias("stage"), F.lit("json").alias("tag"), F.col("json_at").alias("decode_at"), F.col("value").alias("unit"), F.lit(False).alias("entropy_ok"), F.lit(True).alias("small"), F.col("key_path").alias("context_before"), F.lit("").alias("context_after"))
 
 
 def unit_findings(units: DataFrame, options: ScanOptions) -> DataFrame:
-    """Rules on all units, the entropy sweep on lines and the key names of JSON values.
-    The latter two have no least severity."""
-    plain, json_value = F.col("tag") == "", F.col("stage") == STAGES["json"]
-    key_name = F.substring_index(F.regexp_replace("label", "^json key: ", ""), ".", -1)
+    """Rules on all units; on lines the entropy sweep and endpoints, on JSON values the key
+    names.  The latter three have no least severity."""
+    plain, json_value = F.col("stage") == STAGES["rules"], F.col("stage") == STAGES["json"]
+    key_name = F.substring_index("context_before", ".", -1)
     sweeps = [(_JSON_KEY, "MEDIUM", F.when(json_value & structured.secret_key(key_name, F.col("unit")), F.array(F.left("unit", F.lit(500)))))] if options.json else []
     if options.entropy:
-        eligible = F.col("entropy_ok") & F.regexp_like("unit", F.lit(X.ENTROPY_TOKEN)) & X.search(F.col("unit"), X.SECRET_CONTEXT)
+        eligible = plain & F.col("entropy_ok") & F.regexp_like("unit", F.lit(X.ENTROPY_TOKEN)) & X.search(F.col("unit"), X.SECRET_CONTEXT)
         tokens = F.filter(F.regexp_extract_all("unit", F.lit(X.ENTROPY_TOKEN), F.lit(0)), lambda t: ~F.regexp_like(t, F.lit(X.ENTROPY_EXCLUDE)) & X.likely_secret(t, 32, 4.5))
         sweeps.append(("high_entropy_token", "MEDIUM", F.when(eligible, tokens)))
+    if options.endpoints:
+        sweeps.append((_ENDPOINT, "INFO", F.when(plain & F.col("small"), structured.endpoint_array(F.col("unit")))))
     hits = match_rules(units, options.active(), "unit", check=plain, sweeps=sweeps)
-    swept = F.col("rule_ord") < 0
-    stage = F.when(swept & plain, STAGES["entropy"]).otherwise(F.col("stage"))
+    swept, endpoint = F.col("rule_ord") < 0, F.col("rule") == _ENDPOINT
+    stage = F.when(plain & endpoint, STAGES["endpoint"]).when(plain & swept, STAGES["entropy"]).otherwise(F.col("stage"))
     rule = F.when(plain, F.col("rule")).when(F.col("rule") == _JSON_KEY, F.concat(F.lit("json_"), key_name)).otherwise(F.concat_ws("_", "tag", "rule"))
-    context = F.when(plain, X.context(F.col("unit"))).when(json_value, F.col("label")).otherwise(F.concat("label", F.left("unit", F.lit(CONTENT_MAX))))
+    label = F.when(json_value, F.concat(F.lit("json key: "), "context_before")).when(F.col("stage") == STAGES["javascript"], "js reconstructed: ").otherwise(F.concat("tag", F.lit(" decoded: ")))
+    context = F.when(plain, X.context(F.col("unit"))).when(json_value, label).otherwise(F.concat(label, F.left("unit", F.lit(CONTENT_MAX))))
     near = lambda name: F.when(plain & ~swept, F.col(name)).otherwise("").alias(name)
-    placed = plain | (F.col("stage") == STAGES["javascript"])
-    order = (F.when(F.col("stage") > STAGES["escapes"], 1).otherwise(0), F.when(F.col("stage") > STAGES["escapes"], F.col("stage")).otherwise(F.col("line")), stage, F.col("decode_at"), F.col("rule_ord"), F.col("match_at"))
+    placed = (plain & ~endpoint) | (F.col("stage") == STAGES["javascript"])
+    whole = F.when(stage > STAGES["escapes"], 1).otherwise(0)
+    order = (whole, F.when(whole == 1, stage).otherwise(F.col("line")), stage, F.when(whole == 1, F.col("line")).otherwise(0), F.col("decode_at"), F.col("rule_ord"), F.col("match_at"))
     return hits.select(
         "file",
         F.col("line").cast("int").alias("line"),
@@ -106,7 +132,7 @@ def unit_findings(units: DataFrame, options: ScanOptions) -> DataFrame:
         "severity",
         "secret",
         context.alias("context"),
-        F.when(F.col("rule") == _JSON_KEY, X.entropy(F.col("unit"))).otherwise(X.entropy(F.col("secret"))).alias("entropy"),
+        F.when(F.col("rule") == _JSON_KEY, X.entropy(F.col("unit"))).when(endpoint, 0.0).otherwise(X.entropy(F.col("secret"))).alias("entropy"),
         F.when(placed, F.col("column")).otherwise(0).cast("int").alias("column"),
         near("context_before"),
         near("context_after"),
@@ -114,11 +140,6 @@ def unit_findings(units: DataFrame, options: ScanOptions) -> DataFrame:
     )
 
 
-def endpoint_findings(lines: DataFrame) -> DataFrame:
-    found = structured.endpoints(lines)
-    return _finding(found, "endpoint", F.lit("endpoint"), F.lit("INFO"), F.col("endpoint"), X.context(F.col("line_text")), [F.col("endpoint_at")], entropy=F.lit(0.0))
-
-
 def gzip_findings(files: DataFrame, options: ScanOptions) -> DataFrame:
     """Rules in compressed content, once for each rule and start of the secret in a file."""
     texts = decode.decompress(files.select("file", "content"), "content", "text")
@@ -141,29 +162,21 @@ def scan(texts: DataFrame, options: ScanOptions | None = None) -> DataFrame:
     start = F.when(F.col("large"), F.left("text", F.lit(65536))).otherwise(F.col("text"))
     bundled = F.when(F.col("large"), F.regexp_like(F.lower("file"), F.lit(r"(\.min\.js|\.bundle\.js|\.min\.mjs)$"))).otherwise(X.minified(F.col("file"), F.col("text")))
     if options.entropy:
-        gate = X.search(start, X.SECRET_CONTEXT) if options.content_gate else F.lit(True)
-        base = base.withColumn("entropy_ok", ~bundled & gate)
+        spoken = X.search(start, X.SECRET_CONTEXT) if options.content_gate else F.lit(True)
+        base = base.withColumn("entropy_ok", F.regexp_like("text", F.lit(X.ENTROPY_TOKEN)) & ~bundled & spoken)
     else:
         base = base.withColumn("entropy_ok", F.lit(False))
     plain = F.when(F.col("large"), X.split_lines(F.col("text"), X.PLAIN_LINE_END)).otherwise(X.split_lines(F.col("text")))
-    lines = X.with_context(base.select("file", "large", "entropy_ok", plain.alias("__lines")), "__lines")
-    lines = lines.withColumn("context_after", F.when(F.col("large"), "").otherwise(F.col("context_after")))
-    small = lines.where(~F.col("large"))
-    parts = [_line_units(lines, options)]
-    if options.decode_unicode:
-        parts.append(_decoded_units(decode.decode_escapes(lines), "escapes"))
+    lines = X.with_context(base.select("file", "large", "entropy_ok", plain.alias("__lines")), "__lines", _may_hold(options))
+    units = _units(lines.withColumn("context_after", F.when(F.col("large"), "").otherwise(F.col("context_after"))), options)
     if options.json:
-        parts.append(_json_units(base.where(~F.col("large"))))
-    if options.js_reconstruct:
-        parts.append(_decoded_units(structured.rebuild_strings(small), "javascript"))
-    if options.decode_unicode or options.decode_gzip:
-        parts.append(_decoded_units(decode.decode_chain(small), "chain"))
-    findings = post.once_a_file(unit_findings(reduce(DataFrame.unionByName, parts), options))
+        units = units.unionByName(_json_units(base.where(~F.col("large"))))
+    findings = post.once_a_file(unit_findings(units, options))
     if options.decode_gzip and "content" in has:
         zipped = gzip_findings(base.where(~F.col("large")), options)
-        findings = post.without(findings.where(F.col("column") > 0), zipped).unionByName(findings.where(F.col("column") == 0)).unionByName(zipped)
-    if options.endpoints:
-        findings = findings.unionByName(endpoint_findings(small))
+        # only what rules and entropy find in the file's own lines gives way
+        own = F.col("seq")[2].isin(STAGES["rules"], STAGES["entropy"])
+        findings = post.without(findings.where(own), zipped).unionByName(findings.where(~own)).unionByName(zipped)
     return findings.select(INTERNAL)
 
 
