@@ -6,90 +6,145 @@ import hashlib
 import time
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import INTERNAL, ScanOptions
+from ..model import FINDING, INTERNAL, ScanOptions
 
-VERSION = 1
+VERSION = 2
 RESULT_SECONDS, URL_SECONDS = 14 * 86400, 24 * 3600
+#: Kinds of file names that a scan treats apart, by what the lower-cased name ends with; the first that fits.
+KINDS = ((r"\.json$", ".json"), (r"(\.min\.js|\.bundle\.js|\.min\.mjs)$", ".min.js"), (r"\.m?js$", ".js"))
 
 
 def options_key(options: ScanOptions) -> str:
-    """All that a result depends on besides the content: flags and rules."""
+    """All that a result depends on besides content and kind of name: flags and rules."""
     return hashlib.sha256(repr((VERSION, sorted(asdict(options).items(), key=str))).encode()).hexdigest()[:16]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def content_key(file: Column, text: Column) -> Column:
+    """Digest of the content and the kind of its name: equal keys have equal findings."""
+    kind = F.lit("")
+    for pattern, suffix in reversed(KINDS):
+        kind = F.when(F.regexp_like(F.lower(file), F.lit(pattern)), suffix).otherwise(kind)
+    return F.concat(F.sha2(text.cast("binary"), 256), kind)
+
+
+def _files(spark: SparkSession, path: str):
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+_ENTRY = "content_key string, file_size long, stamp double, options_key string"
+_STORED = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in FINDING.fields if f.name != "file") + ", seq array<int>, content_key string, stamp double, options_key string"
 
 
 class ResultCache:
-    """Findings by content, kept in Parquet, partitioned by what they depend on.
+    """Findings by content, in two Parquet tables partitioned by what they depend on:
+    `entries`, a row a content, and `findings`, a row a finding, without file names.
 
-    Findings are stored without the file's name and get the name of the file that asks."""
+    A key that was stored again counts with its latest time."""
 
     def __init__(self, spark: SparkSession, path: str, seconds: float = RESULT_SECONDS):
-        self.spark, self.path, self.seconds = spark, path, seconds
+        self.spark, self.path, self.seconds = spark, path.rstrip("/"), seconds
+
+    def _read(self, name: str, ddl: str) -> DataFrame:
+        system, folder = _files(self.spark, f"{self.path}/{name}")
+        return self.spark.read.schema(ddl).parquet(f"{self.path}/{name}") if system.exists(folder) else self.spark.createDataFrame([], ddl)
 
-    def entries(self, key: str, now: float | None = None) -> DataFrame | None:
-        if not _exists(self.spark, self.path):
-            return None
+    def entries(self, options: ScanOptions, now: float | None = None) -> DataFrame:
+        """(content_key, stamp) of the contents that are alive, each once."""
         least = (time.time() if now is None else now) - self.seconds
-        return self.spark.read.parquet(self.path).where((F.col("options_key") == key) & (F.col("timestamp") >= least))
-
-    def split(self, texts: DataFrame, options: ScanOptions, now: float | None = None) -> tuple[DataFrame | None, DataFrame]:
-        """(findings of known contents, texts that must be scanned)."""
-        texts = texts.withColumn("content_hash", F.sha2(F.col("text").cast("binary"), 256))
-        known = self.entries(options_key(options), now)
-        if known is None:
-            return None, texts
-        latest = known.groupBy("content_hash").agg(F.max_by("findings", "timestamp").alias("findings"))
-        # a file's name decides on JSON and bundles too, so the extension belongs to the key
-        hit = texts.join(latest, "content_hash").select("file", F.explode("findings").alias("f")).select("file", *[F.col(f"f.{c}").alias(c) for c in INTERNAL if c != "file"])
-        return hit.select(INTERNAL), texts.join(latest.select("content_hash"), "content_hash", "left_anti")
+        alive = self._read("entries", _ENTRY).where((F.col("options_key") == options_key(options)) & (F.col("stamp") >= least))
+        return alive.groupBy("content_key").agg(F.max("stamp").alias("stamp"))
+
+    def findings(self, options: ScanOptions, now: float | None = None) -> DataFrame:
+        """Findings of the contents that are alive."""
+        stored = self._read("findings", _STORED).where(F.col("options_key") == options_key(options))
+        return stored.join(self.entries(options, now), ["content_key", "stamp"])
+
+    def split(self, texts: DataFrame, options: ScanOptions, now: float | None = None) -> tuple[DataFrame, DataFrame]:
+        """(findings of known contents under the names of the files, texts that must be scanned)."""
+        keyed = texts.withColumn("content_key", content_key(F.col("file"), F.col("text")))
+        known = self.entries(options, now).select("content_key")
+        hit = keyed.select("file", "content_key").join(self.findings(options, now), "content_key").select(INTERNAL)
+        return hit, keyed.join(known, "content_key", "left_anti")
 
     def put(self, scanned: DataFrame, findings: DataFrame, options: ScanOptions, now: float | None = None) -> None:
-        """Store the findings of scanned texts (file, content_hash, text); texts without findings too."""
-        grouped = findings.groupBy("file").agg(F.collect_list(F.struct(*[c for c in INTERNAL if c != "file"])).alias("findings"))
-        empty = F.array().cast(grouped.schema["findings"].dataType)
-        rows = scanned.select("file", "content_hash", F.octet_length("text").cast("long").alias("file_size")).join(grouped, "file", "left").withColumn("findings", F.coalesce("findings", empty))
-        once = rows.groupBy("content_hash").agg(F.first("file_size").alias("file_size"), F.min_by("findings", "file").alias("findings"))
-        stamped = once.withColumn("timestamp", F.lit(time.time() if now is None else now)).withColumn("options_key", F.lit(options_key(options)))
-        stamped.write.mode("append").partitionBy("options_key").parquet(self.path)
-
-    def cleanup(self, target: str, now: float | None = None) -> None:
-        """Write the entries that are still alive to another path."""
-        least = (time.time() if now is None else now) - self.seconds
-        self.spark.read.parquet(self.path).where(F.col("timestamp") >= least).write.mode("overwrite").partitionBy("options_key").parquet(target)
+        """Store scanned contents (content_key, text) and their findings, whose `file` is the content_key."""
+        stamp, key = F.lit(float(time.time() if now is None else now)).alias("stamp"), F.lit(options_key(options)).alias("options_key")
+        kept = findings.select(*[c for c in INTERNAL if c != "file"], F.col("file").alias("content_key"), stamp, key)
+        kept.write.mode("append").partitionBy("options_key").parquet(f"{self.path}/findings")
+        # entries come last: an entry without its findings would hide a file's findings
+        once = scanned.groupBy("content_key").agg(F.max(F.octet_length("text").cast("long")).alias("file_size"))
+        once.select("content_key", "file_size", stamp, key).write.mode("append").partitionBy("options_key").parquet(f"{self.path}/entries")
+
+    def _rewrite(self, keep: Column) -> None:
+        """Only what `keep` holds for stays; written beside the cache and then put in its place."""
+        for name, ddl in (("entries", _ENTRY), ("findings", _STORED)):
+            system, old = _files(self.spark, f"{self.path}/{name}")
+            if system.exists(old):
+                _, new = _files(self.spark, f"{self.path}/{name}.new")
+                self._read(name, ddl).where(keep).write.mode("overwrite").partitionBy("options_key").parquet(f"{self.path}/{name}.new")
+                system.delete(old, True)
+                system.rename(new, old)
+
+    def invalidate(self, text: str) -> None:
+        """Forget a content, under all kinds of names and options."""
+        self._rewrite(~F.startswith(F.col("content_key"), F.lit(hashlib.sha256(text.encode()).hexdigest())))
+
+    def cleanup(self, now: float | None = None) -> None:
+        """Forget what is too old."""
+        self._rewrite(F.col("stamp") >= (time.time() if now is None else now) - self.seconds)
+
+    def clear(self) -> None:
+        for name in ("entries", "findings"):
+            system, folder = _files(self.spark, f"{self.path}/{name}")
+            system.delete(folder, True)
 
 
 def scan_cached(texts: DataFrame, cache: ResultCache, options: ScanOptions | None = None, now: float | None = None) -> DataFrame:
-    """Findings, where contents that were scanned before aren't scanned again."""
+    """Findings as `scan` gives them, where contents that were scanned before aren't scanned again, and equal ones are scanned once."""
     from ..plans.scan import scan
+    from . import post
     from ..sources.shared import staged
 
     options = options or ScanOptions()
-    known, fresh = cache.split(texts, options, now)
-    fresh = staged(fresh)
-    found = staged(scan(fresh, options))
-    known = staged(known) if known is not None else None
-    cache.put(fresh, found, options, now)
-    return found if known is None else known.unionByName(found)
+    texts = texts.where("text is not null")
+    _, fresh = cache.split(texts, options, now)
+    # one text stands for all with its key; the key ends as the name does, so the scan treats it alike
+    fresh = staged(fresh.select([c for c in fresh.columns if c != "file"]).dropDuplicates(["content_key"]))
+    cache.put(fresh, staged(scan(fresh.withColumn("file", F.col("content_key")), options)), options, now)
+    return post.once_a_file(cache.split(texts, options, now)[0])
 
 
-def latest_urls(cached: DataFrame, now: float, seconds: float = URL_SECONDS) -> DataFrame:
-    """The live entry of each URL in a table (url_hash, url, content, content_type, timestamp)."""
-    alive = cached.where(F.col("timestamp") >= now - seconds)
-    newest = alive.groupBy("url_hash").agg(F.max("timestamp").alias("timestamp"))
-    return alive.join(newest, ["url_hash", "timestamp"]).dropDuplicates(["url_hash"])
+# ---------------------------------------------------------------- URLs
+
+URL_CACHE = "url_hash string, url string, content binary, content_type string, timestamp double"
 
 
 def url_hash(url: str):
     return F.sha2(F.col(url), 256)
 
 
+def put_urls(fetched: DataFrame, path: str, now: float) -> None:
+    """Store fetched pages (url, content, content_type); null URLs are left out."""
+    rows = fetched.where("url is not null").select(url_hash("url").alias("url_hash"), "url", F.col("content").cast("binary").alias("content"), "content_type", F.lit(float(now)).alias("timestamp"))
+    rows.write.mode("append").parquet(path)
+
+
+def clear_urls(spark: SparkSession, path: str) -> None:
+    system, folder = _files(spark, path)
+    system.delete(folder, True)
+
+
+def latest_urls(cached: DataFrame, now: float, seconds: float = URL_SECONDS) -> DataFrame:
+    """The live entry of each URL in a table (url_hash, url, content, content_type, timestamp); of several at one time that with the greatest digest of its content."""
+    alive = cached.where(F.col("timestamp") >= now - seconds)
+    row = F.struct(*[F.col(c) for c in alive.columns])
+    return alive.groupBy("url_hash").agg(F.max_by(row, F.struct("timestamp", F.md5("content"), "content_type")).alias("r")).select("r.*")
+
+
 def missing_urls(urls: DataFrame, cached: DataFrame, now: float, seconds: float = URL_SECONDS) -> DataFrame:
     """URLs without a live entry."""
     live = cached.where(F.col("timestamp") >= now - seconds).select("url_hash").distinct()

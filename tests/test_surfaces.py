@@ -1,5 +1,6 @@
 """Sources, post-processing, sinks, caches, streams and surfaces."""
 
+import hashlib
 import json
 
 from pyspark.sql import functions as F
@@ -76,13 +77,40 @@ def test_suppression_validation_and_failure(spark):
 
 
 def test_caches(spark, tmp_path):
-    texts = spark.createDataFrame([("a.py", TOKEN), ("b.py", "clean")], "file string, text string")
+    texts = spark.createDataFrame([("a.py", TOKEN), ("b.py", "clean"), ("c/a.py", TOKEN), ("a.py", f"x {TOKEN} {TOKEN}y"), ("n.py", None)], "file string, text string")
     store = cache.ResultCache(spark, str(tmp_path / "c"))
-    first = cache.scan_cached(texts, store, PLAIN, now=0.0).count()
-    known, fresh = store.split(texts, PLAIN, now=10.0)
-    assert known.count() == first > 0 and fresh.count() == 0
-    assert store.split(texts, PLAIN, now=cache.RESULT_SECONDS + 1.0)[1].count() == 2
-    assert store.split(texts, ScanOptions("HIGH"), now=10.0)[1].count() == 2
+    rows = lambda df: sorted(map(tuple, df.drop("seq").collect()))
+    fresh = rows(scan(texts, PLAIN))
+    assert len(fresh) > 4 and rows(cache.scan_cached(texts, store, PLAIN, now=0.0)) == fresh  # two texts have one name
+    known, left = store.split(texts.where("text is not null"), PLAIN, now=10.0)
+    assert rows(post.once_a_file(known)) == fresh and left.count() == 0
+    assert store.split(texts, PLAIN, now=cache.RESULT_SECONDS + 1.0)[1].where("text is not null").count() == 4
+    assert store.split(texts, ScanOptions("HIGH"), now=10.0)[1].where("text is not null").count() == 4
+    # the kind of the name decides too
+    secret = '{"password": "Abcdef1234!x"}'
+    as_text = lambda *names: spark.createDataFrame([(n, secret) for n in names], "file string, text string")
+    assert cache.scan_cached(as_text("x.txt"), store, now=0.0).count() == 0
+    assert [(r.file, r.rule) for r in cache.scan_cached(as_text("x.json", "x.txt"), store, now=1.0).collect()] == [("x.json", "json_password")]
+    store.invalidate(TOKEN)
+    assert {r.text for r in store.split(texts.where("text is not null"), PLAIN, now=10.0)[1].collect()} == {TOKEN}
+    store.cleanup(now=cache.RESULT_SECONDS + 0.5)
+    assert store.split(texts, PLAIN, now=10.0)[1].where("text is not null").count() == 4 and store.entries(ScanOptions(), now=1.0).count() == 1
+    store.clear()
+    assert store.entries(ScanOptions(), now=1.0).count() == 0
+
+
+def test_url_cache(spark, tmp_path):
+    path = str(tmp_path / "u")
+    page = lambda *rows: spark.createDataFrame([(u, bytearray(c), "text/html") for u, c in rows], "url string, content binary, content_type string")
+    cache.put_urls(page(("http://a", b"old"), ("http://b", b"b"), (None, b"-")), path, 0.0)
+    cache.put_urls(page(("http://a", b"new"), ("http://a", b"newer")), path, 50.0)
+    stored = spark.read.schema(cache.URL_CACHE).parquet(path)
+    got = {r.url: bytes(r.content) for r in cache.latest_urls(stored, 60.0).collect()}
+    assert set(got) == {"http://a", "http://b"} and got["http://a"] == max((b"new", b"newer"), key=lambda x: hashlib.md5(x).hexdigest())
+    asked = spark.createDataFrame([("http://a",), ("http://b",), ("http://c",)], "url string")
+    assert {r.url for r in cache.missing_urls(asked, stored, cache.URL_SECONDS + 10.0).collect()} == {"http://b", "http://c"}
+    cache.clear_urls(spark, path)
+    assert not (tmp_path / "u").exists()
 
 
 def test_recon_and_crawl(spark):
