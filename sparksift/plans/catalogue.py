@@ -7,7 +7,8 @@ the ids of `documents`, the same way here and in SQL.
 from __future__ import annotations
 
 import gzip
-import tempfile
+import io
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,7 +59,9 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _DOCUMENTS = "docs AS (SELECT 'doc:' || doc_id AS file, text FROM documents)"
 _PAGES = "docs AS (SELECT url AS file, html AS text FROM pages WHERE length(html) > 0)"
-_TURNS = "docs AS (SELECT 'conv:' || conv_id || '-' || turn AS file, text FROM conversations)"
+_TURNS = "docs AS (SELECT 'conv:' || conv_id || '-' || turn AS file, text || chr(10) || 'use ghp_' || left(sha256(conv_id || '-' || turn), 36) AS text FROM conversations)"
+_TOLD = "docs AS (SELECT 'doc:' || doc_id AS file, text || chr(10) || 'token ' || to_base64(unhex(sha256(CAST(doc_id AS VARCHAR)))) AS text FROM documents)"
+_LINKED = """docs AS (SELECT url AS file, html || chr(10) || 'fetch("/api/v1/item/' || page_id || '"); let u = "https://h' || (page_id % 7) || '.example/graphql";' AS text FROM pages WHERE length(html) > 0)"""
 
 # ---------------------------------------------------------------- the seeded corpus
 
@@ -150,17 +153,21 @@ def rule_hits_pages(spark, sf_dir):
 
 @query(f"WITH {_TURNS}, {_FOUND} SELECT {_ROWS} FROM found")
 def rule_hits_conversations(spark, sf_dir):
-    return _rows(scan(_turns(spark, sf_dir), RULES_ONLY))
+    """Rules on all turns, each with one more line that holds a token."""
+    key = F.sha2(F.substring_index("file", ":", -1).cast("binary"), 256)
+    return _rows(scan(_turns(spark, sf_dir).withColumn("text", F.concat("text", F.lit("\nuse ghp_"), F.left(key, F.lit(36)))), RULES_ONLY))
 
 
-@query(f"""WITH {_DOCUMENTS}, lines AS ({S.lines('docs')}),
+@query(f"""WITH {_TOLD}, lines AS ({S.lines('docs')}),
 ok AS (SELECT file FROM docs WHERE regexp_matches(text, {S.SECRET_CONTEXT})),
 tokens AS (SELECT file, line, line_text, unnest(regexp_extract_all(line_text, {S.quoted(X.ENTROPY_TOKEN)})) AS secret FROM lines SEMI JOIN ok USING (file) WHERE regexp_matches(line_text, {S.SECRET_CONTEXT}))
 SELECT DISTINCT file, line, secret, {S.entropy('secret')} AS entropy, CAST(strpos(line_text, secret) AS INTEGER) AS "column" FROM tokens
 WHERE NOT regexp_matches(secret, {S.quoted(X.ENTROPY_EXCLUDE)}) AND {S.likely('secret', 32, 4.5)}""")
 def entropy_sweep(spark, sf_dir):
-    """High-entropy tokens on lines that speak of secrets."""
-    found = scan(_documents(spark, sf_dir), ScanOptions("CRITICAL", True, False, json=False)).where("rule = 'high_entropy_token'")
+    """High-entropy tokens on lines that speak of secrets; each document has one more line with a random string."""
+    digest = F.unhex(F.sha2(F.substring_index("file", ":", -1).cast("binary"), 256))
+    texts = _documents(spark, sf_dir).withColumn("text", F.concat("text", F.lit("\ntoken "), F.base64(digest)))
+    found = scan(texts, ScanOptions(decode_base64=False, json=False, rules=()))
     return found.select("file", "line", "secret", "entropy", "column")
 
 
@@ -295,22 +302,38 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeded(spark, sf_dir).select("file", "text").unionByName(_documents(spark, sf_dir)).unionByName(pages)
 
 
-@query(f"WITH {_SEEDED}, c AS (SELECT file, unnest(regexp_extract_all(text, '\\b[A-Za-z0-9+/]{{32,}}={{0,2}}')) AS raw FROM docs WHERE doc_id % 8 = 3), d AS (SELECT file, decode(from_base64(raw)) AS decoded FROM c) SELECT file, decoded, unnest(regexp_extract_all(decoded, {_GHP})) AS secret FROM d")
+_ALL = f"{_SEEDED.replace('docs AS', 'seeds AS', 1)}, docs AS (SELECT file, text FROM seeds UNION ALL SELECT 'doc:' || doc_id, text FROM documents UNION ALL SELECT url, html FROM pages WHERE length(html) > 0), lines AS ({S.lines('docs')})"
+_RAW = "SELECT file, line, unnest(regexp_extract_all(line_text, '{}')) AS raw FROM lines WHERE regexp_matches(line_text, '{}')"
+
+
+@query(f"""WITH {_ALL}, c AS ({_RAW.format('[A-Za-z0-9+/]{32,}=*', '[A-Za-z0-9+/]{32}')}),
+whole AS (SELECT file, rtrim(raw, '=') AS core, length(raw) - length(rtrim(raw, '=')) AS marks FROM c),
+d AS (SELECT file, TRY(decode(from_base64(core || CASE length(core) % 4 WHEN 2 THEN '==' WHEN 3 THEN '=' ELSE '' END))) AS decoded FROM whole WHERE length(core) % 4 <> 1 AND marks >= (4 - length(core) % 4) % 4)
+SELECT file, decoded, unnest(regexp_extract_all(decoded, {_GHP})) AS secret FROM d""")
 def base64_rescan(spark, sf_dir):
+    """Tokens in Base64, in all seeded rows, documents and pages."""
     rows = X.lines(_texts(spark, sf_dir))
     return match_rules(decode.decode_base64(rows), _ONE_RULE, "decoded", check=False).select("file", "decoded", "secret")
 
 
-@query(f"WITH {_SEEDED}, c AS (SELECT file, unnest(regexp_extract_all(text, '\\b(?:[0-9a-fA-F]{{2}}){{10,}}\\b')) AS raw FROM docs WHERE doc_id % 8 = 4), d AS (SELECT file, decode(unhex(raw)) AS decoded FROM c) SELECT file, decoded, unnest(regexp_extract_all(decoded, {_GHP})) AS secret FROM d")
+@query(f"""WITH {_ALL}, c AS ({_RAW.format('[A-Za-z0-9_]+', '[0-9a-fA-F]{20}')}),
+d AS (SELECT file, TRY(decode(unhex(raw))) AS decoded FROM c WHERE regexp_full_match(raw, '(?:[0-9a-fA-F]{{2}}){{10,}}') AND NOT (regexp_matches(raw, '[a-f]') AND regexp_matches(raw, '[A-F]')))
+SELECT file, decoded, unnest(regexp_extract_all(decoded, {_GHP})) AS secret FROM d""")
 def hex_rescan(spark, sf_dir):
+    """Tokens in hexadecimal, in all seeded rows, documents and pages."""
     rows = X.lines(_texts(spark, sf_dir))
     return match_rules(decode.decode_hex(rows), _ONE_RULE, "decoded", check=False).select("file", "decoded", "secret")
 
 
-@query(f"WITH {_SEEDED}, d AS (SELECT file, 'url ghp_' || left(sha256(CAST(doc_id AS VARCHAR)), 36) || ' end' AS decoded FROM docs WHERE doc_id % 8 = 6) SELECT file, decoded, unnest(regexp_extract_all(decoded, {_GHP})) AS secret FROM d")
+_PERCENT = "regexp_extract_all(line_text, '%[0-9a-fA-F]{2}|[^%]+|%')"
+
+
+@query(f"""WITH {_ALL}, d AS (SELECT file, line_text, array_to_string(list_transform({_PERCENT}, lambda x: CASE WHEN length(x) = 3 AND regexp_full_match(x, '%[0-9a-fA-F]{{2}}') THEN chr(CAST('0x' || x[2:3] AS INTEGER)) ELSE x END), '') AS decoded FROM lines WHERE contains(line_text, '%'))
+SELECT file, decoded, unnest(regexp_extract_all(decoded, {_GHP})) AS secret FROM d WHERE decoded <> line_text""")
 def url_rescan(spark, sf_dir):
+    """Tokens in percent escapes, in all seeded rows, documents and pages."""
     rows = X.lines(_texts(spark, sf_dir))
-    return match_rules(decode.decode_escapes(rows), _ONE_RULE, "decoded", check=False).select("file", "decoded", "secret")
+    return match_rules(decode.decode_escapes(rows).where("tag = 'url'"), _ONE_RULE, "decoded", check=False).select("file", "decoded", "secret")
 
 
 @query("SELECT doc_id, 'ghp_' || left(sha256(CAST(doc_id AS VARCHAR)), 36) AS secret FROM documents")
@@ -331,19 +354,35 @@ def recursive_rescan(spark, sf_dir):
     return match_rules(decode.decode_chain(rows), _ONE_RULE, "decoded", check=False).select("doc_id", "tag", "secret").distinct()
 
 
-@query("SELECT doc_id, md5(text) AS digest FROM documents WHERE octet_length(encode(text)) > 400")
+@query("SELECT doc_id, md5(text) AS digest FROM documents WHERE text IS NOT NULL")
 def gzip_texts(spark, sf_dir):
-    """Texts that were compressed, read again."""
+    """Texts that were compressed under a long name, as gzip keeps it in its header, read again."""
 
     def pack(batches):
         for batch in batches:
-            data = [gzip.compress(x.encode(), mtime=0) for x in batch.column(1).to_pylist()]
+            data = [named_gzip(x.encode(), f"archive-of-the-table-documents-column-text-row-{i}.txt") for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["doc_id", "content"])
 
     packed = _table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text").mapInArrow(pack, "doc_id long, content binary")
     return decode.decompress(packed).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
+@query("SELECT doc_id, unnest(['base64', 'hex']) AS tag, unnest([md5(text), md5(text)]) AS digest FROM documents WHERE octet_length(encode(text)) >= 24")
+def decoded_documents(spark, sf_dir):
+    """Whole texts in Base64 and in hexadecimal, read again; shorter ones have too few characters for a candidate."""
+    raw = F.col("text").cast("binary")
+    rows = _table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.concat(F.lit("a "), _base64(F.col("text")), F.lit(" b")).alias("b"), F.lower(F.hex(raw)).alias("h"))
+    both = decode.decode_base64(rows.select("doc_id", F.col("b").alias("line_text"))).unionByName(decode.decode_hex(rows.where("length(h) >= 48").select("doc_id", F.col("h").alias("line_text"))))
+    return both.select("doc_id", "tag", F.md5(F.col("decoded").cast("binary")).alias("digest"))
+
+
+def named_gzip(data: bytes, name: str) -> bytes:
+    with io.BytesIO() as out:
+        with gzip.GzipFile(name, "wb", fileobj=out, mtime=0) as file:
+            file.write(data)
+        return out.getvalue()
+
+
 # ---------------------------------------------------------------- structured content, recon
 
 
@@ -377,10 +416,13 @@ def js_reconstruct(spark, sf_dir):
 _E = " UNION ALL ".join(f"SELECT file, line, {i} AS p, j, e[j] AS endpoint FROM (SELECT file, line, regexp_extract_all(line_text, {S.quoted(p)}, 1) AS e FROM lines), unnest(range(1, len(e) + 1)) AS t(j)" for i, p in enumerate(structured.ENDPOINTS))
 
 
-@query(f"WITH {_PAGES}, lines AS ({S.lines('docs')}), e AS ({_E}) SELECT file, min(line) AS line, endpoint FROM e WHERE length(endpoint) >= 5 AND NOT regexp_matches(endpoint, {S.quoted(structured.STATIC_ASSET)}) GROUP BY file, endpoint")
+@query(f"WITH {_LINKED}, lines AS ({S.lines('docs')}), e AS ({_E}) SELECT file, min(line) AS line, endpoint FROM e WHERE length(endpoint) >= 5 AND NOT regexp_matches(endpoint, {S.quoted(structured.STATIC_ASSET)}) GROUP BY file, endpoint")
 def endpoints(spark, sf_dir):
-    """Endpoints that pages quote, at the first line."""
-    return structured.endpoints(X.lines(sources.from_pages(_table(spark, sf_dir, "pages")))).select("file", "line", "endpoint")
+    """Endpoints that pages quote, at the first line; each page has one more line with two."""
+    i = F.col("page_id")
+    more = F.concat(F.lit('\nfetch("/api/v1/item/'), i.cast("string"), F.lit('"); let u = "https://h'), (i % 7).cast("string"), F.lit('.example/graphql";'))
+    pages = _table(spark, sf_dir, "pages").where("length(html) > 0").withColumn("html", F.concat("html", more))
+    return structured.endpoints(X.lines(sources.from_pages(pages))).select("file", "line", "endpoint")
 
 
 @query(f"WITH s AS (SELECT page_id, regexp_extract_all(html, {S.quoted(structured.SCRIPT)}, 2) AS b FROM pages) SELECT page_id, CAST(i AS INTEGER) AS script_no, b[i] AS script FROM s, unnest(range(1, len(b) + 1)) AS t(i) WHERE trim(b[i]) <> ''")
@@ -461,11 +503,24 @@ def cached_scan(spark, sf_dir):
     from ..sources.shared import shared_folder
 
     texts = seeded(spark, sf_dir).select("file", "text")
-    store = cache.ResultCache(spark, f"{shared_folder(spark)}/results-{next(tempfile._get_candidate_names())}")
+    store = cache.ResultCache(spark, f"{shared_folder(spark)}/results-{uuid.uuid4().hex}")
     cache.scan_cached(texts, store, RULES_ONLY, now=1000.0)
     return cache.scan_cached(texts, store, RULES_ONLY, now=2000.0).groupBy("rule").agg(F.count("*").alias("n"))
 
 
+@query("SELECT 'j/' || doc_id || '.json' AS file, 'json_password' AS rule, 'Aa1-' || left(sha256(CAST(doc_id AS VARCHAR)), 20) AS secret FROM documents UNION ALL SELECT 'k/' || doc_id || '.json', 'json_password', 'Aa1-' || left(sha256(CAST(doc_id AS VARCHAR)), 20) FROM documents")
+def cached_names(spark, sf_dir):
+    """Equal contents under several names, after a first scan of other names: what depends on the name isn't taken from the cache."""
+    from ..sources.shared import shared_folder
+
+    value = F.concat(F.lit("Aa1-"), F.left(F.sha2(F.col("doc_id").cast("string").cast("binary"), 256), F.lit(20)))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct(value.alias("password"))).alias("text"))
+    named = lambda *names: rows.select(F.explode(F.array(*[F.concat(F.lit(a), F.col("doc_id").cast("string"), F.lit(b)) for a, b in names])).alias("file"), "text")
+    store, options = cache.ResultCache(spark, f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"), ScanOptions(entropy=False, decode_base64=False, rules=())
+    cache.scan_cached(named(("j/", ".txt")), store, options, now=1000.0)
+    return cache.scan_cached(named(("j/", ".txt"), ("j/", ".json"), ("k/", ".json")), store, options, now=2000.0).select("file", "rule", "secret")
+
+
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY ALL")
 def tumbling_window(spark, sf_dir):
     return stream.tumbling(_table(spark, sf_dir, "events"))
