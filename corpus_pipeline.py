@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the next one gets
 it as its docs.  All but the last return the columns of documents.
+
+Defined results, for all stages: whole texts count, however long; an empty table
+gives no rows; further columns, whatever their names, don't reach the result; rows
+that repeat are separate rows, treated alike but for near-dedup, where they are
+copies.  What a stage makes of nulls and of empty texts stands with it; a null
+lang, source or n_chars passes through unless a stage sets it.
 """
 
 from __future__ import annotations
@@ -20,7 +26,9 @@ PASSAGE = 50
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learn from the labelled rows; documents without letters or with no likely language go."""
+    """Learn from the labelled rows; documents without letters or with no likely language go.
+
+    So null and empty texts go, and all documents if none has a lang; a null doc_id stays."""
     ship(spark)
     model = langid.fit(docs)
     found = langid.predict(docs, model)
@@ -28,7 +36,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest doc_id."""
+    """One document of each group of near-duplicates stays: the one with the smallest doc_id.
+
+    Null and empty texts are like nothing and stay, as does a null doc_id.  Rows with one doc_id
+    are one document with several texts: all of them stay, or all go."""
     ship(spark)
     found = near_dup.near_duplicates(docs, k=5, percent=80)
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
@@ -36,20 +47,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of PASSAGE words that an earlier document has are cut; a document goes if nothing is left of it."""
+    """Passages of PASSAGE words that an earlier document has are cut; a document goes if nothing is left of it.
+
+    Null and empty texts, and documents without a doc_id, stay as they are.  n_chars follows a text that is cut."""
     ship(spark)
     cut = substring_dedup.remove_repeats(docs, k=PASSAGE)
     return cut.where("n_removed = 0 or n_removed < n_words").withColumn("text", F.col("kept_text")).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null and empty texts hold none and stay."""
     ship(spark)
     return decontam.remove_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left, checked by decoding."""
+    """Token ids of what is left, checked by decoding: null ids for a null text, none for an empty one."""
     ship(spark)
     import public_tokenizers
 
