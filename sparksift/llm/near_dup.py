@@ -20,17 +20,16 @@ Plan
      link to the pivot get another pivot among them, PIVOTS times at most.
   4. components of the confirmed links.
   5. members of a bucket that are in different components by then may still link.
-     All of them stay in, however little they are like the pivot.  Where FEW are
-     left beside the first pivot, those of different components are tried directly.
-     Otherwise, as |x n y| <= |x n p| + |(x - p) n (y - p)| for members x, y and
-     the pivot p, x and y share shingles that p lacks - at least the needed
-     intersection less |x n p| - or are so small that none is needed.  So x meets
-     members of other components that share one of its rarest such shingles (as
-     many as that number leaves), or those of its bucket that are so small: of the
-     pairs that share a bucket no link is lost but by the estimate in step 3, and
-     a component's members don't meet each other.
-With 24 bands of 4 registers a pair at the threshold 0.85 is missed with odds of
-2e-8 (at 0.8: 2e-6).
+     All classes of such buckets, pivots and linked ones too, take part in an exact
+     prefix join (see `crossing_pairs`): their shingles are put in one order, those
+     that only one component holds first, and sets that can reach the needed
+     intersection share a shingle among their first ones.  What it finds is
+     estimated and confirmed as in step 3, and components are joined.
+Of the pairs that share a bucket no link is lost but by the estimate in step 3;
+pairs within a component don't meet in step 5, and a class whose own shingles
+rule a link out meets nobody.
+With 24 bands of 4 registers a pair at the threshold 0.85 shares no bucket with
+odds of 2e-8 (at 0.8: 3e-6).
 
 Defined results: a text with fewer than `k` words has one shingle, the whole
 sequence; null texts and texts without words have size 0 and no links; a null
@@ -56,8 +55,10 @@ from .graph import components
 REGISTERS, BASE, RATE, LARGEST = 96, 1.001, 20.0, 65534
 ROWS = 4
 BANDS = REGISTERS // ROWS
-#: Pivots that a bucket gets at most, and members besides the pivot that may meet directly.
-PIVOTS, FEW = 3, 8
+#: Pivots that a bucket gets at most before its members of different components meet by their shingles.
+PIVOTS = 3
+#: Ratio of neighbouring size classes in the prefix join.
+STEP = 1.02
 _POWERS = C.Powers(0xD1B54A32D192ED03)
 _SEEDS = C.mix(np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTORS, _ADDENDS = _SEEDS[:REGISTERS] | np.uint64(1), _SEEDS[REGISTERS:]
@@ -184,33 +185,71 @@ def _sets(k: int):
     return run
 
 
-def _confirm(percent: int, extra: bool):
-    """Exact intersections of pairs, and, if wanted, the shingles of b that a lacks."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("common", pa.int64()), ("linked", pa.bool_()), ("extra", pa.binary())])
+def _confirm(percent: int):
+    """Pairs whose exact intersection links them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 at = np.searchsorted(x, y)
                 at[at == len(x)] = 0
-                held = x[at] == y
-                common = int(held.sum())
-                out.append((a, b, len(x), len(y), common, 100 * common >= percent * (len(x) + len(y) - common), y[~held].tobytes() if extra else None))
-            if out:
-                yield C.as_batch(schema, [list(c) for c in zip(*out, strict=True)])
+                common = int((x[at] == y).sum())
+                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def _posts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row (a, b, c, e) for each shingle e of b, in component c, that its pivot a lacks."""
-    for batch in batches:
+    """A row (x, h, c, n, e) for each shingle e of the set x, h of component c."""
+    for batch in C.byte_slices(batches, "set"):
         raw = batch.column(3).to_pylist()
-        counts = [len(x) // 8 for x in raw]
-        ids = [np.repeat(batch.column(i).to_numpy(), counts) for i in (0, 1, 2)]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, ids), pa.array(np.frombuffer(b"".join(raw), np.int64))], names=["a", "b", "c", "e"])
+        counts = [len(r) // 8 for r in raw]
+        ids = [np.repeat(batch.column(i).to_numpy(), counts) for i in range(3)]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, ids), pa.array(np.repeat(counts, counts)), pa.array(np.frombuffer(b"".join(raw), np.int64))], names=["x", "h", "c", "n", "e"])
+
+
+def _up(value, by: int):
+    """value / by, rounded up; both whole."""
+    return F.ceil(value / F.lit(by)).cast("long")
+
+
+def crossing_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of sets (x, h, c, set) of different components c that may link: all pairs that do, and few others.
+
+    All shingles have one order: those that a single component holds, then by the
+    number of sets that hold them.  A pair needs `percent * (nx + ny) / (100 +
+    percent)` shingles in common, so the first common one stands at a place p with
+    at least as many from there on, in both sets: n - p is the most that a set can
+    still share.  Hence places over n - percent * n / 100 don't count, and of a
+    pair the smaller set's is short: at most n - 2 * percent * n / (100 + percent).
+    Short places meet by the shingle, other ones (`long`) by the shingle and the
+    size class of the smaller sets they fit.  Shingles of one component give
+    nothing; of others, one side is never of the component that holds most."""
+    posts = sets.select("x", "h", "c", "set").mapInArrow(_posts, "x long, h long, c long, n long, e long")
+    several = C.stage(posts.groupBy("e").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size")).where("low < high").select("e", "size", F.col("size").alias("holders")), "several")
+    total = sets.agg(F.sum(F.length("set")).alias("n")).first()["n"] or 0
+    shared = C.skew_join(posts, several, "e", "size", total // 8, "x").where("holders is not null")
+    own = Window.partitionBy("x", "h")
+    placed = shared.withColumn("at", F.row_number().over(own.orderBy("holders", "e")) - 1 + F.col("n") - F.count("*").over(own))
+    first = C.stage(placed.where(F.col("at") <= F.col("n") - _up(F.col("n") * percent, 100)).select("x", "c", "n", "e", (F.col("n") - F.col("at")).alias("rest")), "first")
+    held = first.groupBy("e", "c").agg(F.count("*").alias("own"))
+    most = held.groupBy("e").agg(F.max_by("c", F.struct("own", "c")).alias("most"), F.sum("own").alias("size"), F.count("*").alias("components")).where("components > 1").select("e", "size", "most")
+    met = C.skew_join(first, C.stage(most, "most"), "e", "size", first.count(), "x").where("most is not null")
+    by_size = lambda n: F.floor(F.log(n) / F.log(F.lit(STEP))).cast("int")
+    # the largest partner for which `rest` shingles are enough
+    reach = F.floor(F.col("rest") * (100 + percent) / F.lit(percent)).cast("long") - F.col("n")
+    met = met.withColumn("short", F.col("rest") >= _up(2 * percent * F.col("n"), 100 + percent)).withColumn("seeks", F.col("c") != F.col("most"))
+    classes = F.when(F.col("short"), F.array(F.lit(-1))).otherwise(F.sequence(by_size(_up(F.col("n") * percent, 100)), by_size(F.greatest(reach, _up(F.col("n") * percent, 100)))))
+    met = C.stage(met.withColumn("probes", classes).withColumn("places", F.when(F.col("short"), F.array(F.lit(-1), by_size(F.col("n"))))), "met")
+    one = met.select("e", F.explode("probes").alias("size"), "seeks", F.col("x").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("rest").alias("ra"))
+    two = met.where("short").select("e", F.explode("places").alias("size"), "seeks", F.col("x").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("rest").alias("rb"))
+    fits = (F.col("ca") != F.col("cb")) & (F.least("ra", "rb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    sides = ((one.where("seeks"), two), (one.where("not seeks"), two.where("seeks")))
+    found = reduce(DataFrame.union, [x.drop("seeks").join(y.drop("seeks"), ["e", "size"]).where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) for x, y in sides])
+    return C.stage(found.distinct(), "crossing")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -220,93 +259,57 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = C.stage(texts.mapInArrow(_sign(k), "doc_id long, n long, fp binary, sketch binary"), "signed")
     sets = signed.where("n > 0 and doc_id is not null")
-    classes = C.stage(sets.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")), "classes")
-    reps = C.stage(sets.join(classes.select("fp", F.col("rep").alias("doc_id")), ["fp", "doc_id"]).select(F.col("doc_id").alias("rep"), "n", "sketch"), "reps")
+    classes = C.stage(sets.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")), "classes")
+    reps = classes.select("rep", "n", "sketch")
     # buckets: only those with two classes at least go on
     bands = reps.select("rep", "sketch").mapInArrow(_bands, "key long, rep long")
     keys = C.stage(bands.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.count("*").alias("size")).where("first < last").select("key", "size", F.col("size").alias("n")), "keys")
-    multi = C.stage(C.skew_join(bands, keys, "key", "size", reps.count() * BANDS, "rep").where("n is not null"), "buckets")
+    multi = C.stage(C.skew_join(bands, keys, "key", "size", classes.count() * BANDS, "rep").where("n is not null"), "buckets")
     central = C.stage(multi.join(multi.groupBy("rep").agg(F.sum("n").alias("met")), "rep").select("key", "rep", "met"), "central")
-    needed = multi.select(F.col("rep").alias("need")).distinct()
+    needed = central.select(F.col("rep").alias("need")).distinct()
     full = C.stage(texts.join(needed.hint("shuffle_hash"), F.col("doc_id") == F.col("need")).select("doc_id", "text").mapInArrow(_sets(k), "id long, set binary"), "sets")
 
-    def exact(pairs: DataFrame, extra: bool) -> DataFrame:
-        one, two = (full.select(F.col("id").alias(c), F.col("set").alias(f"set{c}")) for c in "ab")
-        return pairs.join(one, "a").join(two, "b").select("a", "b", "seta", "setb").mapInArrow(_confirm(percent, extra), "a long, b long, na long, nb long, common long, linked boolean, extra binary")
-
     def linked(pairs: DataFrame) -> DataFrame:
         one, two = (reps.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
         fits = (F.least("na", "nb") * 100) >= F.greatest("na", "nb") * percent
         near = pairs.join(one, "a").join(two, "b").where(fits).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_likely(percent), "a long, b long")
-        return exact(near, False).where("linked").select("a", "b")
+        one, two = (full.select(F.col("id").alias(c), F.col("set").alias(f"set{c}")) for c in "ab")
+        return near.join(one, "a").join(two, "b").select("a", "b", "seta", "setb").mapInArrow(_confirm(percent), "a long, b long").distinct()
 
     # pivots; what isn't linked to its bucket's pivot gets another among its like
-    rounds, left, first = [], central, None
+    rounds, left = [], central
     for _ in range(PIVOTS):
         pivots = C.stage(left.groupBy("key").agg(F.max_by("rep", F.struct("met", "rep")).alias("pivot"), F.count("*").alias("size")).where("size > 1"), "pivots")
         drawn = C.stage(C.skew_join(left, pivots, "key", "size", left.count(), "rep").where("rep <> pivot"), "drawn")
         C.unstage(pivots)
         if not drawn.limit(1).count():
             break
-        first = drawn if first is None else first
         rounds.append(C.stage(linked(drawn.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()), "links"))
         left = C.stage(drawn.join(rounds[-1].select(F.col("a").alias("pivot"), F.col("b").alias("rep")), ["pivot", "rep"], "left_anti").select("key", "rep", "met"), "left")
+        C.unstage(drawn)
     links = reduce(DataFrame.union, rounds, spark.createDataFrame([], "a long, b long"))
     # a doc_id that comes with several texts links its classes
-    again = sets.groupBy("doc_id", "fp").count().groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("many"))
+    mark = F.xxhash64("fp")
+    again = sets.groupBy("doc_id").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).where("low < high").select(F.col("doc_id").alias("many"))
     same = sets.join(again, F.col("doc_id") == F.col("many")).select("doc_id", "fp").join(classes, "fp").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     labels = components(links.union(same))
 
-    def label(df: DataFrame, vertex: str, name: str) -> DataFrame:
-        return df.join(labels.select(F.col("v").alias(vertex), F.col("c").alias(name)), vertex, "left").withColumn(name, F.coalesce(name, vertex))
-
-    # buckets whose members, pivot aside, are in several components
-    placed = mixed = split = held = posts = crossing = None
-    if first is not None:
-        placed = C.stage(label(first.select("key", F.col("pivot").alias("a"), F.col("rep").alias("b")), "b", "cb"), "placed")
-        mixed = C.stage(placed.groupBy("key").agg(F.min("cb").alias("low"), F.max("cb").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size", F.col("size").alias("members")), "mixed")
-        split = C.stage(C.skew_join(placed, mixed, "key", "size", placed.count(), "b").where("members is not null"), "split")
-        few, many = split.where(F.col("members") <= FEW), split.where(F.col("members") > FEW)
-        x, y = few.select("key", F.col("b").alias("x"), F.col("cb").alias("cx")), few.select("key", F.col("b").alias("y"), F.col("cb").alias("cy"))
-        pairs = x.join(y, "key").where("x < y and cx <> cy").select("x", "y")
-        if many.limit(1).count():
-            tested = C.stage(label(label(exact(many.select("a", "b").distinct(), True), "a", "ca"), "b", "cb"), "tested")
-            outside = F.col("ca") != F.col("cb")
-            groups = C.stage(tested.groupBy("a").agg(F.min("nb").alias("least"), F.count("*").alias("size")), "groups")
-            held = C.skew_join(tested, groups, "a", "size", tested.count(), "b")
-            wanted = F.ceil((F.lit(percent) * (F.col("nb") + F.greatest(F.ceil(F.col("nb") * percent / 100), "least"))) / (100 + percent)) - F.col("common")
-            held = C.stage(held.withColumn("wanted", wanted.cast("long")), "held")
-            C.unstage(tested, groups)
-            posts = C.stage(held.select("a", "b", "cb", "extra").mapInArrow(_posts, "a long, b long, c long, e long"), "posts")
-            # shingles in one component only give no new links
-            by_component = posts.groupBy("a", "e", "c").agg(F.count("*").alias("own"))
-            in_all = by_component.groupBy("a", "e").agg(F.sum("own").alias("n"), F.count("*").alias("components")).where("components > 1").drop("components")
-            crossing = C.stage(posts.join(in_all.join(by_component, ["a", "e"]), ["a", "e", "c"]).select("a", "b", "c", "e", (F.col("n") - F.col("own")).alias("others")), "crossing")
-            enough = lambda common: common * (100 + percent) >= F.lit(percent) * (F.col("nx") + F.col("ny"))
-            rest = F.greatest("wanted", F.lit(1)) - 1  # shingles after the prefix, which may all be shared as well
-            seekers = held.where(outside).select("a", "b", F.col("nb").alias("nx"), F.col("common").alias("ix"), rest.alias("rest"), (F.length("extra") / 8 - rest).alias("prefix"), (F.length("extra") / 8).alias("extras"))
-            own = Window.partitionBy("a", "b")
-            ranked = crossing.join(seekers, ["a", "b"]).withColumn("at", F.row_number().over(own.orderBy("others", "e"))).withColumn("cross", F.count("*").over(own))
-            ranked = ranked.where(F.col("at") <= F.col("prefix") - F.col("extras") + F.col("cross"))  # shingles that don't cross come before
-            partners = crossing.select("a", "e", F.col("c").alias("cy"), "b").join(held.select("a", "b", F.col("nb").alias("ny"), F.col("common").alias("iy")), ["a", "b"]).withColumnRenamed("b", "y")
-            meetings = ranked.select("a", "e", F.col("b").alias("x"), F.col("c").alias("cx"), "nx", "ix", "rest", "cross").join(partners, ["a", "e"]).where((F.col("cx") != F.col("cy")) & (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent) & enough(F.least("ix", "iy") + F.col("cross")))
-            met = meetings.groupBy("a", "x", "y").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("nx", "ix", "rest", "ny", "iy")])
-            by_shingle = met.where(enough(F.least("ix", "iy") + F.col("n") + F.col("rest")))
-            # pairs that share no such shingle lie within the pivot: their intersection is at most the lesser of those with it
-            inside = many.select("key", "a", "b").join(held.select("a", "b", "ca", "cb", "nb", "common", "wanted"), ["a", "b"])
-            least_of = inside.where(outside & (F.col("wanted") <= 0)).select("key", F.col("b").alias("x"), F.col("nb").alias("nx"), F.col("common").alias("ix"), F.col("cb").alias("cx"))
-            other = inside.select("key", F.col("b").alias("y"), F.col("nb").alias("ny"), F.col("common").alias("iy"), F.col("cb").alias("cy"))
-            small = least_of.join(other, "key").where(enough(F.least("ix", "iy")) & (F.col("cx") != F.col("cy")))
-            pairs = pairs.union(by_shingle.select("x", "y")).union(small.select("x", "y"))
-        fresh = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        more = C.stage(linked(fresh), "links")
+    # buckets whose members are in several components
+    placed = C.stage(central.select("key", "rep").join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("key", "rep", F.coalesce("c", "rep").alias("c")), "placed")
+    mixed = C.stage(placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key"), "mixed")
+    if mixed.limit(1).count():
+        # a semi join, whose left side Spark splits where a bucket is hot
+        open_ = placed.join(mixed, "key", "left_semi").select("rep", "c").distinct()
+        meeting = C.stage(open_.join(full, F.col("rep") == F.col("id")).select(F.col("rep").alias("x"), F.xxhash64("set").alias("h"), "c", "set"), "meeting")
+        more = C.stage(linked(crossing_pairs(meeting, percent)), "links")
         if more.limit(1).count():
             joined = more.join(labels.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a", "left").join(labels.select(F.col("v").alias("b"), F.col("c").alias("cb")), "b", "left")
             merged = components(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
             known = labels.select("v", "c").union(more.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(labels, "v", "left_anti").select("v", F.col("v").alias("c")))
             labels = known.join(merged.select(F.col("v").alias("c"), F.col("c").alias("root")), "c", "left").select("v", F.coalesce("root", "c").alias("c"))
-    named = classes.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("fp", "size", F.coalesce("c", "rep").alias("component_id"))
-    C.unstage(full, multi, keys, central, reps, first, placed, mixed, split, held, posts, crossing)
+        C.unstage(meeting)
+    named = classes.select("fp", "rep", "size").join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("fp", "size", F.coalesce("c", "rep").alias("component_id"))
+    C.unstage(full, multi, keys, central, placed, mixed)
     rows = C.skew_join(signed.select("doc_id", "n", "fp"), named, "fp", "size", signed.count(), "doc_id")
     found = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), found.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
