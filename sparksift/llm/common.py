@@ -17,13 +17,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_folder, spread  # noqa: F401 - queries take spread from here
+from ..sources.shared import shared_folder, skew_join, spread  # noqa: F401 - operators and queries take these from here
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 #: Bytes of text handled at once; bounds the memory of the numpy temporaries.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Bytes whose words are hashed at once; the tables of powers are as long.
 HASHED_BYTES = 1 << 20
 
@@ -178,11 +178,13 @@ def as_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of few rows, so that long texts don't fill a worker's memory."""
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of few rows and bytes, so that long texts don't fill a worker's memory.
+
+    The settings stay with the session, as Spark reads them when a lazy result runs."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 # ---------------------------------------------------------------- Spark helpers
@@ -219,26 +221,3 @@ def partitions(df: DataFrame, column: str, each: int = 16 << 20, least: int = 16
     """How many partitions give each about `each` bytes of the column."""
     total = df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
     return max(least, -(-total // each))
-
-
-#: A key is hot if it holds more than one row in HOT_SHARE; there are at most HOT_SHARE such keys.
-HOT_SHARE = 200
-
-
-def skew_join(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int, spread: str) -> DataFrame:
-    """Left join of rows to groups (unique by key, with `count` rows each in
-    `rows`, `total` in all).  Hot keys - at most HOT_SHARE by the pigeonhole
-    principle, however large the data - are broadcast; their rows get spread
-    keys (made from the column `spread`) for the join of the rest, so that no
-    task holds a hot group.
-
-    Groups' columns come back under their own names; `key` and `count` of groups don't."""
-    values = [c for c in groups.columns if c not in (key, count)]
-    hot = groups.where(F.col(count) * HOT_SHARE > F.lit(total)).select(F.col(key).alias("__hot"), F.struct(*values).alias("__hot_value"))
-    cold = groups.where(F.col(count) * HOT_SHARE <= F.lit(total)).select(F.col(key).alias("__cold"), F.lit(0).alias("__spread"), F.struct(*values).alias("__cold_value"))
-    names = rows.columns
-    tagged = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
-    tagged = tagged.withColumn("__at", F.when(F.col("__hot").isNull() & F.col(key).isNotNull(), 0).otherwise(F.xxhash64(spread).bitwiseAND(F.lit(0x7FFFFFFE)).bitwiseOR(F.lit(1)).cast("int")))
-    joined = tagged.join(cold, (F.col(key) == F.col("__cold")) & (F.col("__at") == F.col("__spread")), "left")
-    value = F.coalesce("__hot_value", "__cold_value")
-    return joined.select(*[F.col(f"`{c}`") for c in names], *[value[c].alias(c) for c in values])

@@ -41,8 +41,8 @@ from . import common as C
 #: Words in a window when nothing else is asked for.
 WINDOW = 13
 _POWERS = (C.Powers(0xC2B2AE3D27D4EB4F), C.Powers(0x165667B19E3779F9))
-_SLICE_BYTES = 6 << 20
-_BUCKET_BYTES = 16 << 20
+_SLICE_BYTES = 4 << 20
+_BUCKET_BYTES = 8 << 20
 _PACKED = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())])
 _FOUND = pa.schema([("pack", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())])
 _MERGED = pa.schema([("doc_id", pa.int64()), ("found", pa.binary())])
@@ -93,6 +93,7 @@ def _map(k: int, buckets: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             docs, hashes, bucket = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             order = np.argsort(docs, kind="stable")
             docs, hashes, bucket = docs[order], hashes[order], bucket[order]
             order = np.argsort(hashes, kind="stable")  # equal hashes stay in doc_id order
@@ -116,7 +117,7 @@ def _map(k: int, buckets: int):
                 size += sum(map(len, texts))
             if size >= _SLICE_BYTES:
                 yield from flush()
-                held, size = [], 0
+                size = 0
         if held:
             yield from flush()
 
@@ -197,10 +198,11 @@ def repeated_windows(docs: DataFrame, k: int = WINDOW) -> DataFrame:
     C.small_batches(docs.sparkSession)
     buckets = C.partitions(docs, "text", _BUCKET_BYTES)
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_map(k, buckets), "bucket int, docs binary, counts binary, hashes binary")
-    # a bucket number hashes to a partition; what is decided already goes anywhere, by its own negative number
-    dealt = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    # a partition each; what the map tasks have decided comes with negative numbers, to the same partitions
+    own = F.when(F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.col("bucket"))
+    dealt = packed.repartitionById(buckets, own).sortWithinPartitions("bucket")
     found = dealt.mapInArrow(_reduce(4 * buckets), "pack int, docs binary, counts binary, hashes binary")
-    return found.repartition(buckets, "pack").sortWithinPartitions("pack").mapInArrow(_merge, "doc_id long, found binary")
+    return found.repartitionById(buckets, F.col("pack") % buckets).sortWithinPartitions("pack").mapInArrow(_merge, "doc_id long, found binary")
 
 
 def _covered(words: np.ndarray, k: int, found: np.ndarray) -> np.ndarray:
