@@ -9,13 +9,14 @@ Two digests differ by the sum over buckets of the distance of their quarters
 (0, 1, 2, and 6 for opposite ends), plus what lengths, ratios and checksums
 differ by, bounded by BOUND; likeness is 1 - difference / BOUND, 0 to 1.
 
-Neighbours are found without a global window: documents go to ranges of doc_id
-whose bounds are ids taken from the data, and the first document of each range
-is also sent to the range before it, which sorts and streams its rows.
+Neighbours are found without a global window: documents are dealt out by ranges
+of doc_id, and each range sorts and streams its rows.  Only the last document of a
+range lacks its next one, so each range also hands out its first and last text,
+and these meet range by range in a second, small step.
 
 Defined results: a null text counts as empty; texts without triplets have all
 buckets in the lowest quarter; a null doc_id sorts first; rows with the same
-doc_id follow each other by text; a single row is its own next document; an empty
+doc_id follow each other by the hash of the text, then the text; a single row is its own next document; an empty
 table gives no rows; other columns are ignored.
 """
 
@@ -27,14 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
 BUCKETS = 256
-#: Ranges of doc_id; at most these many, and larger ones spill while they are sorted.
-MOST_RANGES = 1 << 16
 #: The largest difference that counts.
 BOUND = 300
 _LENGTH_STEP = np.log(1.25)
@@ -120,50 +120,46 @@ def _compare(ids: list, texts: list[str], following: list[str]) -> pa.RecordBatc
     return C.as_batch(_OUT, [ids, [len(x) for x in texts], [hashlib.sha256(x).hexdigest() for x in raw], [x.tobytes().hex() for x in own], [x.tobytes().hex() for x in other], likeness(own, other), likeness(own, after)])
 
 
+_OPEN = pa.schema([*_OUT, ("range", pa.int32()), ("first", pa.string()), ("last", pa.string())])
+
+
+def _columns(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {({'int64': 'long', 'int32': 'int'}).get(str(f.type), str(f.type))}" for f in schema)
+
+
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (range, doc_id, text); guards only serve as next documents."""
+    """Results of all rows of a range but the last; then a row with the first text and the last document."""
     waiting: list[tuple] = []  # (id, text, next text)
-    size = 0
-    last = None  # (range, id, text) whose next document isn't known yet
+    size, first, last = 0, None, None
+
+    def out() -> pa.RecordBatch:
+        made = _compare(*map(list, zip(*waiting, strict=True)))
+        return pa.RecordBatch.from_arrays([*made.columns, *(pa.nulls(made.num_rows, f.type) for f in list(_OPEN)[-3:])], schema=_OPEN)
+
     for batch in C.byte_slices(batches, "text"):
-        for place, guard, key, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             text = text or ""
-            if last is not None:
-                if last[0] == place:
-                    waiting.append((last[1], last[2], text))
-                    size += len(last[2])
-                last = None
-            if not guard:
-                last = (place, key, text)
+            if last is None:
+                first = text
+            else:
+                waiting.append((*last, text))
+                size += len(last[1])
+            last = (key, text)
         if size >= C.CHUNK_BYTES // 4:
-            yield _compare(*map(list, zip(*waiting, strict=True)))
+            yield out()
             waiting, size = [], 0
     if waiting:
-        yield _compare(*map(list, zip(*waiting, strict=True)))
-
-
-def _longs(values: list[int]):
-    return F.array(*[F.lit(x).cast("long") for x in values]).cast("array<bigint>")
-
-
-def _step(bounds: list[int]) -> int:
-    return max(1, int(len(bounds) ** 0.5))
-
-
-def _coarse(bounds: list[int]):
-    return F.size(F.filter(_longs(bounds[:: _step(bounds)]), lambda x: x <= F.col("doc_id")))
-
-
-def _chunk(bounds: list[int]):
-    """The run of bounds in which the doc_id's place lies: two short searches instead of one over all bounds."""
-    step = _step(bounds)
-    chunks = [_longs([]), *(_longs(bounds[i : i + step]) for i in range(0, len(bounds), step))]
-    return F.when(F.col("doc_id").isNull(), _longs([])).otherwise(F.element_at(F.array(*chunks), _coarse(bounds) + 1))
+        yield out()
+    if last is not None:
+        at = TaskContext.get().partitionId()
+        yield C.as_batch(_OPEN, [[last[0]], [None], [None], [None], [None], [None], [None], [at], [first], [last[1]]])
 
 
-def _place(bounds: list[int]):
-    before = F.greatest(_coarse(bounds) - 1, F.lit(0)) * _step(bounds)
-    return F.when(F.col("doc_id").isNull(), 0).otherwise(before + F.size(F.filter(F.col("__near"), lambda x: x <= F.col("doc_id")))).cast("int")
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last documents of ranges, with the first texts of the next ones."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield _compare(*([batch.column(c)[i].as_py()] for c in range(3)))
 
 
 def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
@@ -171,14 +167,16 @@ def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     C.small_batches(spark, 500)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranges = min(ranges or C.partitions(rows, "text"), MOST_RANGES)
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], max(10000, 4 * ranges)).alias("q"), F.min("doc_id").alias("least"), F.sum(F.col("doc_id").isNull().cast("int")).alias("nulls")).first()
-    bounds = sorted({x for x in (cuts["q"] or []) if x > cuts["least"] or cuts["nulls"]})
-    # range i holds bounds[i-1] <= doc_id < bounds[i]; the bounds are ids, so each is the first of its range
-    placed = rows.withColumn("__near", _chunk(bounds)).withColumn("__range", _place(bounds))
-    first = F.col("doc_id").isNull() if cuts["nulls"] else F.col("doc_id") == F.lit(cuts["least"])
-    guards = F.when(first, F.lit(len(bounds))).otherwise(F.when(F.array_contains("__near", F.col("doc_id")), F.col("__range") - 1))
-    both = F.filter(F.array(F.struct(F.col("__range").alias("at"), F.lit(False).alias("guard")), F.struct(guards.cast("int").alias("at"), F.lit(True).alias("guard"))), lambda x: x["at"].isNotNull())
-    sent = placed.withColumn("__to", F.explode(both)).select(F.col("__to.at").alias("at"), F.col("__to.guard").alias("guard"), "doc_id", "text")
-    dealt = sent.repartition(len(bounds) + 1, "at").sortWithinPartitions("at", "guard", F.col("doc_id").asc_nulls_first(), "text")
-    return dealt.mapInArrow(_stream, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64(F.coalesce("text", F.lit("")))]
+    dealt = rows.repartitionByRange(ranges or C.partitions(rows, "text"), *order).sortWithinPartitions(*order, "text")
+    staged = C.stage(dealt.mapInArrow(_stream, _columns(_OPEN)), "fingerprints")
+    done = staged.where("range is null").select(*_OUT.names)
+    # numbers of the ranges that have rows: as many as there are tasks
+    held = sorted(r["range"] for r in staged.where("range is not null").select("range").collect())
+    if not held:
+        return done
+    after = spark.createDataFrame(list(zip(held, held[1:] + held[:1], strict=True)), "range int, after int")
+    open_ = staged.where("range is not null")
+    following = open_.select(F.col("range").alias("after"), F.col("first").alias("following"))
+    met = open_.select("range", "doc_id", "last").join(after, "range").join(following, "after").select("doc_id", "last", "following")
+    return done.unionByName(met.mapInArrow(_close, _columns(_OUT)))
