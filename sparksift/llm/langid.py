@@ -9,10 +9,14 @@ language when at most EVIDENCE words' worth of evidence counts, so that long
 texts don't all come out as 1.
 
 Words are runs of letters, lower-cased.  The model is fitted on labelled rows
-only: on all of them, or on about SAMPLE_DOCS whole documents chosen by a hash of
-their text (a documented bound on what is fitted, not on what is predicted), and
-keeps the WORDS and GRAMS most frequent entries.  It is bounded by these numbers,
-so it is broadcast.
+only, each different text of a language once: of each language on all of them, or
+on about SAMPLE_DOCS whole documents chosen by a hash of their text (a documented
+bound on what is fitted, not on what is predicted).  Each language brings its own
+most frequent entries, an equal part of WORDS and GRAMS but LEAST_ENTRIES at least,
+so a small language is in the model as a large one is; counts of all languages
+stand for each entry kept, and frequencies are shares of all that was counted.
+The model is bounded by these numbers and the number of languages, so it is
+broadcast.
 
 Defined results: a null text, or one without letters, is `und` with score 0, as is
 every text if there are no labelled rows; ties go to the language that sorts
@@ -28,13 +32,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
 
-SAMPLE_DOCS = 20_000
-WORDS, GRAMS = 60_000, 60_000
+#: Documents of a language that are learned from, about.
+SAMPLE_DOCS = 5_000
+#: Entries of the model over all languages, and of one language at least.
+WORDS, GRAMS, LEAST_ENTRIES = 60_000, 60_000, 1_000
 LONGEST_GRAM = 5
 EVIDENCE = 12
 UNKNOWN = "und"
@@ -82,35 +88,41 @@ class Model:
         return self.languages[best], float(1 / np.exp(scaled).sum())
 
 
-def _logs(rows: list, languages: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    names = {name: i for i, name in enumerate(sorted({r[1] for r in rows}))}
-    counts = np.zeros((len(names), len(languages)))
+def _most(counted: DataFrame, name: str, limit: int, languages: list[str]) -> tuple[dict[str, int], np.ndarray]:
+    """Log frequencies of each language's most frequent entries, in all languages: rows of names, and a matrix."""
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), name))
+    each = max(LEAST_ENTRIES, limit // max(1, len(languages)))
+    kept = counted.withColumn("place", place).where(F.col("place") <= each).select(name).distinct()
+    rows = counted.join(kept, name).select("lang", name, "n").collect()
+    totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    names = {x: i for i, x in enumerate(sorted({r[name] for r in rows}))}
     at = {x: i for i, x in enumerate(languages)}
-    for language, name, n in rows:
-        counts[names[name], at[language]] = n
+    counts = np.zeros((len(names), len(languages)))
+    for r in rows:
+        counts[names[r[name]], at[r["lang"]]] = r["n"]
     smooth = 0.5
-    return names, np.log((counts + smooth) / (counts.sum(0) + smooth * (len(names) + 1)))
+    return names, np.log((counts + smooth) / (np.array([totals.get(x, 0) for x in languages]) + smooth * (len(names) + 1)))
 
 
 def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, words: int = WORDS, grams: int = GRAMS) -> Model:
-    """Model of rows (text, lang)."""
+    """Model of rows (text, lang); the limits are as SAMPLE_DOCS, WORDS and GRAMS."""
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    n = rows.count()
-    if n > sample_docs:
+    found = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()
+    if found:
         scale = 1 << 30
-        rows = rows.where(F.pmod(F.xxhash64("text", "lang"), F.lit(scale)) < int(scale * sample_docs / n))
+        share = F.create_map(*[F.lit(x) for r in found for x in (r["lang"], min(scale, int(scale * sample_docs / max(1, r["n"]))))])
+        rows = rows.where(F.pmod(F.xxhash64("text", "lang"), F.lit(scale)) < share[F.col("lang")])
+    rows = rows.dropDuplicates(["text", "lang"])
     # words of letters only; combining marks are not letters here, as in prediction
     split = rows.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''")
     counted = C.stage(split.groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
-    most = lambda df, name, k: [tuple(r) for r in df.orderBy(F.desc("n"), name, "lang").limit(k).select("lang", name, "n").collect()]
     bounded = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
     pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(LONGEST_GRAM)), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(bounded) - k + 1, F.lit(1))), lambda i: F.substring(bounded, i, k))))
-    exploded = counted.select("lang", "n", F.explode(F.array_distinct(pieces)).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top_words, top_grams = most(counted, "word", words), most(exploded, "gram", grams)
-    C.unstage(counted)
-    languages = sorted({r[0] for r in top_words})
-    word_rows, word_logs = _logs(top_words, languages)
-    gram_rows, gram_logs = _logs([r for r in top_grams if r[0] in set(languages)], languages)
+    pieced = C.stage(counted.select("lang", "n", F.explode(F.array_distinct(pieces)).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    languages = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
+    word_rows, word_logs = _most(counted, "word", words, languages)
+    gram_rows, gram_logs = _most(pieced, "gram", grams, languages)
+    C.unstage(counted, pieced)
     floor = gram_logs.min(0) if len(gram_logs) else np.zeros(len(languages))
     return Model(languages, word_rows, word_logs, gram_rows, gram_logs, np.full(len(languages), floor.min() if len(floor) else 0.0))
 
