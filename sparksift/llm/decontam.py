@@ -24,7 +24,7 @@ part by part, so that no more is ever broadcast; document frequencies, mean and
 longest length are those of the whole benchmark, so parts don't change scores.
 
 Defined results: null or empty texts have no passages, null or empty items match
-nothing; items that repeat match each for itself; rows that repeat match alike;
+nothing; an item without an id is found under a null one; items that repeat match each for itself; rows that repeat match alike;
 an empty table gives no rows; other columns pass through `remove_leaks`.
 """
 
@@ -63,7 +63,7 @@ def normal(text: str | None) -> bytes:
 
 @dataclass
 class Index:
-    ids: np.ndarray
+    ids: list[int | None]
     vocabulary: np.ndarray  # term hashes, ascending
     first: np.ndarray  # postings of term t: items[first[t]:first[t+1]]
     items: np.ndarray
@@ -101,7 +101,7 @@ def _words(text: str | None, question: str | None, answer: str | None) -> np.nda
     return terms(text if text else f"{question or ''} {answer or ''}")
 
 
-def build(items: list[tuple[int, str | None, str | None, str | None]], whole: Whole | None = None) -> Index:
+def build(items: list[tuple[int | None, str | None, str | None, str | None]], whole: Whole | None = None) -> Index:
     """Index of items (id, text, question, answer); whole: of the benchmark, if they are a part of it."""
     words = [_words(text, question, answer) for _, text, question, answer in items]
     lengths = np.array([len(w) for w in words])
@@ -130,7 +130,7 @@ def build(items: list[tuple[int, str | None, str | None, str | None]], whole: Wh
         half = (len(w) + 1) // 2
         question.append(_grams(terms(q) if q else w[:half]))
         answer.append(_grams(terms(a) if a else w[half:]))
-    return Index(np.array([i for i, *_ in items], np.int64), vocabulary, first, owner, impact, np.searchsorted(row[head], np.arange(len(vocabulary) + 1)), block[head], block_max, question, answer, max(16, longest))
+    return Index([i for i, *_ in items], vocabulary, first, owner, impact, np.searchsorted(row[head], np.arange(len(vocabulary) + 1)), block[head], block_max, question, answer, max(16, longest))
 
 
 def wand(index: Index, query: np.ndarray, threshold: float, live: list[int] | None = None) -> list[tuple[int, float]]:
@@ -252,15 +252,16 @@ def _all_grams(words: np.ndarray) -> np.ndarray:
     return np.concatenate([np.unique(C.windows(words, k, _POWERS)) for k in range(1, GRAM + 1)])
 
 
-def indexes(benchmark: DataFrame) -> list[Index]:
-    """Indexes of ITEMS_AT_ONCE items at most, which together hold the benchmark."""
+def indexes(benchmark: DataFrame) -> Iterator[Index]:
+    """Indexes of ITEMS_AT_ONCE items at most, which together hold the benchmark; one at a time is made."""
     n = benchmark.count()
     parts = max(1, -(-2 * n // ITEMS_AT_ONCE)) if n > ITEMS_AT_ONCE else 1
     names = benchmark.columns
     pick = lambda c: F.col(c).cast("string") if c in names else F.lit(None).cast("string")
     rows = benchmark.select(F.col("item_id").cast("long"), pick("text").alias("text"), pick("question").alias("question"), pick("answer").alias("answer"))
     if parts == 1:
-        return [build(sorted((tuple(r) for r in rows.collect()), key=repr))]
+        yield build(sorted((tuple(r) for r in rows.collect()), key=repr))
+        return
     # rows that repeat are dealt out as well
     copy = F.row_number().over(Window.partitionBy(*rows.columns).orderBy(F.lit(0)))
     dealt = C.stage(rows.withColumn("copy", copy).withColumn("part", F.pmod(F.xxhash64("item_id", "text", "copy"), F.lit(parts)).cast("int")), "items")
@@ -268,16 +269,14 @@ def indexes(benchmark: DataFrame) -> list[Index]:
     total = each.agg(F.avg("n").alias("average"), F.max("n").alias("longest")).first()
     found = each.select("part", F.explode("terms").alias("term")).groupBy("part", "term").agg(F.count("*").alias("n"))
     df = C.stage(found.groupBy("term").agg(F.sum("n").alias("df"), F.collect_set("part").alias("parts")), "df")
-    out = []
     for i in range(parts):
         pairs = df.where(F.array_contains("parts", i)).select("term", "df").toArrow()
         keys, counts = pairs.column(0).to_numpy().astype(np.int64).view(np.uint64), pairs.column(1).to_numpy()
         order = np.argsort(keys)
         whole = Whole(n, max(1.0, total["average"]), total["longest"], keys[order], counts[order])
         items = dealt.where(F.col("part") == i).select(*rows.columns).collect()
-        out.append(build(sorted((tuple(r) for r in items), key=repr), whole))
+        yield build(sorted((tuple(r) for r in items), key=repr), whole)
     C.unstage(dealt, each, df)
-    return out
 
 
 def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +306,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
                         best[i, item] = tuple(rest)
                 if best:
                     ids = batch.column(0)
-                    yield C.as_batch(schema, [list(x) for x in zip(*((ids[i].as_py(), int(own.ids[item]), *rest) for (i, item), rest in best.items()), strict=True)])
+                    yield C.as_batch(schema, [list(x) for x in zip(*((ids[i].as_py(), own.ids[item], *rest) for (i, item), rest in best.items()), strict=True)])
 
         one = rows.mapInArrow(run, "doc_id long, item_id long, passage long, score double, question_overlap double, answer_overlap double")
         out = one if out is None else out.union(one)

@@ -11,9 +11,10 @@ edge is taken in all segments at once, until none is left; for unigram models a
 forward pass keeps the best path to each position.  Characters without a piece
 become byte pieces, or the unknown piece.
 
-Segments of more than LONG characters take the same merges from a heap, so that
-their time stays near linear.  A bounded cache of two
-generations holds segments that were encoded.
+Texts of more than INDEXED characters are indexed in parts that overlap by the
+longest piece.  In segments of more than LONG characters the same edges are relaxed
+in the same order through a heap, so that their time stays near linear.  A bounded
+cache of two generations holds segments that were encoded.
 
 Defined results: a null text gives null ids and a null decoded text; an empty text
 gives no ids; repeated rows encode alike; an empty table gives no rows; other
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 MARK = "▁"
-#: Characters indexed by one suffix array, and in the longest segment that is merged with the others.
+#: Characters indexed by one suffix array, and in the longest segment whose merges are made together with the others'.
 INDEXED, LONG = 300_000, 400
 CACHED = 250_000
 
@@ -147,13 +148,27 @@ def occurrences(model: Model, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start[by], length[by], model.piece_ids[which][by]
 
 
+def edges_of(model: Model, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All edges, by a suffix array for each INDEXED codes and what a piece may reach beyond them."""
+    if len(codes) <= INDEXED + model.longest:
+        return occurrences(model, codes)
+    found = []
+    for low in range(0, len(codes), INDEXED):
+        start, length, ids = occurrences(model, codes[low : low + INDEXED + model.longest])
+        own = start < INDEXED
+        found.append((start[own] + low, length[own], ids[own]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def _merge(model: Model, codes: np.ndarray, bounds: np.ndarray, edges: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
     """Mask of positions where a symbol starts after all merges; bounds are the segments' starts and the end."""
     width = model.longest + 1
-    table = np.full((len(codes), width), -1, np.int32)
-    table[edges[0], edges[1]] = edges[2]
     starts = np.ones(len(codes) + 1, bool)
     live = np.flatnonzero(codes > 0)  # symbols of segments that may still merge; 0 stands after each segment
+    if not len(live):
+        return starts
+    table = np.full((len(codes), width), -1, np.int32)
+    table[edges[0], edges[1]] = edges[2]
     segment = np.searchsorted(bounds, live, "right") - 1
     ends = bounds[1:] - 1
     while len(live) > 1:
@@ -199,36 +214,37 @@ def _best_path(model: Model, size: int, edges: tuple[np.ndarray, np.ndarray, np.
     return spans[::-1]
 
 
-def _long(model: Model, text: str) -> list[int]:
-    """BPE merges of one long segment by a heap of pairs."""
-    n = len(text)
-    after, before, size = list(range(1, n + 1)), list(range(-1, n - 1)), [1] * n
+def _heap_merge(model: Model, size: int, edges: tuple[np.ndarray, np.ndarray, np.ndarray], begin: int) -> list[int]:
+    """Starts of symbols after the BPE merges of one long segment, its edges relaxed through a heap of pairs."""
+    low, high = np.searchsorted(edges[0], [begin, begin + size])
+    first = np.searchsorted(edges[0][low:high], np.arange(begin, begin + size + 1)).tolist()
+    lengths, ids = edges[1][low:high], edges[2][low:high]
+    rank = model.rank[ids]
+    after, before, width = list(range(1, size + 1)), list(range(-1, size - 1)), [1] * size
     heap: list[tuple[int, int, int]] = []
 
     def offer(i: int) -> None:
         j = after[i]
-        if j < n and size[i] + size[j] <= model.longest and (p := model.ids.get(text[i : j + size[j]])) is not None:
-            heapq.heappush(heap, (int(model.rank[p]), i, size[i] + size[j]))
+        if j < size:
+            both = width[i] + width[j]
+            for at in range(first[i], first[i + 1]):
+                if lengths[at] == both:
+                    heapq.heappush(heap, (int(rank[at]), i, both))
 
-    for i in range(n):
+    for i in range(size):
         offer(i)
     while heap:
         _, i, length = heapq.heappop(heap)
         j = after[i]
-        if not size[i] or j >= n or size[i] + size[j] != length:
+        if not width[i] or j >= size or width[i] + width[j] != length:
             continue
-        size[i], size[j], after[i] = length, 0, after[j]
-        if after[j] < n:
+        width[i], width[j], after[i] = length, 0, after[j]
+        if after[j] < size:
             before[after[j]] = i
         offer(i)
         if before[i] >= 0:
             offer(before[i])
-    out, i = [], 0
-    while i < n:
-        part = text[i : i + size[i]]
-        out += model.single(part) if size[i] == 1 else [model.ids[part]]
-        i = after[i]
-    return out
+    return [i for i in range(size) if width[i]]
 
 
 def encode_segments(model: Model, segments: list[str]) -> dict[str, bytes]:
@@ -243,9 +259,18 @@ def encode_segments(model: Model, segments: list[str]) -> dict[str, bytes]:
         codes = model.table[points]
         lengths = np.fromiter(map(len, group), np.int64, len(group)) + 1
         bounds = np.concatenate([[0], np.cumsum(lengths)])
-        edges = occurrences(model, codes)
+        edges = edges_of(model, codes)
         if model.bpe:
-            starts = _merge(model, codes, bounds, edges)
+            apart = [i for i, text in enumerate(group) if len(text) > LONG]
+            quick = codes
+            if apart:
+                quick = codes.copy()
+                for i in apart:
+                    quick[bounds[i] : bounds[i + 1]] = 0
+            starts = _merge(model, quick, bounds, edges)
+            for i in apart:
+                starts[bounds[i] : bounds[i + 1] - 1] = False
+                starts[[bounds[i] + x for x in _heap_merge(model, len(group[i]), edges, int(bounds[i]))]] = True
         else:
             starts = np.zeros(len(codes) + 1, bool)
             for text, begin in zip(group, bounds.tolist(), strict=False):
@@ -253,9 +278,11 @@ def encode_segments(model: Model, segments: list[str]) -> dict[str, bytes]:
             starts[bounds[1:] - 1] = True
         at = np.flatnonzero(starts[:-1])
         length = np.append(at[1:], len(codes)) - at
-        table = np.full((len(codes), model.longest + 1), -1, np.int32)
-        table[edges[0], edges[1]] = edges[2]
-        ids = table[at, np.minimum(length, model.longest)]
+        # the id of each symbol of several characters is that of its edge; edges are sorted by place and length
+        width = model.longest + 1
+        keys = edges[0] * width + edges[1]
+        place = np.minimum(np.searchsorted(keys, at * width + length), max(len(keys) - 1, 0))
+        ids = edges[2][place].astype(np.int32) if len(keys) else np.zeros(len(at), np.int32)
         alone = np.flatnonzero(length == 1)
         kinds, row = np.unique(points[at[alone]], return_inverse=True)
         single = [model.single(chr(c)) if c else [] for c in kinds.tolist()]
@@ -273,14 +300,12 @@ def encode_segments(model: Model, segments: list[str]) -> dict[str, bytes]:
     for text in segments:
         if len(text) == 1 and ord(text) not in model.code:
             out[text] = np.array(model.single(text), "<i4").tobytes()
-        elif len(text) > LONG and model.bpe:
-            out[text] = np.array(_long(model, text), "<i4").tobytes()
         else:
-            group.append(text)
-            size += len(text) + 1
-            if size >= INDEXED:
+            if group and size + len(text) >= INDEXED:
                 finish()
                 group, size = [], 0
+            group.append(text)
+            size += len(text) + 1
     if group:
         finish()
     return out

@@ -74,11 +74,9 @@ def assign(rows: DataFrame, tree: list[Leaf], key: str = "doc_id") -> DataFrame:
     return at.select("*", *[F.col(f"__at.{c}").alias(c) for c in added]).drop("__at")
 
 
-def number(rows: DataFrame, order: list[str], shard: str = "shard") -> DataFrame:
-    """Rows with a slot, gapless from 0 in each shard."""
-    total = rows.count()
-    shards = max(1, rows.select(shard).distinct().count())
-    parts = max(1, -(-total // (shards * ROWS_A_PART)))
+def number(rows: DataFrame, order: list[str], shards: int, shard: str = "shard") -> DataFrame:
+    """Rows with a slot, gapless from 0 in each of about `shards` shards."""
+    parts = max(1, -(-rows.count() // (shards * ROWS_A_PART)))
     parted = rows.drop("slot").withColumn("__part", F.pmod(F.xxhash64(*[F.col(c) for c in order], F.lit("slot")), F.lit(parts)))
     sizes = parted.groupBy(shard, "__part").count()
     before = sizes.select(F.col(shard).alias("__s"), F.col("__part").alias("__p"), (F.sum("count").over(Window.partitionBy(shard).orderBy("__part")) - F.col("count")).alias("__before"))
@@ -96,4 +94,4 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     placed = slim.withColumn("__at", place("doc_id", tree))
     grown = F.array_min(F.array(F.col("__at"), F.struct(_draw("doc_id", new).alias("draw"), F.lit(new.region).alias("region"), F.lit(new.rack).alias("rack"), F.lit(new.shard).alias("shard"))))
     rows = placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), F.col("__at.shard").alias("shard"), grown["shard"].alias("grown_shard"), F.col("__at.region").alias("region"), F.col("__at.rack").alias("rack"))
-    return number(rows, ["doc_id", "text_crc32"])
+    return number(rows, ["doc_id", "text_crc32"], len(tree))

@@ -3,8 +3,9 @@
 Batches are balanced by bytes, and long texts are split at safe boundaries, so
 that no call holds more than about BATCH_BYTES of text.  A boundary is safe
 before a space that stands alone between two characters that aren't white space:
-byte-level pre-tokenizers start a new piece there, and no vocabulary entry or
-special string of the given files crosses it.
+byte-level pre-tokenizers start a new piece there.  Files with another
+pre-tokenizer, with a normalizer, or with an added string that holds white space
+have no such boundaries; their texts stay whole.
 
 `.json` files go to the `tokenizers` library, `.model` files to `sentencepiece`
 (whole texts: its dummy prefix belongs to the text).  No begin, end or added special tokens, no truncation or padding; special strings inside texts are
@@ -54,6 +55,20 @@ def _counter(path: str):
     return lambda texts: [len(x) for x in encode(texts, add_special_tokens=False)]
 
 
+@lru_cache(maxsize=4)
+def splits_at_spaces(path: str) -> bool:
+    """Whether the file's pieces start at lone spaces, whatever stands around them."""
+    if path.endswith(".model"):
+        return False
+    import json
+
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    before = spec.get("pre_tokenizer") or {}
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    return bool(plain and not spec.get("normalizer") and not any(re.search(r"\s", t["content"]) or t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens", [])))
+
+
 def split_safely(text: str, limit: int = PART_CHARS) -> list[str]:
     """Parts of about `limit` characters whose token counts add up to the text's."""
     parts, at = [], 0
@@ -68,8 +83,8 @@ def split_safely(text: str, limit: int = PART_CHARS) -> list[str]:
 
 
 def count_batch(texts: list[str], path: str, split: bool = True) -> np.ndarray:
-    """Token counts of the texts, by calls balanced by size; equal parts of a batch are encoded once."""
-    splittable = split and not path.endswith(".model")
+    """Token counts of the texts, by calls balanced by bytes; equal parts of a batch are encoded once."""
+    splittable = split and splits_at_spaces(path)
     owners, parts = [], []
     for i, text in enumerate(texts):
         for part in split_safely(text) if splittable and len(text) > PART_CHARS else (text,):
@@ -81,7 +96,7 @@ def count_batch(texts: list[str], path: str, split: bool = True) -> np.ndarray:
     batch, size = [], 0
     for part in distinct:
         batch.append(part)
-        size += len(part)
+        size += len(part.encode())
         if size >= BATCH_BYTES:
             counts.update(zip(batch, count(batch), strict=True))
             batch, size = [], 0

@@ -42,6 +42,8 @@ DICTIONARY_MAGIC, ZSTD_MAGIC = 0x184D2A5D, 0xFD2FB528
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payload bytes in one archive, about; a record larger than that has one of its own.
 ARCHIVE_BYTES = 4 << 20
+#: Bytes of one decoded record at most; a frame that yields more is refused, as a row can't hold 2 GiB.
+LARGEST_RECORD = 1 << 30
 #: What the dictionary is made of: the text that headers of all records share.
 _SHARED = (
     "WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:>\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nWARC-Target-URI: https://www.\r\n"
@@ -104,11 +106,14 @@ def frames(content: bytes) -> Iterator[bytes]:
         if magic != ZSTD_MAGIC:
             raise ValueError(f"no frame at byte {at}")
         one = reader.decompressobj()
-        parts, step = [], 1 << 16
+        parts, step, size = [], 1 << 16, 0
         try:
             while not one.eof and at < len(view):
                 parts.append(one.decompress(view[at : at + step]))
                 at += min(step, len(view) - at)
+                size += len(parts[-1])
+                if size > LARGEST_RECORD:
+                    raise ValueError(f"a record of more than {LARGEST_RECORD} bytes")
         except zstandard.ZstdError as e:
             raise ValueError(f"a frame is broken: {e}") from e
         if not one.eof:

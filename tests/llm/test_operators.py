@@ -129,10 +129,10 @@ def test_links_outside_the_pivots_component(spark):
     assert {r.doc_id: r.component_id for r in got} == components(sets, 85)
 
 
-@pytest.mark.parametrize("few", [0, 100])
-def test_links_between_texts_unlike_the_pivot(spark, monkeypatch, few):
+@pytest.mark.parametrize("pivots", [1, 3])
+def test_links_between_texts_unlike_the_pivot(spark, monkeypatch, pivots):
     """Near-copied excerpts, a chain of them and bridges beside a large group of copies that has all the pivots."""
-    monkeypatch.setattr(near_dup, "FEW", few, raising=False)
+    monkeypatch.setattr(near_dup, "PIVOTS", pivots)
 
     def one_bucket(batches):
         for batch in batches:
@@ -155,6 +155,50 @@ def test_links_between_texts_unlike_the_pivot(spark, monkeypatch, few):
     assert {r.doc_id: r.component_id for r in got} == components(sets, 85)
 
 
+def test_links_among_texts_of_shared_sentences(spark):
+    """Texts drawn from one pool of sentences, alike by about a half, and pairs planted just over the threshold and near 1."""
+    rng = random.Random(5)
+    pool = [[f"s{i}w{j}" for j in range(10)] for i in range(120)]
+    docs = [[w for s in rng.sample(pool, 77) for w in s] for _ in range(400)]
+    for i in range(60):
+        copy = list(docs[i])
+        for j in rng.sample(range(len(copy) // 4), (3, 8, 18)[i % 3]):
+            copy[4 * j] = f"new{i}x{j}"
+        docs.append(copy)
+    sets = [set(zip(t, t[1:], t[2:])) for t in docs]
+    at = {s: i for i, s in enumerate(set().union(*sets))}
+    held = np.zeros((len(docs), len(at)), np.float32)
+    for i, s in enumerate(sets):
+        held[i, [at[x] for x in s]] = 1
+    common = (held @ held.T).round()
+    sizes = np.diag(common)
+    want = list(range(len(docs)))
+    links = np.argwhere(100 * common >= 85 * (sizes[:, None] + sizes - common))
+    assert sum(a < b for a, b in links) >= 55 and (common[:400, :400].sum() - sizes[:400].sum()) / 400 / 399 > 0.5 * sizes.mean()
+    for _ in range(3):
+        for a, b in links:
+            want[b] = min(want[a], want[b])
+    got = near_dup.near_duplicates(table(spark, [(i, " ".join(t), None) for i, t in enumerate(docs)]), 3, 85).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(want))
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_crossing_pairs_lose_no_link(spark, percent):
+    """All links between components come out of the prefix join, for sets of very different sizes and commonness."""
+    rng = random.Random(percent)
+    rows, sets = [], {}
+    for i in range(160):
+        core = range(rng.choice([20, 40, 200]))
+        s = {x for x in core if rng.random() > 0.06} | {1000 + rng.randrange(300) for _ in range(rng.randrange(6))} | {10_000 + 50 * i + j for j in range(rng.randrange(8))}
+        sets[i] = s
+        rows.append((i, i, i // 8 * 8 if i % 3 else i, np.array(sorted(s), np.uint64).tobytes()))
+    component = {r[0]: r[2] for r in rows}
+    df = spark.createDataFrame([(x, h, c, bytearray(s)) for x, h, c, s in rows], "x long, h long, c long, set binary")
+    got = {(r.a, r.b) for r in near_dup.crossing_pairs(df, percent).collect()}
+    want = {(a, b) for a in sets for b in sets if a < b and component[a] != component[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+    assert len(want) > 20 and want <= got and all(component[a] != component[b] for a, b in got)
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, 3000, dtype=np.uint64)

@@ -37,3 +37,26 @@ def test_pipeline(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == set(kept["decontamination"]) and all(r.round_trip and len(r.ids) == r.n_tokens for r in out)
     assert [len(corpus_pipeline.STAGES), corpus_pipeline.STAGES[0][0]] == [5, "language_id"] and F is not None
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Empty tables, nulls in all columns, one very long text, repeated rows, and columns with the stages' own names."""
+    spark.createDataFrame([(0, None), (None, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    word = [f"{a}{b}{c}ly" for a in "bcdfg" for b in "aeiou" for c in "lmnrst"]
+    rng = random.Random(5)
+    long = " ".join(rng.choices(word, k=150_000))
+    rows = [(i, " ".join(rng.choices(word, k=60)), "en") for i in range(20)]
+    rows += [(30, long, None), (31, long + " end", "en"), (None, rows[0][1], "en"), (None, None, None), (32, None, "en"), (33, "", None), (5, rows[5][1], "en")]
+    docs = spark.createDataFrame([(i, t, lang, None, None) for i, t, lang in rows], DOCS)
+    for name in ("score", "lang_pred", "kept", "component_id", "n_removed", "ids", "n_tokens", "found", "a", "set", "size", "key", "batch"):
+        docs = docs.withColumn(name, F.lit("x"))
+    for table, empty in ((docs, False), (docs.limit(0), True)):
+        now = table
+        for name, stage in corpus_pipeline.STAGES:
+            now = stage(spark, now, str(tmp_path))
+            if name != "sentencepiece":
+                assert tuple(now.columns) == corpus_pipeline.COLUMNS
+            now.write.parquet(str(tmp_path / f"{name}-{empty}"))
+            now = spark.read.parquet(str(tmp_path / f"{name}-{empty}"))
+        got = sorted((r.doc_id is None, r.doc_id or 0) for r in now.collect())
+        assert got == ([] if empty else sorted([(False, i) for i in range(20)] + [(False, 5), (False, 30), (True, 0)]))
