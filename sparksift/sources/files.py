@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import subprocess
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ TEXT_EXTENSIONS = (
 )
 LARGEST_FILE = 10 * 1024 * 1024
 SNIFFED_BYTES = 8192
+#: Folders within folders that are looked into; links may make circles.
+MOST_LEVELS = 100
 
 
 def file_name(path: Column) -> Column:
@@ -39,66 +43,82 @@ def is_text(path: Column, content: Column) -> Column:
     return known | ~F.contains(F.substring(content, 1, SNIFFED_BYTES), F.lit(b"\x00"))
 
 
-def kept_folder(relative: Column) -> Column:
-    """Whether no folder on the way is hidden or one of the skipped ones."""
-    parts = F.split(relative, "/")
-    folders = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
-    return ~F.exists(folders, lambda p: p.isin(*SKIPPED_FOLDERS) | F.startswith(p, F.lit(".")))
-
-
-def _unlisted(spark: SparkSession, root: str) -> list[tuple[str, int]]:
-    """(path, length) of files that Spark's listing leaves out: names, or folders on
-    the way, that begin with a dot or an underscore (hidden folders aside). Names only."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not system.exists(path):
-        return []
-    base, out = system.makeQualified(path).toUri().getPath().rstrip("/"), []
-    files = system.listFiles(path, True)
-    while files.hasNext():
-        one = files.next()
-        parts = one.getPath().toUri().getPath()[len(base) :].strip("/").split("/") if one.getPath().toUri().getPath() != base else [one.getPath().getName()]
-        if any(p.startswith(".") or p in SKIPPED_FOLDERS for p in parts[:-1]):
-            continue
-        if any(p.startswith("_") for p in parts) or parts[-1].startswith("."):
-            if not (parts[-1].startswith(".") and parts[-1].endswith(".crc")):
-                out.append((one.getPath().toString(), one.getLen()))
-    return out
-
-
-def _read_unlisted(spark: SparkSession, paths: list[tuple[str, int]]) -> DataFrame:
-    """(path, length, content) of the given files, read by the executors."""
-
-    def run(batches):
-        import pyarrow as pa
-        from pyarrow import fs
+def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries of each folder (path, uri, folder, length, link) but for what is skipped; the executors look."""
+    from pyarrow import fs
 
-        for batch in batches:
-            for path, size in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
-                system, inner = fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else "file://" + path.split(":", 1)[1])
-                with system.open_input_stream(inner) as data:
-                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([size]), pa.array([data.read()], pa.binary())], names=["path", "length", "content"])
-
-    return spark.createDataFrame(paths, "path string, length long").mapInArrow(run, "path string, length long, content binary")
-
-
-def read_files(spark: SparkSession, path: str, exclude: list[str] | None = None, max_bytes: int = LARGEST_FILE, skip_binary: bool = True) -> DataFrame:
-    """(file, text, content, length) of the text files under a path.
-
-    Length and path are filtered before any content is read; invalid UTF-8 becomes the
-    replacement character.  Files that Spark's listing hides (.env, __tests__/...) are listed apart."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.col("length") <= max_bytes).select("path", "length", "content")
-    if apart := [(p, n) for p, n in _unlisted(spark, path) if n <= max_bytes]:
-        files = files.unionByName(_read_unlisted(spark, apart))
-    plain = F.regexp_replace("path", "^[a-z]+:/+", "/")
-    root = "/" + path.split(":", 1)[-1].strip("/") if ":" in path.split("/", 1)[0] else path.rstrip("/")
-    relative = F.when(F.startswith(plain, F.lit(root + "/")), F.expr(f"substring(regexp_replace(path, '^[a-z]+:/+', '/'), {len(root) + 2})")).otherwise(file_name(plain))
-    files = files.where(kept_folder(relative))
-    for p in exclude or []:
-        files = files.where(~F.regexp_like(plain, F.lit(p)))
+    for batch in batches:
+        for uri in batch.column(0).to_pylist():
+            system, inner = fs.FileSystem.from_uri(uri)
+            found = system.get_file_info(fs.FileSelector(inner, allow_not_found=True))
+            head = uri[: len(uri) - len(inner)] if uri.endswith(inner) else ""
+            rows = []
+            for one in found:
+                if one.type == fs.FileType.Directory and (one.base_name.startswith(".") or one.base_name in SKIPPED_FOLDERS):
+                    continue
+                if one.type in (fs.FileType.Directory, fs.FileType.File):
+                    link = system.type_name == "local" and os.path.islink(one.path)
+                    rows.append((head + one.path, one.path, one.type == fs.FileType.Directory, one.size or 0, link))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.bool_()), strict=True)], names=["uri", "path", "folder", "length", "link"])
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyarrow import fs
+
+    for batch in batches:
+        for uri, path, length in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            system, inner = fs.FileSystem.from_uri(uri)
+            with system.open_input_stream(inner) as data:
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([length]), pa.array([data.read()], pa.binary())], names=["path", "length", "content"])
+
+
+_LISTED = "uri string, path string, folder boolean, length long, link boolean"
+
+
+def _walked(spark: SparkSession, root: str, follow_symlinks: bool) -> DataFrame:
+    """(uri, path, length) of all files under a folder, level by level; hidden and skipped folders aside."""
+    from .shared import staged
+
+    tasks, files = spark.sparkContext.defaultParallelism, None
+    folders = spark.createDataFrame([(root,)], "uri string")
+    for _ in range(MOST_LEVELS):
+        level = staged(folders.repartition(tasks, "uri").mapInArrow(_children, _LISTED))
+        level = level if follow_symlinks else level.where("not link")
+        own = level.where("not folder").select("uri", "path", "length")
+        files = own if files is None else files.unionByName(own)
+        folders = level.where("folder").select("uri")
+        if not folders.limit(1).count():
+            break
+    return files
+
+
+def _status(spark: SparkSession, path: str) -> tuple[str, str, bool, int]:
+    """(uri, path, whether it is a file, length) of a path that exists."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hadoop)
+    uri, inner = found.getPath().toString(), found.getPath().toUri().getPath()
+    return (f"file://{inner}" if uri.startswith("file:") else uri), inner, found.isFile(), found.getLen()
+
+
+def read_files(spark: SparkSession, path: str, exclude: list[str] | None = None, max_bytes: int = LARGEST_FILE, skip_binary: bool = True, follow_symlinks: bool = False) -> DataFrame:
+    """(file, text, content, length) of the text files under a path, or of the one file that it names.
+
+    Executors list folders and read files; length and path decide before any content is read, and
+    the driver holds no list of files.  A file that is named itself isn't subject to `exclude`.
+    Invalid UTF-8 becomes the replacement character.  Paths are what pyarrow's file systems open."""
+    uri, inner, single, length = _status(spark, path)
+    if single:
+        listed = spark.createDataFrame([(uri, inner, length)], "uri string, path string, length long")
+    else:
+        listed = _walked(spark, uri, follow_symlinks)
+        for p in exclude or []:
+            listed = listed.where(~F.regexp_like("path", F.lit(p)))
+    chosen = listed.where(F.col("length") <= max_bytes)
+    files = chosen.repartition(spark.sparkContext.defaultParallelism * 4, "path").mapInArrow(_contents, "path string, length long, content binary")
     if skip_binary:
         files = files.where(is_text(F.col("path"), F.col("content")))
-    return files.select(plain.alias("file"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"), "content", "length")
+    return files.select(F.col("path").alias("file"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"), "content", "length")
 
 
 def from_table(rows: DataFrame, text: str = "text", file: str | None = None, template: str = "row:{}") -> DataFrame:
@@ -124,14 +144,24 @@ def is_script_like(content_type: Column) -> Column:
     return content_type.isNull() | F.regexp_like(F.lower(content_type), F.lit("text/|javascript|ecmascript|json"))
 
 
+def positioned(spark: SparkSession, *paths: str) -> DataFrame:
+    """(url, position) of lists of URLs, one a line; position: the list, then the place in it."""
+    out = None
+    for i, path in enumerate(paths):
+        rows = spark.read.text(path).select(F.trim("value").alias("url"), F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"))
+        rows = rows.select("url", F.struct(F.lit(i).alias("list"), "p", "b", "m").alias("position"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def url_list(spark: SparkSession, path: str, js_only: bool = False, most: int | None = None, scope: str | None = None) -> DataFrame:
-    """URLs of a list, one a line: http and https only, within scope, the first `most`."""
-    rows = spark.read.text(path).select(F.trim("value").alias("url")).where(F.regexp_like("url", F.lit("^https?://")))
+    """URLs of a list, one a line: http and https only, within scope, the first `most` by place in the list."""
+    rows = positioned(spark, path).where(F.regexp_like("url", F.lit("^https?://")))
     if scope:
         rows = rows.where(F.regexp_like("url", F.lit(scope)))
     if js_only:
         rows = rows.where(F.contains(F.lower("url"), F.lit(".js")))
-    return rows.limit(most) if most is not None else rows
+    return (rows.orderBy("position").limit(most) if most is not None else rows).select("url")
 
 
 def merged_urls(*lists: DataFrame) -> DataFrame:
@@ -141,27 +171,36 @@ def merged_urls(*lists: DataFrame) -> DataFrame:
     return out.distinct().orderBy("url")
 
 
-def git_blobs(repo: str, timeout: int = 300) -> Iterator[tuple[int, str, str, str]]:
-    """(order, commit, path, content) of files added or changed in history whose extension is a text one."""
+def _git(repo: str, *args: str, timeout: int = 300) -> str:
+    return subprocess.run(["git", "-C", repo, *args], capture_output=True, timeout=timeout, check=True).stdout.decode("utf-8", "replace")
 
-    def git(*args: str) -> str:
-        return subprocess.run(["git", "-C", repo, *args], capture_output=True, timeout=timeout, check=True).stdout.decode("utf-8", "replace")
 
-    order = 0
-    for commit in git("log", "--all", "--diff-filter=AM", "--format=%H").split():
-        for path in git("diff-tree", "--no-commit-id", "-r", "--name-only", commit).splitlines():
-            if "." + path.rsplit(".", 1)[-1].lower() in TEXT_EXTENSIONS and "." in path.rsplit("/", 1)[-1].lstrip("."):
-                try:
-                    yield order, commit, path, git("show", f"{commit}:{path}")
-                    order += 1
-                except subprocess.CalledProcessError:
-                    continue
+def _blobs(repo: str):
+    """Files that a commit added or changed, if their extension is a text one; the executors read them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for place, commit in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                for i, path in enumerate(_git(repo, "diff-tree", "--no-commit-id", "-r", "--root", "--name-only", "--diff-filter=AM", commit).splitlines()):
+                    name = path.rsplit("/", 1)[-1].lstrip(".")
+                    if "." in name and "." + name.rsplit(".", 1)[-1].lower() in TEXT_EXTENSIONS:
+                        try:
+                            content = _git(repo, "show", f"{commit}:{path}")
+                        except subprocess.CalledProcessError:
+                            continue
+                        yield pa.RecordBatch.from_arrays([pa.array([place]), pa.array([i]), pa.array([f"git:{commit[:8]}:{path}"]), pa.array([content])], names=["place", "at", "file", "text"])
+
+    return run
 
 
 def git_history(spark: SparkSession, repo: str) -> DataFrame:
-    """(order, file, text) of a repository's history; file is git:<first 8 of the commit>:<path>."""
-    rows = [(i, f"git:{commit[:8]}:{path}", content) for i, commit, path, content in git_blobs(repo)]
-    return spark.createDataFrame(rows, "order long, file string, text string")
+    """(order, file, text) of a repository's history; file is git:<first 8 of the commit>:<path>.
+
+    The driver lists commits only, and the repository must be on a disk that all tasks see."""
+    commits = list(enumerate(_git(repo, "log", "--all", "--diff-filter=AM", "--format=%H").split()))
+    rows = spark.createDataFrame(commits, "place long, commit string").repartition(spark.sparkContext.defaultParallelism * 4, "commit")
+    found = rows.mapInArrow(_blobs(repo), "place long, at long, file string, text string")
+    return found.select((F.col("place") * (1 << 20) + F.col("at")).alias("order"), "file", "text")
 
 
 def git_findings(blobs: DataFrame, options=None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import subprocess
 
 from pyspark.sql import functions as F
 
@@ -31,6 +32,39 @@ def test_files(spark, tmp_path):
     got = {r.file.removeprefix(root + "/"): r.text for r in sources.read_files(spark, root).collect()}
     assert set(got) == {"src/a.py", "src/.env", "src/e.txt"}
     assert set(r.file.removeprefix(root + "/") for r in sources.read_files(spark, root, exclude=[r"\.py$"], max_bytes=30).collect()) == {"src/e.txt"}
+    # a file that is named itself isn't excluded, but its size and kind count
+    assert [r.file for r in sources.read_files(spark, root + "/src/a.py", exclude=[r"\.py$"]).collect()] == [root + "/src/a.py"]
+    assert sources.read_files(spark, root + "/src/a.py", max_bytes=3).count() == 0 and sources.read_files(spark, root + "/src/d.bin").count() == 0
+    (tmp_path / "other").mkdir()
+    (tmp_path / "src" / "__tests__").mkdir()
+    (tmp_path / "src" / "__tests__" / "t.py").write_text("t")
+    (tmp_path / "other" / "f.py").symlink_to(tmp_path / "src" / "a.py")
+    (tmp_path / "linked").symlink_to(tmp_path / "src")
+    names = lambda follow: {r.file.removeprefix(root + "/") for r in sources.read_files(spark, root, follow_symlinks=follow).collect()}
+    plain = {"src/a.py", "src/.env", "src/e.txt", "src/__tests__/t.py"}
+    assert names(False) == plain and names(True) == plain | {"other/f.py"} | {f"linked/{n.removeprefix('src/')}" for n in plain}
+
+
+def test_url_lists(spark, tmp_path):
+    (tmp_path / "urls").write_text("".join(f"https://h/{i % 7}/{i}.js\n" for i in range(500)) + "ftp://x/1.js\nhttps://h/page\n\n")
+    got = [r.url for r in sources.url_list(spark, str(tmp_path / "urls"), js_only=True, most=3, scope="/[56]/").collect()]
+    assert got == ["https://h/5/5.js", "https://h/6/6.js", "https://h/5/12.js"]
+    assert sources.url_list(spark, str(tmp_path / "urls")).count() == 501
+
+
+def test_git_history(spark, tmp_path):
+    def git(*args):
+        subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=n", "-c", "user.email=e@x", *args], check=True, capture_output=True)
+
+    git("init", "-q")
+    for name, text in (("a.py", f"k = '{TOKEN}'"), ("b.bin", TOKEN), ("a.py", "gone"), ("c.txt", f"again {TOKEN}")):
+        (tmp_path / name).write_text(text)
+        git("add", "-A")
+        git("commit", "-qm", name)
+    history = sources.git_history(spark, str(tmp_path))
+    assert sorted(r.file.split(":")[2] for r in history.collect()) == ["a.py", "a.py", "c.txt"]
+    found = sources.git_findings(history, PLAIN).where("rule = 'github_personal_access_token'").collect()
+    assert [(r.file.split(":")[2], r.secret, r.column) for r in found] == [("c.txt", TOKEN, 0)]  # the log has the newest commit first
 
 
 def test_command_line_rpc_and_rest(spark, tmp_path, capsys):
