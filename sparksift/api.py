@@ -5,9 +5,11 @@ from __future__ import annotations
 import argparse
 import hmac
 import json
+import os
 import sys
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,14 @@ from .operators.cache import ResultCache, scan_cached
 from .plans.scan import finish, scan
 from .sinks import reports
 from .sources import files as sources
+from .sources.shared import staged
+
+
+#: transport(validator, secret) -> (valid, detail)
+Transport = Callable[[str, str], tuple[bool, str]]
+#: Where settings are looked for; later ones win, and --config wins over all.
+CONFIG_PATHS = ("~/.config/sparksift/config.json", "~/.sparksiftrc", ".sparksiftrc", ".sparksiftrc.json")
+IGNORE_FILE = ".sparksiftignore"
 
 
 @dataclass
@@ -63,9 +73,9 @@ class Scanner:
         found = scan_cached(texts, self.cache, self.options) if self.cache else scan(texts, self.options)
         return finish(found, mode, ignored)
 
-    def scan_paths(self, paths: list[str], mode: str = "sdk", exclude: list[str] | None = None, max_bytes: int = sources.LARGEST_FILE, skip_binary: bool = True, ignored: DataFrame | None = None, git: bool = False) -> ScanResult:
+    def scan_paths(self, paths: list[str], mode: str = "sdk", exclude: list[str] | None = None, max_bytes: int = sources.LARGEST_FILE, skip_binary: bool = True, ignored: DataFrame | None = None, git: bool = False, follow_symlinks: bool = False) -> ScanResult:
         began = time.time()
-        tables = [sources.read_files(self.spark, p, exclude, max_bytes, skip_binary) for p in paths]
+        tables = [sources.read_files(self.spark, p, exclude, max_bytes, skip_binary, follow_symlinks) for p in paths]
         texts = tables[0]
         for t in tables[1:]:
             texts = texts.unionByName(t)
@@ -81,6 +91,21 @@ class Scanner:
         texts = self.spark.createDataFrame([(source, content)], "file string, text string").where("text <> ''")
         return finish(scan(texts, options), mode)
 
+    def scan_file(self, path: str) -> DataFrame:
+        """Findings of one file, as they come: no duplicates dropped between lines, nothing downgraded."""
+        return finish(scan(sources.read_files(self.spark, path, skip_binary=False), self.options), "raw")
+
+    def scan_url(self, url: str, fetch: Callable[[str], bytes | None]) -> DataFrame:
+        """Findings of what fetch(url) gives, under the URL's safe name; none if it gives nothing."""
+        body = fetch(url)
+        pages = self.spark.createDataFrame([(url, bytearray(body or b""))], "url string, body binary")
+        texts = pages.select(sources.fetched_name(F.col("url")).alias("file"), F.make_valid_utf8(F.col("body").cast("string")).alias("text")).where("text <> ''")
+        return finish(scan(texts, self.options), "raw")
+
+    def validate(self, findings: DataFrame, transport: Transport | None = None) -> dict[tuple[str, str], dict]:
+        """Results by rule and start of the secret; without a transport nothing is sent."""
+        return {(v["rule"], v["secret"][:40]): v for v in post.validate(findings, transport)}
+
     def scan_pages(self, pages: DataFrame, mode: str = "sdk") -> DataFrame:
         return self.scan_table(sources.from_pages(pages), mode)
 
@@ -183,27 +208,58 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="sparksift", description="Find exposed secrets in files.")
     p.add_argument("paths", nargs="*")
     p.add_argument("--severity", default="LOW")
-    p.add_argument("--format", choices=sorted(reports.FORMATS), default="text")
+    p.add_argument("--format", choices=sorted(reports.PIECES), default="text")
     p.add_argument("--output")
     p.add_argument("--show-secrets", action="store_true", help="show secrets in full")
     p.add_argument("--no-entropy", action="store_true")
     p.add_argument("--no-decode-base64", action="store_true")
-    for name in ("decode-hex", "decode-gzip", "decode-unicode", "js-reconstruct", "endpoints", "no-skip-binary", "no-dedup", "git-history", "pipe", "list-rules", "rules-only"):
+    for name in ("decode-hex", "decode-gzip", "decode-unicode", "js-reconstruct", "endpoints", "no-skip-binary", "no-dedup", "git-history", "pipe", "list-rules", "rules-only", "follow-symlinks", "no-cache", "validate", "redact"):
         p.add_argument(f"--{name}", action="store_true")
     p.add_argument("--exclude", action="append", default=[])
+    p.add_argument("--webhook-url", action="append", default=[], help="send a message to this URL; repeatable")
+    p.add_argument("--webhook-format", choices=sorted(reports.MESSAGES), default="json")
     for name in ("exclude-file", "rules", "config", "ignore-file", "cache-dir", "fail-on", "add-ignore"):
         p.add_argument(f"--{name}")
     p.add_argument("--max-file-size", default=sources.LARGEST_FILE, type=parse_size)
     return p
 
 
-def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    """0 clean, 1 findings (or findings at fail-on and worse), 2 wrong arguments."""
+def settings(spark: SparkSession, explicit: str | None) -> dict:
+    """Settings of all configuration files that can be read, by option name; broken ones are left out."""
+    found: dict = {}
+    for path in CONFIG_PATHS:
+        try:
+            with open(os.path.expanduser(path), encoding="utf-8") as file:
+                own = json.load(file)
+        except (OSError, ValueError):
+            continue
+        found |= own if isinstance(own, dict) else {}
+    if explicit:
+        own = json.loads("\n".join(r["value"] for r in spark.read.text(explicit).collect()))
+        found |= own if isinstance(own, dict) else {}
+    return found
+
+
+def post_json(url: str) -> Callable[[dict], bool]:
+    """A transport of messages to a URL that the caller named."""
+    import urllib.request
+
+    def send(message: dict) -> bool:
+        request = urllib.request.Request(url, json.dumps(message).encode(), {"Content-Type": "application/json"})
+        with urllib.request.urlopen(request, timeout=20) as answer:
+            return 200 <= answer.status < 300
+
+    return send
+
+
+def main(argv: list[str] | None = None, spark: SparkSession | None = None, transport: Transport | None = None, sender: Callable[[str], Callable[[dict], bool]] = post_json) -> int:
+    """0 clean, 1 findings (or findings at fail-on and worse), 2 wrong arguments.
+
+    transport validates secrets where --validate asks for it; sender makes what sends messages to a URL."""
     arguments = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("sparksift").getOrCreate()
-    if arguments.config:
-        text = "\n".join(r["value"] for r in spark.read.text(arguments.config).collect())
-        stored = as_options(json.loads(text), vars(arguments))
+    stored = as_options(settings(spark, arguments.config), vars(arguments))
+    if stored:
         arguments = parser().parse_args(argv, argparse.Namespace(**{**vars(parser().parse_args([])), **stored}))
     rules: list[Rule] = [] if arguments.rules_only else list(builtin_rules())
     if arguments.rules:
@@ -212,29 +268,40 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print("nothing to scan, or no such severity", file=sys.stderr)
         return 2
     options = ScanOptions(arguments.severity.upper(), not arguments.no_entropy, not arguments.no_decode_base64, arguments.decode_hex, arguments.decode_gzip, arguments.decode_unicode, arguments.js_reconstruct, arguments.endpoints, rules=tuple(rules))
-    scanner = Scanner(spark, options, ResultCache(spark, arguments.cache_dir) if arguments.cache_dir else None)
+    scanner = Scanner(spark, options, ResultCache(spark, arguments.cache_dir) if arguments.cache_dir and not arguments.no_cache else None)
     if arguments.list_rules:
         print("\n".join(f"{r['severity']:<9} {r['name']}" for r in scanner.list_rules()))
         return 0
-    ignored = sources.ignore_list(spark, arguments.ignore_file) if arguments.ignore_file else None
+    listed = arguments.ignore_file or ("file://" + os.path.abspath(IGNORE_FILE) if os.path.exists(IGNORE_FILE) else None)
+    ignored = sources.ignore_list(spark, listed) if listed else None
     if arguments.pipe:
         found = scanner.scan_string(sys.stdin.read())
+        found = post.suppress(found, ignored) if ignored is not None else found
     else:
         mode = "raw" if arguments.no_dedup else "cli"
         exclude = [*arguments.exclude, *(sources.exclude_list(spark, arguments.exclude_file) if arguments.exclude_file else [])]
-        found = scanner.scan_paths(arguments.paths, mode, exclude, arguments.max_file_size, not arguments.no_skip_binary, ignored, arguments.git_history).findings
+        found = scanner.scan_paths(arguments.paths, mode, exclude, arguments.max_file_size, not arguments.no_skip_binary, ignored, arguments.git_history, arguments.follow_symlinks).findings
     if arguments.add_ignore:
         from .functions.text import fingerprint
 
         marks = found.select(fingerprint(F.col("rule"), F.col("secret"), F.col("file")).alias("value")).distinct()
         marks.write.mode("append").text(arguments.add_ignore)
         return 0
-    report = reports.FORMATS[arguments.format](found.select(COLUMNS), not arguments.show_secrets)
+    found, redact = staged(found.select(COLUMNS)), arguments.redact or not arguments.show_secrets
+    ordered = post.ordered(found)
     if arguments.output:
         with open(arguments.output, "w", encoding="utf-8") as out:
-            out.write(report)
+            out.writelines(reports.PIECES[arguments.format](ordered, redact))
     else:
-        print(report)
+        sys.stdout.writelines(reports.PIECES[arguments.format](ordered, redact))
+    if arguments.validate:
+        for (rule, _), result in scanner.validate(found, transport).items():
+            print(f"{rule}: {'valid' if result['valid'] else 'not valid'} ({result['detail']})", file=sys.stderr)
+    if arguments.webhook_url:
+        message = reports.MESSAGES[arguments.webhook_format](ordered, redact)
+        for url in arguments.webhook_url:
+            if not reports.send(message, sender(url)):
+                print(f"no message could be sent to {url}", file=sys.stderr)
     return int(post.failing(found, arguments.fail_on.upper() if arguments.fail_on else None).first()["failed"])
 
 

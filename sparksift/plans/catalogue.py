@@ -22,6 +22,7 @@ from ..sinks import reports
 from ..sources import files as sources
 from ..sources.shared import spread
 from ..streaming import stream
+from . import hunt
 from . import sqltext as S
 from .scan import finish, scan
 
@@ -480,6 +481,37 @@ def fetched_names(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", sources.fetched_name(F.col("url")).alias("name"))
 
 
+@query(f"""WITH n AS (SELECT page_id, url, CASE WHEN {_NAME} = '' THEN 'index.html' ELSE left({_NAME}, 80) END AS name FROM pages),
+k AS (SELECT page_id, name, row_number() OVER (PARTITION BY name ORDER BY url NULLS FIRST, page_id) - 1 AS k, regexp_extract(name, '^.+(\\.[^.]+)$', 1) AS ext FROM n)
+SELECT page_id, CASE WHEN k = 0 THEN name ELSE left(name, length(name) - length(ext)) || '_' || k || ext END AS name FROM k""")
+def colliding_names(spark, sf_dir):
+    """File names of pages, numbered where they collide."""
+    return hunt.collision_names(_table(spark, sf_dir, "pages").select("page_id", "url"), sources.fetched_name(F.col("url")), ["url", "page_id"]).select("page_id", "name")
+
+
+@query(f"WITH {_PAGES}, {_FOUND} SELECT rule, secret, file, line FROM found QUALIFY row_number() OVER (PARTITION BY rule, left(secret, 60) ORDER BY file, line, rule_ord, j) = 1")
+def stream_findings(spark, sf_dir):
+    """Findings in fetched pages, once for each rule and start of the secret."""
+    return hunt.stream_findings(sources.from_pages(_table(spark, sf_dir, "pages")), RULES_ONLY).select("rule", "secret", "file", "line")
+
+
+@query("SELECT page_id, string_split(trim(regexp_replace(url || ' [200] [A title]', '\\s+', ' ', 'g')), ' ')[1] AS url FROM pages WHERE length(trim(url)) > 0")
+def live_urls(spark, sf_dir):
+    """URLs of a prober's lines, made from all pages' URLs with status and title."""
+    lines = _table(spark, sf_dir, "pages").select("page_id", F.concat("url", F.lit(" [200] [A title]")).alias("value"))
+    return hunt.live_urls(lines, keep=["page_id"]).select("page_id", "url")
+
+
+@query()
+def hunt_report(spark, sf_dir):
+    """The whole chain over all pages: candidates, script URLs, files, inline scripts, source maps, and the report."""
+    from ..sources.shared import shared_folder
+
+    pages = _table(spark, sf_dir, "pages")
+    chain = hunt.Hunt(spark, f"{shared_folder(spark)}/hunt-{uuid.uuid4().hex}", hunt.HuntOptions(scripts_only=False, most=None, depth=1, scan=RULES_ONLY))
+    return chain.run(pages.select("url", F.col("page_id").alias("position")), pages.select("url", "html"))["report"]
+
+
 @query("WITH d AS (SELECT doc_id, sha256(text) AS digest FROM documents) SELECT doc_id, digest, doc_id = min(doc_id) OVER (PARTITION BY digest) AS keep, count(*) OVER (PARTITION BY digest) AS copies FROM d")
 def exact_dup_documents(spark, sf_dir):
     found = post.exact_duplicates(_table(spark, sf_dir, "documents"), "text", "doc_id")

@@ -38,7 +38,8 @@ NUMBERED = 100_000
 class HuntOptions:
     scope: str | None = None
     scripts_only: bool = True
-    most: int = 200
+    #: URLs that are taken, and half of what a level of the crawl takes; None for all.
+    most: int | None = 200
     depth: int = 0
     inline_scripts: bool = True
     source_maps: bool = True
@@ -46,9 +47,9 @@ class HuntOptions:
     scan: ScanOptions = field(default_factory=ScanOptions)
 
 
-def live_urls(lines: DataFrame, line: str = "value") -> DataFrame:
+def live_urls(lines: DataFrame, line: str = "value", keep: list[str] | None = None) -> DataFrame:
     """The first word of each line of a prober's output: its URL, without status and title."""
-    return lines.select(F.regexp_extract(F.col(line), r"^\s*(\S+)", 1).alias("url")).where("url <> ''")
+    return lines.select(*(keep or []), F.regexp_extract(F.col(line), r"^\s*(\S+)", 1).alias("url")).where("url <> ''")
 
 
 def candidate_urls(urls: DataFrame, options: HuntOptions) -> DataFrame:
@@ -58,7 +59,8 @@ def candidate_urls(urls: DataFrame, options: HuntOptions) -> DataFrame:
         rows = rows.where(F.regexp_like("url", F.lit(options.scope)))
     if options.scripts_only:
         rows = rows.where(F.contains(F.lower("url"), F.lit(".js")))
-    return rows.groupBy("url").agg(F.min("position").alias("position")).orderBy("position", "url").limit(options.most)
+    once = rows.groupBy("url").agg(F.min("position").alias("position"))
+    return once if options.most is None else once.orderBy("position", "url").limit(options.most)
 
 
 def collision_names(rows: DataFrame, name: Column, order: list[str]) -> DataFrame:
@@ -168,7 +170,7 @@ class Hunt:
         o = self.options
         first = self._table("urls", lambda: candidate_urls(urls, o))
         fetched = pages.select("url", F.col("html").alias("text"))
-        reached = self._table("reached", lambda: structured.crawl(first, fetched, o.depth, 2 * o.most if o.depth else None))
+        reached = self._table("reached", lambda: structured.crawl(first, fetched, o.depth, None if o.most is None or not o.depth else 2 * o.most))
         files = self._table("files", lambda: fetched_files(pages.join(reached.select("url"), "url", "left_semi"), o))
         none = files.select("file", "text").limit(0)
         scripts = self._table("scripts", lambda: inline_scripts(files) if o.inline_scripts else none)

@@ -213,8 +213,17 @@ def git_findings(blobs: DataFrame, options=None) -> DataFrame:
     return first.drop("order").withColumn("column", F.lit(0)).withColumn("context_before", F.lit("")).withColumn("context_after", F.lit(""))
 
 
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value) of the lines of a list; Spark's own reader passes over files whose name begins with a dot."""
+    if not path.rsplit("/", 1)[-1].startswith((".", "_")):
+        return spark.read.text(path)
+    uri, inner, _, length = _status(spark, path)
+    one = spark.createDataFrame([(uri, inner, length)], "uri string, path string, length long").mapInArrow(_contents, "path string, length long, content binary")
+    return one.select(F.explode(F.split(F.make_valid_utf8(F.col("content").cast("string")), "\r?\n")).alias("value"))
+
+
 def _lines(spark: SparkSession, path: str) -> list[str]:
-    return [r["value"] for r in spark.read.text(path).collect()]
+    return [r["value"] for r in text_lines(spark, path).collect()]
 
 
 def rules_file(spark: SparkSession, path: str) -> list[Rule]:
@@ -223,7 +232,7 @@ def rules_file(spark: SparkSession, path: str) -> list[Rule]:
 
 def ignore_list(spark: SparkSession, path: str) -> DataFrame:
     """Fingerprints of an ignore file, without comments."""
-    rows = spark.read.text(path).where(~F.startswith("value", F.lit("#")))
+    rows = text_lines(spark, path).where(~F.startswith("value", F.lit("#")))
     return rows.select(F.trim(F.substring_index("value", "#", 1)).alias("fingerprint")).where("fingerprint <> ''").distinct()
 
 
