@@ -31,15 +31,22 @@ def scan_stream(texts: DataFrame, path: str, checkpoint: str, options: ScanOptio
     return unseen(texts, within).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def _timed(events: DataFrame, time: str, late: str) -> DataFrame:
+    """Events with a watermark; a stream's time must have a zone, and gets the session's."""
+    if events.isStreaming and events.schema[time].dataType.simpleString() == "timestamp_ntz":
+        events = events.withColumn(time, F.col(time).cast("timestamp"))
+    return events.withWatermark(time, late)
+
+
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes", time: str = "ts", key: str = "event_type", value: str = "value") -> DataFrame:
     """Events by window and key; on a stream, windows close `late` after their end."""
-    return events.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), key).agg(F.count("*").alias("n"), F.round(F.sum(value), 3).alias("total")).select(F.col("w.start").alias("window_start"), key, "n", "total")
+    return _timed(events, time, late).groupBy(F.window(time, width).alias("w"), key).agg(F.count("*").alias("n"), F.round(F.sum(value), 3).alias("total")).select(F.col("w.start").alias("window_start"), key, "n", "total")
 
 
 def sliding(events: DataFrame, width: str = "2 hours", step: str = "1 hour", late: str = "10 minutes", time: str = "ts", key: str = "event_type") -> DataFrame:
-    return events.withWatermark(time, late).groupBy(F.window(time, width, step).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), key, "n")
+    return _timed(events, time, late).groupBy(F.window(time, width, step).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), key, "n")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes", time: str = "ts", key: str = "user_id") -> DataFrame:
     """Sessions of a key: events no more than a gap apart."""
-    return events.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
+    return _timed(events, time, late).groupBy(F.session_window(time, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")

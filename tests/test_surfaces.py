@@ -3,6 +3,7 @@
 import hashlib
 import json
 import subprocess
+import sys
 
 from pyspark.sql import functions as F
 
@@ -205,8 +206,24 @@ def test_stream(spark, tmp_path):
     assert spark.read.parquet(out).select("file").distinct().count() == 1  # the second content was seen
 
 
-def test_entry_points(spark):
+def test_windows_on_a_stream(spark, tmp_path):
+    """Windows of a stream that comes in two parts are those of the whole table."""
+    source = str(tmp_path / "events")
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    for i in range(2):
+        events.where(F.col("event_id") % 2 == i).write.mode("append").parquet(source)
+    for make in (stream.tumbling, stream.sliding, stream.sessions):
+        flow = make(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source), late="3650 days")
+        q = flow.writeStream.outputMode("complete").format("memory").queryName(make.__name__).trigger(availableNow=True).start()
+        assert q.awaitTermination(180) and q.exception() is None
+        rows = lambda df: sorted(map(repr, df.collect()))
+        assert rows(spark.table(make.__name__)) == rows(make(events)), make.__name__
+
+
+def test_entry_points(spark, monkeypatch):
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert "seeded_scan" in entry.queries()
+    assert "seeded_scan" in entry.queries() and "pipeline" in entry.queries()
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)  # as if it could not be imported
+    assert "seeded_scan" in entry.queries() and "pipeline" not in entry.queries() and set(entry.oracle_sql()) <= set(entry.queries())
