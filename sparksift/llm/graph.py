@@ -14,7 +14,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Minimum labels with grandparent hooking: in each round a vertex and its
     parent take the least grandparent of the neighbours, so the number of
     rounds follows the logarithm of the longest path.  Labels are staged in the
-    shared folder each round; all work is joins and aggregates of small rows.
+    shared folder each round; all work is inner joins and aggregates of small rows,
+    whose hot keys (the root of a large component, a hub) Spark splits when it joins
+    and combines before it shuffles.
     Null vertices are ignored; no links give no rows."""
     both = links.select(F.col(a).alias("v"), F.col(b).alias("w")).where("v is not null and w is not null and v <> w")
     edges = C.stage(both.union(both.select(F.col("w").alias("v"), F.col("v").alias("w"))).distinct(), "edges")

@@ -17,7 +17,8 @@ Plan
      candidates with the pivot only: linear in the bucket.  Candidates must fit in
      size and pass a joint likelihood estimate that lies six standard deviations
      under the threshold, then are confirmed on the full sets.  Members without a
-     link to the pivot get another pivot among them, PIVOTS times at most.
+     link to the pivot get another pivot among them, PIVOTS times at most, and as
+     long as that links more than a few.
   4. components of the confirmed links.
   5. members of a bucket that are in different components by then may still link.
      All classes of such buckets, pivots and linked ones too, take part in an exact
@@ -57,6 +58,8 @@ ROWS = 4
 BANDS = REGISTERS // ROWS
 #: Pivots that a bucket gets at most before its members of different components meet by their shingles.
 PIVOTS = 3
+#: Another pivot is only tried where the last one linked one member in so many.
+LEAST_YIELD = 20
 #: Ratio of neighbouring size classes in the prefix join.
 STEP = 1.02
 _POWERS = C.Powers(0xD1B54A32D192ED03)
@@ -286,7 +289,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             break
         rounds.append(C.stage(linked(drawn.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()), "links"))
         left = C.stage(drawn.join(rounds[-1].select(F.col("a").alias("pivot"), F.col("b").alias("rep")), ["pivot", "rep"], "left_anti").select("key", "rep", "met"), "left")
+        before, after = drawn.count(), left.count()
         C.unstage(drawn)
+        if (before - after) * LEAST_YIELD < before:  # what is left is better met by its shingles
+            break
     links = reduce(DataFrame.union, rounds, spark.createDataFrame([], "a long, b long"))
     # a doc_id that comes with several texts links its classes
     mark = F.xxhash64("fp")
