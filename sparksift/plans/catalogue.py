@@ -377,6 +377,24 @@ def decoded_documents(spark, sf_dir):
     return both.select("doc_id", "tag", F.md5(F.col("decoded").cast("binary")).alias("digest"))
 
 
+@query("SELECT doc_id, md5(text) AS digest FROM documents WHERE octet_length(encode(text)) >= 24")
+def chained_documents(spark, sf_dir):
+    """Whole texts in Base64 in Base64, read again by the chain of decoders."""
+    twice = _base64(F.concat(F.lit("x "), _base64(F.col("text")), F.lit(" y")))
+    rows = _table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), twice.alias("line_text"))
+    out = decode.decode_chain(rows).select("doc_id", "digest", F.md5(F.col("decoded").cast("binary")).alias("made"))
+    return out.where("made = digest").select("doc_id", "digest").distinct()
+
+
+@query("SELECT doc_id, unnest(['a.text', 'a.list[1][0]']) AS key_path, unnest([md5(text), md5(text)]) AS digest FROM documents WHERE length(text) > 0")
+def json_documents(spark, sf_dir):
+    """Whole texts within JSON documents, with their key paths."""
+    text = F.col("text")
+    doc = F.to_json(F.struct(F.struct(text.alias("text"), F.array(F.array(F.lit("")), F.array(text)).alias("list")).alias("a"), F.lit(1).alias("n")))
+    values = structured.json_values(_table(spark, sf_dir, "documents").where("text is not null").select("doc_id", doc.alias("text")))
+    return values.select("doc_id", "key_path", F.md5(F.col("value").cast("binary")).alias("digest"))
+
+
 def named_gzip(data: bytes, name: str) -> bytes:
     with io.BytesIO() as out:
         with gzip.GzipFile(name, "wb", fileobj=out, mtime=0) as file:
