@@ -148,7 +148,8 @@ def sure_run(pattern: str) -> int:
 
 
 def _holds_one(literals: list[str]) -> Callable[[Column], Column]:
-    return lambda text: F.exists(F.array(*map(F.lit, literals)), lambda x: F.contains(text, x))
+    some = F.expr(f"array({', '.join(map(_sql, literals))})")
+    return lambda text: F.exists(some, lambda x: F.contains(text, x))
 
 
 def gate(active: list[tuple[int, Rule]]) -> Callable[[Column], Column]:

@@ -109,7 +109,7 @@ def validatable(findings: DataFrame) -> DataFrame:
     Nothing is sent anywhere; a transport is up to the caller."""
     pairs = [F.lit(x) for kv in VALIDATORS.items() for x in kv]
     named = findings.withColumn("validator", F.create_map(*pairs)[F.col("rule")]).where("validator is not null")
-    return named.groupBy("rule", F.left("secret", F.lit(40)).alias("__k")).agg(F.min_by("secret", F.struct("file", "line")).alias("secret"), F.first("validator").alias("validator")).drop("__k")
+    return named.groupBy("rule", F.left("secret", F.lit(40)).alias("__k")).agg(F.min_by("secret", F.struct("file", "line", "secret")).alias("secret"), F.first("validator").alias("validator")).drop("__k")
 
 
 def validate(findings: DataFrame, transport) -> list[dict]:

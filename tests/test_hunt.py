@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparksift.functions import tables
 from sparksift.model import ScanOptions
+from sparksift.operators import post
 from sparksift.plans import hunt
 from sparksift.sources.files import fetched_name
 
@@ -83,3 +84,12 @@ def test_table_functions(spark):
     assert [(r.id, r.secret, r.column) for r in spark.sql("SELECT t.id, f.* FROM t, LATERAL scan_line(t.line) f WHERE f.rule = 'github_personal_access_token'").collect()] == [(1, TOKEN, 3)]
     assert ("base64", "base64_github_personal_access_token", TOKEN) in {(r.tag, r.rule, r.secret) for r in spark.sql("SELECT f.* FROM t, LATERAL decode_rescan(t.coded) f").collect()}
     assert [tuple(r) for r in spark.sql("SELECT t.id, f.* FROM t, LATERAL json_walk(t.doc) f").collect()] == [(1, "a[0].b", "c")]
+
+
+def test_content_types_and_ties(spark):
+    pages = spark.createDataFrame([("https://a/1.js", "x", "text/javascript"), ("https://a/2.js", "y", "image/png"), ("https://a/3.js", "z", None), ("https://a/4.js", "w", "Application/JSON; charset=x")], "url string, html string, content_type string")
+    got = {r.file for r in hunt.fetched_files(pages, hunt.HuntOptions(filter_content_type=True)).collect()}
+    assert got == {"1.js", "3.js", "4.js"} and hunt.fetched_files(pages, hunt.HuntOptions()).count() == 4
+    key = "ghp_" + "A" * 40
+    found = spark.createDataFrame([("f", 1, "github_pat", key + x) for x in ("c", "a", "b")], "file string, line int, rule string, secret string")
+    assert [r.secret for r in post.validatable(found).collect()] == [key + "a"]
