@@ -43,6 +43,13 @@ def is_text(path: Column, content: Column) -> Column:
     return known | ~F.contains(F.substring(content, 1, SNIFFED_BYTES), F.lit(b"\x00"))
 
 
+def kept_folder(relative: Column) -> Column:
+    """Whether no folder on the way is hidden or one of the skipped ones."""
+    parts = F.split(relative, "/")
+    folders = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
+    return ~F.exists(folders, lambda p: p.isin(*SKIPPED_FOLDERS) | F.startswith(p, F.lit(".")))
+
+
 def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Entries of each folder (path, uri, folder, length, link) but for what is skipped; the executors look."""
     from pyarrow import fs
@@ -101,21 +108,36 @@ def _status(spark: SparkSession, path: str) -> tuple[str, str, bool, int]:
     return (f"file://{inner}" if uri.startswith("file:") else uri), inner, found.isFile(), found.getLen()
 
 
+def _stored(spark: SparkSession, uri: str, single: bool, exclude: list[str], max_bytes: int) -> DataFrame:
+    """(path, length, content) in a store that Spark's readers open; they pass over names that begin with a dot or underscore."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(uri).where(F.col("length") <= max_bytes)
+    plain = F.regexp_replace("path", "^[a-z0-9]+:(//[^/]*)?", "")
+    if not single:
+        files = files.where(kept_folder(F.substring("path", len(uri.rstrip("/")) + 2, 1 << 30)))
+        for p in exclude:
+            files = files.where(~F.regexp_like(plain, F.lit(p)))
+    return files.select(plain.alias("path"), "length", "content")
+
+
 def read_files(spark: SparkSession, path: str, exclude: list[str] | None = None, max_bytes: int = LARGEST_FILE, skip_binary: bool = True, follow_symlinks: bool = False) -> DataFrame:
     """(file, text, content, length) of the text files under a path, or of the one file that it names.
 
-    Executors list folders and read files; length and path decide before any content is read, and
-    the driver holds no list of files.  A file that is named itself isn't subject to `exclude`.
-    Invalid UTF-8 becomes the replacement character.  Paths are what pyarrow's file systems open."""
+    On disks that the machines mount, executors list folders and read files, so that the driver
+    holds no list and no name is hidden; other stores are read by Spark's own reader.  Length and
+    path decide before any content is read.  A file that is named itself isn't subject to
+    `exclude`.  Invalid UTF-8 becomes the replacement character."""
     uri, inner, single, length = _status(spark, path)
-    if single:
-        listed = spark.createDataFrame([(uri, inner, length)], "uri string, path string, length long")
+    if uri.startswith("file:"):
+        if single:
+            listed = spark.createDataFrame([(uri, inner, length)], "uri string, path string, length long")
+        else:
+            listed = _walked(spark, uri, follow_symlinks)
+            for p in exclude or []:
+                listed = listed.where(~F.regexp_like("path", F.lit(p)))
+        chosen = listed.where(F.col("length") <= max_bytes)
+        files = chosen.repartition(spark.sparkContext.defaultParallelism * 4, "path").mapInArrow(_contents, "path string, length long, content binary")
     else:
-        listed = _walked(spark, uri, follow_symlinks)
-        for p in exclude or []:
-            listed = listed.where(~F.regexp_like("path", F.lit(p)))
-    chosen = listed.where(F.col("length") <= max_bytes)
-    files = chosen.repartition(spark.sparkContext.defaultParallelism * 4, "path").mapInArrow(_contents, "path string, length long, content binary")
+        files = _stored(spark, uri, single, exclude or [], max_bytes)
     if skip_binary:
         files = files.where(is_text(F.col("path"), F.col("content")))
     return files.select(F.col("path").alias("file"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"), "content", "length")

@@ -46,6 +46,16 @@ def test_files(spark, tmp_path):
     assert names(False) == plain and names(True) == plain | {"other/f.py"} | {f"linked/{n.removeprefix('src/')}" for n in plain}
 
 
+def test_files_of_other_stores(spark, tmp_path):
+    """A path that only Spark's readers open."""
+    root = tree(tmp_path)
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.store.link./in", f"file://{root}")
+    got = {r.file: r.text for r in sources.read_files(spark, "viewfs://store/in").collect()}
+    assert set(got) == {"/in/src/a.py", "/in/src/e.txt"} and TOKEN in got["/in/src/a.py"]
+    assert {r.file for r in sources.read_files(spark, "viewfs://store/in/", exclude=["src/a"]).collect()} == {"/in/src/e.txt"}
+    assert [r.file for r in sources.read_files(spark, "viewfs://store/in/src/a.py", exclude=["src/a"]).collect()] == ["/in/src/a.py"]
+
+
 def test_url_lists(spark, tmp_path):
     (tmp_path / "urls").write_text("".join(f"https://h/{i % 7}/{i}.js\n" for i in range(500)) + "ftp://x/1.js\nhttps://h/page\n\n")
     got = [r.url for r in sources.url_list(spark, str(tmp_path / "urls"), js_only=True, most=3, scope="/[56]/").collect()]
