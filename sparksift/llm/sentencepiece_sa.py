@@ -280,9 +280,9 @@ def encode_segments(model: Model, segments: list[str]) -> dict[str, bytes]:
         length = np.append(at[1:], len(codes)) - at
         # the id of each symbol of several characters is that of its edge; edges are sorted by place and length
         width = model.longest + 1
-        keys = edges[0] * width + edges[1]
-        place = np.minimum(np.searchsorted(keys, at * width + length), max(len(keys) - 1, 0))
-        ids = edges[2][place].astype(np.int32) if len(keys) else np.zeros(len(at), np.int32)
+        ids = np.full(len(at), -1, np.int32)
+        several = np.flatnonzero(length > 1)
+        ids[several] = edges[2][np.searchsorted(edges[0] * width + edges[1], at[several] * width + length[several])]
         alone = np.flatnonzero(length == 1)
         kinds, row = np.unique(points[at[alone]], return_inverse=True)
         single = [model.single(chr(c)) if c else [] for c in kinds.tolist()]
@@ -390,14 +390,12 @@ def encode(docs: DataFrame, path: str, check: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in C.byte_slices(batches, "text"):
+            # the whole slice at once: searching every piece costs the same for a small one
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            for low in range(0, len(texts), 500):
-                part = texts[low : low + 500]
-                ids = own.encode([t or "" for t in part])
-                same = [None if t is None or not check else a == t.replace(MARK, " ") for t, a in zip(part, own.decode(ids) if check else part, strict=True)]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]), pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()), mask=pa.array([t is None for t in part]))
-                cut = batch.slice(low, len(part))
-                yield pa.RecordBatch.from_arrays([*cut.columns, pa.array([None if t is None else len(x) for t, x in zip(part, ids, strict=True)], pa.int64()), lists, pa.array(same, pa.bool_())], names=[*cut.schema.names, "n_tokens", "ids", "round_trip"])
+            ids = own.encode([t or "" for t in texts])
+            same = [None if t is None or not check else a == t.replace(MARK, " ") for t, a in zip(texts, own.decode(ids) if check else texts, strict=True)]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]), pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()), mask=pa.array([t is None for t in texts]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([None if t is None else len(x) for t, x in zip(texts, ids, strict=True)], pa.int64()), lists, pa.array(same, pa.bool_())], names=[*batch.schema.names, "n_tokens", "ids", "round_trip"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{ddl}, n_tokens long, ids array<int>, round_trip boolean")
