@@ -45,7 +45,7 @@ LONGEST_GRAM = 5
 EVIDENCE = 12
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
-_CACHED = 100_000
+_CACHED = 50_000
 
 
 @dataclass

@@ -39,7 +39,7 @@ from . import common as C
 MARK = "▁"
 #: Characters indexed by one suffix array, and in the longest segment whose merges are made together with the others'.
 INDEXED, LONG = 300_000, 400
-CACHED = 250_000
+CACHED = 80_000
 
 
 class Model:
