@@ -63,9 +63,55 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM d JOIN m USING (payload_digest)
 """
 
+_OP11 = r"""
+WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
+g AS (SELECT text_sha256, min(doc_id) AS keep_id, CAST(count(*) AS BIGINT) AS group_size FROM d GROUP BY 1)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
+"""
+
+_TERMS = r"unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t"
+
+_OP12 = f"""
+WITH word AS (SELECT doc_id, {_TERMS} FROM documents),
+ask AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, {_TERMS} FROM benchmark) GROUP BY ALL),
+long AS (SELECT doc_id, count(*) AS n FROM word GROUP BY 1),
+whole AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS l FROM long),
+post AS (SELECT doc_id, t, count(*) AS tf FROM word WHERE t IN (SELECT t FROM ask) GROUP BY ALL),
+term AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * big_n + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM post, whole GROUP BY t, big_n),
+part AS (SELECT doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // l))) AS u FROM post JOIN term USING (t) JOIN long USING (doc_id), whole),
+score AS (SELECT item_id, doc_id, CAST(sum(times * u) AS BIGINT) AS score FROM ask JOIN part USING (t) GROUP BY ALL HAVING sum(times * u) > 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM score)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM placed WHERE rank <= 20
+"""
+
+#: CRC-32 of the decimal doc_id, a byte and then a bit at a time.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda r, b: list_reduce(list_concat([xor(r, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+_OP13 = f"""
+WITH c AS (SELECT doc_id, {_WORDS} AS w, {_CRC} AS h FROM documents),
+c2 AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM c),
+c3 AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM c2),
+d AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(0, n), lambda i: CASE WHEN i < a THEN w[i+1] ELSE w[a + (i - a) % p + 1] END) END AS w FROM c3),
+word AS (SELECT doc_id, n, i - 1 AS i, w[i] AS x FROM d, unnest(range(1, n + 1)) AS t(i)),
+same AS (SELECT a.doc_id, b.i - a.i AS q, a.i FROM word a JOIN word b ON a.doc_id = b.doc_id AND a.x = b.x AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+part AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM same),
+stretch AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS k FROM part GROUP BY doc_id, q, g HAVING count(*) + q >= greatest(6, 4 * q)),
+run AS (SELECT doc_id, s, k, min(q) AS q FROM stretch GROUP BY doc_id, s, k),
+lost AS (SELECT DISTINCT doc_id, i FROM run, unnest(range(s + q, s + k)) AS t(i)),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS text FROM word ANTI JOIN lost USING (doc_id, i) GROUP BY doc_id),
+best AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || k || ',' || q || chr(10), '' ORDER BY s, q) AS lines, min(ROW(-k, s, q)) AS top FROM run GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(top[2] AS BIGINT) AS start, CAST(-top[1] AS BIGINT) AS length, CAST(top[3] AS BIGINT) AS period,
+  CAST(1000 * -top[1] // top[3] AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM d LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 ORACLES = {
     "op1_warc_zstd": _OP1,
     "op4_preference_pairs": _OP4,
     "op3_substring_dedup": _OP3,
     "op10_near_duplicates": _OP10,
+    "op11_bloom_exact_dedup": _OP11,
+    "op12_tput_search": _OP12,
+    "op13_periodic_runs": _OP13,
 }

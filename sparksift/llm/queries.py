@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontam, fingerprint, langid, near_dup, sentencepiece_sa, sharding, substring_dedup, token_counts, warc
+from . import chat, common, decontam, exact_dedup, fingerprint, langid, near_dup, ranked_search, runs, sentencepiece_sa, sharding, substring_dedup, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,22 @@ def op8_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op11_bloom_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document the one that stays of those whose texts differ in white space only."""
+    return exact_dedup.mark_copies(_table(spark, sf_dir, "documents"))
+
+
+def op12_tput_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of each benchmark item."""
+    return ranked_search.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of each document, a tenth of which end periodically; the longest run, and digests."""
+    docs = runs.with_periodic_ends(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return runs.digest(runs.find_runs(docs))
+
+
 QUERIES = {
     "op1_warc_zstd": op1_warc_zstd,
     "op2_sentencepiece": op2_sentencepiece,
@@ -87,4 +103,7 @@ QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_bloom_exact_dedup": op11_bloom_exact_dedup,
+    "op12_tput_search": op12_tput_search,
+    "op13_periodic_runs": op13_periodic_runs,
 }
