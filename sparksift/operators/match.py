@@ -1,9 +1,11 @@
-"""The match operator: every active rule on every line, without a join.
-
-Each distinct pattern is evaluated once and fans out to the rules that share it.
-A pattern is tried on a line only if a necessary condition holds: a literal that
-every match contains, or a long run of characters that every match has.  The
-conditions are derived from the patterns, and shared ones are computed once.
+"""The match operator: rules met with lines by an index of what their matches hold.
+
+Each distinct pattern is evaluated once and fans out to the rules that share it.  From
+a pattern come the literals of which every match has one, or another necessary
+condition.  A literal's rarest 3-gram is its key in the index.  A line's keys are its own
+3-grams, and one look-up - an equi-join with the index - finds the patterns that it may
+match; they are tried if the whole literal is there.  So the plan has no rule in it,
+and thousands of rules cost a line no more than a few; rules may be a table.
 """
 
 from __future__ import annotations
@@ -11,14 +13,17 @@ from __future__ import annotations
 import re
 import re._constants as sre
 import re._parser as sre_parse
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..model import Rule
+from ..sources.shared import spread, staged
 
 #: Rules whose matches must also look like a secret.
 CHECKED = ("generic_secret", "dotenv_secret", "basic_auth_header", "wakatime_api_key", "airtable_api_key")
@@ -48,26 +53,37 @@ def _members(items) -> frozenset[str] | None:
     return frozenset(out)
 
 
-def _literal_runs(tree, folded: bool) -> list[tuple[str, ...]]:
-    """Alternatives of literals, one list for each part that every match has."""
+def _literal_runs(tree, now: str = "") -> list[tuple[str, ...]]:
+    """Alternatives of literals, one list for each part that every match has; `now` stands before the tree."""
     found: list[tuple[str, ...]] = []
-    now = ""
+
+    def lead(branch) -> str:
+        out = ""
+        for op, value in branch:
+            if op is not sre.LITERAL:
+                break
+            out += chr(value)
+        return out
+
     for op, value in tree:
         if op is sre.LITERAL:
             now += chr(value)
             continue
-        if now:
-            found.append((now,))
-            now = ""
-        if op is sre.SUBPATTERN:
-            found += _literal_runs(value[3], folded)
-        elif op is sre.MAX_REPEAT and value[0] >= 1:
-            found += _literal_runs(value[2], folded)
+        before, now = now, ""
+        if op is sre.SUBPATTERN and not (value[1] | value[2]) & re.IGNORECASE:
+            found += _literal_runs(value[3], before)
         elif op is sre.BRANCH:
-            options = [_literal_runs(branch, folded) for branch in value[1]]
+            if before:
+                found.append(tuple(before + lead(branch) for branch in value[1]))
+            options = [_literal_runs(branch) for branch in value[1]]
             if all(options):
                 best = [max(o, key=lambda alts: min(map(len, alts))) for o in options]
                 found.append(tuple(x for alts in best for x in alts))
+        else:
+            if before:
+                found.append((before,))
+            if op is sre.MAX_REPEAT and value[0] >= 1:
+                found += _literal_runs(value[2])
     if now:
         found.append((now,))
     return found
@@ -77,7 +93,7 @@ def need(pattern: str) -> Need | None:
     """The most selective condition that can be derived, or None."""
     tree = sre_parse.parse(pattern)
     folded = bool(tree.state.flags & re.IGNORECASE)
-    literals = [alts for alts in _literal_runs(tree, folded) if min(map(len, alts)) >= 2]
+    literals = [alts for alts in _literal_runs(tree) if min(map(len, alts)) >= 2]
     best = max(literals, key=lambda alts: (min(map(len, alts)), -len(alts)), default=None)
     if best and min(map(len, best)) >= 3:
         return Need(tuple(x.lower() if folded else x for x in best), folded)
@@ -191,30 +207,141 @@ def _sql(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _holds(n: Need, unit: str) -> str:
-    """The condition in SQL, on a struct `unit` of shared conditions."""
+# ---------------------------------------------------------------- the index
+
+#: Characters of a key; in tables of rules, keys of literals that are long enough have LONG_GRAM.  Keys that start
+#: with a mark stand for a shared condition, or for all texts.
+GRAM, LONG_GRAM = 3, 6
+_MARK, ANY = "\x00", "\x00any"
+#: Entries that go to all tasks at once; larger indexes are met part by part.
+ENTRIES_SENT = 200_000
+#: Entries of the index: texts with the key may match the pattern, if they hold the literal and none of those before it.
+ENTRY = "key string, p int, pattern string, literal string, earlier array<string>, folded boolean, rules array<struct<rule_ord:int,rule:string,severity:string>>"
+_ENTRY = pa.schema(
+    [
+        ("key", pa.string()), ("p", pa.int32()), ("pattern", pa.string()), ("literal", pa.string()), ("earlier", pa.list_(pa.string())), ("folded", pa.bool_()),
+        ("rules", pa.list_(pa.struct([("rule_ord", pa.int32()), ("rule", pa.string()), ("severity", pa.string())]))),
+    ]
+)
+#: Letters in the order of how often prose has them.
+_COMMON = "etaoinshrdlucmfwygpbvkxqjz"
+
+
+def anchor(literal: str, sizes: tuple[int, ...] = (GRAM,)) -> str | None:
+    """The key of a literal: of its ASCII parts of the first size that it has, in lower case, that which prose has least;
+    None if it has none."""
+    low = literal.lower()
+    options = next((found for n in sizes if (found := [low[i : i + n] for i in range(len(low) - n + 1) if low[i : i + n].isascii()])), [])
+    return max(options, key=lambda g: (sum(not c.isalpha() for c in g), sum(_COMMON.find(c) for c in g)), default=None)
+
+
+def entries(p: int, pattern: str, rules: list[tuple[int, str, str]], sizes: tuple[int, ...] = (GRAM,)) -> list[dict]:
+    """The index entries of a pattern with its rules (place, name, severity): one for each literal that a match may have."""
+    n = need(pattern)
+    base = {"p": p, "pattern": X.UNICODE + pattern, "literal": None, "earlier": [], "folded": False, "rules": [dict(zip(("rule_ord", "rule", "severity"), r, strict=True)) for r in rules]}
+    if n is None:
+        return [base | {"key": ANY}]
     if n.run:
-        return f"{unit}.{n.run}"
-    return " OR ".join(f"contains({unit}.{'folded' if n.folded else 'text'}, {_sql(x)})" for x in n.literals)
-
-
-def _hits(text: str, patterns: list[str], gated: bool = True) -> Column:
-    """Structs (p, m) of the patterns that match a text column, with their matches.
-
-    Written as SQL text, which Spark parses at once.  Shared conditions are fields of
-    a struct bound by a lambda, so that they are computed once a text and not inlined
-    where they are used; texts that fulfil no condition at all leave early."""
-    shared = f"named_struct('text', `{text}`, 'folded', lower(CASE WHEN `{text}` RLIKE '[{_ODD}]' THEN translate(`{text}`, '{_ODD}', '{_PLAIN}') ELSE `{text}` END), " + ", ".join(f"'{name}', `{text}` RLIKE {_sql(p)}" for name, p in RUNS.items()) + ")"
-    needs, tries = [need(p) for p in patterns], []
-    for i, (p, n) in enumerate(zip(patterns, needs, strict=True)):
-        found = f"regexp_extract_all(u.text, {_sql(X.UNICODE + p)}, 0)"
-        tries.append(f"named_struct('p', {i}, 'm', {found if n is None else f'CASE WHEN {_holds(n, "u")} THEN {found} END'})")
-    found = f"filter(array({', '.join(tries)}), x -> size(x.m) > 0)"
-    if gated and None not in needs:
-        literals = {folded: sorted({x for n in needs if n.folded is folded for x in n.literals}) for folded in (False, True)}
-        gates = [f"u.{name}" for name in RUNS] + [f"exists(array({', '.join(map(_sql, found_))}), l -> contains(u.{'folded' if folded else 'text'}, l))" for folded, found_ in literals.items() if found_]
-        found = f"CASE WHEN {' OR '.join(gates)} THEN {found} ELSE array() END"
-    return F.expr(f"flatten(transform(array({shared}), u -> {found}))")
+        return [base | {"key": _MARK + n.run}]
+    keys = [anchor(x, sizes) for x in n.literals]
+    if None in keys:
+        return [base | {"key": ANY}]
+    return [base | {"key": key, "literal": x, "earlier": list(n.literals[:i]), "folded": n.folded} for i, (key, x) in enumerate(zip(keys, n.literals, strict=True))]
+
+
+def index_of(spark: SparkSession, active: list[tuple[int, Rule]], sweeps: list[tuple[str, str, Column]] = ()) -> DataFrame:
+    """The index of rules with their places, and of sweeps (their p is below 0)."""
+    rows = [e for p, (pattern, rules) in enumerate(distinct_patterns(active)) for e in entries(p, pattern, [(place, r.name, r.severity) for place, r in rules])]
+    rows += [{"key": f"{_MARK}{i}", "p": -1 - i, "pattern": "(?!)", "literal": None, "earlier": [], "folded": False, "rules": [{"rule_ord": -1, "rule": name, "severity": severity}]} for i, (name, severity, _) in enumerate(sweeps)]
+    return spark.createDataFrame(pa.Table.from_pylist(rows, _ENTRY), ENTRY)
+
+
+def index_table(rules: DataFrame) -> DataFrame:
+    """The index of a table of rules (rule_ord, name, severity, pattern), made by the executors; a pattern that Python
+    can't read is an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [e for r in batch.to_pylist() for e in entries(r["rule_ord"], r["pattern"], [(r["rule_ord"], r["name"], r["severity"])], (LONG_GRAM, GRAM))]
+            yield pa.RecordBatch.from_pylist(rows, _ENTRY)
+
+    rows = rules.select(F.col("rule_ord").cast("int"), "name", "severity", "pattern")
+    return spread(rows, "rule_ord").mapInArrow(run, ENTRY)
+
+
+def _grams(folded: Column) -> Column:
+    """The 3-grams of a text."""
+    return F.array_distinct(F.regexp_extract_all(folded, F.lit(rf"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+
+
+def _marks(text: Column) -> Column:
+    """The keys of the shared conditions that a text fulfils, and that of all texts."""
+    return F.array_compact(F.array(F.lit(ANY), *[F.when(F.regexp_like(text, F.lit(p)), F.lit(_MARK + name)) for name, p in RUNS.items()]))
+
+
+def _codes(data: np.ndarray, size: int) -> np.ndarray:
+    """24 bits for each `size` bytes in a row: the bytes themselves, or a hash of more than three."""
+    n = len(data) - size + 1
+    code = data[:n].copy()
+    for i in range(1, size):
+        code = code << 8 | data[i : i + n] if size <= 3 else code * np.uint32(0x01000193) ^ data[i : i + n]
+    return code & np.uint32(0xFFFFFF) if size <= 3 else (code ^ code >> 24) & np.uint32(0xFFFFFF)
+
+
+def known_grams(batches: Iterator[pa.RecordBatch], column: str, keys: list[str], all_rows: bool) -> Iterator[pa.RecordBatch]:
+    """The rows with __grams: those of the keys that the text holds, without regard to case.
+
+    A table of all 24-bit codes says which may be keys', so that a byte of text costs a look-up, however many
+    keys there are.  all_rows: rows without any come too."""
+    known = {k.encode() for k in keys}
+    tables = {}
+    for size in sorted({len(k) for k in known}):
+        tables[size] = np.zeros(1 << 24, bool)
+        own = np.frombuffer(b"".join(k for k in known if len(k) == size), np.uint8).astype(np.uint32)
+        tables[size][_codes(own, size)[::size]] = True
+    lower = np.arange(256, dtype=np.uint32)
+    lower[65:91] += 32
+    odd = str.maketrans(_ODD, _PLAIN)
+    for batch in batches:
+        at = batch.schema.get_field_index(column)
+        texts = [x.encode() if x.isascii() else x.translate(odd).encode() for x in batch.column(at).fill_null("").to_pylist()]
+        whole = b"".join(texts)
+        data, low = lower[np.frombuffer(whole, np.uint8)], whole.lower()
+        ends = np.cumsum([len(t) for t in texts])
+        found: list[set[str]] = [set() for _ in texts]
+        for size, table in tables.items():
+            place = np.flatnonzero(table[_codes(data, size)]) if len(data) >= size else np.zeros(0, np.int64)
+            owner = np.searchsorted(ends, place, "right")
+            inside = place + size <= ends[owner]
+            for x, i in zip(place[inside].tolist(), owner[inside].tolist(), strict=True):
+                if (gram := low[x : x + size]) in known:
+                    found[i].add(gram.decode())
+        out = pa.RecordBatch.from_arrays([*batch.columns, pa.array([sorted(f) for f in found], pa.list_(pa.string()))], names=[*batch.schema.names, "__grams"])
+        yield out if all_rows else out.take(pa.array([i for i, f in enumerate(found) if f], pa.int64()))
+
+
+def _fold(text: Column) -> Column:
+    return F.lower(F.when(F.regexp_like(text, F.lit(f"[{_ODD}]")), F.translate(text, _ODD, _PLAIN)).otherwise(text))
+
+
+def _look_up(rows: DataFrame, index: DataFrame, text: str, sweeps: list[tuple[str, str, Column]] = ()) -> DataFrame:
+    """Rows with __p, __pattern, __rules and __m, the matches of a pattern that has some: an equi-join of a text's keys
+    with the index, which is small and goes to all tasks, then the literal, then the pattern itself.
+
+    Rows may have their 3-grams (those of the index at least) in a column __grams."""
+    kind = "array<struct<__key:string,__found:array<string>>>"
+    grams = F.col("__grams") if "__grams" in rows.columns else _grams(F.col("__folded"))
+    keys = F.transform(F.concat(grams, _marks(F.col(text))), lambda k: F.struct(k.alias("__key"), F.lit(None).cast("array<string>").alias("__found"))).cast(kind)
+    swept = [F.struct(F.lit(f"{_MARK}{i}").alias("__key"), secrets.alias("__found")) for i, (_, _, secrets) in enumerate(sweeps)]
+    if swept:
+        keys = F.concat(keys, F.filter(F.array(*swept).cast(kind), lambda x: F.size(x["__found"]) > 0))
+    each = rows.where(F.col(text).isNotNull()).withColumn("__folded", _fold(F.col(text))).select("*", F.inline(keys))
+    index = index.select(F.col("key").alias("__entry"), *[F.col(c).alias(f"__{c}") for c in ("p", "pattern", "literal", "earlier", "rules")], F.col("folded").alias("__any_case"))
+    met = each.join(F.broadcast(index), F.col("__key") == F.col("__entry"))
+    hay = F.when(F.col("__any_case"), F.col("__folded")).otherwise(F.col(text))
+    held = F.col("__literal").isNull() | (F.contains(hay, F.col("__literal")) & ~F.exists("__earlier", lambda x: F.contains(hay, x)))
+    found = met.where(held).withColumn("__m", F.coalesce("__found", F.regexp_extract_all(F.col(text), F.col("__pattern"), F.lit(0))))
+    return found.where(F.size("__m") > 0).drop("__folded", "__grams", "__key", "__found", "__entry", "__literal", "__earlier", "__any_case")
 
 
 def distinct_patterns(active: list[tuple[int, Rule]]) -> list[tuple[str, list[tuple[int, Rule]]]]:
@@ -224,34 +351,44 @@ def distinct_patterns(active: list[tuple[int, Rule]]) -> list[tuple[str, list[tu
     return list(out.items())
 
 
-def match_rules(rows: DataFrame, active: list[tuple[int, Rule]], text: str = "line_text", check: bool | Column = True, sweeps: list[tuple[str, str, Column]] | None = None) -> DataFrame:
-    """Rows with rule, severity, rule_ord, match_at, secret and column for each match in the text column.
-
-    check: where to apply the secret's likeness to the rules that ask for it.
-    sweeps: further (rule, severity, array of secrets) to find in the same pass;
-    their column is the first place of the secret."""
-    sweeps = sweeps or []
-    patterns = distinct_patterns(active)
-    none = F.array().cast("array<struct<p:int,m:array<string>>>")
-    hits = _hits(text, [p for p, _ in patterns]) if patterns else none
-    if sweeps:
-        swept = F.array(*[F.struct(F.lit(i).alias("p"), secrets.alias("m")) for i, (_, _, secrets) in enumerate(sweeps, len(patterns))])
-        hits = F.concat(hits, F.filter(swept, lambda x: F.size(x["m"]) > 0))
-    hit = rows.where(F.col(text).isNotNull()).withColumn("__hit", F.explode(hits))
+def _matches(found: DataFrame, text: str, check: bool | Column) -> DataFrame:
+    """One row for each rule and match of what was found, with rule, severity, rule_ord, match_at, secret and column."""
+    m = F.col("__m")
     # columns of the matches: lengths of what lies between them, for the few rows that matched
-    table = "array(" + ", ".join([_sql(X.UNICODE + p) for p, _ in patterns] + ["'(?!)'"] * len(sweeps)) + ")"
-    one = lambda place, name, severity: f"named_struct('rule_ord', {place}, 'rule', {_sql(name)}, 'severity', {_sql(severity)})"
-    ruled = [f"array({', '.join(one(place, r.name, r.severity) for place, r in rules)})" for _, rules in patterns]
-    names = "array(" + ", ".join(ruled + [f"array({one(-1, name, severity)})" for name, severity, _ in sweeps]) + ")"
-    table, names = F.expr(table).cast("array<string>"), F.expr(names).cast("array<array<struct<rule_ord:int,rule:string,severity:string>>>")
-    m = F.col("__hit.m")
-    hit = hit.withColumn("__gaps", F.split(F.col(text), F.get(table, F.col("__hit.p")), -1)).withColumn("__rules", F.get(names, F.col("__hit.p")))
-    each = hit.select("*", F.posexplode(m).alias("match_at", "secret"))
+    each = found.withColumn("__gaps", F.split(F.col(text), F.col("__pattern"), -1)).select("*", F.posexplode(m).alias("match_at", "secret"))
     before = F.aggregate(F.when(F.col("match_at") > 0, F.sequence(F.lit(0), F.col("match_at") - 1)).otherwise(F.array().cast("array<int>")), F.lit(0), lambda acc, j: acc + F.length(F.get(m, j)) + F.length(F.get(F.col("__gaps"), j)))
     place = 1 + F.length(F.get(F.col("__gaps"), F.col("match_at"))) + before
-    each = each.withColumn("column", F.when(F.col("__hit.p") < len(patterns), place).otherwise(F.instr(F.col(text), F.col("secret"))).cast("int"))
-    out = each.withColumn("__rule", F.explode("__rules")).select("*", "__rule.rule_ord", "__rule.rule", "__rule.severity").drop("__hit", "__gaps", "__rules", "__rule")
+    each = each.withColumn("column", F.when(F.col("__p") >= 0, place).otherwise(F.instr(F.col(text), F.col("secret"))).cast("int"))
+    out = each.withColumn("__rule", F.explode("__rules")).select("*", "__rule.rule_ord", "__rule.rule", "__rule.severity").drop("__p", "__pattern", "__m", "__gaps", "__rules", "__rule")
     if check is not False:
         where = F.lit(True) if check is True else check
         out = out.where(~(where & F.col("rule").isin(*CHECKED)) | X.likely_secret(X.after_separators(F.col("secret")), 12, 3.2))
     return out
+
+
+def match_rules(rows: DataFrame, active: list[tuple[int, Rule]], text: str = "line_text", check: bool | Column = True, sweeps: list[tuple[str, str, Column]] | None = None) -> DataFrame:
+    """Rows with rule, severity, rule_ord, match_at, secret and column for each match in the text column.
+
+    check: where to apply the secret's likeness to the rules that ask for it.
+    sweeps: further (rule, severity, array of secrets) to find in the same pass;
+    their column is the first place of the secret."""
+    sweeps = sweeps or []
+    return _matches(_look_up(rows, index_of(rows.sparkSession, active, sweeps), text, sweeps), text, check)
+
+
+def match_table(rows: DataFrame, rules: DataFrame, text: str = "line_text", check: bool | Column = False) -> DataFrame:
+    """As `match_rules`, for a table of rules (rule_ord, name, severity, pattern) of any size: the plan doesn't depend on
+    the rules.  An index of more than ENTRIES_SENT entries is met in parts, each by all rows."""
+    index = staged(index_table(rules))
+    rows = rows.where(F.col(text).isNotNull()).drop("__grams")
+    kinds = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes), "__grams array<string>"])
+    parts = max(1, -(-index.count() // ENTRIES_SENT))
+    found = None
+    for i in range(parts):
+        part = index.where(F.pmod(F.xxhash64("key", "p"), F.lit(parts)) == i)
+        keys = [r["key"] for r in part.select("key").distinct().collect()]
+        grams = [k for k in keys if not k.startswith(_MARK)]
+        held = rows.mapInArrow(lambda batches, grams=grams, all_rows=len(grams) < len(keys): known_grams(batches, text, grams, all_rows), kinds)
+        some = _look_up(held, part, text)
+        found = some if found is None else found.unionByName(some)
+    return _matches(found, text, check)

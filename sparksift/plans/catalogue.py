@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..model import ScanOptions
 from ..operators import cache, decode, post, recon, structured
-from ..operators.match import match_rules
+from ..operators.match import match_rules, match_table
 from ..sinks import reports
 from ..sources import files as sources
 from ..sources.shared import spread
@@ -159,6 +159,39 @@ def rule_hits_conversations(spark, sf_dir):
     return _rows(scan(_turns(spark, sf_dir).withColumn("text", F.concat("text", F.lit("\nuse ghp_"), F.left(key, F.lit(36)))), RULES_ONLY))
 
 
+_K = "left(sha256('c' || c_custkey), 8)"
+_CREDENTIALS = f"""docs AS (SELECT 'doc:' || doc_id AS file, text || chr(10) || CASE doc_id % 5
+    WHEN 0 THEN 'use tk' || k || '_' || left(s, 12) || ' or tk' || k || '_' || right(s, 12) WHEN 1 THEN 'X-' || upper(k) || '-KEY:  ' || upper(left(s, 16))
+    WHEN 2 THEN 'post to https://' || k || '.example/hook/' || left(s, 9) || '.' WHEN 3 THEN 'id ' || k || ':' || (1000000 + doc_id) || ' end' ELSE 'tk' || k || '-' || s END AS text
+  FROM (SELECT doc_id, text, left(sha256('c' || (1 + doc_id % 1500)), 8) AS k, sha256('s' || doc_id) AS s FROM documents))"""
+
+
+def made_rules(customers: DataFrame) -> DataFrame:
+    """Four rules a customer: (rule_ord, name, severity, pattern), for credentials that hold the customer's key."""
+    k = F.left(F.sha2(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).cast("binary"), 256), F.lit(8))
+    forms = (("token", "HIGH", r"\btk", r"_[0-9a-f]{12}\b"), ("header", "CRITICAL", "(?i)x-", r"-key:\s*[a-z0-9]{16}"), ("hook", "MEDIUM", "https://", r"\.example/hook/[A-Za-z0-9]+"), ("account", "LOW", r"\b", r":[0-9]{6,}\b"))
+    each = [F.struct(F.lit(i).alias("i"), F.lit(n).alias("n"), F.lit(s).alias("severity"), F.concat(F.lit(a), k, F.lit(b)).alias("pattern")) for i, (n, s, a, b) in enumerate(forms)]
+    rows = customers.select("c_custkey", F.explode(F.array(*each)).alias("r"))
+    return rows.select((F.col("c_custkey") * 4 + F.col("r.i")).cast("int").alias("rule_ord"), F.concat(F.col("r.n"), F.lit("_"), F.col("c_custkey").cast("string")).alias("name"), "r.severity", "r.pattern")
+
+
+@query(rf"""WITH {_CREDENTIALS}, lines AS ({S.lines('docs')}), c AS (SELECT c_custkey, {_K} AS k FROM customer),
+form AS (SELECT * FROM (VALUES ('token', 'HIGH', '\b(tk([0-9a-f]{{8}})_[0-9a-f]{{12}})\b', false), ('header', 'CRITICAL', '((?i:x-([0-9a-f]{{8}})-key:\s*[a-z0-9]{{16}}))', true),
+  ('hook', 'MEDIUM', '(https://([0-9a-f]{{8}})\.example/hook/[A-Za-z0-9]+)', false), ('account', 'LOW', '\b(([0-9a-f]{{8}}):[0-9]{{6,}})\b', false)) AS t(n, severity, p, folded)),
+hit AS (SELECT file, line, n, severity, folded, unnest(regexp_extract_all(line_text, p, 1)) AS secret, unnest(regexp_extract_all(line_text, p, 2)) AS k FROM lines, form)
+SELECT file, line, n || '_' || c_custkey AS rule, severity, secret FROM hit JOIN c ON c.k = CASE WHEN folded THEN lower(hit.k) ELSE hit.k END""")
+def rules_as_data(spark, sf_dir):
+    """Some thousand rules made from the customers, on all lines of the documents, each of which has one more line."""
+    sha = lambda text: F.sha2(text.cast("binary"), 256)
+    docs = _table(spark, sf_dir, "documents").withColumn("s", sha(F.concat(F.lit("s"), F.col("doc_id").cast("string")))).withColumn("k", F.left(sha(F.concat(F.lit("c"), (1 + F.col("doc_id") % 1500).cast("string"))), F.lit(8)))
+    line = F.expr("""CASE doc_id % 5 WHEN 0 THEN 'use tk' || k || '_' || left(s, 12) || ' or tk' || k || '_' || right(s, 12) WHEN 1 THEN 'X-' || upper(k) || '-KEY:  ' || upper(left(s, 16))
+        WHEN 2 THEN 'post to https://' || k || '.example/hook/' || left(s, 9) || '.' WHEN 3 THEN 'id ' || k || ':' || (1000000 + doc_id) || ' end' ELSE 'tk' || k || '-' || s END""")
+    texts = sources.from_table(docs.select("doc_id", F.concat("text", F.lit("\n"), line).alias("text")), "text", "doc_id", "doc:{}")
+    lines = texts.select("file", F.posexplode(X.split_lines(F.col("text"))).alias("at", "line_text")).select("file", (F.col("at") + 1).alias("line"), "line_text")
+    rules = made_rules(spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    return match_table(lines, rules).select("file", "line", "rule", "severity", "secret")
+
+
 @query(f"""WITH {_TOLD}, lines AS ({S.lines('docs')}),
 ok AS (SELECT file FROM docs WHERE regexp_matches(text, {S.SECRET_CONTEXT})),
 tokens AS (SELECT file, line, line_text, unnest(regexp_extract_all(line_text, {S.quoted(X.ENTROPY_TOKEN)})) AS secret FROM lines SEMI JOIN ok USING (file) WHERE regexp_matches(line_text, {S.SECRET_CONTEXT}))
