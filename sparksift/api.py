@@ -19,7 +19,7 @@ from . import ship
 from .model import COLUMNS, Rule, ScanOptions, as_options, builtin_rules, parse_size, rank
 from .operators import post
 from .operators.cache import ResultCache, scan_cached
-from .plans.scan import finish, scan
+from .plans.scan import finish, scan, scan_large
 from .sinks import reports
 from .sources import files as sources
 from .sources.shared import staged
@@ -75,11 +75,14 @@ class Scanner:
 
     def scan_paths(self, paths: list[str], mode: str = "sdk", exclude: list[str] | None = None, max_bytes: int = sources.LARGEST_FILE, skip_binary: bool = True, ignored: DataFrame | None = None, git: bool = False, follow_symlinks: bool = False) -> ScanResult:
         began = time.time()
-        tables = [sources.read_files(self.spark, p, exclude, max_bytes, skip_binary, follow_symlinks) for p in paths]
+        tables = [sources.read_files(self.spark, p, exclude, min(max_bytes, sources.LINES_FROM), skip_binary, follow_symlinks) for p in paths]
+        large = [f for p in paths for f in sources.large_files(self.spark, p, exclude, max_bytes, skip_binary, follow_symlinks)]
         texts = tables[0]
         for t in tables[1:]:
             texts = texts.unionByName(t)
         found = scan_cached(texts, self.cache, self.options) if self.cache else scan(texts, self.options)
+        if large:
+            found = found.unionByName(scan_large(self.spark, large, self.options).select(found.columns))
         if git:
             for p in paths:
                 found = found.unionByName(sources.git_findings(sources.git_history(self.spark, p), self.options).select(found.columns))

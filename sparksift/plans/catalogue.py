@@ -20,6 +20,7 @@ from ..operators import cache, decode, post, recon, structured
 from ..operators.match import match_rules, match_table
 from ..sinks import reports
 from ..sources import files as sources
+from ..sources import lines as line_tables
 from ..sources.shared import spread
 from ..streaming import stream
 from . import hunt
@@ -226,6 +227,17 @@ def context_window(spark, sf_dir):
     return lines.select("file", "line", F.md5(F.col("context_before").cast("binary")).alias("before"), F.md5(F.col("context_after").cast("binary")).alias("after"))
 
 
+@query(f"""WITH {_DOCUMENTS}, lines AS ({S.lines('docs')}), n AS (SELECT file, line, line_text, row_number() OVER (PARTITION BY file ORDER BY line) AS place FROM lines)
+SELECT file, CAST(place AS BIGINT) AS line, md5(line_text) AS digest, md5(concat_ws(chr(10), lag(line_text, 2) OVER w, lag(line_text) OVER w)) AS before, md5(concat_ws(chr(10), lead(line_text) OVER w, lead(line_text, 2) OVER w)) AS after
+FROM n WINDOW w AS (PARTITION BY file ORDER BY place)""")
+def line_table_context(spark, sf_dir):
+    """Context for a table whose rows are lines in no order, as logs are: numbered in ranges, then halos between blocks."""
+    rows = _documents(spark, sf_dir).select("file", F.posexplode(X.split_lines(F.col("text"))).alias("at", "line_text"))
+    lines = line_tables.with_line_context(line_tables.numbered(rows, "file", ["at"]))
+    digest = lambda c: F.md5(F.col(c).cast("binary"))
+    return lines.select("file", "line", digest("line_text").alias("digest"), digest("context_before").alias("before"), digest("context_after").alias("after"))
+
+
 _IDS = "(SELECT doc_id, 'x AKIA' || upper(left(sha256(CAST(doc_id AS VARCHAR)), 16)) || ' é ghp_' || left(sha256(CAST(doc_id AS VARCHAR)), 36) || ' AKIA' || upper(right(sha256(CAST(doc_id AS VARCHAR)), 16)) AS line_text FROM documents)"
 
 

@@ -13,13 +13,14 @@ small branch, which only reads files of that name; so are compressed contents.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..model import COLUMNS, INTERNAL, ScanOptions
 from ..operators import decode, post, structured
 from ..operators.match import TOKEN, gate, match_rules
+from ..sources import lines as lines_of
 
 #: Order of the stages: of equal findings in a file the earliest stage's stays.
 STAGES = {"gzip": 0, "rules": 1, "entropy": 2, "base64": 3, "hex": 4, "escapes": 5, "json": 6, "endpoint": 7, "javascript": 8, "chain": 9}
@@ -180,6 +181,18 @@ def scan(texts: DataFrame, options: ScanOptions | None = None) -> DataFrame:
     return findings.select(INTERNAL)
 
 
+def scan_large(spark: SparkSession, files: list[tuple[str, str, int]], options: ScanOptions | None = None, range_bytes: int = lines_of.RANGE_BYTES) -> DataFrame:
+    """Findings of large files (uri, path, bytes), read by lines, with the reduced set of operators and no context after."""
+    options = options or ScanOptions()
+    lines, before = lines_of.large_file_lines(spark, files, range_bytes)
+    bundled = F.regexp_like(F.lower("file"), F.lit(r"(\.min\.js|\.bundle\.js|\.min\.mjs)$"))
+    wanted = lines.where(_may_hold(options)(F.col("line_text")))
+    placed = wanted.join(before, ["file", "range"])  # only lines that may hold something are dealt out
+    ok = ~bundled & (F.col("spoken") if options.content_gate else F.lit(True)) if options.entropy else F.lit(False)
+    rows = placed.select("file", (F.col("before") + F.col("at") + 1).cast("int").alias("line"), "line_text", F.lit(True).alias("large"), ok.alias("entropy_ok"), "context_before", F.lit("").alias("context_after"))
+    return post.once_a_file(unit_findings(_units(rows, options), options)).select(INTERNAL)
+
+
 #: What follows the scan, by the surface that asks.
 MODES = {"cli": ("downgrade", "deduplicate"), "pipe": ("deduplicate", "downgrade"), "sdk": ("deduplicate",), "raw": ()}
 

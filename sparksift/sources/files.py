@@ -22,6 +22,8 @@ TEXT_EXTENSIONS = (
 )
 LARGEST_FILE = 10 * 1024 * 1024
 SNIFFED_BYTES = 8192
+#: Files of more bytes than this aren't rows: they are read by lines, in ranges.
+LINES_FROM = 64 << 20
 #: Folders within folders that are looked into; links may make circles.
 MOST_LEVELS = 100
 
@@ -80,6 +82,19 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([length]), pa.array([data.read()], pa.binary())], names=["path", "length", "content"])
 
 
+def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files (uri, path, length) with their first bytes as content."""
+    from pyarrow import fs
+
+    for batch in batches:
+        starts = []
+        for uri in batch.column(0).to_pylist():
+            system, inner = fs.FileSystem.from_uri(uri)
+            with system.open_input_stream(inner) as data:
+                starts.append(data.read(SNIFFED_BYTES))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(starts, pa.binary())], names=[*batch.schema.names, "content"])
+
+
 _LISTED = "uri string, path string, folder boolean, length long, link boolean"
 
 
@@ -119,6 +134,28 @@ def _stored(spark: SparkSession, uri: str, single: bool, exclude: list[str], max
     return files.select(plain.alias("path"), "length", "content")
 
 
+def _listed_files(spark: SparkSession, path: str, exclude: list[str] | None, follow_symlinks: bool) -> DataFrame:
+    """(uri, path, length) of the files under a path on disks that the machines mount, or of the file that it names."""
+    uri, inner, single, length = _status(spark, path)
+    if single:
+        return spark.createDataFrame([(uri, inner, length)], "uri string, path string, length long")
+    listed = _walked(spark, uri, follow_symlinks)
+    for p in exclude or []:
+        listed = listed.where(~F.regexp_like("path", F.lit(p)))
+    return listed
+
+
+def large_files(spark: SparkSession, path: str, exclude: list[str] | None = None, max_bytes: int = LARGEST_FILE, skip_binary: bool = True, follow_symlinks: bool = False) -> list[tuple[str, str, int]]:
+    """(uri, path, length) of the files of more than LINES_FROM and at most max_bytes bytes;
+    each of them is at least so many bytes, so the list is short beside what it names."""
+    if max_bytes <= LINES_FROM or not _status(spark, path)[0].startswith("file:"):
+        return []
+    chosen = _listed_files(spark, path, exclude, follow_symlinks).where((F.col("length") > LINES_FROM) & (F.col("length") <= max_bytes))
+    if skip_binary:
+        chosen = chosen.mapInArrow(_starts, "uri string, path string, length long, content binary").where(is_text(F.col("path"), F.col("content")))
+    return [(r["uri"], r["path"], r["length"]) for r in chosen.orderBy("path").collect()]
+
+
 def read_files(spark: SparkSession, path: str, exclude: list[str] | None = None, max_bytes: int = LARGEST_FILE, skip_binary: bool = True, follow_symlinks: bool = False) -> DataFrame:
     """(file, text, content, length) of the text files under a path, or of the one file that it names.
 
@@ -126,14 +163,9 @@ def read_files(spark: SparkSession, path: str, exclude: list[str] | None = None,
     holds no list and no name is hidden; other stores are read by Spark's own reader.  Length and
     path decide before any content is read.  A file that is named itself isn't subject to
     `exclude`.  Invalid UTF-8 becomes the replacement character."""
-    uri, inner, single, length = _status(spark, path)
+    uri, _, single, _ = _status(spark, path)
     if uri.startswith("file:"):
-        if single:
-            listed = spark.createDataFrame([(uri, inner, length)], "uri string, path string, length long")
-        else:
-            listed = _walked(spark, uri, follow_symlinks)
-            for p in exclude or []:
-                listed = listed.where(~F.regexp_like("path", F.lit(p)))
+        listed = _listed_files(spark, path, exclude, follow_symlinks)
         chosen = listed.where(F.col("length") <= max_bytes)
         files = chosen.repartition(spark.sparkContext.defaultParallelism * 4, "path").mapInArrow(_contents, "path string, length long, content binary")
     else:
