@@ -212,11 +212,12 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("paths", nargs="*")
     p.add_argument("--severity", default="LOW")
     p.add_argument("--format", choices=sorted(reports.PIECES), default="text")
-    p.add_argument("--output")
+    p.add_argument("-o", "--output")
     p.add_argument("--show-secrets", action="store_true", help="show secrets in full")
     p.add_argument("--no-entropy", action="store_true")
-    p.add_argument("--no-decode-base64", action="store_true")
-    for name in ("decode-hex", "decode-gzip", "decode-unicode", "js-reconstruct", "endpoints", "no-skip-binary", "no-dedup", "git-history", "pipe", "list-rules", "rules-only", "follow-symlinks", "no-cache", "validate", "redact"):
+    p.add_argument("--decode-base64", action=argparse.BooleanOptionalAction, default=True)
+    p.add_argument("--decode-hex", action=argparse.BooleanOptionalAction, default=False)
+    for name in ("decode-gzip", "decode-unicode", "js-reconstruct", "endpoints", "no-skip-binary", "no-dedup", "git-history", "pipe", "list-rules", "rules-only", "follow-symlinks", "no-cache", "validate", "redact"):
         p.add_argument(f"--{name}", action="store_true")
     p.add_argument("--exclude", action="append", default=[])
     p.add_argument("--webhook-url", action="append", default=[], help="send a message to this URL; repeatable")
@@ -264,13 +265,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, trans
     stored = as_options(settings(spark, arguments.config), vars(arguments))
     if stored:
         arguments = parser().parse_args(argv, argparse.Namespace(**{**vars(parser().parse_args([])), **stored}))
+    if arguments.add_ignore:
+        with open(arguments.ignore_file or IGNORE_FILE, "a", encoding="utf-8") as out:
+            out.write(arguments.add_ignore.strip() + "\n")
+        return 0
     rules: list[Rule] = [] if arguments.rules_only else list(builtin_rules())
     if arguments.rules:
         rules += sources.rules_file(spark, arguments.rules)
     if rank(arguments.severity.upper()) > 4 or not (arguments.paths or arguments.pipe or arguments.list_rules):
         print("nothing to scan, or no such severity", file=sys.stderr)
         return 2
-    options = ScanOptions(arguments.severity.upper(), not arguments.no_entropy, not arguments.no_decode_base64, arguments.decode_hex, arguments.decode_gzip, arguments.decode_unicode, arguments.js_reconstruct, arguments.endpoints, rules=tuple(rules))
+    options = ScanOptions(arguments.severity.upper(), not arguments.no_entropy, arguments.decode_base64, arguments.decode_hex, arguments.decode_gzip, arguments.decode_unicode, arguments.js_reconstruct, arguments.endpoints, rules=tuple(rules))
     scanner = Scanner(spark, options, ResultCache(spark, arguments.cache_dir) if arguments.cache_dir and not arguments.no_cache else None)
     if arguments.list_rules:
         print("\n".join(f"{r['severity']:<9} {r['name']}" for r in scanner.list_rules()))
@@ -281,15 +286,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, trans
         found = scanner.scan_string(sys.stdin.read())
         found = post.suppress(found, ignored) if ignored is not None else found
     else:
-        mode = "raw" if arguments.no_dedup else "cli"
+        mode = "all" if arguments.no_dedup else "cli"
         exclude = [*arguments.exclude, *(sources.exclude_list(spark, arguments.exclude_file) if arguments.exclude_file else [])]
         found = scanner.scan_paths(arguments.paths, mode, exclude, arguments.max_file_size, not arguments.no_skip_binary, ignored, arguments.git_history, arguments.follow_symlinks).findings
-    if arguments.add_ignore:
-        from .functions.text import fingerprint
-
-        marks = found.select(fingerprint(F.col("rule"), F.col("secret"), F.col("file")).alias("value")).distinct()
-        marks.write.mode("append").text(arguments.add_ignore)
-        return 0
     found, redact = staged(found.select(COLUMNS)), arguments.redact or not arguments.show_secrets
     ordered = post.ordered(found)
     if arguments.output:

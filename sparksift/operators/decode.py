@@ -170,50 +170,70 @@ def with_decoded(rows: DataFrame, stages: list[str], text: str, skip: str, numbe
     return rows.mapInArrow(run, f"{fields}, decoded array<struct<stage:int,tag:string,decode_at:int,unit:string>>")
 
 
-#: Bytes that compressed content may hold; what holds more is not read, as it can't be a text in a row.
-LARGEST_INFLATED = 1 << 30
+#: Bytes of a piece of what compressed content holds; what holds more comes in pieces of whole lines.  A line that is
+#: longer than a piece is cut, and OVERLAP bytes of it come twice, so that no shorter match is lost.
+PIECE, OVERLAP = 64 << 20, 1 << 20
 
 
-def _inflated(data: bytes, window: int) -> bytes:
-    """All members of a stream, or ValueError where more than LARGEST_INFLATED comes out."""
-    parts, size = [], 0
+def _inflated(data: bytes, window: int) -> Iterator[bytes]:
+    """What all members of a stream hold, bit by bit; an error where they are no such stream."""
     while data:
         one = zlib.decompressobj(window)
         while not one.eof and data:
-            parts.append(one.decompress(data, 1 << 24))
-            size += len(parts[-1])
-            if size > LARGEST_INFLATED:
-                raise ValueError("compressed content holds too much")
+            yield one.decompress(data, 1 << 22)
             data = one.unconsumed_tail
+        if not one.eof:
+            yield one.flush()
         if not one.eof:
             raise EOFError("compressed content is cut short")
         data = one.unused_data.lstrip(b"\0") if window > zlib.MAX_WBITS else b""
-    return b"".join(parts)
 
 
-def inflate(data: bytes | None) -> str | None:
-    """Text of gzip, zlib or raw deflate data; null if it is none of these, or holds more than LARGEST_INFLATED bytes."""
+def inflate(data: bytes | None) -> Iterator[tuple[int, str]]:
+    """(lines before, text) of the pieces of gzip, zlib or raw deflate data; nothing if it is none of these.
+
+    Memory is bounded by a piece, whatever the data holds: it is read once to see that it is whole, and
+    once more for the pieces if there are several."""
     if data is None or len(data) <= LEAST_COMPRESSED:
-        return None
+        return
     for window in (zlib.MAX_WBITS + 16, zlib.MAX_WBITS, -zlib.MAX_WBITS):
+        held, size = [], 0
         try:
-            return _inflated(data, window).decode("utf-8", "replace")
-        except (EOFError, ValueError, zlib.error):
+            for part in _inflated(data, window):
+                size += len(part)
+                held = [*held, part] if size <= PIECE else []
+        except (EOFError, zlib.error):
             continue
-    return None
+        yield from [(0, b"".join(held).decode("utf-8", "replace"))] if size <= PIECE else _pieces(_inflated(data, window))
+        return
+
+
+def _pieces(parts: Iterator[bytes]) -> Iterator[tuple[int, str]]:
+    lines, held = 0, b""
+    for part in parts:
+        held += part
+        if len(held) > PIECE:
+            cut = held.rfind(b"\n") + 1
+            text = (held[:cut] or held).decode("utf-8", "replace")
+            yield lines, text
+            lines += len(text.splitlines()) if cut else 0
+            held = held[cut:] if cut else held[-OVERLAP:]
+    if held:
+        yield lines, held.decode("utf-8", "replace")
 
 
 def decompress(files: DataFrame, content: str = "content", out: str = "text") -> DataFrame:
-    """Files whose content is compressed, with the text that it holds instead of the content."""
-    kept = [f for f in files.schema if f.name != content]
+    """Files whose content is compressed, with the text that it holds instead of the content; a row a piece, and in
+    lines_before the number of lines of the pieces before."""
+    kept = [f for f in files.schema if f.name not in (content, "lines_before")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    names = [*(f.name for f in kept), out, "lines_before"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index(content)
-            texts = [inflate(x) for x in batch.column(at).to_pylist()]
             columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
-            made = pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], names=[*(f.name for f in kept), out])
-            yield made.filter(pa.array([t is not None for t in texts]))
+            for i, data in enumerate(batch.column(batch.schema.get_field_index(content))):
+                for before, text in inflate(data.as_py()):
+                    yield pa.RecordBatch.from_arrays([*(c.slice(i, 1) for c in columns), pa.array([text], pa.string()), pa.array([before], pa.int64())], names=names)
 
-    return files.select(*[F.col(f"`{f.name}`") for f in kept], content).mapInArrow(run, f"{fields}, {out} string")
+    return files.select(*[F.col(f"`{f.name}`") for f in kept], content).mapInArrow(run, f"{fields}, {out} string, lines_before long")

@@ -19,19 +19,18 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import COLUMNS, ScanOptions
 from ..operators import post, recon, structured
 from ..sources import files as sources
+from ..sources.lines import numbered
 from .scan import scan
 
 #: Categories of the report that stand under other names in its JSON form, with their descriptions.
 RENAMED = {"js_endpoints": ("endpoints", "Endpoints"), "js_urls": ("urls", "URLs"), "js_variables": ("variables", "JS Variables"), "js_routes": ("routes", "Hidden Routes")}
 MAPS = ("sourcemaps", "Source Maps Available")
-#: Rows of one name that a task numbers; more are numbered by parts.
-NUMBERED = 100_000
 
 
 @dataclass(frozen=True)
@@ -64,21 +63,22 @@ def candidate_urls(urls: DataFrame, options: HuntOptions) -> DataFrame:
 
 
 def collision_names(rows: DataFrame, name: Column, order: list[str]) -> DataFrame:
-    """Rows with `name`, where all but the first of a name get _1, _2, ... before the extension.
+    """Rows with `name`, where all but the first of a name, by the order columns, get _1, _2, ... before the extension.
 
-    Names that very many rows share are numbered by parts, so that no task holds them all;
-    which row is the first is then decided by a hash."""
+    The order columns tell all rows apart.  Only they and the name are dealt out and counted, by ranges, so that a name
+    may have any number of rows; the other columns join what was found."""
     named = rows.withColumn("__name", name)
-    sizes = named.groupBy("__name").agg(F.count("*").alias("__n"))
-    parts = F.ceil(F.col("__n") / NUMBERED)
-    tagged = named.join(sizes, "__name").withColumn("__part", F.when(parts > 1, F.pmod(F.xxhash64(*order), parts)).otherwise(0).cast("int"))
-    counted = tagged.withColumn("__row", F.row_number().over(Window.partitionBy("__name", "__part").orderBy(*order)))
-    before = tagged.groupBy("__name", "__part").agg(F.count("*").alias("__c")).withColumn("__before", F.sum("__c").over(Window.partitionBy("__name").orderBy("__part")) - F.col("__c")).drop("__c")
-    at = F.col("__before") + F.col("__row") - 1
+    slim = named.select("__name", *order)
+    at = F.col("__place") - 1
     end = sources.suffix(F.col("__name"))
     stem = F.left("__name", F.length("__name") - F.length(end))
     full = F.when(at == 0, F.col("__name")).otherwise(F.concat(stem, F.lit("_"), at.cast("string"), end))
-    return counted.join(before, ["__name", "__part"]).withColumn("name", full).drop("__name", "__n", "__part", "__row", "__before")
+    found = numbered(slim, "__name", order, "__place").withColumn("name", full).drop("__name", "__place")
+    if set(rows.columns) == set(order):
+        return found
+    keys = found.select("name", *[F.col(c).alias(f"__{i}") for i, c in enumerate(order)])
+    met = [F.col(c).eqNullSafe(F.col(f"__{i}")) for i, c in enumerate(order)]
+    return rows.drop("name").join(keys, met).drop(*[f"__{i}" for i in range(len(order))])
 
 
 def fetched_files(pages: DataFrame, options: HuntOptions) -> DataFrame:

@@ -144,7 +144,7 @@ def unit_findings(units: DataFrame, options: ScanOptions) -> DataFrame:
 def gzip_findings(files: DataFrame, options: ScanOptions) -> DataFrame:
     """Rules in compressed content, once for each rule and start of the secret in a file."""
     texts = decode.decompress(files.select("file", "content"), "content", "text")
-    hits = match_rules(X.lines(texts), options.active(), check=False)
+    hits = match_rules(X.lines(texts).withColumn("line", F.col("line") + F.col("lines_before")), options.active(), check=False)
     context = F.concat(F.lit("gzip decoded: "), X.context(F.col("line_text")))
     found = _finding(hits, "gzip", F.concat(F.lit("gzip_"), F.col("rule")), F.col("severity"), F.col("secret"), context, [F.col("rule_ord"), F.col("match_at")], F.col("column"))
     # a secret that another rule already reported is dropped as well: the first by place stays
@@ -194,13 +194,13 @@ def scan_large(spark: SparkSession, files: list[tuple[str, str, int]], options:
 
 
 #: What follows the scan, by the surface that asks.
-MODES = {"cli": ("downgrade", "deduplicate"), "pipe": ("deduplicate", "downgrade"), "sdk": ("deduplicate",), "raw": ()}
+MODES = {"cli": ("downgrade", "deduplicate"), "all": ("downgrade",), "pipe": ("deduplicate", "downgrade"), "sdk": ("deduplicate",), "raw": ()}
 
 
 def finish(findings: DataFrame, mode: str = "cli", ignored: DataFrame | None = None) -> DataFrame:
     """Post-processing in the order of the surface, then sorted, in the public schema."""
     for step in MODES[mode]:
         findings = getattr(post, step)(findings)
-    if ignored is not None and mode in ("cli", "pipe"):
+    if ignored is not None and mode in ("cli", "all", "pipe"):
         findings = post.suppress(findings, ignored)
     return post.ordered(findings).select(COLUMNS)

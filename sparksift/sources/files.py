@@ -24,8 +24,6 @@ LARGEST_FILE = 10 * 1024 * 1024
 SNIFFED_BYTES = 8192
 #: Files of more bytes than this aren't rows: they are read by lines, in ranges.
 LINES_FROM = 64 << 20
-#: Folders within folders that are looked into; links may make circles.
-MOST_LEVELS = 100
 
 
 def file_name(path: Column) -> Column:
@@ -53,23 +51,30 @@ def kept_folder(relative: Column) -> Column:
 
 
 def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries of each folder (path, uri, folder, length, link) but for what is skipped; the executors look."""
+    """Entries of each folder (path, uri, folder, length, link, trail) but for what is skipped; the executors look.
+
+    trail: the device and inode of the folder and of those above it.  A link to one of these is a circle."""
     from pyarrow import fs
 
     for batch in batches:
-        for uri in batch.column(0).to_pylist():
+        for uri, trail in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
             system, inner = fs.FileSystem.from_uri(uri)
             found = system.get_file_info(fs.FileSelector(inner, allow_not_found=True))
             head = uri[: len(uri) - len(inner)] if uri.endswith(inner) else ""
+            if system.type_name == "local":
+                own = os.stat(inner)
+                trail = [*trail, f"{own.st_dev}:{own.st_ino}"]
+                if trail[-1] in trail[:-1]:
+                    continue
             rows = []
             for one in found:
                 if one.type == fs.FileType.Directory and (one.base_name.startswith(".") or one.base_name in SKIPPED_FOLDERS):
                     continue
                 if one.type in (fs.FileType.Directory, fs.FileType.File):
                     link = system.type_name == "local" and os.path.islink(one.path)
-                    rows.append((head + one.path, one.path, one.type == fs.FileType.Directory, one.size or 0, link))
+                    rows.append((head + one.path, one.path, one.type == fs.FileType.Directory, one.size or 0, link, trail))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.bool_()), strict=True)], names=["uri", "path", "folder", "length", "link"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.bool_(), pa.list_(pa.string())), strict=True)], names=["uri", "path", "folder", "length", "link", "trail"])
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +100,7 @@ def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(starts, pa.binary())], names=[*batch.schema.names, "content"])
 
 
-_LISTED = "uri string, path string, folder boolean, length long, link boolean"
+_LISTED = "uri string, path string, folder boolean, length long, link boolean, trail array<string>"
 
 
 def _walked(spark: SparkSession, root: str, follow_symlinks: bool) -> DataFrame:
@@ -103,16 +108,15 @@ def _walked(spark: SparkSession, root: str, follow_symlinks: bool) -> DataFrame:
     from .shared import staged
 
     tasks, files = spark.sparkContext.defaultParallelism, None
-    folders = spark.createDataFrame([(root,)], "uri string")
-    for _ in range(MOST_LEVELS):
+    folders = spark.createDataFrame([(root, [])], "uri string, trail array<string>")
+    while True:
         level = staged(folders.repartition(tasks, "uri").mapInArrow(_children, _LISTED))
         level = level if follow_symlinks else level.where("not link")
         own = level.where("not folder").select("uri", "path", "length")
         files = own if files is None else files.unionByName(own)
-        folders = level.where("folder").select("uri")
+        folders = level.where("folder").select("uri", "trail")
         if not folders.limit(1).count():
-            break
-    return files
+            return files
 
 
 def _status(spark: SparkSession, path: str) -> tuple[str, str, bool, int]:

@@ -24,14 +24,17 @@ def test_live_urls_and_candidates(spark):
     assert got(scripts_only=False, scope="//a/") == ["https://a/b.js", "https://a/page", "https://a/z.js"]
 
 
-def test_names_that_collide(spark, monkeypatch):
+def test_names_that_collide(spark):
     rows = spark.createDataFrame([(i, f"https://h{i}/a.min.js?v={i}") for i in range(5)] + [(9, "https://h/"), (10, "https://g/?q")], "i int, url string")
     name = fetched_name(F.col("url"))
     want = {"a.min.js", "a.min_1.js", "a.min_2.js", "a.min_3.js", "a.min_4.js", "index.html", "index_1.html"}
     got = {r.i: r.name for r in hunt.collision_names(rows, name, ["url"]).collect()}
     assert set(got.values()) == want and got[0] == "a.min.js" and got[4] == "a.min_4.js" and got[10] == "index.html"
-    monkeypatch.setattr(hunt, "NUMBERED", 2)
-    assert {r.name for r in hunt.collision_names(rows, name, ["url"]).collect()} == want
+    # a name that a third of all rows share is numbered in order, whatever number of tasks holds it
+    many = spark.createDataFrame([(i, f"https://h{i * 7919 % 4000:05}/" + ("" if i % 3 else f"{i}.js")) for i in range(4000)] + [(9999, None)], "i int, url string")
+    got = hunt.collision_names(many, name, ["url", "i"]).collect()
+    index = [r.name for r in sorted((r for r in got if r.url and r.url.endswith("/")), key=lambda r: r.url)]
+    assert index == ["index.html", *(f"index_{k}.html" for k in range(1, len(index)))] and len(index) == 2666 and len(got) == 4001
 
 
 def test_hunt_goes_on_where_it_stopped(spark, tmp_path):

@@ -119,8 +119,8 @@ def test_decoders(spark):
         thrice = base64.b64encode(f"x {thrice} y".encode()).decode()
     assert any(tag == "base64" and TOKEN in text for tag, text in decode.chain(thrice))
     assert not any(TOKEN in text for _, text in decode.chain(thrice, 2))
-    assert decode.inflate(gzip.compress(b"x" * 100)) == "x" * 100 or len(gzip.compress(b"x" * 100)) <= 64
-    assert decode.inflate(b"not compressed" * 10) is None and decode.inflate(None) is None
+    assert list(decode.inflate(gzip.compress(bytes(range(32, 127))))) == [(0, bytes(range(32, 127)).decode())]
+    assert not list(decode.inflate(b"not compressed" * 10)) and not list(decode.inflate(None))
 
 
 def test_compressed_files(spark):
@@ -192,11 +192,29 @@ def test_compressed_content_is_bounded_by_its_size_only(spark, tmp_path, monkeyp
         rows = [(i, bytearray(pack(t.encode()))) for i, t in texts.items() if t is not None]
         got = {r.doc_id: r.text for r in decode.decompress(spark.createDataFrame(rows, "doc_id long, content binary")).collect()}
         assert got == {i: texts[i] for i, data in rows if len(data) > decode.LEAST_COMPRESSED} and 2 < len(got) < 8
-        assert decode.inflate(bytes(rows[-1][1])[:-9]) is None
+        assert not list(decode.inflate(bytes(rows[-1][1])[:-9]))
     every = {(r.doc_id, r.digest) for r in catalogue.gzip_texts(spark, tables(spark, tmp_path, list(texts.items()), [])).collect()}
     assert every == {(i, hashlib.md5(t.encode()).hexdigest()) for i, t in texts.items() if t is not None}
-    monkeypatch.setattr(decode, "LARGEST_INFLATED", 100_000)
-    assert decode.inflate(gzip.compress(b"a" * 100_000)) and decode.inflate(gzip.compress(b"a" * 100_000_000)) is None
+
+
+def test_compressed_content_of_any_size_comes_in_pieces(spark, monkeypatch):
+    """All lines with their numbers, and a secret in a line that no piece holds whole."""
+    monkeypatch.setattr(decode, "PIECE", 5000)
+    monkeypatch.setattr(decode, "OVERLAP", 200)
+    text = "\n".join(f"line {i} é " + "x" * (i * 37 % 90) for i in range(3000)) + "\n"
+    pieces = list(decode.inflate(gzip.compress(text.encode())))
+    assert len(pieces) == 1 or "".join(t for _, t in pieces) == text
+    lines = {}
+    for before, piece in pieces:
+        lines |= dict(enumerate(piece.splitlines(), before + 1))
+    assert lines == dict(enumerate(text.splitlines(), 1))
+    assert "".join(t for _, t in decode._pieces(iter([text.encode()[i : i + 999] for i in range(0, len(text.encode()), 999)]))) == text
+    long = b"a" * 9000 + TOKEN.encode() + b"b" * 9000
+    assert any(TOKEN in t for _, t in decode._pieces(iter([long[i : i + 777] for i in range(0, len(long), 777)])))
+    raw = gzip.compress(text.encode() + f"key {TOKEN} end".encode())
+    files = spark.createDataFrame([("f.gz", "binary", bytearray(raw), len(raw))], "file string, text string, content binary, length long")
+    found = scan(files, ScanOptions(entropy=False, decode_gzip=True, json=False)).where("rule = 'gzip_github_personal_access_token'").collect()
+    assert [(r.line, r.column) for r in found] == [(3001, 5)]
 
 
 def test_gzip_findings_only_hide_what_rules_and_entropy_find(spark):
