@@ -173,7 +173,7 @@ def test_caches(spark, tmp_path):
     as_text = lambda *names: spark.createDataFrame([(n, secret) for n in names], "file string, text string")
     assert cache.scan_cached(as_text("x.txt"), store, now=0.0).count() == 0
     assert [(r.file, r.rule) for r in cache.scan_cached(as_text("x.json", "x.txt"), store, now=1.0).collect()] == [("x.json", "json_password")]
-    store.invalidate(TOKEN)
+    store.invalidate(TOKEN, now=5.0)
     assert {r.text for r in store.split(texts.where("text is not null"), PLAIN, now=10.0)[1].collect()} == {TOKEN}
     store.cleanup(now=cache.RESULT_SECONDS + 0.5)
     assert store.split(texts, PLAIN, now=10.0)[1].where("text is not null").count() == 4 and store.entries(ScanOptions(), now=1.0).count() == 1
@@ -184,15 +184,20 @@ def test_caches(spark, tmp_path):
 def test_url_cache(spark, tmp_path):
     path = str(tmp_path / "u")
     page = lambda *rows: spark.createDataFrame([(u, bytearray(c), "text/html") for u, c in rows], "url string, content binary, content_type string")
-    cache.put_urls(page(("http://a", b"old"), ("http://b", b"b"), (None, b"-")), path, 0.0)
-    cache.put_urls(page(("http://a", b"new"), ("http://a", b"newer")), path, 50.0)
-    stored = spark.read.schema(cache.URL_CACHE).parquet(path)
-    got = {r.url: bytes(r.content) for r in cache.latest_urls(stored, 60.0).collect()}
+    urls = cache.UrlCache(spark, path)
+    urls.put(page(("http://a", b"old"), ("http://b", b"b"), (None, b"-")), 0.0)
+    urls.put(page(("http://a", b"new"), ("http://a", b"newer")), 50.0)
+    stored = urls.stored()
+    got = {r.url: bytes(r.content) for r in urls.latest(60.0).collect()}
     assert set(got) == {"http://a", "http://b"} and got["http://a"] == max((b"new", b"newer"), key=lambda x: hashlib.md5(x).hexdigest())
     asked = spark.createDataFrame([("http://a",), ("http://b",), ("http://c",)], "url string")
     assert {r.url for r in cache.missing_urls(asked, stored, cache.URL_SECONDS + 10.0).collect()} == {"http://b", "http://c"}
-    cache.clear_urls(spark, path)
-    assert not (tmp_path / "u").exists()
+    assert {r.url for r in urls.missing(asked, 60.0).collect()} == {"http://c"}
+    urls.cleanup(cache.URL_SECONDS + 10.0)
+    assert [(r.url, bytes(r.content)) for r in urls.stored().collect()] == [("http://a", got["http://a"])]
+    assert len(list((tmp_path / "u" / "data").iterdir())) == 1
+    urls.clear()
+    assert urls.stored().count() == 0
 
 
 def test_recon_and_crawl(spark):
