@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import subprocess
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import Rule, parse_rules
+from .git import git_history  # noqa: F401 - surfaces take it from here
 
 # Names, extensions and limits must be as they are for right results.
 SKIPPED_FOLDERS = (".git", ".hg", ".svn", ".tox", ".mypy_cache", ".pytest_cache", "node_modules", "venv", ".venv", "__pycache__", "build", ".eggs", "target", "vendor")
@@ -229,36 +229,10 @@ def merged_urls(*lists: DataFrame) -> DataFrame:
     return out.distinct().orderBy("url")
 
 
-def _git(repo: str, *args: str, timeout: int = 300) -> str:
-    return subprocess.run(["git", "-C", repo, *args], capture_output=True, timeout=timeout, check=True).stdout.decode("utf-8", "replace")
-
-
-def _blobs(repo: str):
-    """Files that a commit added or changed, if their extension is a text one; the executors read them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for place, commit in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
-                for i, path in enumerate(_git(repo, "diff-tree", "--no-commit-id", "-r", "--root", "--name-only", "--diff-filter=AM", commit).splitlines()):
-                    name = path.rsplit("/", 1)[-1].lstrip(".")
-                    if "." in name and "." + name.rsplit(".", 1)[-1].lower() in TEXT_EXTENSIONS:
-                        try:
-                            content = _git(repo, "show", f"{commit}:{path}")
-                        except subprocess.CalledProcessError:
-                            continue
-                        yield pa.RecordBatch.from_arrays([pa.array([place]), pa.array([i]), pa.array([f"git:{commit[:8]}:{path}"]), pa.array([content])], names=["place", "at", "file", "text"])
-
-    return run
-
-
-def git_history(spark: SparkSession, repo: str) -> DataFrame:
-    """(order, file, text) of a repository's history; file is git:<first 8 of the commit>:<path>.
-
-    The driver lists commits only, and the repository must be on a disk that all tasks see."""
-    commits = list(enumerate(_git(repo, "log", "--all", "--diff-filter=AM", "--format=%H").split()))
-    rows = spark.createDataFrame(commits, "place long, commit string").repartition(spark.sparkContext.defaultParallelism * 4, "commit")
-    found = rows.mapInArrow(_blobs(repo), "place long, at long, file string, text string")
-    return found.select((F.col("place") * (1 << 20) + F.col("at")).alias("order"), "file", "text")
+def text_path(path: str) -> bool:
+    """Whether a path in a history has one of the text extensions."""
+    name = path.rsplit("/", 1)[-1].lstrip(".")
+    return "." in name and "." + name.rsplit(".", 1)[-1].lower() in TEXT_EXTENSIONS
 
 
 def git_findings(blobs: DataFrame, options=None) -> DataFrame:
