@@ -292,8 +292,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, trans
     found, redact = staged(found.select(COLUMNS)), arguments.redact or not arguments.show_secrets
     ordered = post.ordered(found)
     if arguments.output:
-        with open(arguments.output, "w", encoding="utf-8") as out:
-            out.writelines(reports.PIECES[arguments.format](ordered, redact))
+        reports.write_report(ordered, arguments.format, arguments.output, redact)
     else:
         sys.stdout.writelines(reports.PIECES[arguments.format](ordered, redact))
     if arguments.validate:

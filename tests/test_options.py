@@ -42,8 +42,11 @@ def test_decoders_switched_on_and_off(spark, tmp_path, monkeypatch):
     monkeypatch.chdir(tmp_path)
     monkeypatch.setenv("HOME", str(tmp_path))
     (tmp_path / "h.txt").write_text(f"key {TOKEN} end".encode().hex())
-    assert main([str(tmp_path / "h.txt"), "--no-entropy"], spark) == 0 and main([str(tmp_path / "h.txt"), "--no-entropy", "--decode-hex"], spark) == 1
-    assert main([str(tmp_path / "h.txt"), "--no-entropy", "--decode-hex", "--no-decode-hex"], spark) == 0
+    def hex_found(*more):
+        main([str(tmp_path / "h.txt"), "--no-entropy", "--output", str(tmp_path / "out"), *more], spark)
+        return "hex_github_personal_access_token" in (tmp_path / "out").read_text()
+
+    assert [hex_found(), hex_found("--decode-hex"), hex_found("--decode-hex", "--no-decode-hex")] == [False, True, False]
 
 
 def test_deep_folders_and_circles(spark, tmp_path):

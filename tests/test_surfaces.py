@@ -89,7 +89,7 @@ def test_command_line_rpc_and_rest(spark, tmp_path, capsys, monkeypatch):
     out = tmp_path / "report.sarif"
     arguments = [root + "/src", "--format", "sarif", "--output", str(out), "--no-entropy", "--severity", "CRITICAL", "--redact", "--no-cache", "--follow-symlinks", "--validate", "--webhook-url", "http://h/1", "--webhook-url", "http://h/2", "--webhook-format", "slack"]
     code = main(arguments, spark, lambda name, secret: asked.append((name, secret)) or (True, "ok"), lambda url: lambda message: sent.append((url, message["blocks"][0]["type"])) or True)
-    assert code == 1 and sent == [("http://h/1", "header"), ("http://h/2", "header")] and {name for name, _ in asked} <= set(post.VALIDATORS.values())
+    assert code == 1 and sent == [("http://h/1", "section"), ("http://h/2", "section")] and {name for name, _ in asked} <= set(post.VALIDATORS.values())
     results = json.loads(out.read_text())["runs"][0]["results"]
     assert results and all(r["locations"][0]["properties"]["secret"] != TOKEN for r in results)
     capsys.readouterr()
@@ -141,8 +141,10 @@ def test_reports_and_messages(spark, tmp_path):
     assert json.loads(reports.report(found.limit(0), "json")) == [] and len(json.loads(reports.report(found, "json"))) == found.count()
     assert json.loads(reports.report(found.limit(0), "sarif"))["runs"][0]["results"] == []
     markdown = reports.report(found, "markdown")
-    assert markdown.count("## Findings") == 1 and markdown.count("### `") == 2 and r"a\|b" in markdown
-    assert reports.slack_message(found)["blocks"][0]["type"] == "header" and reports.discord_message(found)["embeds"]
+    assert markdown.count("# Exposed strings") == 1 and markdown.count("\n| src/a\\|b.py:1:") >= 1
+    slack, discord = reports.slack_message(found), reports.discord_message(found)
+    assert f"{found.count()} exposed strings, 2 files" in slack["text"] and TOKEN not in str(slack) + str(discord) and "github_personal_access_token" in str(slack) and "z.py:2" in str(discord)
+    assert len(reports.slack_message(found.limit(0))["blocks"]) == 1 and reports.discord_message(found.limit(0))["embeds"]
     calls = []
     assert not reports.send({}, lambda m: calls.append(m) or False, wait=lambda s: None) and len(calls) == 3
     values = spark.createDataFrame([("12345678",), ("123456789",), ("12345678901234567",)], "s string")
