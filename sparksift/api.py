@@ -8,9 +8,12 @@ import json
 import os
 import sys
 import time
+import urllib.parse
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from typing import TextIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,15 +24,17 @@ from .operators import post
 from .operators.cache import ResultCache, scan_cached
 from .plans.scan import finish, scan, scan_large
 from .sinks import reports
+from .sinks.registry import PAGE, ScanRegistry
 from .sources import files as sources
-from .sources.shared import staged
-
+from .sources.shared import shared_folder, staged
 
 #: transport(validator, secret) -> (valid, detail)
 Transport = Callable[[str, str], tuple[bool, str]]
 #: Where settings are looked for; later ones win, and --config wins over all.
 CONFIG_PATHS = ("~/.config/sparksift/config.json", "~/.sparksiftrc", ".sparksiftrc", ".sparksiftrc.json")
 IGNORE_FILE = ".sparksiftignore"
+#: What REST and JSON-RPC tell of a finding.
+REST_COLUMNS = ("file", "line", "rule", "severity", "secret", "context", "entropy")
 
 
 @dataclass
@@ -130,13 +135,17 @@ def _error(code: int, message: str, request_id: object = None) -> dict:
 
 
 def _listed(findings: DataFrame, redact: bool) -> list[dict]:
-    return [{k: r[k] for k in ("file", "line", "rule", "severity", "secret", "context", "entropy")} for r in reports.shown(findings, redact).toLocalIterator()]
+    return [{k: r[k] for k in REST_COLUMNS} for r in reports.shown(findings, redact).toLocalIterator()]
 
 
-def _run_scan(spark: SparkSession, params: dict) -> dict:
+def _scanned(spark: SparkSession, params: dict) -> ScanResult:
     names = {"high_entropy_scan": "entropy", "severity": "min_severity"}
     options = ScanOptions(**as_options({names.get(k, k): v for k, v in params.items() if k not in ("paths", "rules")}))
-    result = Scanner(spark, options).scan_paths(params["paths"])
+    return Scanner(spark, options).scan_paths(params["paths"])
+
+
+def _run_scan(spark: SparkSession, params: dict) -> dict:
+    result = _scanned(spark, params)
     return {"summary": result.summary.__dict__, "duration": round(result.duration, 2), "findings": _listed(result.findings, params.get("redact", False))}
 
 
@@ -171,14 +180,25 @@ def handle_rpc(spark: SparkSession, line: str, transport=None) -> dict:
 
 
 class RestService:
-    """POST /scan, GET /scan/<id>, /rules and /health, with an optional bearer token; results live an hour."""
+    """POST /scan, GET /scan/<id>?after=&size=, /rules and /health, with an optional bearer token.
 
-    def __init__(self, spark: SparkSession, token: str | None = None, seconds: float = 3600.0):
-        self.spark, self.token, self.seconds, self.scans = spark, token, seconds, {}
+    Results are tables of a registry and live for its time; only ids and the page that is asked for come here."""
+
+    def __init__(self, spark: SparkSession, token: str | None = None, seconds: float = 3600.0, registry: ScanRegistry | None = None):
+        self.spark, self.token = spark, token
+        self.registry = registry or ScanRegistry(spark, f"{shared_folder(spark)}/scans-{uuid.uuid4().hex}", seconds)
+
+    def _page(self, key: str, now: float, after: int = 0, size: int = PAGE) -> dict | None:
+        rows = self.registry.page(key, now, after, size)
+        if rows is None:
+            return None
+        for f in rows:
+            f["secret"] = f"{f['secret'][:4]}...{f['secret'][-4:]}"
+        return {"findings": [{k: f[k] for k in ("place", *REST_COLUMNS)} for f in rows], "next": rows[-1]["place"] if len(rows) == size else None}
 
     def handle(self, method: str, path: str, body: str = "", authorization: str | None = None, now: float | None = None) -> tuple[int, dict]:
         now = time.time() if now is None else now
-        self.scans = {k: v for k, v in self.scans.items() if now - v["created"] < self.seconds}
+        path, _, query = path.partition("?")
         if path == "/health" and method == "GET":
             return 200, {"status": "ok"}
         if self.token and not hmac.compare_digest(authorization or "", f"Bearer {self.token}"):
@@ -192,18 +212,50 @@ class RestService:
                 return 400, {"error": "invalid JSON"}
             if not params.get("paths"):
                 return 400, {"error": "no paths provided"}
-            found = _run_scan(self.spark, params)
-            for f in found["findings"]:
-                f["secret"] = f"{f['secret'][:4]}...{f['secret'][-4:]}"
-            key = uuid.uuid4().hex
-            self.scans[key] = {"created": now, "result": found}
-            return 200, {"scan_id": key, **found}
+            result = _scanned(self.spark, params)
+            key = self.registry.put(result.findings, now)
+            return 200, {"scan_id": key, "summary": result.summary.__dict__, "duration": round(result.duration, 2), **self._page(key, now)}
         if path.startswith("/scan/") and method == "GET":
-            held = self.scans.get(path.removeprefix("/scan/"))
-            return (200, held["result"]) if held else (404, {"error": "not found"})
+            asked = {k: v[-1] for k, v in urllib.parse.parse_qs(query).items()}
+            try:
+                after, size = int(asked.get("after", 0)), int(asked.get("size", PAGE))
+            except ValueError:
+                return 400, {"error": "after and size are numbers"}
+            page = self._page(path.removeprefix("/scan/"), now, max(0, after), min(max(1, size), PAGE))
+            return (200, page) if page is not None else (404, {"error": "not found"})
         return 404, {"error": "not found"}
 
 
+def serve(service: RestService, host: str = "127.0.0.1", port: int = 8000) -> ThreadingHTTPServer:
+    """A server of the service; its serve_forever() answers."""
+
+    class Handler(BaseHTTPRequestHandler):
+        def answer(self) -> None:
+            body = self.rfile.read(int(self.headers.get("Content-Length") or 0)).decode("utf-8", "replace")
+            code, result = service.handle(self.command, self.path, body, self.headers.get("Authorization"))
+            data = json.dumps(result).encode()
+            self.send_response(code)
+            self.send_header("Content-Type", "application/json")
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        do_GET = do_POST = answer
+
+        def log_message(self, *args) -> None:
+            """Requests aren't logged: paths may be secret."""
+
+    return ThreadingHTTPServer((host, port), Handler)
+
+
+def rpc_loop(spark: SparkSession, lines: Iterable[str], out: TextIO) -> None:
+    """Answer a JSON-RPC request a line, until the lines end."""
+    for line in lines:
+        if line.strip():
+            out.write(json.dumps(handle_rpc(spark, line)) + "\n")
+            out.flush()
+
+
 # ---------------------------------------------------------------- command line
 
 
@@ -224,6 +276,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--webhook-format", choices=sorted(reports.MESSAGES), default="json")
     for name in ("exclude-file", "rules", "config", "ignore-file", "cache-dir", "fail-on", "add-ignore"):
         p.add_argument(f"--{name}")
+    p.add_argument("--serve", type=int, metavar="PORT", help="answer REST requests at this port of this machine")
+    p.add_argument("--rpc", action="store_true", help="answer JSON-RPC requests, one a line, from standard input")
     p.add_argument("--max-file-size", default=sources.LARGEST_FILE, type=parse_size)
     return p
 
@@ -262,6 +316,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, trans
     transport validates secrets where --validate asks for it; sender makes what sends messages to a URL."""
     arguments = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("sparksift").getOrCreate()
+    if arguments.rpc:
+        rpc_loop(spark, sys.stdin, sys.stdout)
+        return 0
+    if arguments.serve is not None:
+        serve(RestService(spark, os.environ.get("SPARKSIFT_TOKEN")), port=arguments.serve).serve_forever()
+        return 0
     stored = as_options(settings(spark, arguments.config), vars(arguments))
     if stored:
         arguments = parser().parse_args(argv, argparse.Namespace(**{**vars(parser().parse_args([])), **stored}))
