@@ -324,14 +324,16 @@ def _fold(text: Column) -> Column:
     return F.lower(F.when(F.regexp_like(text, F.lit(f"[{_ODD}]")), F.translate(text, _ODD, _PLAIN)).otherwise(text))
 
 
-def _look_up(rows: DataFrame, index: DataFrame, text: str, sweeps: list[tuple[str, str, Column]] = ()) -> DataFrame:
+def _look_up(rows: DataFrame, index: DataFrame, text: str, sweeps: list[tuple[str, str, Column]] = (), may: Column | None = None) -> DataFrame:
     """Rows with __p, __pattern, __rules and __m, the matches of a pattern that has some: an equi-join of a text's keys
     with the index, which is small and goes to all tasks, then the literal, then the pattern itself.
 
-    Rows may have their 3-grams (those of the index at least) in a column __grams."""
+    Rows may have their 3-grams (those of the index at least) in a column __grams.  may: a condition that all texts
+    with a match fulfil; the keys of others aren't made."""
     kind = "array<struct<__key:string,__found:array<string>>>"
     grams = F.col("__grams") if "__grams" in rows.columns else _grams(F.col("__folded"))
-    keys = F.transform(F.concat(grams, _marks(F.col(text))), lambda k: F.struct(k.alias("__key"), F.lit(None).cast("array<string>").alias("__found"))).cast(kind)
+    own = F.concat(grams, _marks(F.col(text)))
+    keys = F.transform(own if may is None else F.when(may, own).otherwise(F.array().cast("array<string>")), lambda k: F.struct(k.alias("__key"), F.lit(None).cast("array<string>").alias("__found"))).cast(kind)
     swept = [F.struct(F.lit(f"{_MARK}{i}").alias("__key"), secrets.alias("__found")) for i, (_, _, secrets) in enumerate(sweeps)]
     if swept:
         keys = F.concat(keys, F.filter(F.array(*swept).cast(kind), lambda x: F.size(x["__found"]) > 0))
@@ -366,14 +368,16 @@ def _matches(found: DataFrame, text: str, check: bool | Column) -> DataFrame:
     return out
 
 
-def match_rules(rows: DataFrame, active: list[tuple[int, Rule]], text: str = "line_text", check: bool | Column = True, sweeps: list[tuple[str, str, Column]] | None = None) -> DataFrame:
+def match_rules(rows: DataFrame, active: list[tuple[int, Rule]], text: str = "line_text", check: bool | Column = True, sweeps: list[tuple[str, str, Column]] | None = None, gated: bool = False) -> DataFrame:
     """Rows with rule, severity, rule_ord, match_at, secret and column for each match in the text column.
 
     check: where to apply the secret's likeness to the rules that ask for it.
     sweeps: further (rule, severity, array of secrets) to find in the same pass;
-    their column is the first place of the secret."""
+    their column is the first place of the secret.
+    gated: the texts have passed `gate` already."""
     sweeps = sweeps or []
-    return _matches(_look_up(rows, index_of(rows.sparkSession, active, sweeps), text, sweeps), text, check)
+    may = None if gated else gate(active)(F.col(text))
+    return _matches(_look_up(rows, index_of(rows.sparkSession, active, sweeps), text, sweeps, may), text, check)
 
 
 def match_table(rows: DataFrame, rules: DataFrame, text: str = "line_text", check: bool | Column = False) -> DataFrame:

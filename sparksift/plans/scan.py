@@ -116,7 +116,8 @@ def unit_findings(units: DataFrame, options: ScanOptions) -> DataFrame:
         sweeps.append(("high_entropy_token", "MEDIUM", F.when(eligible, tokens)))
     if options.endpoints:
         sweeps.append((_ENDPOINT, "INFO", F.when(plain & F.col("small"), structured.endpoint_array(F.col("unit")))))
-    hits = match_rules(units, options.active(), "unit", check=plain, sweeps=sweeps)
+    only_rules = not (_decoders(options) or options.endpoints or options.decode_base64 or options.decode_hex or options.json)
+    hits = match_rules(units, options.active(), "unit", check=plain, sweeps=sweeps, gated=only_rules)
     swept, endpoint = F.col("rule_ord") < 0, F.col("rule") == _ENDPOINT
     stage = F.when(plain & endpoint, STAGES["endpoint"]).when(plain & swept, STAGES["entropy"]).otherwise(F.col("stage"))
     rule = F.when(plain, F.col("rule")).when(F.col("rule") == _JSON_KEY, F.concat(F.lit("json_"), key_name)).otherwise(F.concat_ws("_", "tag", "rule"))
