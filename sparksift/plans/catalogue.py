@@ -336,6 +336,42 @@ def sarif_rules(spark, sf_dir):
     return reports.sarif_rules(_findings(spark, sf_dir))
 
 
+_WHOLE = f"docs AS (SELECT 'doc:' || doc_id AS file, text FROM documents UNION ALL SELECT url, html FROM pages WHERE length(html) > 0 UNION ALL SELECT file, text FROM ({_TURNS.removeprefix('docs AS (').removesuffix(')')}))"
+_SHOWN = "CASE WHEN length(secret) <= 8 THEN repeat('*', length(secret)) WHEN length(secret) <= 16 THEN left(secret, 2) || repeat('*', length(secret) - 4) || right(secret, 2) ELSE left(secret, 4) || repeat('*', length(secret) - 8) || right(secret, 4) END"
+_LEVEL = "CASE severity WHEN 'CRITICAL' THEN 'error' WHEN 'HIGH' THEN 'error' WHEN 'MEDIUM' THEN 'warning' WHEN 'LOW' THEN 'note' ELSE 'none' END"
+
+
+def _whole_findings(spark, sf_dir):
+    """Findings in whole documents, pages and conversations; each turn has one more line that holds a token."""
+    key = F.sha2(F.substring_index("file", ":", -1).cast("binary"), 256)
+    turns = _turns(spark, sf_dir).withColumn("text", F.concat("text", F.lit("\nuse ghp_"), F.left(key, F.lit(36))))
+    texts = _documents(spark, sf_dir).unionByName(sources.from_pages(_table(spark, sf_dir, "pages"))).unionByName(turns)
+    return scan(texts, RULES_ONLY)
+
+
+@query(f"WITH {_WHOLE}, {_FOUND} SELECT file, line, rule, CASE WHEN regexp_matches({_CONTEXT}, {S.quoted(post.PLACEHOLDER)}) THEN 'INFO' WHEN {_OFF} THEN {_MILDER} ELSE severity END AS severity, {_SHOWN} AS shown, {_FP} AS fingerprint FROM found")
+def reported_texts(spark, sf_dir):
+    """What becomes of the findings of whole texts: severities, redacted secrets, fingerprints."""
+    mark = X.fingerprint(F.col("rule"), F.col("secret"), F.col("file")).alias("fingerprint")
+    return post.downgrade(_whole_findings(spark, sf_dir)).select("file", "line", "rule", "severity", X.redact(F.col("secret")).alias("shown"), mark)
+
+
+@query(f"""WITH {_WHOLE}, {_FOUND}, f AS (SELECT rule, min((100 + {S.rank('severity')}) || file || chr(1) || (100000 + line) || chr(1) || (100000 + col) || chr(1) || secret) AS o FROM found GROUP BY rule),
+r AS (SELECT rule, CAST(row_number() OVER (ORDER BY o, rule) - 1 AS INTEGER) AS rule_index FROM f)
+SELECT rule, rule_index, {_LEVEL} AS level, file AS uri, CAST(line AS INTEGER) AS start_line, CAST(CASE WHEN col > 0 THEN col END AS INTEGER) AS start_column, {_CONTEXT} AS snippet, {_SHOWN} AS shown FROM found JOIN r USING (rule)""")
+def sarif_results(spark, sf_dir):
+    """The results of a SARIF report over whole texts, read back from their JSON."""
+    made = reports.sarif_results(_whole_findings(spark, sf_dir))
+    kind = """ruleId string, ruleIndex int, level string, locations array<struct<physicalLocation: struct<artifactLocation: struct<uri: string>,
+        region: struct<startLine: int, startColumn: int, snippet: struct<text: string>>>, properties: struct<secret: string>>>"""
+    r = made.select(F.from_json("result", kind).alias("r")).select("r.*").withColumn("at", F.col("locations")[0])
+    region = "at.physicalLocation.region"
+    return r.select(
+        F.col("ruleId").alias("rule"), F.col("ruleIndex").alias("rule_index"), "level", F.col("at.physicalLocation.artifactLocation.uri").alias("uri"), F.col(f"{region}.startLine").alias("start_line"),
+        F.col(f"{region}.startColumn").alias("start_column"), F.col(f"{region}.snippet.text").alias("snippet"), F.col("at.properties.secret").alias("shown"),
+    )
+
+
 # ---------------------------------------------------------------- decoders
 
 _ONE_RULE = [(i, r) for i, r in RULES_ONLY.active() if r.name == "github_personal_access_token"]
