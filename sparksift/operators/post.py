@@ -124,11 +124,11 @@ def validate(findings: DataFrame, transport) -> list[dict]:
 def exact_duplicates(files: DataFrame, content: str = "content", path: str = "path") -> DataFrame:
     """Files with digest, kept_path, copies and keep: whether it is the first by path of those with its content.
 
-    Only paths and digests are dealt out, not contents; no task holds a large group of copies.
+    Contents are read and hashed once; only paths and digests are dealt out, and no task holds a large group of copies.
     A null content has a null digest and is a group of its own kind; a null path is never the first."""
-    from ..sources.shared import skew_join
+    from ..sources.shared import skew_join, staged
 
-    hashed = files.select(path, F.coalesce(F.sha2(F.col(content).cast("binary"), 256), F.lit("")).alias("digest"))
+    hashed = staged(files.select(path, F.coalesce(F.sha2(F.col(content).cast("binary"), 256), F.lit("")).alias("digest")))
     firsts = hashed.groupBy("digest").agg(F.min(path).alias("kept_path"), F.count("*").alias("size")).withColumn("copies", F.col("size"))
-    out = skew_join(hashed, firsts, "digest", "size", files.count(), path)
+    out = skew_join(hashed, firsts, "digest", "size", hashed.count(), path)
     return out.withColumn("digest", F.nullif("digest", F.lit(""))).withColumn("keep", F.col(path) == F.col("kept_path"))
