@@ -15,17 +15,23 @@ a table (url, html [, content_type]), made by whoever may fetch.
 
 from __future__ import annotations
 
+import argparse
 import json
+import sys
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import COLUMNS, ScanOptions
+from .. import ship
+from ..model import COLUMNS, SEVERITIES, ScanOptions
 from ..operators import post, recon, structured
+from ..sinks import reports
+from ..sinks.document import write_document
 from ..sources import files as sources
 from ..sources.lines import numbered
+from ..sources.shared import staged
 from .scan import scan
 
 #: Categories of the report that stand under other names in its JSON form, with their descriptions.
@@ -125,9 +131,17 @@ def deep_report(files: DataFrame) -> DataFrame:
 
 
 def write_report(report: DataFrame, path: str) -> None:
-    """A JSON line for each category: category, desc, total and findings (value, file)."""
-    grouped = report.groupBy("category", "desc").agg(F.count("*").alias("total"), F.sort_array(F.collect_list(F.struct("value", "file"))).alias("findings"))
-    grouped.write.mode("overwrite").json(path)
+    """The report as one JSON document that tasks write: as `report_json`, but for white space, at any size."""
+    rows = staged(report.select("category", "desc", "value", "file", F.monotonically_increasing_id().alias("__id")))
+    first = rows.groupBy(F.col("category").alias("__c")).agg(F.min(F.struct("file", "value", "__id")).alias("__first"))
+    opens = F.col("__first.__id") == F.col("__id")
+    names = sorted(r["__c"] for r in first.select("__c").collect())  # there are some forty kinds
+    quoted = lambda c: F.expr(f"substring(to_json(named_struct('x', `{c}`)), 6, length(to_json(named_struct('x', `{c}`))) - 6)")
+    head = F.concat(F.when(F.col("category") == F.lit(names[0] if names else None), "").otherwise("]},"), quoted("category"), F.lit(': {"desc": '), quoted("desc"), F.lit(', "findings": ['))
+    one = F.to_json(F.struct("value", "file"))
+    piece = F.when(opens, F.concat(head, one)).otherwise(F.concat(F.lit(","), one))
+    ordered = rows.join(first, F.col("category") == F.col("__c")).orderBy("category", "file", "value", "__id").select(F.concat(F.lit("\n"), piece).alias("piece"))
+    write_document(ordered, path, f'{{"total_findings": {rows.count()}, "categories": {{', "", "]}}}\n" if names else "}}\n")
 
 
 def report_json(report: DataFrame) -> str:
@@ -179,3 +193,45 @@ class Hunt:
         report = self._table("report", lambda: deep_report(every))
         findings = self._table("findings", lambda: stream_findings(every, o.scan))
         return {"urls": first, "reached": reached, "files": files, "scripts": scripts, "sources": more, "report": report, "findings": findings}
+
+
+# ---------------------------------------------------------------- command line
+
+
+def parser() -> argparse.ArgumentParser:
+    p = argparse.ArgumentParser(prog="sparksift.plans.hunt", description="Look for exposed secrets in fetched pages of a list of URLs.")
+    p.add_argument("urls", nargs="+", help="lists of URLs, one a line; first words of lines count, so a prober's output will do")
+    p.add_argument("--pages", required=True, help="Parquet table of fetched pages: url, html and, if known, content_type")
+    p.add_argument("-o", "--output-dir", required=True, help="folder of the stages; a chain that was cut short goes on there")
+    p.add_argument("-f", "--format", choices=sorted(reports.PIECES), default="text")
+    p.add_argument("-s", "--severity", default="LOW", choices=SEVERITIES)
+    p.add_argument("-r", "--redact", action="store_true")
+    p.add_argument("--scope", help="pattern that URLs must match")
+    p.add_argument("-aj", "--all-files", action="store_true", help="all URLs, not only those of scripts")
+    p.add_argument("-mf", "--max-files", type=int, default=200, help="URLs to take; 0 for all")
+    p.add_argument("-jsd", "--js-depth", type=int, default=0, help="levels of scripts that scripts name")
+    p.add_argument("--no-inline-scripts", action="store_true")
+    p.add_argument("--no-source-maps", action="store_true")
+    p.add_argument("--filter-content-type", action="store_true")
+    p.add_argument("--no-entropy", action="store_true")
+    p.add_argument("--decode-base64", action=argparse.BooleanOptionalAction, default=True)
+    p.add_argument("--fail-on", choices=SEVERITIES)
+    return p
+
+
+def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
+    """Runs the chain and writes <output-dir>/report.json and <output-dir>/findings.<format>; 1 if there are findings (at fail-on and worse)."""
+    a = parser().parse_args(argv)
+    spark = spark or SparkSession.builder.appName("sparksift-hunt").getOrCreate()
+    ship(spark)
+    found = sources.positioned(spark, *a.urls)
+    urls = live_urls(found.withColumnRenamed("url", "value"), keep=["position"])
+    options = HuntOptions(a.scope, not a.all_files, a.max_files or None, a.js_depth, not a.no_inline_scripts, not a.no_source_maps, a.filter_content_type, ScanOptions(a.severity, entropy=not a.no_entropy, decode_base64=a.decode_base64))
+    made = Hunt(spark, a.output_dir, options).run(urls, spark.read.parquet(a.pages))
+    write_report(made["report"], f"{a.output_dir}/report.json")
+    reports.write_report(post.ordered(made["findings"]), a.format, f"{a.output_dir}/findings.{a.format}", a.redact)
+    return int(post.failing(made["findings"], a.fail_on).first()["failed"])
+
+
+if __name__ == "__main__":
+    sys.exit(main())

@@ -65,7 +65,9 @@ def test_hunt_goes_on_where_it_stopped(spark, tmp_path):
     whole = json.loads(hunt.report_json(out["report"]))
     assert whole["total_findings"] == len(report) and "emails" in whole["categories"]
     hunt.write_report(out["report"], str(tmp_path / "r"))
-    assert {r.category: r.total for r in spark.read.json(str(tmp_path / "r")).collect()} == {c: len(v["findings"]) for c, v in whole["categories"].items()}
+    assert json.loads((tmp_path / "r").read_text()) == whole and list(whole["categories"]) == sorted(whole["categories"])
+    hunt.write_report(out["report"].limit(0), str(tmp_path / "r"))
+    assert json.loads((tmp_path / "r").read_text()) == {"total_findings": 0, "categories": {}}
     # a stage that is complete isn't made again; one that isn't is
     assert one.next_stage() is None
     (tmp_path / "h" / "report" / "_SUCCESS").unlink()
@@ -74,6 +76,19 @@ def test_hunt_goes_on_where_it_stopped(spark, tmp_path):
     assert {(r.category, r.value) for r in again["report"].collect()} == report
 
 
+def test_command_line_of_the_chain(spark, tmp_path):
+    pages = [("https://a/1.js", f"k = '{TOKEN}'\n// mail@host.example"), ("https://a/page", "x"), ("https://b/2.js", f"other('{TOKEN}')")]
+    spark.createDataFrame(pages, "url string, html string").write.parquet(str(tmp_path / "pages"))
+    (tmp_path / "urls.txt").write_text("https://a/1.js [200] [title]\nhttps://a/page [200]\nhttps://b/2.js\n\n")
+    ask = lambda *more: hunt.main([str(tmp_path / "urls.txt"), "--pages", str(tmp_path / "pages"), "--no-entropy", "-f", "json", *more], spark)
+    assert ask("-o", str(tmp_path / "one"), "--scope", "//a/", "--redact") == 1
+    found = json.loads((tmp_path / "one" / "findings.json").read_text())
+    assert [(r["file"], r["rule"]) for r in found if r["rule"] == "github_personal_access_token"] == [("1.js", "github_personal_access_token")] and TOKEN not in {r["secret"] for r in found}
+    assert "emails" in json.loads((tmp_path / "one" / "report.json").read_text())["categories"]
+    assert ask("-o", str(tmp_path / "two"), "--scope", "//a/page", "--all-files") == 0
+    assert ask("-o", str(tmp_path / "one"), "--fail-on", "CRITICAL") == 1  # the stages are there already
+
+
 def test_maps_beside_scripts(spark):
     files = spark.createDataFrame([("d/a.js", "x"), ("d/a.js.map", "{}"), ("d/b.js", "y"), ("d/bin", "\0zzz https://x.example/y")], "file string, text string")
     got = {(r.category, r.value, r.file) for r in hunt.deep_report(files).collect()}
