@@ -231,9 +231,9 @@ def context_window(spark, sf_dir):
 SELECT file, CAST(place AS BIGINT) AS line, md5(line_text) AS digest, md5(concat_ws(chr(10), lag(line_text, 2) OVER w, lag(line_text) OVER w)) AS before, md5(concat_ws(chr(10), lead(line_text) OVER w, lead(line_text, 2) OVER w)) AS after
 FROM n WINDOW w AS (PARTITION BY file ORDER BY place)""")
 def line_table_context(spark, sf_dir):
-    """Context for a table whose rows are lines in no order, as logs are: numbered in ranges, then halos between blocks."""
+    """Context for a table whose rows are lines in no order, as logs are: numbered in ranges without their texts, then halos between blocks."""
     rows = _documents(spark, sf_dir).select("file", F.posexplode(X.split_lines(F.col("text"))).alias("at", "line_text"))
-    lines = line_tables.with_line_context(line_tables.numbered(rows, "file", ["at"]))
+    lines = line_tables.with_line_context(line_tables.with_numbers(rows, "file", ["at"]))
     digest = lambda c: F.md5(F.col(c).cast("binary"))
     return lines.select("file", "line", digest("line_text").alias("digest"), digest("context_before").alias("before"), digest("context_after").alias("after"))
 

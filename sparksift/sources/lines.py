@@ -185,6 +185,14 @@ def numbered(rows: DataFrame, key: str, order: list[str], out: str = "line") ->
     return joined.withColumn(out, (F.col("__before") + F.col("__row")).cast("long")).drop("__part", "__key", "__own", "__before", "__row")
 
 
+def with_numbers(rows: DataFrame, key: str, order: list[str], out: str = "line") -> DataFrame:
+    """As `numbered`, for wide rows that key and order columns tell apart: only these are dealt out and counted, and the
+    rows meet their numbers in one shuffle."""
+    numbers = numbered(rows.select(key, *order), key, order, out).select(out, *[F.col(c).alias(f"__{i}") for i, c in enumerate([key, *order])])
+    met = [F.col(c).eqNullSafe(F.col(f"__{i}")) for i, c in enumerate([key, *order])]
+    return rows.drop(out).join(numbers, met).drop(*[f"__{i}" for i in range(len(order) + 1)])
+
+
 def with_line_context(rows: DataFrame, file: str = "file", line: str = "line", text: str = "line_text", block: int = BLOCK) -> DataFrame:
     """Rows with context_before and context_after: up to AROUND lines on both sides, joined by line ends.
 
