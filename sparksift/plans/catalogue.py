@@ -492,10 +492,10 @@ def json_keys(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", F.lit("$.k").alias("path"), F.get_json_object("props", "$.k").alias("value")).where("value is not null")
 
 
-@query("""WITH v AS (SELECT doc_id, 'Aa1-' || left(sha256(CAST(doc_id AS VARCHAR)), 20) AS x FROM documents)
-SELECT doc_id, unnest(['db.password', 'list[0].api_key', 'plain']) AS key_path, unnest([x, x, x]) AS value, unnest([true, true, false]) AS named FROM v""")
+@query(f"""WITH v AS (SELECT doc_id, 'Aa1-' || left(sha256(CAST(doc_id AS VARCHAR)), 20) AS x FROM documents), o AS (SELECT *, {S.named_secret('x')} AS ok FROM v)
+SELECT doc_id, unnest(['db.password', 'list[0].api_key', 'plain']) AS key_path, unnest([x, x, x]) AS value, unnest([ok, ok, false]) AS named FROM o""")
 def json_walk(spark, sf_dir):
-    """Texts in nested JSON with their key paths, and whether the key names a secret."""
+    """Texts in nested JSON with their key paths, and whether the key names a secret and the value may be one."""
     x = F.concat(F.lit("Aa1-"), F.left(F.sha2(F.col("doc_id").cast("string").cast("binary"), 256), F.lit(20)))
     doc = F.to_json(F.struct(F.struct(x.alias("password")).alias("db"), F.array(F.struct(x.alias("api_key"))).alias("list"), x.alias("plain"), F.lit(7).alias("n")))
     values = structured.json_values(_table(spark, sf_dir, "documents").select("doc_id", doc.alias("text")))

@@ -32,6 +32,11 @@ def likely(x: str, size: int, least: float) -> str:
     return f"(length({bare}) >= {size} AND NOT regexp_matches({bare}, '^[0-9]+$') AND ({kinds}) >= 3 AND {entropy(bare)} >= {least})"
 
 
+def named_secret(x: str) -> str:
+    """Whether the value of a JSON key that names a secret may be one, as `structured.secret_key` has it."""
+    return f"(length({x}) >= 8 AND NOT regexp_full_match({x}, '\\p{{Nd}}+') AND {entropy(x)} >= 3.0)"
+
+
 def candidate(x: str) -> str:
     return f"trim(trim(regexp_replace(regexp_replace({x}, '^[^=]*=', ''), '^[^:]*:', '')), chr(39) || '\"')"
 
