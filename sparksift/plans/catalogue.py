@@ -639,7 +639,8 @@ def cached_scan(spark, sf_dir):
     return cache.scan_cached(texts, store, RULES_ONLY, now=2000.0).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'j/' || doc_id || '.json' AS file, 'json_password' AS rule, 'Aa1-' || left(sha256(CAST(doc_id AS VARCHAR)), 20) AS secret FROM documents UNION ALL SELECT 'k/' || doc_id || '.json', 'json_password', 'Aa1-' || left(sha256(CAST(doc_id AS VARCHAR)), 20) FROM documents")
+@query(f"""WITH v AS (SELECT doc_id, 'Aa1-' || left(sha256(CAST(doc_id AS VARCHAR)), 20) AS secret FROM documents)
+SELECT unnest(['j/' || doc_id || '.json', 'k/' || doc_id || '.json']) AS file, 'json_password' AS rule, secret FROM v WHERE {S.named_secret('secret')}""")
 def cached_names(spark, sf_dir):
     """Equal contents under several names, after a first scan of other names: what depends on the name isn't taken from the cache."""
     from ..sources.shared import shared_folder
