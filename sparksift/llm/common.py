@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_folder, skew_join, spread  # noqa: F401 - operators and queries take these from here
+from ..sources.shared import shared_folder, skew_join, small_batches, spread  # noqa: F401 - operators and queries take these from here
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -178,15 +178,6 @@ def as_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows and bytes, so that long texts don't fill a worker's memory.
-
-    The settings stay with the session, as Spark reads them when a lazy result runs."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-
-
 # ---------------------------------------------------------------- Spark helpers
 
 

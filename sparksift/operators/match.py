@@ -13,8 +13,9 @@ from __future__ import annotations
 import re
 import re._constants as sre
 import re._parser as sre_parse
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..model import Rule
-from ..sources.shared import spread, staged
+from ..sources.shared import small_batches, spread, staged
 
 #: Rules whose matches must also look like a secret.
 CHECKED = ("generic_secret", "dotenv_secret", "basic_auth_header", "wakatime_api_key", "airtable_api_key")
@@ -209,12 +210,17 @@ def _sql(text: str) -> str:
 
 # ---------------------------------------------------------------- the index
 
-#: Characters of a key; in tables of rules, keys of literals that are long enough have LONG_GRAM.  Keys that start
+#: Characters of a key; in tables of rules, keys of literals that are long enough have LONGEST_GRAM, else LONG_GRAM, so
+#: that with many rules a key still stands for few of them.  Keys that start
 #: with a mark stand for a shared condition, or for all texts.
-GRAM, LONG_GRAM = 3, 6
+GRAM, LONG_GRAM, LONGEST_GRAM = 3, 6, 9
 _MARK, ANY = "\x00", "\x00any"
-#: Entries that go to all tasks at once; larger indexes are met part by part.
+#: Entries that go to all tasks at once; a larger index is dealt out by its keys, and only texts that hold one meet it.
 ENTRIES_SENT = 200_000
+#: Keys, 8 bytes each, by which one pass over the texts looks for those that hold one.
+KEYS_SENT = 8_000_000
+#: Bytes of text looked through at once.
+CHUNK = 1 << 20
 #: Entries of the index: texts with the key may match the pattern, if they hold the literal and none of those before it.
 ENTRY = "key string, p int, pattern string, literal string, earlier array<string>, folded boolean, rules array<struct<rule_ord:int,rule:string,severity:string>>"
 _ENTRY = pa.schema(
@@ -262,7 +268,7 @@ def index_table(rules: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [e for r in batch.to_pylist() for e in entries(r["rule_ord"], r["pattern"], [(r["rule_ord"], r["name"], r["severity"])], (LONG_GRAM, GRAM))]
+            rows = [e for r in batch.to_pylist() for e in entries(r["rule_ord"], r["pattern"], [(r["rule_ord"], r["name"], r["severity"])], (LONGEST_GRAM, LONG_GRAM, GRAM))]
             yield pa.RecordBatch.from_pylist(rows, _ENTRY)
 
     rows = rules.select(F.col("rule_ord").cast("int"), "name", "severity", "pattern")
@@ -279,67 +285,117 @@ def _marks(text: Column) -> Column:
     return F.array_compact(F.array(F.lit(ANY), *[F.when(F.regexp_like(text, F.lit(p)), F.lit(_MARK + name)) for name, p in RUNS.items()]))
 
 
+_PRIME, _SPREAD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
+
+
 def _codes(data: np.ndarray, size: int) -> np.ndarray:
-    """24 bits for each `size` bytes in a row: the bytes themselves, or a hash of more than three."""
+    """A 64-bit hash of each `size` bytes in a row."""
     n = len(data) - size + 1
-    code = data[:n].copy()
+    code = data[:n].astype(np.uint64)
     for i in range(1, size):
-        code = code << 8 | data[i : i + n] if size <= 3 else code * np.uint32(0x01000193) ^ data[i : i + n]
-    return code & np.uint32(0xFFFFFF) if size <= 3 else (code ^ code >> 24) & np.uint32(0xFFFFFF)
+        code *= _PRIME
+        code += data[i : i + n]
+    return code
+
+
+def hashed_keys(keys: Iterable[str]) -> dict[int, bytes]:
+    """Hashes of keys by their number of bytes."""
+    some: dict[int, list[bytes]] = {}
+    for k in keys:
+        some.setdefault(len(k), []).append(k.encode())
+    return {n: _codes(np.frombuffer(b"".join(ks), np.uint8), n)[::n].tobytes() for n, ks in some.items()}
+
+
+class _Known:
+    """Hashes in order, and a table of those that may be there, so that most looks end with one step."""
 
+    def __init__(self, hashes: bytes):
+        self.sorted = np.unique(np.frombuffer(hashes, np.uint64))
+        bits = min(26, max(20, (32 * len(self.sorted)).bit_length()))
+        self.shift = np.uint64(64 - bits)
+        self.table = np.zeros(1 << bits, bool)
+        self.table[self._places(self.sorted)] = True
 
-def known_grams(batches: Iterator[pa.RecordBatch], column: str, keys: list[str], all_rows: bool) -> Iterator[pa.RecordBatch]:
+    def _places(self, codes: np.ndarray) -> np.ndarray:
+        return (codes * _SPREAD) >> self.shift
+
+    def where(self, codes: np.ndarray) -> np.ndarray:
+        place = np.flatnonzero(self.table[self._places(codes)])
+        some = codes[place]
+        at = np.minimum(np.searchsorted(self.sorted, some), len(self.sorted) - 1)
+        return place[self.sorted[at] == some]
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def known_grams(batches: Iterator[pa.RecordBatch], column: str, keys: dict[int, bytes], all_rows: bool) -> Iterator[pa.RecordBatch]:
     """The rows with __grams: those of the keys that the text holds, without regard to case.
 
-    A table of all 24-bit codes says which may be keys', so that a byte of text costs a look-up, however many
-    keys there are.  all_rows: rows without any come too."""
-    known = {k.encode() for k in keys}
-    tables = {}
-    for size in sorted({len(k) for k in known}):
-        tables[size] = np.zeros(1 << 24, bool)
-        own = np.frombuffer(b"".join(k for k in known if len(k) == size), np.uint8).astype(np.uint32)
-        tables[size][_codes(own, size)[::size]] = True
-    lower = np.arange(256, dtype=np.uint32)
-    lower[65:91] += 32
-    odd = str.maketrans(_ODD, _PLAIN)
+    keys: as `hashed_keys` has them.  A byte of text costs a look-up in a table, however many keys there are.
+    all_rows: rows without any come too."""
+    known = {size: _Known(hashes) for size, hashes in keys.items()}
     for batch in batches:
-        at = batch.schema.get_field_index(column)
-        texts = [x.encode() if x.isascii() else x.translate(odd).encode() for x in batch.column(at).fill_null("").to_pylist()]
-        whole = b"".join(texts)
-        data, low = lower[np.frombuffer(whole, np.uint8)], whole.lower()
+        texts = batch.column(batch.schema.get_field_index(column)).cast(pa.binary()).fill_null(b"").to_pylist()
+        texts = [x if x.isascii() else _plain(x) for x in texts]
+        data = _LOWER[np.frombuffer(b"".join(texts), np.uint8)]
         ends = np.cumsum([len(t) for t in texts])
         found: list[set[str]] = [set() for _ in texts]
-        for size, table in tables.items():
-            place = np.flatnonzero(table[_codes(data, size)]) if len(data) >= size else np.zeros(0, np.int64)
-            owner = np.searchsorted(ends, place, "right")
-            inside = place + size <= ends[owner]
-            for x, i in zip(place[inside].tolist(), owner[inside].tolist(), strict=True):
-                if (gram := low[x : x + size]) in known:
-                    found[i].add(gram.decode())
+        for size, own in known.items():
+            for start in range(0, len(data) - size + 1, CHUNK):
+                codes = _codes(data[start : start + CHUNK + size - 1], size)
+                place = own.where(codes)
+                owner = np.searchsorted(ends, place + start, "right")
+                inside = place + start + size <= ends[owner]
+                place, owner = place[inside], owner[inside]
+                # each key of a text once
+                order = np.lexsort((codes[place], owner))
+                place, owner = place[order], owner[order]
+                first = np.ones(len(place), bool)
+                first[1:] = (owner[1:] != owner[:-1]) | (codes[place[1:]] != codes[place[:-1]])
+                for x, i in zip((place[first] + start).tolist(), owner[first].tolist(), strict=True):
+                    found[i].add(data[x : x + size].tobytes().decode("ascii", "replace"))
         out = pa.RecordBatch.from_arrays([*batch.columns, pa.array([sorted(f) for f in found], pa.list_(pa.string()))], names=[*batch.schema.names, "__grams"])
         yield out if all_rows else out.take(pa.array([i for i, f in enumerate(found) if f], pa.int64()))
 
 
+def _plain(text: bytes) -> bytes:
+    for odd, plain in zip(_ODD, _PLAIN, strict=True):
+        text = text.replace(odd.encode(), plain.encode())
+    return text
+
+
+def _with_grams(rows: DataFrame, text: str, keys: dict[int, bytes], all_rows: bool) -> DataFrame:
+    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "__grams array<string>"])
+    small_batches(rows.sparkSession)
+    if sum(map(len, keys.values())) > CHUNK:
+        sent = rows.sparkSession.sparkContext.broadcast(keys)
+        return rows.mapInArrow(lambda batches: known_grams(batches, text, sent.value, all_rows), kinds)
+    return rows.mapInArrow(lambda batches: known_grams(batches, text, keys, all_rows), kinds)
+
+
 def _fold(text: Column) -> Column:
     return F.lower(F.when(F.regexp_like(text, F.lit(f"[{_ODD}]")), F.translate(text, _ODD, _PLAIN)).otherwise(text))
 
 
-def _look_up(rows: DataFrame, index: DataFrame, text: str, sweeps: list[tuple[str, str, Column]] = (), may: Column | None = None) -> DataFrame:
+def _look_up(rows: DataFrame, index: DataFrame, text: str, sweeps: list[tuple[str, str, Column]] = (), may: Column | None = None, grams_only: bool = False) -> DataFrame:
     """Rows with __p, __pattern, __rules and __m, the matches of a pattern that has some: an equi-join of a text's keys
-    with the index, which is small and goes to all tasks, then the literal, then the pattern itself.
+    with the index, which goes to all tasks, then the literal, then the pattern itself.
 
     Rows may have their 3-grams (those of the index at least) in a column __grams.  may: a condition that all texts
-    with a match fulfil; the keys of others aren't made."""
+    with a match fulfil; the keys of others aren't made.  grams_only: the index is large and has grams only; both
+    sides are dealt out by the key."""
     kind = "array<struct<__key:string,__found:array<string>>>"
     grams = F.col("__grams") if "__grams" in rows.columns else _grams(F.col("__folded"))
-    own = F.concat(grams, _marks(F.col(text)))
+    own = grams if grams_only else F.concat(grams, _marks(F.col(text)))
     keys = F.transform(own if may is None else F.when(may, own).otherwise(F.array().cast("array<string>")), lambda k: F.struct(k.alias("__key"), F.lit(None).cast("array<string>").alias("__found"))).cast(kind)
     swept = [F.struct(F.lit(f"{_MARK}{i}").alias("__key"), secrets.alias("__found")) for i, (_, _, secrets) in enumerate(sweeps)]
     if swept:
         keys = F.concat(keys, F.filter(F.array(*swept).cast(kind), lambda x: F.size(x["__found"]) > 0))
     each = rows.where(F.col(text).isNotNull()).withColumn("__folded", _fold(F.col(text))).select("*", F.inline(keys))
     index = index.select(F.col("key").alias("__entry"), *[F.col(c).alias(f"__{c}") for c in ("p", "pattern", "literal", "earlier", "rules")], F.col("folded").alias("__any_case"))
-    met = each.join(F.broadcast(index), F.col("__key") == F.col("__entry"))
+    met = each.join(index.hint("shuffle_merge") if grams_only else F.broadcast(index), F.col("__key") == F.col("__entry"))
     hay = F.when(F.col("__any_case"), F.col("__folded")).otherwise(F.col(text))
     held = F.col("__literal").isNull() | (F.contains(hay, F.col("__literal")) & ~F.exists("__earlier", lambda x: F.contains(hay, x)))
     found = met.where(held).withColumn("__m", F.coalesce("__found", F.regexp_extract_all(F.col(text), F.col("__pattern"), F.lit(0))))
@@ -380,19 +436,40 @@ def match_rules(rows: DataFrame, active: list[tuple[int, Rule]], text: str = "li
     return _matches(_look_up(rows, index_of(rows.sparkSession, active, sweeps), text, sweeps, may), text, check)
 
 
+def _key_hashes(index: DataFrame) -> dict[int, bytes]:
+    """Hashes of the keys of an index, made by the executors; 8 bytes a key come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = hashed_keys(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int32()), pa.array(list(made.values()), pa.binary())], names=["size", "hashes"])
+
+    some: dict[int, list[bytes]] = {}
+    for r in index.select("key").distinct().mapInArrow(run, "size int, hashes binary").toLocalIterator():
+        some.setdefault(r["size"], []).append(bytes(r["hashes"]))
+    return {size: b"".join(hashes) for size, hashes in some.items()}
+
+
 def match_table(rows: DataFrame, rules: DataFrame, text: str = "line_text", check: bool | Column = False) -> DataFrame:
     """As `match_rules`, for a table of rules (rule_ord, name, severity, pattern) of any size: the plan doesn't depend on
-    the rules.  An index of more than ENTRIES_SENT entries is met in parts, each by all rows."""
+    the rules.
+
+    An index of more than ENTRIES_SENT entries is dealt out by its keys, and so are texts, once for each key that they
+    hold: most hold none and stay.  Only rules without a literal, which any text may match, are met in parts by all rows."""
     index = staged(index_table(rules))
     rows = rows.where(F.col(text).isNotNull()).drop("__grams")
-    kinds = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes), "__grams array<string>"])
-    parts = max(1, -(-index.count() // ENTRIES_SENT))
-    found = None
+    marked = F.startswith("key", F.lit(_MARK))
+    n, free = index.agg(F.count("*"), F.count_if(marked)).first()
+    if n <= ENTRIES_SENT:
+        held = _with_grams(rows, text, _key_hashes(index.where(~marked)), free > 0)
+        return _matches(_look_up(held, index, text), text, check)
+    found = []
+    parts = -(-free // ENTRIES_SENT)
+    for i in range(parts):
+        part = index.where(marked & (F.pmod(F.xxhash64("key", "p"), F.lit(parts)) == i))
+        found.append(_look_up(rows.withColumn("__grams", F.array().cast("array<string>")), part, text))
+    parts = -(-(n - free) // KEYS_SENT)
     for i in range(parts):
-        part = index.where(F.pmod(F.xxhash64("key", "p"), F.lit(parts)) == i)
-        keys = [r["key"] for r in part.select("key").distinct().collect()]
-        grams = [k for k in keys if not k.startswith(_MARK)]
-        held = rows.mapInArrow(lambda batches, grams=grams, all_rows=len(grams) < len(keys): known_grams(batches, text, grams, all_rows), kinds)
-        some = _look_up(held, part, text)
-        found = some if found is None else found.unionByName(some)
-    return _matches(found, text, check)
+        part = index.where(~marked & (F.pmod(F.xxhash64("key"), F.lit(parts)) == i))
+        found.append(_look_up(_with_grams(rows, text, _key_hashes(part), False), part, text, grams_only=True))
+    return _matches(reduce(DataFrame.unionByName, found), text, check)
