@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.shared import small_batches
 
 # Candidates and limits must be as they are for right results.
 BASE64_CANDIDATE = r"\b[A-Za-z0-9+/]{32,}={0,2}(?!\w)"
@@ -127,6 +128,7 @@ def _in_arrow(rows: DataFrame, text: str, made) -> DataFrame:
                 taken = batch.take(pa.array(at, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(tags), pa.array(places, pa.int32()), pa.array(texts)], names=[*batch.schema.names, "tag", "decode_at", "decoded"])
 
+    small_batches(rows.sparkSession)
     return rows.mapInArrow(run, f"{fields}, tag string, decode_at int, decoded string")
 
 
@@ -167,6 +169,7 @@ def with_decoded(rows: DataFrame, stages: list[str], text: str, skip: str, numbe
                 out.append(found or None)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], names=[*batch.schema.names, "decoded"])
 
+    small_batches(rows.sparkSession)
     return rows.mapInArrow(run, f"{fields}, decoded array<struct<stage:int,tag:string,decode_at:int,unit:string>>")
 
 
@@ -236,4 +239,5 @@ def decompress(files: DataFrame, content: str = "content", out: str = "text") ->
                 for before, text in inflate(data.as_py()):
                     yield pa.RecordBatch.from_arrays([*(c.slice(i, 1) for c in columns), pa.array([text], pa.string()), pa.array([before], pa.int64())], names=names)
 
+    small_batches(files.sparkSession)
     return files.select(*[F.col(f"`{f.name}`") for f in kept], content).mapInArrow(run, f"{fields}, {out} string, lines_before long")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.shared import small_batches
 
 # Keys, patterns and limits must be as they are for right results.
 JSON_KEYS = (
@@ -80,6 +81,7 @@ def json_values(rows: DataFrame, text: str = "text") -> DataFrame:
                 taken = batch.select([f.name for f in kept]).take(pa.array(at, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(paths), pa.array(values), pa.array(places, pa.int32())], names=[*(f.name for f in kept), "key_path", "value", "json_at"])
 
+    small_batches(rows.sparkSession)
     out = rows.select(*[F.col(f"`{f.name}`") for f in kept], text).mapInArrow(run, f"{fields}, key_path string, value string, json_at int")
     return out.withColumn("key_name", F.substring_index("key_path", ".", -1))
 
