@@ -275,11 +275,6 @@ def index_table(rules: DataFrame) -> DataFrame:
     return spread(rows, "rule_ord").mapInArrow(run, ENTRY)
 
 
-def _grams(folded: Column) -> Column:
-    """The 3-grams of a text."""
-    return F.array_distinct(F.regexp_extract_all(folded, F.lit(rf"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
-
-
 def _marks(text: Column) -> Column:
     """The keys of the shared conditions that a text fulfils, and that of all texts."""
     return F.array_compact(F.array(F.lit(ANY), *[F.when(F.regexp_like(text, F.lit(p)), F.lit(_MARK + name)) for name, p in RUNS.items()]))
@@ -334,10 +329,12 @@ def known_grams(batches: Iterator[pa.RecordBatch], column: str, keys: dict[int,
     """The rows with __grams: those of the keys that the text holds, without regard to case.
 
     keys: as `hashed_keys` has them.  A byte of text costs a look-up in a table, however many keys there are.
-    all_rows: rows without any come too."""
+    all_rows: rows without any come too.  Rows that a column __may, if there is one, rules out aren't looked through."""
     known = {size: _Known(hashes) for size, hashes in keys.items()}
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column)).cast(pa.binary()).fill_null(b"").to_pylist()
+        if "__may" in batch.schema.names:
+            texts = [x if may else b"" for x, may in zip(texts, batch.column(batch.schema.get_field_index("__may")).to_pylist(), strict=True)]
         texts = [x if x.isascii() else _plain(x) for x in texts]
         data = _LOWER[np.frombuffer(b"".join(texts), np.uint8)]
         ends = np.cumsum([len(t) for t in texts])
@@ -383,11 +380,11 @@ def _look_up(rows: DataFrame, index: DataFrame, text: str, sweeps: list[tuple[st
     """Rows with __p, __pattern, __rules and __m, the matches of a pattern that has some: an equi-join of a text's keys
     with the index, which goes to all tasks, then the literal, then the pattern itself.
 
-    Rows may have their 3-grams (those of the index at least) in a column __grams.  may: a condition that all texts
+    Rows have the index's grams that they hold in a column __grams.  may: a condition that all texts
     with a match fulfil; the keys of others aren't made.  grams_only: the index is large and has grams only; both
     sides are dealt out by the key."""
     kind = "array<struct<__key:string,__found:array<string>>>"
-    grams = F.col("__grams") if "__grams" in rows.columns else _grams(F.col("__folded"))
+    grams = F.col("__grams")
     own = grams if grams_only else F.concat(grams, _marks(F.col(text)))
     keys = F.transform(own if may is None else F.when(may, own).otherwise(F.array().cast("array<string>")), lambda k: F.struct(k.alias("__key"), F.lit(None).cast("array<string>").alias("__found"))).cast(kind)
     swept = [F.struct(F.lit(f"{_MARK}{i}").alias("__key"), secrets.alias("__found")) for i, (_, _, secrets) in enumerate(sweeps)]
@@ -432,8 +429,10 @@ def match_rules(rows: DataFrame, active: list[tuple[int, Rule]], text: str = "li
     their column is the first place of the secret.
     gated: the texts have passed `gate` already."""
     sweeps = sweeps or []
-    may = None if gated else gate(active)(F.col(text))
-    return _matches(_look_up(rows, index_of(rows.sparkSession, active, sweeps), text, sweeps, may), text, check)
+    rows = rows.where(F.col(text).isNotNull()).drop("__grams").withColumn("__may", F.lit(True) if gated else gate(active)(F.col(text)))
+    keys = {e["key"] for p, (pattern, _) in enumerate(distinct_patterns(active)) for e in entries(p, pattern, [])}
+    held = _with_grams(rows, text, hashed_keys(sorted(k for k in keys if not k.startswith(_MARK))), True)
+    return _matches(_look_up(held, index_of(rows.sparkSession, active, sweeps), text, sweeps, F.col("__may")), text, check).drop("__may")
 
 
 def _key_hashes(index: DataFrame) -> dict[int, bytes]:
