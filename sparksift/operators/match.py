@@ -364,6 +364,8 @@ def _plain(text: bytes) -> bytes:
 
 
 def _with_grams(rows: DataFrame, text: str, keys: dict[int, bytes], all_rows: bool) -> DataFrame:
+    if all_rows and not keys:
+        return rows.withColumn("__grams", F.array().cast("array<string>"))
     kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "__grams array<string>"])
     small_batches(rows.sparkSession)
     if sum(map(len, keys.values())) > CHUNK:
