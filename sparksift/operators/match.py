@@ -90,14 +90,22 @@ def _literal_runs(tree, now: str = "") -> list[tuple[str, ...]]:
     return found
 
 
-def need(pattern: str) -> Need | None:
-    """The most selective condition that can be derived, or None."""
+def surest(pattern: str, least: int = 1) -> tuple[tuple[str, ...], bool]:
+    """The most selective literals of at least so many characters of which every match has one, and whether
+    without regard to case (they are in lower case then); none if that can't be said."""
     tree = sre_parse.parse(pattern)
     folded = bool(tree.state.flags & re.IGNORECASE)
-    literals = [alts for alts in _literal_runs(tree) if min(map(len, alts)) >= 2]
-    best = max(literals, key=lambda alts: (min(map(len, alts)), -len(alts)), default=None)
+    literals = [alts for alts in _literal_runs(tree) if min(map(len, alts)) >= least]
+    best = max(literals, key=lambda alts: (min(map(len, alts)), -len(alts)), default=())
+    return tuple(x.lower() if folded else x for x in best), folded
+
+
+def need(pattern: str) -> Need | None:
+    """The most selective condition that can be derived, or None."""
+    best, folded = surest(pattern, 2)
     if best and min(map(len, best)) >= 3:
-        return Need(tuple(x.lower() if folded else x for x in best), folded)
+        return Need(best, folded)
+    tree = sre_parse.parse(pattern)
     classes = [(value[0], _members(value[2][0][1])) for op, value in tree if op is sre.MAX_REPEAT and len(value[2]) == 1 and value[2][0][0] is sre.IN]
     sizes = [(least, members) for least, members in classes if members]
     if any(least >= _RUN and members <= _RUN_CHARS for least, members in sizes):
@@ -106,7 +114,7 @@ def need(pattern: str) -> Need | None:
         return Need(run="uuid")
     if any(least >= 6 and members <= frozenset("0123456789") for least, members in sizes):
         return Need(run="digits")
-    return Need(tuple(x.lower() if folded else x for x in best), folded) if best else None
+    return Need(best, folded) if best else None
 
 
 #: What most secrets have and prose has not: so many of these characters in a row.
@@ -119,14 +127,14 @@ _ODD, _PLAIN = "ſıİK", "siik"
 _MARKS = frozenset(":=-_@")
 
 
-def marks(pattern: str) -> frozenset[str]:
-    """A few characters one of which every match has; none if that can't be said."""
+def all_marks(pattern: str, known: frozenset[str] = _MARKS) -> list[frozenset[str]]:
+    """Sets of a few known characters; every match has one of each set."""
     found = []
 
     def look(tree) -> None:
         for op, value in tree:
             own = frozenset(chr(value)) if op is sre.LITERAL else _members(value) if op is sre.IN else None
-            if own and own <= _MARKS:
+            if own and own <= known:
                 found.append(own)
             elif op is sre.SUBPATTERN:
                 look(value[3])
@@ -134,7 +142,12 @@ def marks(pattern: str) -> frozenset[str]:
                 look(value[2])
 
     look(sre_parse.parse(pattern))
-    return min(found, key=lambda x: (len(x), sorted(x)), default=frozenset())
+    return found
+
+
+def marks(pattern: str) -> frozenset[str]:
+    """A few characters one of which every match has; none if that can't be said."""
+    return min(all_marks(pattern), key=lambda x: (len(x), sorted(x)), default=frozenset())
 
 
 def sure_run(pattern: str) -> int:
@@ -374,7 +387,8 @@ def _with_grams(rows: DataFrame, text: str, keys: dict[int, bytes], all_rows: bo
     return rows.mapInArrow(lambda batches: known_grams(batches, text, keys, all_rows), kinds)
 
 
-def _fold(text: Column) -> Column:
+def fold(text: Column) -> Column:
+    """In lower case, with ASCII letters for those that match them where case is ignored."""
     return F.lower(F.when(F.regexp_like(text, F.lit(f"[{_ODD}]")), F.translate(text, _ODD, _PLAIN)).otherwise(text))
 
 
@@ -392,7 +406,7 @@ def _look_up(rows: DataFrame, index: DataFrame, text: str, sweeps: list[tuple[st
     swept = [F.struct(F.lit(f"{_MARK}{i}").alias("__key"), secrets.alias("__found")) for i, (_, _, secrets) in enumerate(sweeps)]
     if swept:
         keys = F.concat(keys, F.filter(F.array(*swept).cast(kind), lambda x: F.size(x["__found"]) > 0))
-    each = rows.where(F.col(text).isNotNull()).withColumn("__folded", _fold(F.col(text))).select("*", F.inline(keys))
+    each = rows.where(F.col(text).isNotNull()).withColumn("__folded", fold(F.col(text))).select("*", F.inline(keys))
     index = index.select(F.col("key").alias("__entry"), *[F.col(c).alias(f"__{c}") for c in ("p", "pattern", "literal", "earlier", "rules")], F.col("folded").alias("__any_case"))
     met = each.join(index.hint("shuffle_merge") if grams_only else F.broadcast(index), F.col("__key") == F.col("__entry"))
     hay = F.when(F.col("__any_case"), F.col("__folded")).otherwise(F.col(text))

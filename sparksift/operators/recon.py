@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from functools import reduce
+from operator import and_, or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .match import all_marks, fold, surest
 
 # Categories, descriptions and patterns must be as they are for right results.
 CATEGORIES = {
@@ -48,14 +53,64 @@ VARIABLE = r"""(?:var|let|const)\s+(\w+)\s*=\s*["']([^"']+)["']"""
 ROUTE = r"""["'][/][a-zA-Z0-9_/-]*(?:admin|dashboard|manage|config|settings|internal|private|debug|api/v[0-9])[a-zA-Z0-9_/-]*["']"""
 URL = r"""(https?://[^"'\s<>]+)"""
 SPECIAL = {"js_endpoints": "Endpoints in quotes", "js_variables": "Variables with a text", "js_routes": "Routes of interest", "js_urls": "URLs"}
+PATTERNS = {"js_endpoints": QUOTED_PATH, "js_variables": VARIABLE, "js_routes": ROUTE, "js_urls": URL}
+
+
+#: Characters that many patterns ask for and prose seldom has, the rarest first; a text is searched once for each.
+MARKS = "/:=_$\"'@-"
+
+
+def needs(p: str) -> list[tuple[str, ...]]:
+    """Sets of texts; every match of the pattern has one of each set.  Those of marks come first."""
+    literals, folded = surest(p)
+    sets = set(all_marks(p, frozenset(MARKS)))
+    if literals and not folded:
+        sets |= {frozenset(c) for c in frozenset.intersection(*map(frozenset, literals)) & frozenset(MARKS)}
+    marks = sorted((tuple(sorted(some, key=MARKS.index)) for some in sets), key=lambda some: (len(some), [MARKS.index(c) for c in some]))
+    return marks + ([literals] if literals and not folded and literals not in marks else [])
+
+
+def may_match_some(text: str, patterns: list[str]) -> Column:
+    """A cheap condition that every text with a match of one of the patterns fulfils.
+
+    It looks at bytes, once for each text asked for, so that most prose is never decoded."""
+    firsts = [(needs(p) or [None])[0] for p in patterns]
+    if None in firsts:
+        return F.lit(True)
+    return reduce(or_, [F.contains(F.col(text), F.lit(x)) for x in dict.fromkeys(x for some in firsts for x in some)], F.lit(False))
+
+
+def _marked(rows: DataFrame, text: str) -> DataFrame:
+    """With a column for each mark: whether the text holds it."""
+    return rows.select("*", *[F.contains(F.col(text), F.lit(c)).alias(f"__mark{i}") for i, c in enumerate(MARKS)])
+
+
+def may_match(text: str, p: str) -> Column:
+    """A closer condition on a marked text for one pattern: all that its matches need."""
+
+    def holds(x: str) -> Column:
+        return F.col(f"__mark{MARKS.index(x)}") if len(x) == 1 and x in MARKS else F.contains(F.col(text), F.lit(x))
+
+    out = reduce(and_, [reduce(or_, map(holds, some)) for some in needs(p)], F.lit(True))
+    literals, folded = surest(p)
+    if literals and folded:  # the array binds the folded text, so that it is made once
+        out = out & F.exists(F.array(fold(F.col(text))), lambda t: reduce(or_, [F.contains(t, F.lit(x)) for x in literals]))
+    return out
+
+
+def from_run_starts(p: str) -> str:
+    """The same matches of a pattern that starts with [class]+, tried once a run of the class and not at each character
+    of it: a match from within a run means one from the character before, unless the last match ended there."""
+    return re.sub(r"^(\[[^\]\[]+\])\+", r"(?:\\G|(?<!\1))\1+", p)
 
 
 def _all(text: str, p: str, group: int = 0):
-    return F.regexp_extract_all(F.col(text), X.pattern(p), F.lit(group))
+    found = F.regexp_extract_all(F.col(text), X.pattern(from_run_starts(p)), F.lit(group))
+    return F.when(may_match(text, p), found).otherwise(F.array().cast("array<string>"))
 
 
 def special(text: str) -> dict:
-    """The four extractors that are more than a pattern, as arrays."""
+    """The four extractors that are more than a pattern, as arrays, of marked texts."""
     paths = F.filter(_all(text, QUOTED_PATH, 1), lambda p: (F.length(p) > 4) & ~F.regexp_like(p, F.lit("|".join(a.replace(".", r"\.") for a in ASSETS))))
     pairs = F.zip_with(_all(text, VARIABLE, 1), _all(text, VARIABLE, 2), lambda name, value: F.concat(name, F.lit(" = "), value))
     routes = F.transform(_all(text, ROUTE), lambda r: F.regexp_replace(r, "^[\"']+|[\"']+$", ""))
@@ -65,20 +120,25 @@ def special(text: str) -> dict:
 def extract(rows: DataFrame, text: str = "text", file: str = "file", categories: list[str] | None = None) -> DataFrame:
     """(category, desc, value, file): each value once in a category, at the first file by name.
 
-    All categories are arrays of one projection; one aggregate takes the first file."""
+    All categories are arrays of one projection; one aggregate takes the first file.  A text meets only
+    the patterns whose marks and literals it holds."""
+    wanted = {name: p for name, (_, p) in CATEGORIES.items()} | PATTERNS
+    wanted = {name: p for name, p in wanted.items() if categories is None or name in categories}
     arrays = []
     for name, (desc, p) in CATEGORIES.items():
-        if categories is None or name in categories:
+        if name in wanted:
             values = F.filter(F.transform(_all(text, p), X.strip), lambda v: F.length(v) >= 4)
             arrays.append((name, desc, values))
     for name, values in special(text).items():
-        if categories is None or name in categories:
+        if name in wanted:
             arrays.append((name, SPECIAL[name], values))
+
     def told(name: str, desc: str):
         return lambda x: F.struct(F.lit(name).alias("category"), F.lit(desc).alias("desc"), x.alias("value"))
 
     found = F.flatten(F.array(*[F.transform(F.array_distinct(v), told(n, d)) for n, d, v in arrays]))
-    each = rows.where(F.col(text).isNotNull()).select(F.col(file).alias("file"), F.explode(found).alias("x"))
+    some = rows.where(F.col(text).isNotNull() & may_match_some(text, list(wanted.values())))
+    each = _marked(some, text).select(F.col(file).alias("file"), F.explode(found).alias("x"))
     return each.groupBy("x.category", "x.desc", "x.value").agg(F.min("file").alias("file"))
 
 
