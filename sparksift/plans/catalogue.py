@@ -27,7 +27,8 @@ from . import hunt
 from . import sqltext as S
 from .scan import finish, scan
 
-RULES_ONLY = ScanOptions(entropy=False, decode_base64=False, json=False)
+#: Texts of tables are scanned whole, whatever their size; only files have the mode for large ones.
+RULES_ONLY = ScanOptions(entropy=False, decode_base64=False, json=False, large_file_mode=False)
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -202,14 +203,14 @@ def entropy_sweep(spark, sf_dir):
     """High-entropy tokens on lines that speak of secrets; each document has one more line with a random string."""
     digest = F.unhex(F.sha2(F.substring_index("file", ":", -1).cast("binary"), 256))
     texts = _documents(spark, sf_dir).withColumn("text", F.concat("text", F.lit("\ntoken "), F.base64(digest)))
-    found = scan(texts, ScanOptions(decode_base64=False, json=False, rules=()))
+    found = scan(texts, ScanOptions(decode_base64=False, json=False, large_file_mode=False, rules=()))
     return found.select("file", "line", "secret", "entropy", "column")
 
 
 @query()
 def full_scan(spark, sf_dir):
     """All stages on the seeded corpus, documents, pages and conversations, in the order of the command line."""
-    options = ScanOptions(decode_hex=True, decode_unicode=True, js_reconstruct=True, endpoints=True)
+    options = ScanOptions(decode_hex=True, decode_unicode=True, js_reconstruct=True, endpoints=True, large_file_mode=False)
     return finish(scan(_texts(spark, sf_dir).unionByName(_turns(spark, sf_dir)), options), "cli")
 
 
