@@ -19,7 +19,6 @@ JSON_KEYS = (
     r"(?i)^(?:password|passwd|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|access[_-]?token|auth[_-]?token|auth[_-]?key|client[_-]?secret|client[_-]?id|"
     r"private[_-]?key|ssh[_-]?key|encryption[_-]?key|signing[_-]?key|bearer|credential|refresh[_-]?token|session[_-]?key|secret[_-]?key|master[_-]?key)$"
 )
-JSON_LARGEST = 10 * 1024 * 1024
 ENDPOINTS = (
     r"""['"]((?:/api|/v\d+|/internal|/admin|/dashboard|/graphql|/rest)(?:/[a-zA-Z0-9_\-{}:]+){1,6})['"]""",
     r"""(?i)['"](/[a-z0-9_\-]+/(?:user|account|admin|auth|login|token|password|key|secret|config|setting)[a-z0-9_/\-]*)['"]""",
@@ -43,43 +42,70 @@ LEAST_REBUILT = 20
 # ---------------------------------------------------------------- JSON
 
 
-def walk(value: object, path: str = "") -> Iterator[tuple[str, str]]:
-    """(key path, text) of every text in a JSON value, in order."""
+#: What leaves Python at once: so many texts of documents, or the first that fill so many characters with their paths.
+VALUES_SENT, CHARACTERS_SENT = 10_000, 8 << 20
+
+
+def _inner(value: dict | list, named: bool) -> Iterator[tuple[str, object]]:
+    """(part of the key path, value) of what a JSON value holds; named: whether anything of the path comes before."""
     if isinstance(value, dict):
         for key, inner in value.items():
-            yield from walk(inner, f"{path}.{key}" if path else key)
-    elif isinstance(value, list):
+            yield f".{key}" if named else key, inner
+    else:
         for i, inner in enumerate(value):
-            yield from walk(inner, f"{path}[{i}]")
-    elif isinstance(value, str) and value:
-        yield path, value
+            yield f"[{i}]", inner
+
+
+def walk(value: object, path: str = "") -> Iterator[tuple[str, str]]:
+    """(key path, text) of every text in a JSON value, in order.
+
+    The way down is a stack, so that no depth is too much, and paths are put together for texts only."""
+    parts, rest = [path], [iter([("", value)])]
+    while rest:
+        part, inner = next(rest[-1], (None, None))
+        if part is None:
+            parts.pop()
+            rest.pop()
+        elif isinstance(inner, dict | list):
+            parts.append(part)
+            rest.append(_inner(inner, any(parts)))
+        elif isinstance(inner, str) and inner:
+            yield "".join(parts) + part, inner
+
+
+def texts_in(source: str | None) -> Iterator[tuple[str, str]]:
+    """`walk` of a JSON document; nothing if it isn't JSON, or nested some ten thousand levels deep, beyond what Python reads."""
+    try:
+        value = json.loads(source or "", parse_int=float)  # numbers aren't looked at, and int takes so many digits only
+    except (ValueError, RecursionError):
+        return
+    yield from walk(value)
 
 
 def json_values(rows: DataFrame, text: str = "text") -> DataFrame:
-    """Rows with key_path, key_name, value and json_at for each text in JSON documents.
+    """Rows with key_path, key_name, value and json_at for each text in JSON documents of any size.
 
-    Texts that aren't JSON, or longer than JSON_LARGEST characters, have none."""
+    Texts that aren't JSON have none.  A document is read whole by its task; what it holds leaves the task in pieces."""
     kept = [f for f in rows.schema if f.name != text]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
 
+    def made(batch: pa.RecordBatch, found: list[tuple[int, str, str, int]]) -> pa.RecordBatch:
+        at, paths, values, places = zip(*found, strict=True)
+        taken = batch.select([f.name for f in kept]).take(pa.array(at, pa.int64()))
+        return pa.RecordBatch.from_arrays([*taken.columns, pa.array(paths), pa.array(values), pa.array(places, pa.int32())], names=[*(f.name for f in kept), "key_path", "value", "json_at"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, paths, values, places = [], [], [], []
-            for i, source in enumerate(batch.column(batch.schema.get_field_index(text)).to_pylist()):
-                if not source or len(source) > JSON_LARGEST:
-                    continue
-                try:
-                    found = list(walk(json.loads(source)))
-                except (ValueError, RecursionError):
-                    continue
-                for place, (path, value) in enumerate(found):
-                    at.append(i)
-                    paths.append(path.encode("utf-8", "replace").decode())
-                    values.append(value.encode("utf-8", "replace").decode())
-                    places.append(place)
-            if at:
-                taken = batch.select([f.name for f in kept]).take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(paths), pa.array(values), pa.array(places, pa.int32())], names=[*(f.name for f in kept), "key_path", "value", "json_at"])
+            found, size = [], 0
+            for i, source in enumerate(batch.column(batch.schema.get_field_index(text))):
+                for place, (path, value) in enumerate(texts_in(source.as_py())):
+                    found.append((i, path.encode("utf-8", "replace").decode(), value.encode("utf-8", "replace").decode(), place))
+                    size += len(path) + len(value)
+                    if len(found) >= VALUES_SENT or size >= CHARACTERS_SENT:
+                        yield made(batch, found)
+                        found, size = [], 0
+            if found:
+                yield made(batch, found)
 
     small_batches(rows.sparkSession)
     out = rows.select(*[F.col(f"`{f.name}`") for f in kept], text).mapInArrow(run, f"{fields}, key_path string, value string, json_at int")
